@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gneiss.llm import exact_dedup, language_id, packing, secret_scan, sentencepiece_codec
+from gneiss.llm import exact_dedup, flac, html_text, language_id, line_dedup, ngram_join, packing, secret_scan, sentencepiece_codec
 from gneiss.llm.common import table
 
 
@@ -33,6 +34,10 @@ def op1_sentencepiece(spark, sf_dir):
     )
 
 
+def op2_line_dedup(spark, sf_dir):
+    return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op4_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = language_id.held_out()
@@ -60,6 +65,29 @@ def op6_secret_scan(spark, sf_dir):
     )
 
 
+def op7_flac(spark, sf_dir):
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    docs = table(spark, sf_dir, "documents").select("doc_id", data.alias("data"))
+    docs = docs.withColumn("n_bytes", F.octet_length("data").cast("long"))
+    docs = docs.withColumn("whole", F.greatest(F.ceil(F.col("n_bytes") / 64), F.lit(1)) * 64)
+    docs = docs.select("doc_id", "n_bytes", F.expr("rpad(data, cast(whole as int), X'00')").alias("payload"))
+
+    def describe(stream, payload):
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        return len(payload), sha(payload), zlib.crc32(payload[-64:]), len(stream), sha(stream), flac.features(payload)
+
+    return flac.decoded_column(
+        flac.encode_column(docs, "payload"), "flac",
+        "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+        describe,
+    )
+
+
+def op8_html_text(spark, sf_dir):
+    pages = html_text.extract_pages(table(spark, sf_dir, "pages"))
+    return pages.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     groups = exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select(
@@ -67,6 +95,26 @@ def op9_exact_dedup(spark, sf_dir):
     )
 
 
+def op10_ngram_join(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i, line, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+), r AS (
+  SELECT key, max(doc_id) AS stays FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), k AS (
+  SELECT l.doc_id, l.i, l.line, r.key IS NOT NULL AND l.doc_id <> r.stays AS gone FROM l LEFT JOIN r ON l.key = r.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM k GROUP BY doc_id
+"""
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -78,9 +126,13 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_line_dedup": op2_line_dedup,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op6_secret_scan": op6_secret_scan,
+    "op7_flac": op7_flac,
+    "op8_html_text": op8_html_text,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_ngram_join": op10_ngram_join,
 }
-ORACLE_SQL = {"op9_exact_dedup": OP9_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op9_exact_dedup": OP9_SQL}
