@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -31,13 +33,29 @@ TIERS = (2048, 1024, 512, 256, 128, 64)
 STEP_TOKENS = 65_536
 
 
+#: How the tokenizer splits a normalised text, and words in which that is plain: printable ASCII and Latin letters.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PLAIN = regex.compile(r"[!-~\u00a1-\u00ac\u00ae-\u024f]+")
+_COMBINING = 0xCC  # first byte of U+0300 in UTF-8; below it, normalisation form C changes nothing
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, others for U+0100 onwards."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(own)))}
+
+
+_LETTERS = _byte_letters()
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer whose pieces never cross ASCII white space.
 
-    Texts are split at ASCII white space, each distinct word is given to the library
-    once, and its ids are kept. The tokenizer's normaliser and splitter drop white space
-    and look at no neighbour across it, so the ids are those of the whole text. At most
-    ``most_words`` are kept; then the store starts anew.
+    Texts are split at ASCII white space, each distinct word is tokenized once, and its ids are
+    kept. The tokenizer's normaliser and splitter drop white space and look at no neighbour
+    across it, so the ids are those of the whole text. Words of printable ASCII and Latin letters
+    are lower-cased and split here, which the library's model takes as it would its own; any other
+    word goes through the whole library. At most ``most_words`` are kept; then the store starts anew.
     """
 
     _loaded: dict[tuple[str, int], WordTokenizer] = {}
@@ -46,10 +64,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most_words = Tokenizer.from_file(path), most_words
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     @classmethod
-    def load(cls, path: str, most_words: int = 400_000) -> WordTokenizer:
+    def load(cls, path: str, most_words: int = 600_000) -> WordTokenizer:
         key = path, most_words
         if key not in cls._loaded:
             cls._loaded[key] = cls(path, most_words)
@@ -60,11 +80,20 @@ class WordTokenizer:
         self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.pool, self.used = np.zeros(4096, np.uint32), 0
 
+    def _ids(self, word: str) -> list[int]:
+        if _PLAIN.fullmatch(word) and not any(s in word for s in self.special):
+            tokenize = self.model.tokenize
+            return [
+                t.id
+                for part in _SPLIT.findall(word.lower())
+                for t in tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS))
+            ]
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
     def _learn(self, words: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [e.ids for e in encoded]
+        ids = [self._ids(w.decode()) for w in words]
         counts = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
         n, top = len(self.known), len(self.known) + len(words)
         if top > len(self.start):
             grow = max(top, 2 * len(self.start)) - len(self.start)
@@ -80,7 +109,13 @@ class WordTokenizer:
         self.known.update(zip(words, range(n, top), strict=True))
 
     def encode(self, text: str) -> np.ndarray:
-        words = text.encode().split()  # bytes.split() knows the six ASCII white space characters
+        data = text.encode()
+        if data and np.frombuffer(data, np.uint8).max() < _COMBINING:
+            # Words that differ in case alone are one word; the tokenizer lower-cases them anyway.
+            # Special tokens are of lower case, and are looked for before that.
+            if not any(s in text or s in text.lower() for s in self.special):
+                data = text.lower().encode()
+        words = data.split()  # bytes.split() knows the six ASCII white space characters
         if not words:
             return np.zeros(0, np.uint32)
         known = self.known
