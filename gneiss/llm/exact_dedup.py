@@ -69,7 +69,8 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")
     )
     shared = _suspected(rows, twice, True)
-    joined = shared.join(_groups(shared).hint("merge"), "digest")
+    # Written first: Spark splits the large keys of a join only where both sides come straight from a shuffle.
+    joined = shared.join(durable(_groups(shared)).hint("merge"), "digest")
     return alone.unionByName(joined.select(*alone.columns)).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
     )
