@@ -1,0 +1 @@
+"""Grounded document analytics on Spark: chunking, retrieval, verified answers and their evaluation."""
