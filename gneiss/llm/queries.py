@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gneiss.llm import exact_dedup, flac, html_text, language_id, line_dedup, ngram_join, packing, secret_scan, sentencepiece_codec
+from gneiss.llm import exact_dedup, flac, html_text, language_id, line_dedup, ngram_join, packing, passage_dedup, secret_scan, sentencepiece_codec
 from gneiss.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op2_line_dedup(spark, sf_dir):
     return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op3_passage_dedup(spark, sf_dir):
+    spans = passage_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return spans.select("doc_id", "span_start", "span_end", "n_words", "keep_id", F.sha2("passage", 256).alias("passage_sha256"))
+
+
 def op4_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = language_id.held_out()
@@ -127,6 +132,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_line_dedup": op2_line_dedup,
+    "op3_passage_dedup": op3_passage_dedup,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op6_secret_scan": op6_secret_scan,
