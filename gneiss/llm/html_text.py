@@ -99,7 +99,7 @@ class _Events(HTMLParser):
                         never = 1
                 elif name == "hidden" or name == "aria-hidden" and value == "true":
                     never = 1
-            if never or tag in REGIONS and (not inside or tag == "article"):
+            if tag == "article" or not inside and (never or tag in REGIONS):
                 self.regions += 1
                 region = self.regions
         inside = inside or tag in ("article", "main")

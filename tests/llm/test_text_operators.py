@@ -1,0 +1,303 @@
+"""Tokens, packing, secrets, FLAC, HTML and language identification against plain forms of the same contracts."""
+
+import hashlib
+import re
+import struct
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from gneiss.llm import flac, html_text, language_id, packing, secret_scan
+from gneiss.llm.sentencepiece_codec import CharacterMap, Codec, decode_documents, encode_documents
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+TEXTS = [
+    None, "", " ", "a", "  two  spaces ", "▁x ▁ y", "日本語 テスト　x", "é é İstanbul ſecret", "<|endoftext|> A<|ENDOFTEXT|>b",
+    "H̱ \x1c a\x85b\xa0c ²³ ½x ªº ǅ ß×÷", "don't IT'S 'Ll we've, ok... 12,5!", "line\nline\nTOKEN = 'abcdefghijklmnop'", "word " * 5000,
+]
+
+
+def frame(spark, texts, **more):
+    rows = [(i, t, "en", "src", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+# -- sentencepiece -------------------------------------------------------------------------
+
+
+def test_ids_are_the_librarys_and_spans_cover_the_source():
+    import sentencepiece
+
+    codec, library = Codec.load(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = [t or "" for t in TEXTS]
+    for text, found in zip(texts, codec.encode(texts), strict=True):
+        assert found.ids == library.encode(text)
+        raw = text.encode()
+        assert (found.starts[1:] == found.ends[:-1]).all()
+        if found.ids:
+            assert found.starts[0] == 0 and found.ends[-1] == len(raw)
+            proto = library.encode(text, return_type="proto")
+            assert [raw[a:b].decode(errors="replace") for a, b in zip(found.starts, found.ends, strict=True)][1:] == [p.surface for p in proto.pieces][1:] or any(
+                library.is_byte(i) for i in found.ids
+            )
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(max_size=60))
+def test_both_ways_to_project_agree(text):
+    codec = Codec.load(PIECES)
+    (found,) = codec.encode([text])
+    normal, origin = codec.normalise(text)
+    if found.ids:
+        stops = np.cumsum(codec.length[np.array(found.ids)])
+        assert stops[-1] == len(normal) and (origin[stops] == found.ends).all()
+
+
+def test_character_map_takes_the_longest_prefix():
+    # A trie of "a" -> "x" and "ab" -> "yz", built by hand: unit = offset << 10 | leaf << 8 | label.
+    units = [0] * 512
+    units[0] = 1 << 10
+    a = 1 ^ ord("a")
+    units[a] = (a ^ 300) << 10 | 1 << 8 | ord("a")
+    units[300] = 1 << 31 | 0
+    b = 300 ^ ord("b")
+    units[b] = (b ^ 302) << 10 | 1 << 8 | ord("b")
+    units[302] = 1 << 31 | 2
+    blob = struct.pack("<I", len(units) * 4) + struct.pack(f"<{len(units)}I", *units) + b"x\0yz\0"
+    found = CharacterMap(blob)
+    assert found.longest(b"abc", 0) == (2, b"yz")
+    assert found.longest(b"ac", 0) == (1, b"x")
+    assert found.longest(b"c", 0) is None
+    codec = Codec.load(PIECES)
+    old, codec.map = codec.map, found
+    try:
+        normal, origin = codec.normalise("cab a")
+        assert normal.decode() == "▁cyz▁x" and origin.tolist() == [0, 0, 0, 0, 1, 1, 3, 3, 3, 4, 5]
+    finally:
+        codec.map = old
+
+
+def test_encode_and_decode_frames(spark):
+    rows = encode_documents(frame(spark, TEXTS).withColumnRenamed("source", "ids2"), PIECES)
+    back = {r.doc_id: r.text for r in decode_documents(rows, PIECES).collect()}
+    assert back[0] == "" and back[1] == "" and back[4] == "  two  spaces "
+    assert encode_documents(frame(spark, []), PIECES).collect() == []
+
+
+# -- packing -------------------------------------------------------------------------------
+
+
+def test_word_by_word_ids_are_those_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    library, words = Tokenizer.from_file(WORDS), packing.WordTokenizer(WORDS, 50)  # so few that the store starts anew
+    for text in TEXTS * 2:
+        assert words.encode(text or "").tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 5000), max_size=40), st.integers(1, 7))
+def test_windows_hold_each_token_once_and_are_full(lengths, step):
+    pool, windows = packing._Fragments(), []
+    for at in range(0, len(lengths), step):
+        windows += packing.pack(lengths[at : at + step], packing.TIERS, pool, at, last=False)
+    windows += packing.pack([], packing.TIERS, pool, len(lengths), last=True)
+    held = defaultdict(list)
+    for size, window in windows:
+        assert sum(n for *_, n in window) == size <= 2048
+        for document, start, n in window:
+            held[document].append((start, n))
+    for document, length in enumerate(lengths):
+        at = 0
+        for start, n in sorted(held[document]):
+            assert start == at
+            at += n
+        assert at == length
+    assert sum(size & (size - 1) != 0 for size, _ in windows) <= 1
+
+
+def test_packed_pieces(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    rows = packing.pack_documents(frame(spark, TEXTS), WORDS, with_ids=True).collect()
+    assert packing.pack_documents(frame(spark, []), WORDS).collect() == []
+    sequences = defaultdict(list)
+    for r in rows:
+        whole = library.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids + [1]
+        ids = whole[r.start : r.start + r.length]
+        assert list(r.ids) == ids and r.doc_tokens == len(whole)
+        assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for pieces in sequences.values():
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at
+            at += n
+        assert at <= 2048
+    tokens = sum(r.length for r in rows)
+    assert tokens == sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for t in TEXTS)
+
+
+# -- secrets -------------------------------------------------------------------------------
+
+
+def plain_spans(text):
+    either = lambda w: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in w)
+    words = "|".join([*map(either, ("password", "passwd", "secret", "token")), either("api") + "_?" + either("key")])
+    assign = re.compile("(" + words + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    out = [("assign", *m.span()) for m in assign.finditer(text) if len(m[2]) >= 12]
+    out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["token", "Secret", "api_key", "API", "KEY", "ſecret", "AKIA", "ABCDEFGH123456", "=", ":", " ", '"', "deadbeef01", "é", "日", "\n", "x", "password"]), max_size=25))
+def test_base_spans_are_those_of_a_plain_search(parts):
+    text = "".join(parts)
+    assert [s for s in secret_scan.scan(text) if s[0] in secret_scan.BASE_KINDS] == plain_spans(text)
+
+
+def test_checksummed_tokens_and_redaction(spark):
+    body = "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5"
+    good = "ghp_" + body + secret_scan.checksum62(body)
+    bad = good[:-1] + ("0" if good[-1] != "0" else "1")
+    assert ("github", 3, 43) in secret_scan.scan("日本 " + good) and not secret_scan.scan(bad)
+    assert secret_scan.redact(f"x {good} y password=abcdefghijkl0123456789abcdef!") == "x [SECRET] y [SECRET]!"
+    rows = secret_scan.redact_documents(frame(spark, [None, "", f"a {good}"])).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == [None, "", "a [SECRET]"] and rows[2].n_chars == 10
+    assert secret_scan.scan_documents(frame(spark, [])).collect() == []
+
+
+# -- FLAC ----------------------------------------------------------------------------------
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.one_of(st.binary(max_size=300), st.integers(0, 255).map(lambda b: bytes([b]) * 5000), st.integers(1, 9000).map(lambda n: bytes((128 + 90 * np.sin(np.arange(n) / 30)).astype(np.uint8)))), max_size=5))
+def test_streams_give_back_their_payloads(payloads):
+    streams = flac.encode(payloads)
+    assert flac.decode(streams) == payloads
+    for payload, stream in zip(payloads, streams, strict=True):
+        assert stream[:4] == b"fLaC" and hashlib.md5(bytes(b ^ 128 for b in payload)).digest() in stream[:64]
+        assert flac.read_samples(stream, len(payload) // 3, 4500) == payload[len(payload) // 3 : len(payload) // 3 + 4500]
+
+
+def test_damage_is_found():
+    (stream,) = flac.encode([b"some text to be stored " * 300])
+    for at in (len(stream) - 1, len(stream) // 2, flac.parse(stream).points[0][1] + 2):
+        hurt = stream[:at] + bytes([stream[at] ^ 4]) + stream[at + 1 :]
+        with pytest.raises(ValueError):
+            flac.decode([hurt])
+
+
+def test_known_checksums_and_frame_numbers():
+    assert flac.crc8(b"123456789") == 0xF4
+    assert flac.crc16([b"123456789", b""]).tolist() == [0xFEE8, 0]
+    assert [flac._frame_number(n) for n in (0, 127, 128, 0x7FF, 0x800)] == [c.encode() for c in ("\0", "\x7f", "\x80", "߿", "ࠀ")]
+
+
+def test_partitioned_residuals_are_read():
+    # A fixed predictor of order 1 with two partitions of parameters 1 and 3, written bit by bit.
+    samples, bits = [10, 11, 9, 12, 20, 4, 8, 8, 0, 16, 3, 3, 4, 5, 6, 7], ""
+    residual = [b - a for a, b in zip(samples, samples[1:], strict=False)]
+    bits += format((8 | 1) << 1, "08b") + format(samples[0], "08b") + "00" + format(1, "04b")
+    for k, part in ((1, residual[:7]), (3, residual[7:])):
+        bits += format(k, "04b")
+        for e in part:
+            u = 2 * e if e >= 0 else -2 * e - 1
+            bits += "0" * (u >> k) + "1" + format(u & ((1 << k) - 1), f"0{k}b")
+    bits += "0" * (-len(bits) % 8)
+    frame_ = flac._header(0, 16) + bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+    frame_ += int(flac.crc16([frame_])[0]).to_bytes(2, "big")
+    assert flac.decode_frames([frame_])[0].tolist() == samples
+
+
+def test_flac_columns(spark):
+    rows = spark.createDataFrame([(i, flac.padded(t)) for i, t in enumerate(TEXTS)] + [(99, None)], "id long, payload binary")
+    streams = flac.encode_column(rows, "payload")
+    blocks = defaultdict(bytes)
+    for r in sorted(flac.pcm_blocks(streams, "flac", "id").collect(), key=lambda r: (r.id, r.block)):
+        assert r.sample_offset == len(blocks[r.id])
+        blocks[r.id] += bytes(b ^ 128 for b in r.pcm)
+    assert all(blocks[i] == flac.padded(t) for i, t in enumerate(TEXTS)) and 99 not in blocks
+    assert len(flac.padded(None)) == 64 and len(flac.padded("x" * 64)) == 64 and len(flac.padded("x" * 65)) == 128
+
+
+# -- HTML ----------------------------------------------------------------------------------
+
+
+PAGE = """<html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body><header>Site</header>
+<nav><a href=1>Home</a> <a href=2>News</a></nav><div class="cookie-notice"><p>We use cookies, and say so in a long sentence here.</p></div>
+<article><header><h1>Head&amp;line</h1><p>by someone</p></header><p>First para <b>bold</b>er   text.<br>next<p>Short.</p><div class="ad">Buy this now!</div>
+<form><input value=x>mail</form><p>Last &eacute; one.</p></article><aside>side text</aside><section id="comments"><p>A reader's comment that is long enough to be dense text.</p></section>
+<footer>foot</footer></body></html>"""
+
+
+def test_the_article_is_kept_whole_and_nothing_else():
+    assert html_text.main_text(PAGE) == "Head&line First para bolder text. next Short. Last é one."
+
+
+def test_regions_are_found_by_density_without_an_article():
+    page = "<div><ul><li><a>a</a><li><a>b</a></ul></div><div><h2>Title</h2><p>" + "long text here " * 20 + "<p>Hi.<p>" + "more long text " * 20 + "</div><div><a>x</a> <a>y</a></div>"
+    text = html_text.main_text(page)
+    assert text.startswith("Title long text") and " Hi. more" in text and text.endswith("long text")
+
+
+@pytest.mark.parametrize("page", [None, "", "   ", "<p>", "<script>x</script>", "<!-- only -->", "<nav>menu</nav>", "\x00<", "<a <b <c"])
+def test_pages_without_text(page):
+    assert html_text.main_text(page) in ("", "<", "\x00<", "�<", "<a <b <c")
+
+
+def test_a_lone_short_line_and_open_markup():
+    assert html_text.main_text("<p>Hi") == "Hi"
+    assert html_text.main_text("<article><p>One<p>Two <b>three") == "One Two three"
+
+
+def test_extract_pages(spark):
+    rows = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, "v", "")], "page_id long, url string, html string")
+    found = html_text.extract_pages(rows).collect()
+    assert sorted(len(r.text) for r in found)[:2] == [0, 0] and len(found) == 3
+    assert html_text.extract_pages(rows.limit(0)).collect() == []
+
+
+# -- language ------------------------------------------------------------------------------
+
+
+def test_codewords_differ():
+    for n in (2, 4, 7, 12):
+        code = language_id.codewords(n)
+        distance = min((a != b).sum() for i, a in enumerate(code) for b in code[:i])
+        assert distance >= max(1, code.shape[1] // 4) and not (abs(code.sum(0)) == n).any()
+
+
+def test_language_is_learned_and_predicted(spark):
+    rng = np.random.default_rng(1)
+    words = {"en": "the thing and other ship with".split(), "de": "der das und schiff mit einer".split(), "fr": "le la et bateau avec une".split(), "es": "el los y barco con una".split()}
+    rows = [(i, " ".join(rng.choice(words[lang], 12)), lang) for i, lang in enumerate(list(words) * 60)]
+    odd = [(1000, None, "en"), (1001, "", None), (1002, "12 34 !!", "de"), (1003, "x", None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    out = language_id.held_out()
+    model = language_id.fit(docs.where(~out))
+    assert sorted(model.languages) == sorted(words)
+    found = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+    for i, _, lang in rows:
+        assert found[i].lang_pred == lang and 0 <= found[i].score <= 1
+    assert [found[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3
+    kept = {r.doc_id for r in language_id.keep_identified(docs, model).collect()}
+    assert kept == {i for i, *_ in rows} | {1003}
+    empty = language_id.fit(docs.limit(0))
+    assert {r.lang_pred for r in language_id.predict(docs, empty).collect()} == {"und"}
+    assert language_id.predict(docs.limit(0), model).collect() == []
+
+
+def test_held_out_is_the_crc_of_the_id(spark):
+    rows = spark.range(200).withColumn("out", language_id.held_out("id")).collect()
+    assert all(r.out == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in rows)
