@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,15 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+_MARKS = b".,"
+
+
+def _is_letters(word: bytes) -> bool:
+    """Whether a word is of ASCII or Latin letters alone."""
+    if word.isascii():
+        return word.isalpha()
+    text = word.decode()
+    return text.isalpha() and _PLAIN.fullmatch(text) is not None
 
 
 class WordTokenizer:
@@ -66,10 +75,11 @@ class WordTokenizer:
         self.tokenizer, self.most_words = Tokenizer.from_file(path), most_words
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = {m: self._part(chr(m)) for m in _MARKS}
         self._clear()
 
     @classmethod
-    def load(cls, path: str, most_words: int = 600_000) -> WordTokenizer:
+    def load(cls, path: str, most_words: int = 400_000) -> WordTokenizer:
         key = path, most_words
         if key not in cls._loaded:
             cls._loaded[key] = cls(path, most_words)
@@ -81,17 +91,29 @@ class WordTokenizer:
         self.pool, self.used = np.zeros(4096, np.uint32), 0
 
     def _ids(self, word: str) -> list[int]:
-        if _PLAIN.fullmatch(word) and not any(s in word for s in self.special):
-            tokenize = self.model.tokenize
-            return [
-                t.id
-                for part in _SPLIT.findall(word.lower())
-                for t in tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS))
-            ]
+        """Ids of one word by the library."""
+        if word.isascii() or _PLAIN.fullmatch(word):
+            low = word.lower()
+            if low.isalpha():
+                return self._part(low)
+            if low.isprintable() and not any(s in word for s in self.special):
+                return [i for part in _SPLIT.findall(low) for i in self._part(part)]
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
+    def _part(self, part: str) -> list[int]:
+        """Ids of one piece of the splitter."""
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
+        return [t.id for t in self.model.tokenize(letters)]
+
     def _learn(self, words: list[bytes]) -> None:
-        ids = [self._ids(w.decode()) for w in words]
+        # A word of letters and one mark is the word and the mark; many marked words are known without.
+        marked = {w: w[:-1] for w in words if w[-1:] in _MARKS and _is_letters(w[:-1])}
+        fresh = {w: self._ids(w.decode()) for w in {*words, *marked.values()} - marked.keys() if w not in self.known}
+        for word, bare in marked.items():
+            at = self.known.get(bare)
+            ids = fresh[bare] if at is None else self.pool[self.start[at] : self.start[at] + self.count[at]].tolist()
+            fresh[word] = ids + self.marks[word[-1]]
+        words, ids = list(fresh), list(fresh.values())
         counts = np.array([len(x) for x in ids], np.int64)
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
         n, top = len(self.known), len(self.known) + len(words)
@@ -118,14 +140,15 @@ class WordTokenizer:
         words = data.split()  # bytes.split() knows the six ASCII white space characters
         if not words:
             return np.zeros(0, np.uint32)
-        known = self.known
-        missing = [w for w in set(words) if w not in known]
-        if missing:
-            if len(known) + len(missing) > self.most_words and known:
+        index = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        gaps = np.flatnonzero(index < 0).tolist()
+        if gaps:
+            missing = list({words[i] for i in gaps})
+            if len(self.known) + len(missing) > self.most_words and self.known:
                 self._clear()
-                known, missing = self.known, list(set(words))
+                gaps, missing = range(len(words)), list(set(words))
             self._learn(missing)
-        index = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            index[gaps] = [self.known[words[i]] for i in gaps]
         counts = self.count[index]
         ends = np.cumsum(counts)
         at = np.repeat(self.start[index] - ends + counts, counts)
