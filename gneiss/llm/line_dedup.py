@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm import bloom
-from gneiss.llm.common import WHITE, durable, map_arrow, strings, table_bytes
+from gneiss.llm.common import arrow, durable, map_arrow, strings, table_bytes, WHITE
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
 #: Stored bytes for one long line, on average; sizes the filter, never the result.
@@ -114,7 +114,7 @@ def drop_repeated_lines(
         .where(F.col("n") >= least_docs)
         .select("digest", "stays")
     )
-    losing = pairs.join(repeated.hint("merge"), "digest").where("doc_id <> stays")
+    losing = pairs.join(durable(repeated).hint("merge"), "digest").where("doc_id <> stays")
     losses = losing.groupBy("doc_id").agg(F.collect_set("digest").alias("lost"))
     decided = held.select("doc_id", "n_lines", "text").join(losses.hint("merge"), "doc_id", "left")
 
@@ -147,6 +147,6 @@ def drop_repeated_lines(
             )
 
     out = clear.unionByName(
-        decided.mapInArrow(drop, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, text string")
+        arrow(decided, drop, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, text string")
     )
     return out if with_text else out.drop("text")
