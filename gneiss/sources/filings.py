@@ -85,7 +85,7 @@ def with_documents(spark: SparkSession, saved: DataFrame, pattern: str) -> DataF
     """Saved filings with the HTML of their files; filings whose file is missing are left out."""
     files = spark.read.format("binaryFile").load(pattern)
     name = F.element_at(F.split("path", "/"), -1)
-    files = files.select(name.alias("_file"), F.decode("content", F.lit("UTF-8")).alias("html"))
+    files = files.select(name.alias("_file"), F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
     own = F.element_at(F.split("local_path", r"[/\\]"), -1)
     rows = saved.withColumn("_file", own).join(files, "_file")
     return rows.withColumn("document_name", F.col("_file")).drop("_file", "_path")

@@ -1,0 +1,104 @@
+"""Column functions: terms, windows, headings, quotes and table grids."""
+
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from gneiss.functions import tables as G
+from gneiss.functions import text as T
+
+
+def column(spark, values, make, kind="string"):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
+    return [r[1] for r in rows.select("i", make(F.col("v")).alias("out")).orderBy("i").collect()]
+
+
+def test_terms(spark):
+    found = column(spark, ["What MARKET risks does NVCT disclose?", "class classes companys was has 10-K DEF 14A", None, "é äb x"], T.terms)
+    assert found == [["market", "risk", "nvct", "disclose"], ["class", "classe", "def", "14a"], [], []]
+
+
+def test_clean_and_quotes(spark):
+    assert column(spark, ["​a  b\n\tc ", None], T.clean) == ["a b c", ""]
+    assert column(spark, ["“Cash” –  the company’s\nOWN", None], T.normalize_quote) == ['"cash" - the company\'s own', ""]
+
+
+def test_slug_and_id(spark):
+    assert column(spark, ["Item 1A. Risk Factors", "—", None, " ITEM 1a. risk factors!"], T.slug) == ["item-1a-risk-factors", "document", "document", "item-1a-risk-factors"]
+    assert column(spark, ["", None, "0001-26"], lambda c: T.chunk_id(c, F.lit("Item 1. Business"), F.lit(0))) == [
+        "no-accession:item-1-business:0", "no-accession:item-1-business:0", "0001-26:item-1-business:0",
+    ]
+
+
+def windows_by_hand(text, limit):
+    if len(text) <= limit:
+        return [text]
+    done, now = [], None
+    for sentence in re.split(r"(?<=[.!?])\s+", text):
+        if now and len(now) + 1 + len(sentence) <= limit:
+            now += " " + sentence
+        else:
+            if now:
+                done.append(now)
+            now = sentence
+        full = max(0, -(-len(now) // limit) - 1)
+        done += [now[i * limit : (i + 1) * limit] for i in range(full)]
+        now = now[full * limit :]
+    return done + [now] * bool(now)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["ab", "c.", "long-word-of-many-letters", "Yes!", "\n", "x?  ", "é"]), max_size=30).map(" ".join), min_size=1, max_size=12), st.integers(3, 40))
+def test_windows(spark, texts, limit):
+    assert column(spark, texts, lambda c: T.sentence_windows(c, limit)) == [windows_by_hand(t, limit) for t in texts]
+
+
+def test_strip_html(spark):
+    page = "<style>x</style><p>A&amp;B <SCRIPT>\nbad()</SCRIPT> c</p><br/>d"
+    assert column(spark, [page, None], T.strip_html) == ["A&amp;B c d", ""]
+
+
+def test_headings(spark):
+    heads = ["Item 1. Business", "item 7A. Market", "Items 1.", "The Item 1.", "EXECUTIVE COMPENSATION", "Table of Contents.", "ALL", "TABLE OF CONTENTS", "AB CD", "Mostly lower CASE text", None]
+    assert column(spark, heads, T.is_item_heading) == [True, True] + [False] * 9
+    assert column(spark, heads, lambda c: T.is_caps_heading(c, F.lit("p"))) == [False] * 4 + [True] + [False] * 6
+    assert column(spark, heads[4:5], lambda c: T.is_caps_heading(c, F.lit("td"))) == [False]
+
+
+@pytest.mark.parametrize("raw,ok", [("aapl", True), ("  msft ", True), ("BRK-B", True), ("", False), ("   ", False), ("not a ticker", False), ("TOOLONGTICKER", False), ("<script>", False), (None, False)])
+def test_tickers(spark, raw, ok):
+    assert column(spark, [raw], T.is_ticker) == [ok]
+
+
+def test_reasons(spark):
+    whys = column(spark, ["Item 1A. Risk", "Products", "cash flow", "other"], lambda c: T.why_it_matters(c, F.lit("a question")))
+    assert whys == [T.WHY[k] for k in ("risk", "business", "financial", "default")]
+    says = ["429 GenerateRequestsPerDay", "429 RESOURCE_EXHAUSTED", "503 UNAVAILABLE", "403 PERMISSION_DENIED", "404 NOT_FOUND", "timeout", None]
+    assert column(spark, says, T.describe_failure) == [m for _, m in T.FAILURES] + [T.FAILURES[-1][1]]
+
+
+def test_percent(spark):
+    rows = spark.createDataFrame([(1, 8), (17, 17), (0, 0)], "p int, w int").select(T.percent(F.col("p"), F.col("w")).alias("x"))
+    assert [r.x for r in rows.collect()] == ["   12%", "  100%", "   n/a"]
+
+
+GRIDS = [
+    [["Cash and equivalents", "$", "22,160", "31,634"], ["Debt", "(1,200)", "—"], ["Ratio", "12.5%", "2024"]],
+    [["Item 1.", "Business", "3"], ["Item 1A.", "Risk", "9"], ["Item 2.", "Sites", "12"]],
+    [["Section", "Page"], ["Page", "1"], ["x", "2", "3"]],
+    [["a", "1"], ["b", "2"]],
+    [["Table of Contents"], ["1", "2"], ["3", "4"]],
+    [["", "*"]],
+]
+
+
+def test_grids(spark):
+    kind = "array<array<string>>"
+    clean = column(spark, GRIDS, G.without_fillers, kind)
+    assert clean[0] == [["Cash and equivalents", "22,160", "31,634"], ["Debt", "(1,200)"], ["Ratio", "12.5%", "2024"]] and clean[5] == []
+    assert column(spark, clean, G.is_data, kind) == [True, False, False, False, False, False]
+    assert column(spark, clean[:5], G.is_contents, kind) == [False, True, True, False, True]
+    assert column(spark, clean[:1], G.render, kind) == ["Cash and equivalents | 22,160 | 31,634\nDebt | (1,200)\nRatio | 12.5% | 2024"]
