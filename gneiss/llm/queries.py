@@ -129,6 +129,24 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))) END AS shingles FROM w
+), i AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common, any_value(a.n) AS nx, any_value(b.n) AS ny FROM i a JOIN i b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id
+), e AS (
+  SELECT x, y FROM p WHERE 100 * common >= 75 * (nx + ny - common)
+), d AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, d.y FROM r JOIN d ON r.reached = d.x)
+SELECT doc_id, len(any_value(shingles)) AS n_shingles, min(reached) AS component_id FROM s JOIN r USING (doc_id) GROUP BY doc_id
+"""
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_line_dedup": op2_line_dedup,
@@ -141,4 +159,4 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_join": op10_ngram_join,
 }
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op9_exact_dedup": OP9_SQL, "op10_ngram_join": OP10_SQL}

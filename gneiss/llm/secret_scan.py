@@ -15,7 +15,6 @@ repeated rows are scanned each for itself; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import map_arrow, strings
+from gneiss.llm.common import arrow, map_arrow, strings
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "github", "npm")
@@ -146,12 +145,9 @@ def redact_documents(df: DataFrame, text_col: str = "text", count_col: str | Non
             columns[text_col] = pa.array(texts, batch.schema.field(text_col).type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
-    out = df.mapInArrow(run, df.schema)
+    out = arrow(df, run, df.schema)
     if count_col in names:
         kind = df.schema[count_col].dataType
         out = out.withColumn(count_col, F.char_length(text_col).cast(kind))
     return out
 
-
-def digest(spans: list[str]) -> str:
-    return hashlib.sha256(",".join(spans).encode()).hexdigest()
