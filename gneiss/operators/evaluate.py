@@ -103,3 +103,36 @@ def contrast(expected: DataFrame, lexical: DataFrame, hybrid: DataFrame) -> Data
         "*", (F.col("keyword") == F.col("expected")).alias("keyword_correct"), (F.col("hybrid") == F.col("expected")).alias("hybrid_correct"),
         (F.col("keyword") != F.col("hybrid")).alias("disagree"),
     )
+
+
+def _share(part: int, whole: int) -> str:
+    return f"{part / whole * 100:5.0f}%" if whole else "   n/a"
+
+
+def report(rows: DataFrame, baseline: DataFrame | None = None, mode: str = "") -> str:
+    """A readable report over scored cases (at most some hundreds, brought to the driver)."""
+    s = scorecard(rows).first()
+    out = [f"{mode}".strip(), f"answered when it should  {s.answered_when_expected:>3}/{s.answered_total:<3}{_share(s.answered_when_expected, s.answered_total)}"]
+    for label, part, whole in (
+        ("declined when it should", s.declined_when_expected, s.declined_total), ("overall", s.correct, s.cases), ("cites evidence", s.cited_when_answered, s.answers),
+        ("cites expected section", s.section_hits, s.section_checked), ("states the fact", s.fact_hits, s.fact_checked),
+    ):
+        out.append(f"{label:<25}{part:>3}/{whole:<3}{_share(part, whole)}")
+    reasons = failure_reasons(rows.where("not generated")).first().reasons
+    errors = rows.where("generation_error <> ''").count()
+    if (s.reached_model or errors) and s.reached_model < s.cases:
+        out.append(f"PARTIAL RUN: generation reached {s.reached_model}/{s.cases} cases; these figures mix two modes and measure neither")
+        out += [f"  cause: {reason}" for reason in reasons]
+    if s.reached_model:
+        out.append(f"quotes rejected as not found in the cited evidence: {s.rejected_quotes}")
+    for r in rows.where("not correct").orderBy("qid").collect():
+        out.append(f"  {'[' + (r.gap_class or 'new') + ']':<20} should {'answer' if r.expected else 'decline'}: {r.question[:44]}")
+    unknown = rows.where("not correct and not known_gap").count()
+    if unknown:
+        out.append(f"{unknown} failure(s) are not recorded as known gaps")
+    for r in rows.where("known_gap and correct").orderBy("qid").collect():
+        out.append(f"  closed gap: {r.question[:60]}")
+    if baseline is not None:
+        for r in baseline_delta(scorecard(rows), baseline).orderBy("position").collect():
+            out.append(f"  {r.label:<26} {r.was:>3} -> {r.now:<3}  {r.arrow}")
+    return "\n".join(line for line in out if line)

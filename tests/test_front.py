@@ -1,0 +1,158 @@
+"""Pacing, golden sets, the command line and the HTTP front."""
+
+import json
+import threading
+import urllib.error
+import urllib.request
+
+import pytest
+
+from gneiss.__main__ import main
+from gneiss.operators import generation as g
+from gneiss.plans import serve
+from gneiss.sources import golden
+from gneiss.sources.store import Store
+from tests.test_sources import filing, rows_of
+
+
+def test_what_may_be_tried_again():
+    assert g.retryable(RuntimeError("503 UNAVAILABLE")) and not g.retryable(RuntimeError("429 PerDay")) and not g.retryable(RuntimeError("401"))
+    assert g.wait_asked(RuntimeError("429 please retry in 5.5s")) == 6.5 and g.wait_asked(RuntimeError("retry in 900s")) == 120
+    assert g.wait_asked(RuntimeError("503")) == 8 and g.wait_asked(RuntimeError("429")) == 30
+
+
+class Clock:
+    def __init__(self):
+        self.now, self.slept = 0.0, []
+
+    def sleep(self, seconds):
+        self.slept.append(seconds)
+        self.now += seconds
+
+
+def paced(errors, **how):
+    clock, left = Clock(), list(errors)
+
+    def request():
+        if left:
+            raise RuntimeError(left.pop(0))
+        return {"ok": True}
+
+    pace = g.Pace(clock=lambda: clock.now, sleep=clock.sleep, **how)
+    try:
+        return pace.call(request), clock.slept
+    except RuntimeError as error:
+        return str(error), clock.slept
+
+
+def test_pace():
+    assert paced([]) == ({"ok": True}, [])
+    result, slept = paced(["503", "429 retry in 4s"], interval=0)
+    assert result == {"ok": True} and slept == [8, 10]
+    assert paced(["401"])[0] == "401" and paced(["429 per day"]) == ("429 per day", [])
+    result, slept = paced(["429"] * 9, interval=0)
+    assert result == "429" and sum(slept) <= 90  # a wait that would pass the budget is not begun
+    clock = Clock()
+    pace = g.Pace(interval=13, clock=lambda: clock.now, sleep=clock.sleep)
+    for _ in range(3):
+        pace.call(dict)
+    assert clock.slept == [13, 13]
+
+
+class Fake:
+    def __init__(self, name, ready):
+        self.name, self._ready = name, ready
+
+    def available(self):
+        return self._ready
+
+    def generate(self, question, evidence):
+        return {"supported": False, "reason": self.name}
+
+
+def test_choice_of_backend():
+    a, b = Fake("a", False), Fake("b", True)
+    assert g.choose([a, b]) is b and g.choose([a, b], "a") is None and g.choose([a, b], "off") is None
+    assert g.as_generator(None) is None and g.as_generator(b)("q", [])["reason"] == "b"
+    assert g.as_generator(b, g.Pace(interval=0))("q", [])["reason"] == "b"
+    assert "b" in g.describe(b) and "off" in g.describe(None)
+
+
+CASES = {
+    "corpus": {"ticker": "AAAA", "forms": ["10-K"]},
+    "cases": [
+        {"question": "currency rate market risks", "expect": "supported", "why": "w", "portable": True, "expect_section_contains": "Market", "expect_answer_contains": ["CURRENCY"]},
+        {"question": "favourite colour of penguins", "expect": "abstain", "why": "w"},
+        {"question": "currency rate market", "expect": "abstain", "why": "w", "known_gap": True, "gap_class": "fact_not_stated"},
+    ],
+}
+
+
+def test_golden_cases_and_command_line(spark, tmp_path):
+    path, base = tmp_path / "golden.json", tmp_path / "base.json"
+    path.write_text(json.dumps(CASES))
+    cases, home = golden.read_cases(spark, str(path))
+    assert home == "AAAA" and cases.count() == 3
+    assert golden.select_cases(cases, home, "BBBB")[0].count() == 1 and golden.select_cases(cases, home, None, True)[0].count() == 1
+    store = Store(spark, str(tmp_path / "store"))
+    store.upsert(rows_of(spark, ("a:market:0", "AAAA", "10-K", "x", "Interest rate and currency risks affect the market."), ("a:other:0", "AAAA", "10-K", "x", "Nothing else.")))
+    said = []
+    for _ in range(2):
+        main(["--data", str(tmp_path), "evaluate", str(path), "--baseline", str(base), "--save-baseline"], spark, said.append)
+    assert "overall                    2/3     67%" in said[0] and "[fact_not_stated]" in said[0] and "same" not in said[0]
+    assert "same" in said[1] and json.loads(base.read_text())["stats"]["correct"] == 2 and base.read_text().endswith("}\n")
+    with pytest.raises(ValueError):
+        main(["--data", str(tmp_path), "evaluate", str(path), "--baseline", str(base), "--save-baseline", "--ticker", "BBBB"], spark, said.append)
+    main(["--data", str(tmp_path), "ask", "currency rate market", "--ticker", "AAAA"], spark, said.append)
+    assert any("Based on" in str(s) for s in said)
+
+
+def test_build_from_saved_filings(spark, tmp_path):
+    page = filing("<h1>Item 1. Business</h1><p>We make things.</p>")
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "f.htm").write_text(page["html"])
+    row = {k: page[k] for k in ("ticker", "form", "filing_date", "accession_number", "source_url")}
+    (tmp_path / "EXMP_filings.json").write_text(json.dumps([row | {"local_path": "raw/f.htm"}, row | {"local_path": "raw/missing.htm"}]))
+    said = []
+    main(["--data", str(tmp_path), "build", "--reset"], spark, said.append)
+    assert said[0]["chunks"] == 1 and said[0]["tickers"] == ["EXMP"]
+
+
+def call(port, path, body=None):
+    request = urllib.request.Request(f"http://127.0.0.1:{port}{path}", data=None if body is None else json.dumps(body).encode())
+    try:
+        with urllib.request.urlopen(request, timeout=60) as reply:
+            return reply.status, reply.read()
+    except urllib.error.HTTPError as error:
+        return error.code, error.read()
+
+
+def test_http(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.upsert(rows_of(spark, ("a", "AAAA", "10-K", "x", "Interest rate and currency risks affect the market.")))
+    go = threading.Event()
+
+    def load(ticker, progress):
+        progress("half", 50)
+        assert go.wait(30)
+        if ticker == "BAD":
+            raise ValueError("no such company")
+
+    loader = serve.Loader(load)
+    with serve.server(spark, store, loader, port=0) as running:
+        port = running.server_address[1]
+        threading.Thread(target=running.serve_forever, daemon=True).start()
+        assert call(port, "/")[0] == 200 and call(port, "/nope")[0] == 404
+        assert json.loads(call(port, "/api/companies")[1])["companies"][0]["ticker"] == "AAAA"
+        assert call(port, "/api/answer", {"ticker": "AAAA"})[0] == 400 and call(port, "/api/answer", {"ticker": "ZZ", "question": "x"})[0] == 400
+        status, body = call(port, "/api/answer", {"ticker": "aaaa", "question": "currency rate market"})
+        assert status == 200 and json.loads(body)["supported"] is True
+        assert call(port, "/api/company", {"ticker": ""})[0] == 400
+        assert call(port, "/api/company", {"ticker": "bad"})[0] == 202 and call(port, "/api/company", {"ticker": "x"})[0] == 409
+        go.set()
+        for _ in range(100):
+            state = json.loads(call(port, "/api/company/status")[1])
+            if state["done"]:
+                break
+        assert state["error"] == "no such company"
+        running.shutdown()
