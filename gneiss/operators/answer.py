@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gneiss.config import DEFAULTS, Settings
 from gneiss.functions import text as T
+from gneiss.functions.sizes import broadcast_if_small
 from gneiss.schemas import EVIDENCE, USAGE
 
 Generator = Callable[[str, list[dict]], dict]
@@ -158,7 +159,7 @@ def format_cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
     longest prefix it begins with.
     """
     rows = usage.withColumn("_row", F.monotonically_increasing_id())
-    priced = rows.join(F.broadcast(rates), F.col("model").startswith(F.col("prefix")), "left")  # a handful of models
+    priced = rows.join(broadcast_if_small(rates), F.col("model").startswith(F.col("prefix")), "left")
     best = priced.groupBy("_row").agg(F.max_by(F.struct(*priced.columns), F.coalesce(F.length("prefix"), F.lit(0))).alias("r")).select("r.*")
     dollars = cost(F.col("input_tokens"), F.col("output_tokens"), F.col("input_rate"), F.col("output_rate"))
     tokens = F.concat(F.format_number("input_tokens", 0), F.lit(" in / "), F.format_number("output_tokens", 0), F.lit(" out tokens on "), F.col("model"))

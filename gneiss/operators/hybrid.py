@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gneiss.config import DEFAULTS, Settings
 from gneiss.functions import text as T
+from gneiss.functions.sizes import broadcast_if_small
 from gneiss.operators import index as I
 from gneiss.operators import lexical
 from gneiss.operators.index import Index
@@ -28,7 +29,7 @@ def lexical_veto(gated: DataFrame, hits: DataFrame, questions: DataFrame, chunks
     named = chunks.select("chunk_id", "section", "form")
     asked = questions.select("qid", T.term_set(F.col("question")).alias("asked"))
     rows = (
-        gated.join(F.broadcast(asked), "qid")  # one row a question
+        gated.join(broadcast_if_small(asked), "qid")
         .join(named, "chunk_id")
         .join(searched, "qid", "left")
         .join(distance, ["qid", "chunk_id"], "left")

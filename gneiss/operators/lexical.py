@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gneiss.config import DEFAULTS, Settings
 from gneiss.functions import text as T
+from gneiss.functions.sizes import broadcast_if_small
 from gneiss.operators.index import Index
 
 
@@ -33,14 +34,14 @@ def score(questions: DataFrame, index: Index, settings: Settings = DEFAULTS) ->
     A company's own name is no evidence: its ticker is left out of the question for its chunks.
     Relevance is rounded to nine places, so that the order of a sum cannot change a rank.
     """
-    wanted = F.broadcast(query_terms(questions))  # a stated batch of questions, a few terms each
+    wanted = broadcast_if_small(query_terms(questions))
     of_chunk = index.chunks.select("scope", "chunk_id", F.lower("ticker").alias("name"), "corpus_pos")
     matched = index.postings.join(wanted, ["scope", "term"])
     # Document frequency is wanted for the questions' terms only: a chunk counts once for each.
-    frequent = F.broadcast(wanted.select("scope", "term").distinct())
+    frequent = broadcast_if_small(query_terms(questions).select("scope", "term").distinct())
     df = index.postings.join(frequent, ["scope", "term"], "left_semi").groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
     in_text = (
-        matched.join(F.broadcast(df), ["scope", "term"])  # no more rows than the questions have terms
+        matched.join(df, ["scope", "term"])
         .join(index.stats, "scope")
         .select(
             "scope", "qid", "chunk_id", "term", "terms", F.lit(1).alias("in_text"), F.lit(0).alias("in_section"),

@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gneiss.functions.sizes import broadcast_if_small
 from gneiss.functions.text import metadata_value
 from gneiss.schemas import CHUNK, CHUNK_COLUMNS
 
@@ -77,7 +78,7 @@ class Store:
         rows = self.spark.read.parquet(f"{staging}/batch")
         old = self.scan()
         touched = rows.select("ticker").distinct()
-        kept = old.join(F.broadcast(touched), "ticker", "left_semi")  # companies of one batch
+        kept = old.join(broadcast_if_small(touched), "ticker", "left_semi")
         first = kept.agg(F.coalesce(F.max("corpus_pos"), F.lit(-1))).first()[0] + 1
         position = kept.select("chunk_id", F.col("corpus_pos").alias("_old"))
         fresh = F.row_number().over(Window.partitionBy("ticker").orderBy("seq")) - 1 + first
