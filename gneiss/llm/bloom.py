@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gneiss.llm.common import arrow
+
 HASHES = 4
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 SEGMENT = 1 << 17  # bytes
@@ -101,8 +103,8 @@ def repeated_filter(
                 yield pair(number, bitmap, bitmap)
 
     schema = "segment int, once binary, twice binary"
-    parts = df.select(*columns).mapInArrow(fill, schema)
-    merged = parts.repartition(min(bits // 8 // width, 64), "segment").mapInArrow(merge, schema)
+    parts = arrow(df.select(*columns), fill, schema)
+    merged = arrow(parts.repartition(min(bits // 8 // width, 64), "segment"), merge, schema)
     whole = np.zeros(bits // 8, np.uint8)
     for row in merged.select("segment", "once").toLocalIterator():  # MOST_BITS bounds their sum
         bitmap = np.frombuffer(zlib.decompress(bytes(row["once"])), np.uint8)

@@ -8,6 +8,8 @@ intermediate table to the folder that every executor can see.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -27,6 +29,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most BATCH_BYTES, so that long texts and hidden copies of a
+    batch (in the JVM, on the way, in Python) stay small beside an executor's memory."""
+    conf = df.sparkSession.conf
+    if _bytes(conf.get(_BATCH, "64m")) > BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+
+    def run(batches):
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task should not hold on to it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _bytes(value: str) -> int:
+    """A Spark size (64m, 67108864b, -1b) in bytes; no bound is as large as can be."""
+    units = {"b": 0, "k": 10, "m": 20, "g": 30}
+    number = int(value.rstrip("bkmgBKMG"))
+    return number << units.get(value[-1].lower(), 0) if number > 0 else 1 << 62
+
+
 def map_arrow(
     df: DataFrame,
     columns: list[str],
@@ -35,10 +69,16 @@ def map_arrow(
 ) -> DataFrame:
     """Run ``function`` over Arrow batches of just ``columns``.
 
-    Batches are bounded in bytes by ``spark.sql.execution.arrow.maxBytesPerBatch``,
-    so a few very long texts do not grow a batch without limit.
+    See ``arrow`` for the size of batches.
     """
-    return df.select(*columns).mapInArrow(function, schema)
+    return arrow(df.select(*columns), function, schema)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
 
 
 def strings(batch: pa.RecordBatch, name: str) -> list[str]:
