@@ -14,7 +14,7 @@ from gneiss.llm.common import durable, table
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and long ones that no learned language fits, go."""
+    """Documents without a letter, and long ones that fit no learned language, go."""
     model = language_id.fit(docs.where(~language_id.held_out()))
     return language_id.keep_identified(docs, model)
 

@@ -10,8 +10,9 @@ group of any share of the rows meets in no single task.
 Defined results: null counts as the empty text, so null, empty and blank-free texts are
 one group while a text of white space alone is a single space. Of equal texts the smallest
 doc_id stays; rows without doc_id rank last, and if a group has no doc_id its keep_id is
-null; duplicate_groups keeps all of its rows, keep_first one. Rows that repeat a doc_id with the same text all bear the
-same decision; ``keep_first`` keeps one of them. An empty table gives an empty result.
+null; duplicate_groups keeps all of its rows, keep_first one. Rows that repeat a doc_id with
+the same text all bear the same decision; ``keep_first`` keeps one of them. An empty table
+gives an empty result; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -22,15 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm import bloom
-from gneiss.llm.common import durable, spaced, table_bytes
+from gneiss.llm.common import arrow, durable, free, spaced, table_bytes
 
 #: Stored bytes that one document takes at least, on average; sizes the filter, never the result.
 BYTES_A_ROW = 200
 
 
-def _hashes(batch: pa.RecordBatch) -> np.ndarray:
-    column = batch.column("digest")
-    return np.frombuffer(b"".join(x[:8] for x in column.to_pylist()), "<u8")
+def _hashes(batch: pa.RecordBatch, column: str = "digest") -> np.ndarray:
+    return np.frombuffer(b"".join(x[:8] for x in batch.column(column).to_pylist()), "<u8")
 
 
 def _twice(digests: DataFrame, bits: int):
@@ -39,14 +39,14 @@ def _twice(digests: DataFrame, bits: int):
     return digests.sparkSession.sparkContext.broadcast(whole)
 
 
-def _suspected(df: DataFrame, twice, wanted: bool) -> DataFrame:
+def _suspected(df: DataFrame, twice, wanted: bool, column: str = "digest") -> DataFrame:
     """Rows of ``df`` whose digest is (or is not) in the twice-filter."""
 
     def test(batches):
         for batch in batches:
-            yield batch.filter(pa.array(bloom.contains(twice.value, _hashes(batch)) == wanted))
+            yield batch.filter(pa.array(bloom.contains(twice.value, _hashes(batch, column)) == wanted))
 
-    return df.mapInArrow(test, df.schema)
+    return arrow(df, test, df.schema)
 
 
 def _bits(df: DataFrame) -> int:
@@ -83,13 +83,15 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     groups' first ids are found on digests alone, and a row stays if its (digest, id) is one of
     them: that key is unique to a kept row and its repeats, so the join has no large keys.
     """
-    rows = df.withColumn("_digest", _digest(text_col)).withColumnRenamed("_digest", "digest")
-    digests = durable(rows.select(F.col(id_col).alias("doc_id"), "digest"))
+    own = free(df, "digest")
+    rows = df.withColumn(own, _digest(text_col))
+    digests = durable(rows.select(F.col(id_col).alias("doc_id"), F.col(own).alias("digest")))
     twice = _twice(digests, _bits(df))
-    alone = _suspected(rows, twice, False)
+    alone = _suspected(rows, twice, False, own)
     firsts = durable(_groups(_suspected(digests, twice, True)))
-    shared = _suspected(rows, twice, True)
-    firsts = firsts.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
-    same = (F.col("digest") == F.col("_digest")) & F.col(id_col).eqNullSafe(F.col("_keep"))
-    kept = shared.join(firsts, same, "left_semi").dropDuplicates(["digest", id_col])
+    shared = _suspected(rows, twice, True, own)
+    digest, keeper = free(rows, "first_digest"), free(rows, "first_id")
+    firsts = firsts.select(F.col("digest").alias(digest), F.col("keep_id").alias(keeper))
+    same = (F.col(own) == F.col(digest)) & F.col(id_col).eqNullSafe(F.col(keeper))
+    kept = shared.join(firsts, same, "left_semi").dropDuplicates([own, id_col])
     return alone.unionByName(kept).select(*df.columns)

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from gneiss.llm.common import arrow
+
 BLOCK = 4096
 LPC_ORDER, LPC_PRECISION = 4, 9
 RATE = 8000
@@ -525,7 +527,7 @@ def encode_column(df: DataFrame, payload_col: str, flac_col: str = "flac") -> Da
                 yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(a, b - a) for n in names), streams], [*names, flac_col])
 
     schema = StructType([*(df.schema[n] for n in names), StructField(flac_col, BinaryType())])
-    return df.mapInArrow(run, schema)
+    return arrow(df, run, schema)
 
 
 def decoded_column(df: DataFrame, flac_col: str, columns: str, describe: Callable[[bytes, bytes], tuple]) -> DataFrame:
@@ -542,7 +544,7 @@ def decoded_column(df: DataFrame, flac_col: str, columns: str, describe: Callabl
                 made = [pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(a, b - a) for n in names), *made], [*names, *own.names])
 
-    return df.mapInArrow(run, StructType([*(df.schema[n] for n in names), *own.fields]))
+    return arrow(df, run, StructType([*(df.schema[n] for n in names), *own.fields]))
 
 
 def pcm_blocks(df: DataFrame, flac_col: str, id_col: str, block: int = BLOCK) -> DataFrame:
@@ -569,7 +571,7 @@ def pcm_blocks(df: DataFrame, flac_col: str, id_col: str, block: int = BLOCK) ->
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, block long, sample_offset long, n_samples long, pcm binary"
-    return df.select(id_col, flac_col).mapInArrow(run, schema)
+    return arrow(df.select(id_col, flac_col), run, schema)
 
 
 def features(payload: bytes) -> str:

@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import map_arrow, strings
+from gneiss.functions.sizes import broadcast_if_small
+from gneiss.llm.common import arrow, map_arrow, strings
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -128,7 +129,7 @@ def _sample(df: DataFrame, per_language: int) -> DataFrame:
     """About ``per_language`` rows of each language, by a hash of the id."""
     sizes = df.groupBy("lang").count()
     share = F.xxhash64("doc_id", F.lit(4)) % 1_000_003
-    rows = df.join(F.broadcast(sizes), "lang")  # one short row a language
+    rows = df.join(broadcast_if_small(sizes), "lang")
     return rows.where(F.abs(share) * F.col("count") < F.lit(per_language) * 1_000_003).drop("count")
 
 
@@ -156,7 +157,7 @@ def fit(
             })
 
     halves: dict[tuple[str, int], np.ndarray] = {}
-    counted = rows.mapInArrow(count, "lang string, half int, counts binary")
+    counted = arrow(rows, count, "lang string, half int, counts binary")
     for row in counted.toLocalIterator():  # a row for each task and language
         key = row["lang"], row["half"]
         halves[key] = halves.get(key, 0) + np.frombuffer(row["counts"], "<i8")
@@ -226,18 +227,19 @@ def _predicted(model: Model, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
     )
 
 
-def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least: int = 400) -> DataFrame:
+def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.4, least: int = 400) -> DataFrame:
     """The rows whose language is identified, with their columns.
 
-    A row goes if it has no letter, or if ``least`` or more letters leave it ambiguous: short
-    texts may be unclear for want of evidence, long ones only if no learned language fits.
+    A row goes if it has no letter, or if ``least`` or more letters give no language a score of
+    ``least_score``: short texts may be unclear for want of evidence, and a text of two languages is
+    ambiguous but not without one.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, _, ambiguous, letters = labels(shared.value, strings(batch, text_col))
-            keep = [n != "und" and not (a and k >= least) for n, a, k in zip(names, ambiguous, letters, strict=True)]
+            names, score, _, letters = labels(shared.value, strings(batch, text_col))
+            keep = [n != "und" and (s >= least_score or k < least) for n, s, k in zip(names, score, letters, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return arrow(df, run, df.schema)

@@ -27,7 +27,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gneiss.llm.common import map_arrow, strings
+from gneiss.llm.common import map_arrow
 
 TIERS = (2048, 1024, 512, 256, 128, 64)
 STEP_TOKENS = 65_536
@@ -64,7 +64,8 @@ class WordTokenizer:
     kept. The tokenizer's normaliser and splitter drop white space and look at no neighbour
     across it, so the ids are those of the whole text. Words of printable ASCII and Latin letters
     are lower-cased and split here, which the library's model takes as it would its own; any other
-    word goes through the whole library. At most ``most_words`` are kept; then the store starts anew.
+    word goes through the whole library. At most ``most_words`` are kept; then, and with each
+    task, the store starts anew.
     """
 
     _loaded: dict[tuple[str, int], WordTokenizer] = {}
@@ -76,7 +77,7 @@ class WordTokenizer:
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = {m: self._part(chr(m)) for m in _MARKS}
-        self._clear()
+        self.clear()
 
     @classmethod
     def load(cls, path: str, most_words: int = 400_000) -> WordTokenizer:
@@ -85,7 +86,7 @@ class WordTokenizer:
             cls._loaded[key] = cls(path, most_words)
         return cls._loaded[key]
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.pool, self.used = np.zeros(4096, np.uint32), 0
@@ -145,7 +146,7 @@ class WordTokenizer:
         if gaps:
             missing = list({words[i] for i in gaps})
             if len(self.known) + len(missing) > self.most_words and self.known:
-                self._clear()
+                self.clear()
                 gaps, missing = range(len(words)), list(set(words))
             self._learn(missing)
             index[gaps] = [self.known[words[i]] for i in gaps]
@@ -290,6 +291,7 @@ def pack_documents(
                     held = {d: held[d] for d in open_}
                     yield out()
         place(pack([], tiers, pool, seen, last=True))
+        words.clear()
         if rows:
             yield out()
 

@@ -133,6 +133,9 @@ def test_exact_groups(spark):
     kept = exact_dedup.keep_first(frame(spark, rows).repartition(6))
     assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
     assert sorted(r.doc_id for r in kept.collect()) == sorted({k for k, *_ in want.values()})
+    clash = {c: F.lit(1) for c in ("digest", "first_digest", "first_id", "keep_id", "group_size", "kept", "_digest")}
+    kept = exact_dedup.keep_first(frame(spark, rows).withColumns(clash))
+    assert kept.columns[-7:] == list(clash) and kept.count() == len({k for k, *_ in want.values()})
     assert exact_dedup.duplicate_groups(frame(spark, [])).collect() == [] == exact_dedup.keep_first(frame(spark, [])).collect()
 
 
@@ -257,7 +260,7 @@ def test_product_links(sets):
 
 def test_representatives_stay(spark):
     rows = [r for r in corpus() if r[1] is not None]
-    kept = ngram_join.keep_representatives(frame(spark, rows))
+    kept = ngram_join.keep_representatives(frame(spark, rows).withColumns({c: F.lit(1) for c in ("gone", "node", "component_id")})).drop("gone", "node", "component_id")
     want = {c for _, _, c in plain_near(rows)}
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
