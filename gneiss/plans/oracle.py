@@ -200,7 +200,7 @@ ORACLE_SQL = {
     "lexical_veto": "WITH" + SCORED + HITS.rstrip().rstrip(",") + SHOWN + "vetoed",
     "identifier_exemption": "WITH" + CHUNKS.rstrip().rstrip(",")
     + f" SELECT qid, section, count(*) AS chunks FROM asked a JOIN chunks c ON a.scope = c.ticker WHERE list_has_any(a.terms, {_terms('section')}) GROUP BY qid, section",
-    "rrf_fusion": "WITH" + SCORED + HITS + _fused("gated") + " SELECT qid, chunk_id, round(rrf, 9) AS rrf, lex_rank, vec_rank FROM fused",
+    "rrf_fusion": "WITH" + SCORED + HITS + _fused("gated") + " SELECT qid, chunk_id, round(rrf, 9) AS rrf, coalesce(lex_rank, 0) AS lex_rank, coalesce(vec_rank, 0) AS vec_rank FROM fused",
     "diversify": "WITH" + SCORED.rstrip() + """
 capped AS (SELECT g.*, section, row_number() OVER (PARTITION BY qid, section ORDER BY lex_rank) > 2 AS over FROM gated g JOIN chunks USING (chunk_id))
 SELECT qid, chunk_id, section, CAST(row_number() OVER (PARTITION BY qid ORDER BY over, lex_rank) AS INT) AS rank FROM capped
@@ -270,8 +270,8 @@ SELECT l_orderkey, len(rows) >= 3 AND n >= 3 AND list_max(list_transform(rows, l
 FROM (SELECT *, len(list_filter(flat, lambda c: regexp_matches(c, '^\(?\$?\s*-?\d[\d,]*(\.\d+)?\s*\)?%?$'))) AS n FROM judged)""",
     "toc_filter": _grids("CASE WHEN l_returnflag = 'A' THEN 'Item 1' WHEN l_linenumber = 7 THEN 'Page' ELSE 'Total' END") + " SELECT l_orderkey, is_contents FROM judged",
     "scorecard": _CASES + _card(),
-    "fact_check": _CASES + "SELECT doc_id, fact_hit FROM rows",
-    "section_hit": _CASES + "SELECT doc_id, section_hit FROM rows",
+    "fact_check": _CASES + "SELECT doc_id, coalesce(CAST(fact_hit AS VARCHAR), 'unchecked') AS fact_hit FROM rows",
+    "section_hit": _CASES + "SELECT doc_id, coalesce(CAST(section_hit AS VARCHAR), 'unchecked') AS section_hit FROM rows",
     "baseline_delta": _CASES + f""", a AS ({_card()}), b AS ({_card("lang = 'en'")}),
 m AS (SELECT unnest(['overall', 'declined when it should', 'cited expected section', 'answer states the fact']) AS label,
   unnest([b.correct, b.declined_when_expected, b.section_hits, b.fact_hits]) AS was, unnest([a.correct, a.declined_when_expected, a.section_hits, a.fact_hits]) AS now FROM a, b)

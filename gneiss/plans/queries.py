@@ -149,7 +149,8 @@ def _lists(spark, sf_dir):
 
 def rrf_fusion(spark, sf_dir):
     fused = hybrid.fuse(*_lists(spark, sf_dir), SETTINGS)
-    return fused.select("qid", "chunk_id", F.round("rrf", 9).alias("rrf"), "lex_rank", "vec_rank")
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return fused.select("qid", "chunk_id", F.round("rrf", 9).alias("rrf"), none("lex_rank"), none("vec_rank"))
 
 
 def diversify(spark, sf_dir):
@@ -346,11 +347,11 @@ def scorecard(spark, sf_dir):
 
 
 def fact_check(spark, sf_dir):
-    return _cases(spark, sf_dir).select("doc_id", "fact_hit")
+    return _cases(spark, sf_dir).select("doc_id", F.coalesce(F.col("fact_hit").cast("string"), F.lit("unchecked")).alias("fact_hit"))
 
 
 def section_hit(spark, sf_dir):
-    return _cases(spark, sf_dir).select("doc_id", "section_hit")
+    return _cases(spark, sf_dir).select("doc_id", F.coalesce(F.col("section_hit").cast("string"), F.lit("unchecked")).alias("section_hit"))
 
 
 def baseline_delta(spark, sf_dir):
