@@ -7,6 +7,11 @@ whole text. Decoding takes the codeword with the least summed logistic loss, eac
 weighted by how well its classifier does on the training rows; a small gap to the second
 codeword marks the text as ambiguous.
 
+That tells languages apart, not whether a text is in any of them. Its fit does: the mean
+log-likelihood of its n-grams under the even mixture of the learned languages. The mixture is
+learned from one half of the sample, and the other half sets how far below the usual fit of a
+language a text may lie; the fewer n-grams it has, the further.
+
 Training reads a bounded sample: about ``PER_LANGUAGE`` documents of each language, chosen by
 a hash of the id, whose n-gram counts (``BUCKETS`` numbers a language) are summed where they
 lie. Prediction sees the text alone.
@@ -29,13 +34,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.sizes import broadcast_if_small
-from gneiss.llm.common import arrow, map_arrow, strings
+from gneiss.llm.common import arrow, durable, map_arrow, strings
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 PER_LANGUAGE = 2000
 #: Gap between the two best codewords, as a share of the best's probability, that counts as clear.
 CLEAR = 0.2
+#: Standard deviations below the usual fit that a text may lie, and texts it takes to know the usual fit.
+DEVIATIONS, CALIBRATING = 6.0, 100
+#: A byte is in three 3-grams and four 4-grams, which therefore count as one observation.
+_TOGETHER = 7
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII other than letters, and A-Z, mapped away; bytes of other letters stay as they are.
 _FOLD = bytes(
@@ -98,15 +107,25 @@ class Model:
     weights: np.ndarray  # buckets x bits, log-odds of the +1 side
     reliability: np.ndarray  # bits
     scale: float
+    mixture: np.ndarray  # buckets, log-likelihood under the learned languages together
+    usual: np.ndarray  # languages x (fit, variance among texts, variance among n-grams); not a number if unknown
+
+    def __post_init__(self):
+        self.table = np.column_stack((self.weights, self.mixture)).astype(np.float32)
 
-    def bits(self, data: bytes) -> np.ndarray:
+    def means(self, data: bytes) -> tuple[np.ndarray, int]:
+        """A text's value for each bit and, last, its fit; and its number of n-grams."""
         at = ngrams(data)
-        if not len(at):
-            return np.zeros(self.code.shape[1], np.float32)
-        total = np.zeros(self.code.shape[1])
+        total = np.zeros(self.table.shape[1])
         for i in range(0, len(at), 1 << 18):
-            total += self.weights[at[i : i + (1 << 18)]].sum(0)
-        return (total / len(at)).astype(np.float32)
+            total += self.table[at[i : i + (1 << 18)]].sum(0)
+        return (total / max(len(at), 1)).astype(np.float32), len(at)
+
+    def least_fit(self, grams: np.ndarray) -> np.ndarray:
+        """The least fit of texts of so many n-grams for each language; no bound where the usual fit is unknown."""
+        fit, among_texts, among_grams = self.usual.T
+        bound = fit - DEVIATIONS * np.sqrt(among_texts + _TOGETHER * among_grams / np.maximum(grams, 1)[:, None])
+        return np.nan_to_num(bound, nan=-np.inf)
 
     def decode(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language, score and ambiguity of rows of bit values."""
@@ -138,7 +157,7 @@ def fit(
 ) -> Model:
     """Learn from the non-null languages of ``df``, which holds training rows only."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = _sample(rows.where("lang is not null and text is not null"), per_language)
+    rows = durable(_sample(rows.where("lang is not null and text is not null"), per_language))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Even and odd ids apart: weights come from one part, the bits' reliability from the other.
@@ -147,7 +166,7 @@ def fit(
             for doc_id, text, lang in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang")), strict=True):
                 if not has_letter(text):
                     continue
-                key = lang, (doc_id or 0) // 7 % 2
+                key = lang, _half(doc_id)
                 at = np.bincount(ngrams(fold(text)), minlength=BUCKETS)
                 sums[key] = sums.get(key, 0) + at
         for (lang, half), total in sums.items():
@@ -164,17 +183,62 @@ def fit(
     languages = sorted({lang for lang, _ in halves})
     none = np.zeros(BUCKETS, np.int64)
     totals = [[halves.get((lang, h), none) for lang in languages] for h in (0, 1)]
-    return learn(languages, np.array(totals, np.float64))
+    model = learn(languages, np.array(totals, np.float64))
+
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for doc_id, text, lang in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang")), strict=True):
+                if _half(doc_id) == 1 and has_letter(text):
+                    found.append((lang, float(model.means(fold(text))[0][-1])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "fit"]
+            )
+
+    fits: dict[str, list[float]] = {lang: [] for lang in languages}
+    if languages:
+        for row in arrow(rows, measure, "lang string, fit double").toLocalIterator():  # a number for each sampled row
+            fits[row["lang"]].append(row["fit"])
+    model.usual = usual_fit(model.mixture, [np.array(fits[lang]) for lang in languages], np.array(totals, np.float64)[1:].sum(0))
+    return model
+
+
+def _half(doc_id: int | None) -> int:
+    return (doc_id or 0) // 7 % 2
+
+
+def usual_fit(mixture: np.ndarray, fits: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
+    """``Model.usual`` from the fits and the n-gram counts of the texts that the mixture was not learned from.
+
+    Median and lower spread, as texts with a wrong language in the sample would move a mean.
+    A language with fewer than CALIBRATING texts has the values of all languages together.
+    """
+
+    def values(own: np.ndarray, total: np.ndarray) -> list[float]:
+        if len(own) < CALIBRATING or not total.sum():
+            return [np.nan] * 3
+        share = total / total.sum()
+        middle = float(np.median(own))
+        spread = 1.4826 * float(np.median(middle - own[own <= middle]))
+        return [middle, spread**2, float(share @ mixture**2 - (share @ mixture) ** 2)]
+
+    if not fits:
+        return np.full((0, 3), np.nan)
+    whole = values(np.concatenate(fits), counts.sum(0))
+    return np.array([whole if len(f) < CALIBRATING else values(f, c) for f, c in zip(fits, counts, strict=True)])
 
 
 def learn(languages: list[str], totals: np.ndarray) -> Model:
     """A model from n-gram counts, shape (2 halves, languages, buckets)."""
     code = codewords(len(languages))
     if not len(languages):
-        return Model([], code, np.zeros((BUCKETS, 1), np.float32), np.ones(1), 1.0)
+        return Model([], code, np.zeros((BUCKETS, 1), np.float32), np.ones(1), 1.0, np.zeros(BUCKETS), np.full((0, 3), np.nan))
+
+    def shares(counts: np.ndarray) -> np.ndarray:
+        return (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * BUCKETS)  # languages weigh alike
 
     def weights(counts: np.ndarray) -> np.ndarray:
-        share = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * BUCKETS)  # languages weigh alike
+        share = shares(counts)
         columns = []
         for bit in code.T:
             if (bit > 0).all() or (bit < 0).all():
@@ -189,7 +253,9 @@ def learn(languages: list[str], totals: np.ndarray) -> Model:
     reliability = np.clip(seen.min(0), 0, None) if (totals[1].sum(1) > 0).all() else np.ones(code.shape[1])
     reliability = reliability / reliability.mean() if reliability.sum() else np.ones(code.shape[1])
     own = ((totals.sum(0) / np.maximum(totals.sum((0, 2)), 1)[:, None]) @ whole * code).mean()
-    return Model(languages, code, whole.astype(np.float32), reliability, float(4 / own) if own > 0 else 1.0)
+    mixture = np.log(shares(totals[0]).mean(0))
+    unknown = np.full((len(languages), 3), np.nan)
+    return Model(languages, code, whole.astype(np.float32), reliability, float(4 / own) if own > 0 else 1.0, mixture, unknown)
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,21 +272,25 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     )
 
 
-def labels(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, list[int]]:
-    """Language, score, ambiguity and letters of each text."""
+def labels(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, list[int], np.ndarray]:
+    """Language, score, ambiguity, letters of each text, and whether it fits the learned languages."""
     letters = [has_letter(t) for t in texts]
     folded = [fold(t) if ok else b"" for t, ok in zip(texts, letters, strict=True)]
-    values = np.array([model.bits(f) for f in folded], np.float32).reshape(len(texts), model.code.shape[1])
     if not model.languages or not texts:
-        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool), [len(f) for f in folded]
-    best, score, ambiguous = model.decode(values)
+        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool), [len(f) for f in folded], np.ones(len(texts), bool)
+    found = [model.means(f) for f in folded]
+    values = np.array([f[0] for f in found], np.float32)
+    best, score, ambiguous = model.decode(values[:, :-1])
+    bounds = model.least_fit(np.array([f[1] for f in found]))
+    # A text between languages may be of several; the loosest of their bounds is its own.
+    bound = np.where(ambiguous, bounds.min(1), bounds[np.arange(len(texts)), best])
     ok = np.array(letters)
     names = [model.languages[b] if o else "und" for b, o in zip(best, letters, strict=True)]
-    return names, np.where(ok, score, 0.0), ambiguous & ok, [len(f) for f in folded]
+    return names, np.where(ok, score, 0.0), ambiguous & ok, [len(f) for f in folded], values[:, -1] >= bound
 
 
 def _predicted(model: Model, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
-    names, score, ambiguous, letters = labels(model, texts)
+    names, score, ambiguous, letters, _ = labels(model, texts)
     return pa.RecordBatch.from_arrays(
         [ids, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_()), pa.array(letters, pa.int64())],
         ["doc_id", "lang_pred", "score", "ambiguous", "n_letters"],
@@ -230,16 +300,19 @@ def _predicted(model: Model, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
 def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.4, least: int = 400) -> DataFrame:
     """The rows whose language is identified, with their columns.
 
-    A row goes if it has no letter, or if ``least`` or more letters give no language a score of
-    ``least_score``: short texts may be unclear for want of evidence, and a text of two languages is
-    ambiguous but not without one.
+    A row goes if it has no letter, if its fit is below the bound for its language and length, or if
+    ``least`` or more letters give no language a score of ``least_score``: short texts may be unclear
+    for want of evidence, and a text of two languages is ambiguous but not without one.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, score, _, letters = labels(shared.value, strings(batch, text_col))
-            keep = [n != "und" and (s >= least_score or k < least) for n, s, k in zip(names, score, letters, strict=True)]
+            names, score, _, letters, fits = labels(shared.value, strings(batch, text_col))
+            keep = [
+                n != "und" and bool(f) and (s >= least_score or k < least)
+                for n, s, k, f in zip(names, score, letters, fits, strict=True)
+            ]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return arrow(df, run, df.schema)

@@ -301,3 +301,16 @@ def test_language_is_learned_and_predicted(spark):
 def test_held_out_is_the_crc_of_the_id(spark):
     rows = spark.range(200).withColumn("out", language_id.held_out("id")).collect()
     assert all(r.out == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in rows)
+
+
+def test_texts_in_no_learned_language_go(spark):
+    rng = np.random.default_rng(2)
+    words = {"en": "the thing and other ship with".split(), "de": "der das und schiff mit einer".split()}
+    rows = [(i, " ".join(rng.choice(words[lang], 12)), lang) for i, lang in enumerate(list(words) * 400)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    noise = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), 3000))
+    strange = [noise, noise[:120], "z" * 900, "人人生而自由在尊严和权利上一律平等" * 20, "Все люди рождаются свободными и равными. " * 20, "<div><p></p></div>" * 90]
+    both = " ".join([*rng.choice(words["en"], 60), *rng.choice(words["de"], 60)])
+    docs = rows + [(900 + i, t, "en") for i, t in enumerate(strange)] + [(990, both, "en"), (991, "x", "en"), (992, "the zq", "en")]
+    kept = language_id.keep_identified(spark.createDataFrame(docs, "doc_id long, text string, lang string"), model)
+    assert {r.doc_id for r in kept.collect()} == {i for i, *_ in rows} | {990, 991, 992}
