@@ -1,12 +1,14 @@
 """Substring deduplication by unit hashing.
 
-A text's units are its sentences: lines, cut after . ! ? and white space, as passages that
-repeat across documents often stand inside a line among other text and no whole line of theirs
-repeats. Units are normalised (ASCII lower case, white space as one space) and hashed; digests
-are grouped over all documents, and the document with the smallest id keeps a unit. In any
-other document, a run of units that are kept elsewhere is removed if it has ``least_words``
-words or more; units of fewer than ``unit_words`` words are too common to tell anything, and
-go only between two others of a run. Spans are code points of the original text.
+A text's units are its lines, whatever their length, and its sentences: lines cut after . ! ?
+and white space or after a full stop of a script without spaces, as passages that repeat across
+documents often stand inside a line among other text and no whole line of theirs repeats. Units
+are normalised (ASCII lower case, white space as one space) and hashed; digests are grouped over
+all documents, and the document with the smallest id keeps a unit.
+In any other document, a run of units that are kept elsewhere is removed if it has ``least_words``
+words or more; sentences of fewer than ``unit_words`` words are too common to tell
+anything, and go only between two others of a run. A character of a script without spaces is a
+word. Spans are code points of the original text.
 
 Pass one groups digests, pre-aggregated before the shuffle. Pass two sends only documents
 that hold a repeated digest (a filter over those digests tells, at most bloom.MOST_BITS)
@@ -33,7 +35,14 @@ from gneiss.llm import bloom
 from gneiss.llm.common import arrow, durable, map_arrow, strings
 
 LEAST_WORDS, UNIT_WORDS = 20, 4
-_UNIT = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|$)", re.DOTALL)
+_LINE = re.compile(r"[^\n]+")
+_UNIT = re.compile(r".+?(?:[.!?]+(?=\s)|[。！？]+|$)", re.DOTALL)
+_BLANK = re.compile(r"\s")
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: Characters of scripts without spaces between words (Thai, Lao, Burmese, Khmer, Chinese, Japanese); each counts as a word.
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u10bf\u1780-\u17ff\u3000-\u9fff\uff00-\uff7f\U00020000-\U0003ffff]")
+_NOBODY = np.iinfo(np.int64).max
 
 
 class Unit(NamedTuple):
@@ -41,47 +50,103 @@ class Unit(NamedTuple):
     end: int
     words: int
     digest: bytes | None
+    line: bool = False
 
 
 def units(text: str, unit_words: int) -> list[Unit]:
-    """The sentences of a text without surrounding white space; those too short have no digest."""
-    out = []
-    for match in _UNIT.finditer(text):
-        piece = match[0]
-        body = piece.strip()
-        if not body:
-            continue
-        words = body.encode().lower().split()
-        start = match.start() + len(piece) - len(piece.lstrip())
-        digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest() if len(words) >= unit_words else None
-        out.append(Unit(start, start + len(body), len(words), digest))
-    return out
+    """The sentences of a text without surrounding white space, those too short without a digest; then its lines."""
+    dense = not text.isascii() and _DENSE.search(text) is not None
+    out, lines = [], []
+    for line in _LINE.finditer(text):
+        first, forms, n = len(out), [], 0
+        for match in _UNIT.finditer(text, *line.span()):
+            piece = match[0]
+            body = piece.strip()
+            if not body:
+                continue
+            words = body.encode().lower().split()
+            count = len(_words(body)[0]) if dense else len(words)
+            start = match.start() + len(piece) - len(piece.lstrip())
+            forms.append(b" ".join(words))
+            n += count
+            out.append(Unit(start, start + len(body), count, _digest(forms[-1]) if count >= unit_words else None))
+        if forms:
+            digest = len(forms) == 1 and out[first].digest or _digest(b" ".join(forms))
+            lines.append(Unit(out[first].start, out[-1].end, n, digest, True))
+    return out + lines
+
+
+def _digest(form: bytes) -> bytes:
+    return hashlib.blake2b(form, digest_size=16).digest()
+
+
+def _tokens(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words in UTF-8: between white space, and each character of a script without spaces."""
+    a = np.frombuffer(data, np.uint8)
+    gap = _SPACE[a]
+    begin = ~gap
+    begin[1:] &= gap[:-1]
+    if not data.isascii():
+        b = np.append(a[1:], 0)
+        dense = (a >= 0xE3) & (a <= 0xE9) | (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB) | (a == 0xE1) & (b >= 0x80) & (b <= 0x82)
+        dense |= (a == 0xE1) & (b >= 0x9E) & (b <= 0x9F) | (a == 0xEF) & (b >= 0xBC) & (b <= 0xBD) | (a == 0xF0) & (b >= 0xA0)
+        at = np.flatnonzero(dense)
+        begin[at] = True
+        at += np.where(a[at] == 0xF0, 4, 3)
+        at = at[at < len(a)]
+        begin[at] |= ~gap[at]
+    stop = ~gap
+    stop[:-1] &= gap[1:] | begin[1:]
+    return np.flatnonzero(begin), np.flatnonzero(stop) + 1
+
+
+def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a text in code points."""
+    if text.isascii():
+        return _tokens(text.encode())
+    data = _BLANK.sub(" ", text).encode()
+    at = np.concatenate(([0], np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)))
+    starts, ends = _tokens(data)
+    return at[starts], at[ends]
 
 
 def runs(text: str, elsewhere: dict[bytes, int], least_words: int, unit_words: int) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, keeper) of the runs of units that ``elsewhere`` names with their keepers."""
-    out, run, last = [], [], 0
-
-    def close() -> None:
-        own = run[:last]
-        words = sum(u.words for u in own)
-        if words >= least_words:
-            out.append((own[0].start, own[-1].end, words, min(elsewhere[u.digest] for u in own if u.digest)))
-        run.clear()
-
-    for unit in units(text, unit_words):
-        if unit.digest in elsewhere:
-            run.append(unit)
-            last = len(run)
-        elif unit.digest is None and run:
-            run.append(unit)
+    """(start, end, words, keeper) of what goes of a text: runs of words in units that ``elsewhere`` names with
+    their keepers."""
+    starts, ends = _words(text)
+    found = units(text, unit_words)
+    left = np.searchsorted(starts, [u.start for u in found]).tolist()
+    right = np.searchsorted(ends, [u.end for u in found], "right").tolist()
+    keeper = np.full(len(starts), _NOBODY)
+    for unit, a, b in zip(found, left, right, strict=True):
+        by = elsewhere.get(unit.digest, _NOBODY)
+        if by != _NOBODY:
+            keeper[a:b] = np.minimum(keeper[a:b], by)
+    goes = keeper != _NOBODY
+    known = [*goes.tolist(), False]
+    gap = None  # the words of units too short to tell, since the last of the others
+    for unit, a, b in zip(found, left, right, strict=True):
+        if unit.line:
+            break
+        if unit.digest is None and not all(known[a:b]):
+            gap = (a if gap is None else gap[0]), b
         else:
-            close()
-            last = 0
-    close()
+            gap = None
+        if gap and gap[0] and known[gap[0] - 1] and known[b]:
+            goes[gap[0] : b] = True
+    out = []
+    for a, b in _spans(goes):
+        parts = [(a, b)] if b - a >= least_words else []
+        out += [(int(starts[x]), int(ends[y - 1]), y - x, int(keeper[x:y].min())) for x, y in parts]
     return out
 
 
+def _spans(mask: np.ndarray) -> list[tuple[int, int]]:
+    """(first, after) of each run of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
 def _first_eight(digests: Iterable[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(d[:8] for d in digests), "<u8")
 

@@ -207,6 +207,19 @@ def test_runs_cross_short_units_and_end_with_long_ones():
     assert passage_dedup.runs(text, elsewhere, 13, 4) == []
 
 
+def spans_of(spark, rows):
+    found = passage_dedup.repeated_passages(frame(spark, rows)).collect()
+    text = dict(rows)
+    return {(r.doc_id, text[r.doc_id][r.span_start : r.span_end], r.n_words, r.keep_id) for r in found}
+
+
+def test_lines_of_short_sentences_and_without_spaces_are_units(spark):
+    short = " ".join(f"W{i}!!" for i in range(25))
+    dense = "人人生而自由在尊严和权利上一律平等。他们赋有理性和良心并应以兄弟关系的精神相对待。"
+    rows = [(1, f"Own a.\n{short}\n{dense}"), (2, f"Other b.\n{short}\nMine c."), (3, f"{dense}另有一句话在这里。\nEnd d.")]
+    assert spans_of(spark, rows) == {(2, short, 25, 1), (3, dense, len(dense), 1)}
+
+
 # -- near duplicates -----------------------------------------------------------------------
 
 
