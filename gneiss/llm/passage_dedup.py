@@ -5,8 +5,8 @@ and white space or after a full stop of a script without spaces, as passages tha
 documents often stand inside a line among other text and no whole line of theirs repeats. Units
 are normalised (ASCII lower case, white space as one space) and hashed; digests are grouped over
 all documents, and the document with the smallest id keeps a unit.
-In any other document, a run of units that are kept elsewhere is removed if it has ``least_words``
-words or more; sentences of fewer than ``unit_words`` words are too common to tell
+A line kept elsewhere is removed. Of sentences, a run that is kept elsewhere is removed if it has
+``least_words`` words or more; sentences of fewer than ``unit_words`` words are too common to tell
 anything, and go only between two others of a run. A character of a script without spaces is a
 word. Spans are code points of the original text.
 
@@ -112,16 +112,19 @@ def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def runs(text: str, elsewhere: dict[bytes, int], least_words: int, unit_words: int) -> list[tuple[int, int, int, int]]:
     """(start, end, words, keeper) of what goes of a text: runs of words in units that ``elsewhere`` names with
-    their keepers."""
+    their keepers; a line goes whole, other runs if they have
+    ``least_words`` words."""
     starts, ends = _words(text)
     found = units(text, unit_words)
     left = np.searchsorted(starts, [u.start for u in found]).tolist()
     right = np.searchsorted(ends, [u.end for u in found], "right").tolist()
     keeper = np.full(len(starts), _NOBODY)
+    whole = np.zeros(len(starts), bool)
     for unit, a, b in zip(found, left, right, strict=True):
         by = elsewhere.get(unit.digest, _NOBODY)
         if by != _NOBODY:
             keeper[a:b] = np.minimum(keeper[a:b], by)
+            whole[a:b] |= unit.line
     goes = keeper != _NOBODY
     known = [*goes.tolist(), False]
     gap = None  # the words of units too short to tell, since the last of the others
@@ -136,7 +139,7 @@ def runs(text: str, elsewhere: dict[bytes, int], least_words: int, unit_words: i
             goes[gap[0] : b] = True
     out = []
     for a, b in _spans(goes):
-        parts = [(a, b)] if b - a >= least_words else []
+        parts = [(a, b)] if b - a >= least_words else [(a + x, a + y) for x, y in _spans(whole[a:b])]
         out += [(int(starts[x]), int(ends[y - 1]), y - x, int(keeper[x:y].min())) for x, y in parts]
     return out
 

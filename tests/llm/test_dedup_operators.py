@@ -220,6 +220,11 @@ def test_lines_of_short_sentences_and_without_spaces_are_units(spark):
     assert spans_of(spark, rows) == {(2, short, 25, 1), (3, dense, len(dense), 1)}
 
 
+def test_whole_lines_go_whatever_their_length(spark):
+    rows = [(1, "First own one.\nAll rights reserved\nEnd"), (2, "Some other own.\n  all Rights  reserved\nMore of it here. End"), (3, "No all rights reserved in a line")]
+    assert spans_of(spark, rows) == {(2, "all Rights  reserved", 3, 1)}
+
+
 # -- near duplicates -----------------------------------------------------------------------
 
 
