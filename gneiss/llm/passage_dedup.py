@@ -4,7 +4,7 @@ A text's units are its lines, whatever their length, and its sentences: lines cu
 and white space or after a full stop of a script without spaces, as passages that repeat across
 documents often stand inside a line among other text and no whole line of theirs repeats. Units
 are normalised (ASCII lower case, white space as one space) and hashed; digests are grouped over
-all documents, and the document with the smallest id keeps a unit.
+all documents, and the document with the smallest id keeps a unit where it has it first.
 A line kept elsewhere is removed. Of sentences, a run that is kept elsewhere is removed if it has
 ``least_words`` words or more; sentences of fewer than ``unit_words`` words are too common to tell
 anything, and go only between two others of a run. A character of a script without spaces is a
@@ -14,8 +14,9 @@ Pass one groups digests, pre-aggregated before the shuffle. Pass two sends only
 that hold a repeated digest (a filter over those digests tells, at most bloom.MOST_BITS)
 to be confirmed by an exact join whose large keys Spark splits.
 
-Defined results: a null or empty text has no units. A unit that repeats within one document
-only is left alone. Rows that repeat a doc_id are one document. A row without doc_id neither
+Defined results: a null or empty text has no units. Of a unit that repeats within a
+document all but the first go, with that document as keeper. Rows that repeat a doc_id are one
+document, but each is searched for its own repeats. A row without doc_id neither
 keeps nor loses a unit.
 """
 
@@ -110,18 +111,23 @@ def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at[starts], at[ends]
 
 
-def runs(text: str, elsewhere: dict[bytes, int], least_words: int, unit_words: int) -> list[tuple[int, int, int, int]]:
+def runs(text: str, elsewhere: dict[bytes, int], least_words: int, unit_words: int, own: int | None = None) -> list[tuple[int, int, int, int]]:
     """(start, end, words, keeper) of what goes of a text: runs of words in units that ``elsewhere`` names with
-    their keepers; a line goes whole, other runs if they have
-    ``least_words`` words."""
+    their keepers, and of units that stand in the text before if it has the id ``own``; a line goes
+    whole, other runs if they have ``least_words`` words."""
     starts, ends = _words(text)
     found = units(text, unit_words)
     left = np.searchsorted(starts, [u.start for u in found]).tolist()
     right = np.searchsorted(ends, [u.end for u in found], "right").tolist()
     keeper = np.full(len(starts), _NOBODY)
     whole = np.zeros(len(starts), bool)
+    first: dict[bytes, int] = {}
+    for unit in found if own is not None else ():
+        first[unit.digest] = min(unit.start, first.get(unit.digest, unit.start))
     for unit, a, b in zip(found, left, right, strict=True):
         by = elsewhere.get(unit.digest, _NOBODY)
+        if by == _NOBODY and own is not None and unit.digest and first[unit.digest] < unit.start:
+            by = own
         if by != _NOBODY:
             keeper[a:b] = np.minimum(keeper[a:b], by)
             whole[a:b] |= unit.line
@@ -155,7 +161,7 @@ def _first_eight(digests: Iterable[bytes]) -> np.ndarray:
 
 
 def _held(df: DataFrame, unit_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, first) of documents that may hold units kept by an earlier document.
+    """(doc_id, text, first) of documents that may hold units kept by an earlier document or by themselves.
 
     ``first`` has (digest, keeper) of the units that others keep.
     """
@@ -181,20 +187,23 @@ def _held(df: DataFrame, unit_words: int, id_col: str, text_col: str) -> DataFra
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(id_col).to_pylist(), strings(batch, text_col), strict=True):
-                own = list({u.digest for u in units(text, unit_words) if u.digest}) if doc_id is not None else []
+                found = {(u.digest, u.start) for u in units(text, unit_words) if u.digest} if doc_id is not None else set()
+                own = list({digest for digest, _ in found})
                 if own:
                     hit = bloom.contains(known.value, _first_eight(own)).tolist()
-                    if any(hit):
-                        rows.append((doc_id, text, [d for d, h in zip(own, hit, strict=True) if h]))
+                    again = len(found) > len(own)
+                    if again or any(hit):
+                        rows.append((doc_id, text, again, [d for d, h in zip(own, hit, strict=True) if h]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.binary()))],
-                ["doc_id", "text", "digests"],
-            )
+                [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.binary())))],
+                ["doc_id", "text", "again", "digests"],
+            )
 
-    rows = durable(map_arrow(df, [id_col, text_col], suspect, "doc_id long, text string, digests array<binary>"))
+    rows = durable(map_arrow(df, [id_col, text_col], suspect, "doc_id long, text string, again boolean, digests array<binary>"))
     exact = rows.select("doc_id", F.explode("digests").alias("digest")).join(repeated.hint("merge"), "digest")
     losing = exact.where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "keeper")).alias("first"))
-    return rows.select("doc_id", "text").join(losing.hint("merge"), "doc_id")
+    found = rows.select("doc_id", "text", "again").join(losing.hint("merge"), "doc_id", "left")
+    return found.where("again or first is not null").select("doc_id", "text", "first")
 
 
 def repeated_passages(
@@ -206,8 +215,8 @@ def repeated_passages(
         for batch in batches:
             rows = []
             for doc_id, text, first in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "first")), strict=True):
-                elsewhere = {f["digest"]: f["keeper"] for f in first}
-                rows += [(doc_id, a, b, n, keeper, text[a:b]) for a, b, n, keeper in runs(text, elsewhere, least_words, unit_words)]
+                elsewhere = {f["digest"]: f["keeper"] for f in first or ()}
+                rows += [(doc_id, a, b, n, keeper, text[a:b]) for a, b, n, keeper in runs(text, elsewhere, least_words, unit_words, doc_id)]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [pa.int64()] * 5 + [pa.string()]
             yield pa.RecordBatch.from_arrays(

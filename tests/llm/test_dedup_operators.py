@@ -225,6 +225,15 @@ def test_whole_lines_go_whatever_their_length(spark):
     assert spans_of(spark, rows) == {(2, "all Rights  reserved", 3, 1)}
 
 
+def test_repeats_inside_a_document_go_but_the_first(spark):
+    line = " ".join(f"v{i}" for i in range(30))
+    rows = [(1, f"{line}\nown one\n{line}"), (2, f"{line}\nown two"), (3, f"Alone\nx y\n{line} z\nx y"), (None, "q r\nq r")]
+    assert spans_of(spark, rows[:2]) == {(1, line, 30, 1), (2, line, 30, 1)}
+    assert passage_dedup.repeated_passages(frame(spark, rows[3:])).collect() == []
+    found = passage_dedup.repeated_passages(frame(spark, rows[2:3])).collect()
+    assert [(r.span_start, r.passage, r.keep_id) for r in found] == [(len(rows[2][1]) - 3, "x y", 3)]
+
+
 # -- near duplicates -----------------------------------------------------------------------
 
 
