@@ -5,16 +5,21 @@ and white space or after a full stop of a script without spaces, as passages tha
 documents often stand inside a line among other text and no whole line of theirs repeats. Units
 are normalised (ASCII lower case, white space as one space) and hashed; digests are grouped over
 all documents, and the document with the smallest id keeps a unit where it has it first.
-A line kept elsewhere is removed. Of sentences, a run that is kept elsewhere is removed if it has
-``least_words`` words or more; sentences of fewer than ``unit_words`` words are too common to tell
+As a passage need not begin and end where sentences do, every window of WINDOW words is a unit too.
+A line kept elsewhere is removed. Of sentences and windows, a run that is kept elsewhere is removed
+if it has ``least_words`` words or more; sentences of fewer than ``unit_words`` words are too common to tell
 anything, and go only between two others of a run. A character of a script without spaces is a
 word. Spans are code points of the original text.
 
-Pass one groups digests, pre-aggregated before the shuffle. Pass two sends only documents
-that hold a repeated digest (a filter over those digests tells, at most bloom.MOST_BITS)
-to be confirmed by an exact join whose large keys Spark splits.
+Pass one groups digests, pre-aggregated before the shuffle. Of windows it has only fingerprints,
+the least hash of each ``least_words - WINDOW + 1`` windows in a row: passages of ``least_words``
+words that are alike have one in common. Pass two sends only documents that hold a repeated digest
+(a filter over those digests tells, at most bloom.MOST_BITS) to be confirmed by exact joins whose
+large keys Spark splits; of windows it sends all that lie so near a repeated fingerprint that one
+passage may hold both.
 
-Defined results: a null or empty text has no units. Of a unit that repeats within a
+Defined results: with ``least_words`` under WINDOW, shorter passages than a window are found as units
+only. A null or empty text has no units. Of a unit that repeats within a
 document all but the first go, with that document as keeper. Rows that repeat a doc_id are one
 document, but each is searched for its own repeats. A row without doc_id neither
 keeps nor loses a unit.
@@ -29,13 +34,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm import bloom
+from gneiss.llm import bloom, shingles
 from gneiss.llm.common import arrow, durable, map_arrow, strings
 
-LEAST_WORDS, UNIT_WORDS = 20, 4
+LEAST_WORDS, UNIT_WORDS, WINDOW = 20, 4, 8
 _LINE = re.compile(r"[^\n]+")
 _UNIT = re.compile(r".+?(?:[.!?]+(?=\s)|[。！？]+|$)", re.DOTALL)
 _BLANK = re.compile(r"\s")
@@ -50,11 +56,18 @@ class Unit(NamedTuple):
     start: int
     end: int
     words: int
-    digest: bytes | None
+    digest: bytes | int | None
     line: bool = False
 
 
 def units(text: str, unit_words: int) -> list[Unit]:
+    """The sentences of a text, its lines and its windows."""
+    starts, ends, windows = _words(text)
+    places = zip(starts.tolist(), ends[WINDOW - 1 :].tolist(), windows.tolist(), strict=False)
+    return _pieces(text, unit_words) + [Unit(a, b, WINDOW, h) for a, b, h in places]
+
+
+def _pieces(text: str, unit_words: int) -> list[Unit]:
     """The sentences of a text without surrounding white space, those too short without a digest; then its lines."""
     dense = not text.isascii() and _DENSE.search(text) is not None
     out, lines = [], []
@@ -66,7 +79,7 @@ def units(text: str, unit_words: int) -> list[Unit]:
             if not body:
                 continue
             words = body.encode().lower().split()
-            count = len(_words(body)[0]) if dense else len(words)
+            count = len(_tokens(_BLANK.sub(" ", body).encode())[0]) if dense else len(words)
             start = match.start() + len(piece) - len(piece.lstrip())
             forms.append(b" ".join(words))
             n += count
@@ -101,22 +114,51 @@ def _tokens(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(begin), np.flatnonzero(stop) + 1
 
 
-def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a text in code points."""
-    if text.isascii():
-        return _tokens(text.encode())
-    data = _BLANK.sub(" ", text).encode()
-    at = np.concatenate(([0], np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)))
+def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a text in code points, and the hash of the window that begins at each."""
+    data = (text if text.isascii() else _BLANK.sub(" ", text)).encode().lower()
     starts, ends = _tokens(data)
-    return at[starts], at[ends]
+    a = np.frombuffer(data, np.uint8)
+    windows = np.zeros(max(len(starts) - WINDOW + 1, 0), np.uint64)
+    if len(windows):
+        power, inverse = shingles._tables(len(a) + 1)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(shingles._SYMBOL[a] * power[: len(a)])))
+        words = shingles.mix((total[ends] - total[starts]) * inverse[starts])
+        for i in range(WINDOW):
+            windows = windows * shingles._BASE + words[i : i + len(windows)]
+        windows = shingles.mix(windows)
+    if not text.isascii():
+        at = np.concatenate(([0], np.cumsum(a & 0xC0 != 0x80)))
+        starts, ends = at[starts], at[ends]
+    return starts, ends, windows.view(np.int64)
+
+
+def _fingerprints(windows: np.ndarray, reach: int) -> np.ndarray:
+    """The least of each ``reach`` windows in a row, once each."""
+    least, done = windows, 1
+    while done < reach and len(windows) >= reach:
+        step = min(done, reach - done)
+        least, done = np.minimum(least[:-step], least[step:]), done + step
+    return np.unique(least) if len(windows) >= reach else windows[:0]
+
 
+def _near(flags: np.ndarray, reach: int) -> np.ndarray:
+    """Which places are less than ``reach`` from a flagged one."""
+    seen = np.concatenate((np.zeros(reach, np.int64), np.cumsum(flags), np.full(reach - 1, flags.sum())))
+    return seen[2 * reach - 1 :] > seen[: len(flags)]
 
-def runs(text: str, elsewhere: dict[bytes, int], least_words: int, unit_words: int, own: int | None = None) -> list[tuple[int, int, int, int]]:
+
+def _eights(hashes: np.ndarray) -> list[bytes]:
+    data = hashes.tobytes()
+    return [data[i : i + 8] for i in range(0, len(data), 8)]
+
+
+def runs(text: str, elsewhere: dict[bytes | int, int], least_words: int, unit_words: int, own: int | None = None) -> list[tuple[int, int, int, int]]:
     """(start, end, words, keeper) of what goes of a text: runs of words in units that ``elsewhere`` names with
     their keepers, and of units that stand in the text before if it has the id ``own``; a line goes
     whole, other runs if they have ``least_words`` words."""
-    starts, ends = _words(text)
-    found = units(text, unit_words)
+    starts, ends, windows = _words(text)
+    found = _pieces(text, unit_words)
     left = np.searchsorted(starts, [u.start for u in found]).tolist()
     right = np.searchsorted(ends, [u.end for u in found], "right").tolist()
     keeper = np.full(len(starts), _NOBODY)
@@ -131,6 +173,12 @@ def runs(text: str, elsewhere: dict[bytes, int], least_words: int, unit_words: i
         if by != _NOBODY:
             keeper[a:b] = np.minimum(keeper[a:b], by)
             whole[a:b] |= unit.line
+    by = np.array([elsewhere.get(h, _NOBODY) for h in windows.tolist()], np.int64)
+    if own is not None:
+        _, at, back = np.unique(windows, return_index=True, return_inverse=True)
+        by[(by == _NOBODY) & (at[back] + WINDOW <= np.arange(len(windows)))] = own
+    for i in range(WINDOW if len(windows) else 0):
+        keeper[i : i + len(windows)] = np.minimum(keeper[i : i + len(windows)], by)
     goes = keeper != _NOBODY
     known = [*goes.tolist(), False]
     gap = None  # the words of units too short to tell, since the last of the others
@@ -160,19 +208,24 @@ def _first_eight(digests: Iterable[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(d[:8] for d in digests), "<u8")
 
 
-def _held(df: DataFrame, unit_words: int, id_col: str, text_col: str) -> DataFrame:
+def _held(df: DataFrame, least_words: int, unit_words: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text, first) of documents that may hold units kept by an earlier document or by themselves.
 
-    ``first`` has (digest, keeper) of the units that others keep.
+    ``first`` has (digest or hash of a window, keeper) of the units that others keep.
     """
+    reach = max(least_words - WINDOW + 1, 1)
 
     def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, found = [], []
             for doc_id, text in zip(batch.column(id_col).to_pylist(), strings(batch, text_col), strict=True):
-                own = {u.digest for u in units(text, unit_words) if u.digest} if doc_id is not None else ()
-                ids += [doc_id] * len(own)
+                if doc_id is None:
+                    continue
+                own = {u.digest for u in _pieces(text, unit_words) if u.digest}
+                marks = _eights(_fingerprints(_words(text)[2], reach))
+                ids += [doc_id] * (len(own) + len(marks))
                 found += own
+                found += marks
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "digest"])
 
     pairs = map_arrow(df, [id_col, text_col], digests, "doc_id long, digest binary")
@@ -185,23 +238,33 @@ def _held(df: DataFrame, unit_words: int, id_col: str, text_col: str) -> DataFra
 
     def suspect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, near = [], []
             for doc_id, text in zip(batch.column(id_col).to_pylist(), strings(batch, text_col), strict=True):
-                found = {(u.digest, u.start) for u in units(text, unit_words) if u.digest} if doc_id is not None else set()
-                own = list({digest for digest, _ in found})
-                if own:
-                    hit = bloom.contains(known.value, _first_eight(own)).tolist()
-                    again = len(found) > len(own)
-                    if again or any(hit):
-                        rows.append((doc_id, text, again, [d for d, h in zip(own, hit, strict=True) if h]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.binary())))],
-                ["doc_id", "text", "again", "digests"],
-            )
-
-    rows = durable(map_arrow(df, [id_col, text_col], suspect, "doc_id long, text string, again boolean, digests array<binary>"))
+                found = {(u.digest, u.start) for u in _pieces(text, unit_words) if u.digest} if doc_id is not None else set()
+                if not found:
+                    continue
+                own, windows = list({digest for digest, _ in found}), _words(text)[2]
+                marks = _fingerprints(windows, reach)
+                hit = bloom.contains(known.value, _first_eight(own)).tolist()
+                marks = marks[bloom.contains(known.value, marks.view(np.uint64))]
+                again = len(found) > len(own) or len(np.unique(windows)) < len(windows)
+                if again or len(marks) or any(hit):
+                    rows.append((doc_id, text, again, [d for d, h in zip(own, hit, strict=True) if h]))
+                    near.append(np.unique(windows[_near(np.isin(windows, marks), reach)]) if len(marks) else windows[:0])
+            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.binary())))]
+            offsets = np.cumsum([0, *(len(x) for x in near)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int64), *near])))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "again", "digests", "windows"])
+
+    schema = "doc_id long, text string, again boolean, digests array<binary>, windows array<long>"
+    rows = durable(map_arrow(df, [id_col, text_col], suspect, schema))
     exact = rows.select("doc_id", F.explode("digests").alias("digest")).join(repeated.hint("merge"), "digest")
-    losing = exact.where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "keeper")).alias("first"))
+    windows = rows.select("doc_id", F.explode("windows").alias("hash"))
+    shared = windows.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
+    shared = durable(shared.where("keeper <> last").select("hash", "keeper"))
+    exact = exact.select("doc_id", "digest", F.lit(None).cast("long").alias("hash"), "keeper")
+    exact = exact.unionByName(windows.join(shared.hint("merge"), "hash"), allowMissingColumns=True)
+    losing = exact.where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list(F.struct("digest", "hash", "keeper")).alias("first"))
     found = rows.select("doc_id", "text", "again").join(losing.hint("merge"), "doc_id", "left")
     return found.where("again or first is not null").select("doc_id", "text", "first")
 
@@ -213,9 +276,13 @@ def repeated_passages(
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text, first in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "first")), strict=True):
-                elsewhere = {f["digest"]: f["keeper"] for f in first or ()}
+            rows, at = [], 0
+            first = batch.column("first")
+            named = [c.to_pylist() for c in first.flatten().flatten()]
+            sizes = pc.fill_null(pc.list_value_length(first), 0).to_pylist()
+            for doc_id, text, size in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), sizes, strict=True):
+                elsewhere = {h if d is None else d: k for d, h, k in zip(*(c[at : at + size] for c in named), strict=True)}
+                at += size
                 rows += [(doc_id, a, b, n, keeper, text[a:b]) for a, b, n, keeper in runs(text, elsewhere, least_words, unit_words, doc_id)]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [pa.int64()] * 5 + [pa.string()]
@@ -225,4 +292,4 @@ def repeated_passages(
             )
 
     schema = "doc_id long, span_start long, span_end long, n_words long, keep_id long, passage string"
-    return arrow(_held(df, unit_words, id_col, text_col), find, schema).distinct()
+    return arrow(_held(df, least_words, unit_words, id_col, text_col), find, schema).distinct()

@@ -227,13 +227,22 @@ def test_whole_lines_go_whatever_their_length(spark):
 
 def test_repeats_inside_a_document_go_but_the_first(spark):
     line = " ".join(f"v{i}" for i in range(30))
-    rows = [(1, f"{line}\nown one\n{line}"), (2, f"{line}\nown two"), (3, f"Alone\nx y\n{line} z\nx y"), (None, "q r\nq r")]
+    rows = [(1, f"{line}\nown one\n{line}"), (2, f"{line}\nyours two"), (3, f"Alone\nx y\n{line} z\nx y"), (None, "q r\nq r")]
     assert spans_of(spark, rows[:2]) == {(1, line, 30, 1), (2, line, 30, 1)}
     assert passage_dedup.repeated_passages(frame(spark, rows[3:])).collect() == []
     found = passage_dedup.repeated_passages(frame(spark, rows[2:3])).collect()
     assert [(r.span_start, r.passage, r.keep_id) for r in found] == [(len(rows[2][1]) - 3, "x y", 3)]
 
 
+def test_passages_inside_sentences_go_whole(spark):
+    rng = random.Random(12)
+    shared = [words(rng, n, 10_000) for n in (20, 60, 35, 19)]
+    shared[1] = shared[1].replace(" ", ". ", 9).replace(". ", " ", 8)  # one sentence end inside
+    rows = [(i, " ".join([words(rng, 30, 10_000), *(f"{words(rng, 12, 10_000)} {s}" for s in shared), words(rng, 30, 10_000)])) for i in (1, 2)]
+    rows.append((3, f"é {words(rng, 15, 10_000)} {shared[2].upper()} {words(rng, 15, 10_000)}"))
+    assert spans_of(spark, rows) == {(2, s, len(s.split()), 1) for s in shared[:3]} | {(3, shared[2].upper(), 35, 1)}
+
+
 # -- near duplicates -----------------------------------------------------------------------
 
 
