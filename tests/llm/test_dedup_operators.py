@@ -301,6 +301,14 @@ def test_representatives_stay(spark):
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_one_row_of_a_group_stays_with_repeated_and_null_ids(spark):
+    rng = random.Random(6)
+    a, b, c, d = (words(rng, 60, 10_000) for _ in range(4))
+    rows = [(1, a), (2, a + " x"), (2, b), (None, c), (None, c + " x"), (7, d), (7, d + " x"), (7, d), (None, ""), (2, ""), (2, "")]
+    kept = sorted((r.doc_id or 0, r.text[:-2] if r.text.endswith(" x") else r.text) for r in ngram_join.keep_representatives(frame(spark, rows)).collect())
+    assert kept == sorted([(1, a), (2, b), (0, c), (7, d), (0, ""), (2, ""), (2, "")])
+
+
 # -- pipeline ------------------------------------------------------------------------------
 
 
