@@ -7,7 +7,8 @@ weighed by region, the sectioning element they stand in: a region with a line in
 cluster is content, and then all its lines are kept, headings and short paragraphs too.
 Elements that are never article text (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments) are told by tag, role or class and take no part. If
-the page marks an article or main element, regions outside of it take no part either.
+the page marks an article or main element that has a line in the upper cluster of the whole
+page, regions outside of such elements take no part either; otherwise the marks decide nothing.
 
 Defined results: null, empty and text-free pages give the empty string; markup that is not
 closed ends with its parent or the page; a page of one short line keeps it; repeated rows
@@ -166,6 +167,18 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _dense(lines: list[tuple[str, int, int, bool]], sigma: float) -> set[int]:
+    """The regions with a line in the upper cluster."""
+    values = smoothed(np.array([len(text) / (1 + tags) for text, tags, _, _ in lines]), sigma)
+    cut = threshold(values)
+    # A line lifted by its neighbours alone does not make its region content.
+    return {
+        region
+        for (text, tags, region, _), value in zip(lines, values, strict=True)
+        if value >= cut and len(text) / (1 + tags) >= cut / 2
+    }
+
+
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     if not html:
         return ""
@@ -178,18 +191,12 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
         text = " ".join("".join(pieces).split())
         if text:
             lines.append((text, tags, region, inside))
-    if any(inside for *_, inside in lines):
-        lines = [line for line in lines if line[3]]
     if not lines:
         return ""
-    values = smoothed(np.array([len(text) / (1 + tags) for text, tags, _, _ in lines]), sigma)
-    cut = threshold(values)
-    # A line lifted by its neighbours alone does not make its region content.
-    content = {
-        region
-        for (text, tags, region, _), value in zip(lines, values, strict=True)
-        if value >= cut and len(text) / (1 + tags) >= cut / 2
-    }
+    content = _dense(lines, sigma)
+    if any(inside and region in content for *_, region, inside in lines):
+        lines = [line for line in lines if line[3]]
+        content = _dense(lines, sigma)
     if not content:
         content = {max(lines, key=lambda line: len(line[0]))[2]}
     return " ".join(text for text, _, region, _ in lines if region in content)

@@ -251,6 +251,13 @@ def test_regions_are_found_by_density_without_an_article():
     assert text.startswith("Title long text") and " Hi. more" in text and text.endswith("long text")
 
 
+def test_a_small_article_beside_the_text_decides_nothing():
+    body = "<p>" + "long text of the page here " * 15 + "<p>Hi.<p>" + "more long text of it " * 15
+    page = f"<div class=story>{body}</div><div><a>x</a> <a>y</a></div><article class=card><a>Read</a> <a>this</a></article>"
+    text = html_text.main_text(page)
+    assert text.startswith("long text of") and " Hi. more" in text and text.endswith("text of it")
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<p>", "<script>x</script>", "<!-- only -->", "<nav>menu</nav>", "\x00<", "<a <b <c"])
 def test_pages_without_text(page):
     assert html_text.main_text(page) in ("", "<", "\x00<", "�<", "<a <b <c")
