@@ -1,28 +1,28 @@
-"""Substring deduplication by unit hashing.
-
-A text's units are its lines, whatever their length, and its sentences: lines cut after . ! ?
-and white space or after a full stop of a script without spaces, as passages that repeat across
-documents often stand inside a line among other text and no whole line of theirs repeats. Units
-are normalised (ASCII lower case, white space as one space) and hashed; digests are grouped over
-all documents, and the document with the smallest id keeps a unit where it has it first.
-As a passage need not begin and end where sentences do, every window of WINDOW words is a unit too.
-A line kept elsewhere is removed. Of sentences and windows, a run that is kept elsewhere is removed
-if it has ``least_words`` words or more; sentences of fewer than ``unit_words`` words are too common to tell
-anything, and go only between two others of a run. A character of a script without spaces is a
-word. Spans are code points of the original text.
-
-Pass one groups digests, pre-aggregated before the shuffle. Of windows it has only fingerprints,
-the least hash of each ``least_words - WINDOW + 1`` windows in a row: passages of ``least_words``
-words that are alike have one in common. Pass two sends only documents that hold a repeated digest
-(a filter over those digests tells, at most bloom.MOST_BITS) to be confirmed by exact joins whose
-large keys Spark splits; of windows it sends all that lie so near a repeated fingerprint that one
-passage may hold both.
-
-Defined results: with ``least_words`` under WINDOW, shorter passages than a window are found as units
-only. A null or empty text has no units. Of a unit that repeats within a
-document all but the first go, with that document as keeper. Rows that repeat a doc_id are one
-document, but each is searched for its own repeats. A row without doc_id neither
-keeps nor loses a unit.
+"""Substring deduplication by hashing lines and paragraphs of lines.
+
+A text is cut into lines and lines into sentences: after . ! ? before white space, and after a full
+stop of a script without spaces. The units that are hashed are paragraphs: of each line, the shortest
+stretches of whole sentences with ``least_words`` words, one from every sentence onwards and one up to
+every sentence. A whole line is made of its paragraphs, so a repeated line goes whole, and so does a
+passage of whole sentences inside of other lines, which no hash of whole lines would find. Lines
+under ``least_words`` words are not units: they are headings and notices that many unrelated documents
+hold, and line deduplication's business.
+
+Units are normalised (ASCII lower case, white space as one space) and hashed to 128 bits; digests
+are grouped over all documents. The earliest place of a unit, by doc_id and position, keeps it;
+sentences in any unit whose earliest place is another are removed, as spans of the original text in
+code points. A place in the same document counts as another from the end of the first one on.
+
+Pass one groups digests, pre-aggregated before the shuffle. Pass two sends the digests that may be
+repeated (a filter over those digests tells, at most bloom.MOST_BITS) to be confirmed by an exact
+join whose large keys Spark splits. Texts move only for documents that lose a unit to an earlier
+one; a document that repeats only itself is cut where it lies.
+
+Defined results: a null or empty text has no units, nor has one under ``least_words`` words; a line
+without sentence ends is one sentence, of any length; a character of a script without spaces is a word.
+Rows that repeat a doc_id are one document, but each is searched for its own repeats; equal rows give
+one row a span. A row without doc_id neither keeps nor loses a unit. An empty table gives an empty
+result; other columns may have any names and are not read.
 """
 
 from __future__ import annotations
@@ -38,258 +38,196 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm import bloom, shingles
-from gneiss.llm.common import arrow, durable, map_arrow, strings
+from gneiss.llm import bloom
+from gneiss.llm.common import WHITE, WHITE_CLASS, arrow, durable, map_arrow, strings
 
-LEAST_WORDS, UNIT_WORDS, WINDOW = 20, 4, 8
-_LINE = re.compile(r"[^\n]+")
-_UNIT = re.compile(r".+?(?:[.!?]+(?=\s)|[。！？]+|$)", re.DOTALL)
-_BLANK = re.compile(r"\s")
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
-#: Characters of scripts without spaces between words (Thai, Lao, Burmese, Khmer, Chinese, Japanese); each counts as a word.
-_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u10bf\u1780-\u17ff\u3000-\u9fff\uff00-\uff7f\U00020000-\U0003ffff]")
-_NOBODY = np.iinfo(np.int64).max
+LEAST_WORDS = 20
+_END = re.compile(rf"[.!?]+(?={WHITE_CLASS})|[。！？]+")
+#: Characters of scripts without spaces between words: Thai, Lao, Burmese, Khmer, Chinese, Japanese.
+DENSE = "\u0e00-\u0eff\u1000-\u10bf\u1780-\u17ff\u3000-\u9fff\uff00-\uff7f\U00020000-\U0003ffff"
+_DENSE = re.compile(f"[{DENSE}]")
+_WORD = re.compile(f"[{DENSE}]|[^ {DENSE}]+")
 
 
 class Unit(NamedTuple):
-    start: int
-    end: int
-    words: int
-    digest: bytes | int | None
-    line: bool = False
+    first: int  # sentence
+    last: int
+    digest: bytes
+
+
+class Sentences(NamedTuple):
+    """The sentences of a text in order, and its units by line."""
+
+    starts: list[int]
+    ends: list[int]
+    words: list[int]
+    lines: list[int]
+    units: list[Unit]
+
+
+def paragraphs(words: list[int], least_words: int) -> list[tuple[int, int]]:
+    """(first, last) of the shortest stretches of sentences with ``least_words`` words from and up to each sentence."""
+    found = set()
+    last, held = -1, 0
+    for first, n in enumerate(words):
+        while held < least_words and last + 1 < len(words):
+            last += 1
+            held += words[last]
+        if held < least_words:
+            break
+        found.add((first, last))
+        held -= n
+    first, held = len(words), 0
+    for last in range(len(words) - 1, -1, -1):
+        while held < least_words and first:
+            first -= 1
+            held += words[first]
+        if held < least_words:
+            break
+        found.add((first, last))
+        held -= words[last]
+    return sorted(found)
 
 
-def units(text: str, unit_words: int) -> list[Unit]:
-    """The sentences of a text, its lines and its windows."""
-    starts, ends, windows = _words(text)
-    places = zip(starts.tolist(), ends[WINDOW - 1 :].tolist(), windows.tolist(), strict=False)
-    return _pieces(text, unit_words) + [Unit(a, b, WINDOW, h) for a, b, h in places]
+def sentences(text: str, least_words: int) -> Sentences:
+    out = Sentences([], [], [], [], [])
+    dense = not text.isascii() and _DENSE.search(text) is not None
+    at = 0
+    for number, line in enumerate(text.split("\n")):
+        begin, forms, cut = len(out.starts), [], 0
+        for stop in (*(m.end() for m in _END.finditer(line)), len(line)):
+            piece = line[cut:stop]
+            body = piece.strip(WHITE)
+            if body:
+                form = b" ".join(body.encode().lower().split())
+                start = at + cut + len(piece) - len(piece.lstrip(WHITE))
+                out.starts.append(start)
+                out.ends.append(start + len(body))
+                out.words.append(len(_WORD.findall(form.decode())) if dense else form.count(b" ") + 1)
+                out.lines.append(number)
+                forms.append(form)
+            cut = stop
+        own = out.words[begin:]
+        if sum(own) >= least_words:
+            whole = b" ".join(forms)
+            edges = np.cumsum([0, *(len(f) + 1 for f in forms)]).tolist()
+            for a, b in paragraphs(own, least_words):
+                digest = hashlib.blake2b(whole[edges[a] : edges[b + 1] - 1], digest_size=16).digest()
+                out.units.append(Unit(begin + a, begin + b, digest))
+        at += len(line) + 1
+    return out
 
 
-def _pieces(text: str, unit_words: int) -> list[Unit]:
-    """The sentences of a text without surrounding white space, those too short without a digest; then its lines."""
-    dense = not text.isascii() and _DENSE.search(text) is not None
-    out, lines = [], []
-    for line in _LINE.finditer(text):
-        first, forms, n = len(out), [], 0
-        for match in _UNIT.finditer(text, *line.span()):
-            piece = match[0]
-            body = piece.strip()
-            if not body:
+def spans(found: Sentences, keepers: dict[bytes, int], own: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, words, keeper) of what goes: stretches of sentences, by line, in units that ``keepers`` names with
+    an earlier document, or whose first place in this document, ``own``, ends before."""
+    keeper: dict[int, int] = {}
+    until: dict[bytes, int] = {}
+    for unit in found.units:
+        by = keepers.get(unit.digest)
+        if by is None:
+            if unit.first <= until.setdefault(unit.digest, unit.last):
                 continue
-            words = body.encode().lower().split()
-            count = len(_tokens(_BLANK.sub(" ", body).encode())[0]) if dense else len(words)
-            start = match.start() + len(piece) - len(piece.lstrip())
-            forms.append(b" ".join(words))
-            n += count
-            out.append(Unit(start, start + len(body), count, _digest(forms[-1]) if count >= unit_words else None))
-        if forms:
-            digest = len(forms) == 1 and out[first].digest or _digest(b" ".join(forms))
-            lines.append(Unit(out[first].start, out[-1].end, n, digest, True))
-    return out + lines
-
-
-def _digest(form: bytes) -> bytes:
-    return hashlib.blake2b(form, digest_size=16).digest()
-
-
-def _tokens(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of words in UTF-8: between white space, and each character of a script without spaces."""
-    a = np.frombuffer(data, np.uint8)
-    gap = _SPACE[a]
-    begin = ~gap
-    begin[1:] &= gap[:-1]
-    if not data.isascii():
-        b = np.append(a[1:], 0)
-        dense = (a >= 0xE3) & (a <= 0xE9) | (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB) | (a == 0xE1) & (b >= 0x80) & (b <= 0x82)
-        dense |= (a == 0xE1) & (b >= 0x9E) & (b <= 0x9F) | (a == 0xEF) & (b >= 0xBC) & (b <= 0xBD) | (a == 0xF0) & (b >= 0xA0)
-        at = np.flatnonzero(dense)
-        begin[at] = True
-        at += np.where(a[at] == 0xF0, 4, 3)
-        at = at[at < len(a)]
-        begin[at] |= ~gap[at]
-    stop = ~gap
-    stop[:-1] &= gap[1:] | begin[1:]
-    return np.flatnonzero(begin), np.flatnonzero(stop) + 1
-
-
-def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a text in code points, and the hash of the window that begins at each."""
-    data = (text if text.isascii() else _BLANK.sub(" ", text)).encode().lower()
-    starts, ends = _tokens(data)
-    a = np.frombuffer(data, np.uint8)
-    windows = np.zeros(max(len(starts) - WINDOW + 1, 0), np.uint64)
-    if len(windows):
-        power, inverse = shingles._tables(len(a) + 1)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(shingles._SYMBOL[a] * power[: len(a)])))
-        words = shingles.mix((total[ends] - total[starts]) * inverse[starts])
-        for i in range(WINDOW):
-            windows = windows * shingles._BASE + words[i : i + len(windows)]
-        windows = shingles.mix(windows)
-    if not text.isascii():
-        at = np.concatenate(([0], np.cumsum(a & 0xC0 != 0x80)))
-        starts, ends = at[starts], at[ends]
-    return starts, ends, windows.view(np.int64)
-
-
-def _fingerprints(windows: np.ndarray, reach: int) -> np.ndarray:
-    """The least of each ``reach`` windows in a row, once each."""
-    least, done = windows, 1
-    while done < reach and len(windows) >= reach:
-        step = min(done, reach - done)
-        least, done = np.minimum(least[:-step], least[step:]), done + step
-    return np.unique(least) if len(windows) >= reach else windows[:0]
-
-
-def _near(flags: np.ndarray, reach: int) -> np.ndarray:
-    """Which places are less than ``reach`` from a flagged one."""
-    seen = np.concatenate((np.zeros(reach, np.int64), np.cumsum(flags), np.full(reach - 1, flags.sum())))
-    return seen[2 * reach - 1 :] > seen[: len(flags)]
-
-
-def _eights(hashes: np.ndarray) -> list[bytes]:
-    data = hashes.tobytes()
-    return [data[i : i + 8] for i in range(0, len(data), 8)]
-
-
-def runs(text: str, elsewhere: dict[bytes | int, int], least_words: int, unit_words: int, own: int | None = None) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, keeper) of what goes of a text: runs of words in units that ``elsewhere`` names with
-    their keepers, and of units that stand in the text before if it has the id ``own``; a line goes
-    whole, other runs if they have ``least_words`` words."""
-    starts, ends, windows = _words(text)
-    found = _pieces(text, unit_words)
-    left = np.searchsorted(starts, [u.start for u in found]).tolist()
-    right = np.searchsorted(ends, [u.end for u in found], "right").tolist()
-    keeper = np.full(len(starts), _NOBODY)
-    whole = np.zeros(len(starts), bool)
-    first: dict[bytes, int] = {}
-    for unit in found if own is not None else ():
-        first[unit.digest] = min(unit.start, first.get(unit.digest, unit.start))
-    for unit, a, b in zip(found, left, right, strict=True):
-        by = elsewhere.get(unit.digest, _NOBODY)
-        if by == _NOBODY and own is not None and unit.digest and first[unit.digest] < unit.start:
             by = own
-        if by != _NOBODY:
-            keeper[a:b] = np.minimum(keeper[a:b], by)
-            whole[a:b] |= unit.line
-    by = np.array([elsewhere.get(h, _NOBODY) for h in windows.tolist()], np.int64)
-    if own is not None:
-        _, at, back = np.unique(windows, return_index=True, return_inverse=True)
-        by[(by == _NOBODY) & (at[back] + WINDOW <= np.arange(len(windows)))] = own
-    for i in range(WINDOW if len(windows) else 0):
-        keeper[i : i + len(windows)] = np.minimum(keeper[i : i + len(windows)], by)
-    goes = keeper != _NOBODY
-    known = [*goes.tolist(), False]
-    gap = None  # the words of units too short to tell, since the last of the others
-    for unit, a, b in zip(found, left, right, strict=True):
-        if unit.line:
-            break
-        if unit.digest is None and not all(known[a:b]):
-            gap = (a if gap is None else gap[0]), b
-        else:
-            gap = None
-        if gap and gap[0] and known[gap[0] - 1] and known[b]:
-            goes[gap[0] : b] = True
-    out = []
-    for a, b in _spans(goes):
-        parts = [(a, b)] if b - a >= least_words else [(a + x, a + y) for x, y in _spans(whole[a:b])]
-        out += [(int(starts[x]), int(ends[y - 1]), y - x, int(keeper[x:y].min())) for x, y in parts]
-    return out
+        for i in range(unit.first, unit.last + 1):
+            keeper[i] = min(by, keeper.get(i, by))
+    out: list[tuple[int, int, int, int]] = []
+    stretch: list[int] = []
+    for i in sorted(keeper):
+        if stretch and (i != stretch[-1] + 1 or found.lines[i] != found.lines[stretch[-1]]):
+            out.append(_span(found, stretch, keeper))
+            stretch = []
+        stretch.append(i)
+    return out + [_span(found, stretch, keeper)] if stretch else out
 
 
-def _spans(mask: np.ndarray) -> list[tuple[int, int]]:
-    """(first, after) of each run of true values."""
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+def _span(found: Sentences, stretch: list[int], keeper: dict[int, int]) -> tuple[int, int, int, int]:
+    return found.starts[stretch[0]], found.ends[stretch[-1]], sum(found.words[i] for i in stretch), min(keeper[i] for i in stretch)
 
 
 def _first_eight(digests: Iterable[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(d[:8] for d in digests), "<u8")
 
 
-def _held(df: DataFrame, least_words: int, unit_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, first) of documents that may hold units kept by an earlier document or by themselves.
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.int64()).fill_null(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
-    ``first`` has (digest or hash of a window, keeper) of the units that others keep.
-    """
-    reach = max(least_words - WINDOW + 1, 1)
+
+def _id_filter(df: DataFrame):
+    """A filter over the doc_ids of ``df``, sent to the executors; at most bloom.MOST_BITS."""
+    bits = bloom.filter_bits(df.count())
+    return df.sparkSession.sparkContext.broadcast(bloom.repeated_filter(df, ["doc_id"], lambda b: _ids(b.column(0)), bits, least=1))
+
+
+def repeated_passages(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each removed passage: doc_id, span_start, span_end, n_words, keep_id, passage."""
+    context = df.sparkSession.sparkContext
 
     def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, found = [], []
             for doc_id, text in zip(batch.column(id_col).to_pylist(), strings(batch, text_col), strict=True):
-                if doc_id is None:
-                    continue
-                own = {u.digest for u in _pieces(text, unit_words) if u.digest}
-                marks = _eights(_fingerprints(_words(text)[2], reach))
-                ids += [doc_id] * (len(own) + len(marks))
-                found += own
-                found += marks
+                if doc_id is not None:
+                    own = {u.digest for u in sentences(text, least_words).units}
+                    ids += [doc_id] * len(own)
+                    found += own
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "digest"])
 
     pairs = map_arrow(df, [id_col, text_col], digests, "doc_id long, digest binary")
     grouped = pairs.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
     repeated = durable(grouped.where("keeper <> last").select("digest", "keeper"))
     bits = bloom.filter_bits(repeated.count())
-    known = df.sparkSession.sparkContext.broadcast(
+    known = context.broadcast(
         bloom.repeated_filter(repeated, ["digest"], lambda b: _first_eight(b.column(0).to_pylist()), bits, least=1)
     )  # at most bloom.MOST_BITS
 
     def suspect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, near = [], []
+            rows = []
             for doc_id, text in zip(batch.column(id_col).to_pylist(), strings(batch, text_col), strict=True):
-                found = {(u.digest, u.start) for u in _pieces(text, unit_words) if u.digest} if doc_id is not None else set()
-                if not found:
-                    continue
-                own, windows = list({digest for digest, _ in found}), _words(text)[2]
-                marks = _fingerprints(windows, reach)
-                hit = bloom.contains(known.value, _first_eight(own)).tolist()
-                marks = marks[bloom.contains(known.value, marks.view(np.uint64))]
-                again = len(found) > len(own) or len(np.unique(windows)) < len(windows)
-                if again or len(marks) or any(hit):
-                    rows.append((doc_id, text, again, [d for d, h in zip(own, hit, strict=True) if h]))
-                    near.append(np.unique(windows[_near(np.isin(windows, marks), reach)]) if len(marks) else windows[:0])
-            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.binary())))]
-            offsets = np.cumsum([0, *(len(x) for x in near)]).astype(np.int32)
-            columns.append(pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int64), *near])))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "again", "digests", "windows"])
-
-    schema = "doc_id long, text string, again boolean, digests array<binary>, windows array<long>"
-    rows = durable(map_arrow(df, [id_col, text_col], suspect, schema))
+                units = sentences(text, least_words).units if doc_id is not None else []
+                own = list({u.digest for u in units})
+                hit = bloom.contains(known.value, _first_eight(own)).tolist() if own else []
+                if len(own) < len(units) or any(hit):
+                    rows.append((doc_id, len(own) < len(units), [d for d, h in zip(own, hit, strict=True) if h]))
+            kinds = (pa.int64(), pa.bool_(), pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "again", "digests"])
+
+    rows = durable(map_arrow(df, [id_col, text_col], suspect, "doc_id long, again boolean, digests array<binary>"))
     exact = rows.select("doc_id", F.explode("digests").alias("digest")).join(repeated.hint("merge"), "digest")
-    windows = rows.select("doc_id", F.explode("windows").alias("hash"))
-    shared = windows.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
-    shared = durable(shared.where("keeper <> last").select("hash", "keeper"))
-    exact = exact.select("doc_id", "digest", F.lit(None).cast("long").alias("hash"), "keeper")
-    exact = exact.unionByName(windows.join(shared.hint("merge"), "hash"), allowMissingColumns=True)
-    losing = exact.where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list(F.struct("digest", "hash", "keeper")).alias("first"))
-    found = rows.select("doc_id", "text", "again").join(losing.hint("merge"), "doc_id", "left")
-    return found.where("again or first is not null").select("doc_id", "text", "first")
-
-
-def repeated_passages(
-    df: DataFrame, least_words: int = LEAST_WORDS, unit_words: int = UNIT_WORDS, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per removed passage: doc_id, span_start, span_end, n_words, keep_id, passage."""
-
-    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lost = exact.where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "keeper")).alias("lost"))
+    lost = durable(lost)
+    losing, again = _id_filter(lost.select("doc_id")), _id_filter(rows.where("again").select("doc_id"))
+
+    def cut(ids: list, texts: list[str], keepers: Iterable[dict[bytes, int]]) -> pa.RecordBatch:
+        out = []
+        for doc_id, text, named in zip(ids, texts, keepers, strict=True):
+            found = sentences(text, least_words)
+            out += [(doc_id, a, b, n, keeper, text[a:b]) for a, b, n, keeper in spans(found, named, doc_id)]
+        kinds = [pa.int64()] * 5 + [pa.string()]
+        names = ["doc_id", "span_start", "span_end", "n_words", "keep_id", "passage"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 6, kinds, strict=True)], names)
+
+    def alone(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = _ids(batch.column(id_col))
+            here = pc.and_(pc.is_valid(batch.column(id_col)), pa.array(bloom.contains(again.value, ids) & ~bloom.contains(losing.value, ids)))
+            batch = batch.filter(here)
+            texts = strings(batch, text_col)
+            yield cut(batch.column(id_col).to_pylist(), texts, ({} for _ in texts))
+
+    def may_lose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            here = pc.and_(pc.is_valid(batch.column(id_col)), pa.array(bloom.contains(losing.value, _ids(batch.column(id_col)))))
+            batch = batch.filter(here)
+            yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), batch.column(text_col)], ["doc_id", "text"])
+
+    def to_others(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, at = [], 0
-            first = batch.column("first")
-            named = [c.to_pylist() for c in first.flatten().flatten()]
-            sizes = pc.fill_null(pc.list_value_length(first), 0).to_pylist()
-            for doc_id, text, size in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), sizes, strict=True):
-                elsewhere = {h if d is None else d: k for d, h, k in zip(*(c[at : at + size] for c in named), strict=True)}
-                at += size
-                rows += [(doc_id, a, b, n, keeper, text[a:b]) for a, b, n, keeper in runs(text, elsewhere, least_words, unit_words, doc_id)]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64()] * 5 + [pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                ["doc_id", "span_start", "span_end", "n_words", "keep_id", "passage"],
-            )
+            named = [{x["digest"]: x["keeper"] for x in row or ()} for row in batch.column("lost").to_pylist()]
+            yield cut(batch.column("doc_id").to_pylist(), strings(batch, "text"), named)
 
     schema = "doc_id long, span_start long, span_end long, n_words long, keep_id long, passage string"
-    return arrow(_held(df, least_words, unit_words, id_col, text_col), find, schema).distinct()
+    held = map_arrow(df, [id_col, text_col], may_lose, "doc_id long, text string").join(lost.hint("merge"), "doc_id", "left")
+    found = map_arrow(df, [id_col, text_col], alone, schema).unionByName(arrow(held, to_others, schema))
+    return found.dropDuplicates(["doc_id", "span_start", "span_end", "passage"])

@@ -120,6 +120,49 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM k GROUP BY doc_id
 """
 
+OP3_SQL = r"""
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln
+  FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+), c AS (
+  SELECT doc_id, ln, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY ln) - length(line) - 1 AS base,
+         string_split(regexp_replace(regexp_replace(line, '([.!?]+)([\x20\x09-\x0D])', '\1' || chr(57344) || '\2', 'g'), '([。！？]+)', '\1' || chr(57344), 'g'), chr(57344)) AS pieces
+  FROM l
+), p AS (
+  SELECT doc_id, ln, base, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM c
+), b AS (
+  SELECT doc_id, ln, k, base + sum(length(piece)) OVER (PARTITION BY doc_id, ln ORDER BY k) - length(regexp_replace(piece, '^[\x20\x09-\x0D]+', '')) AS first,
+         regexp_replace(regexp_replace(piece, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS body FROM p
+), s AS (
+  SELECT doc_id, ln, first, first + length(body) AS after, row_number() OVER w AS idx,
+         translate(regexp_replace(body, '[\x20\x09-\x0D]+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS form,
+         len(regexp_extract_all(regexp_replace(body, '[\x20\x09-\x0D]+', ' ', 'g'), '[DENSE]|[^ DENSE]+')) AS n
+  FROM b WHERE body <> '' WINDOW w AS (PARTITION BY doc_id, ln ORDER BY k)
+), t AS (
+  SELECT *, sum(n) OVER (PARTITION BY doc_id, ln ORDER BY idx) AS total FROM s
+), near AS (
+  SELECT x.doc_id, x.ln, x.idx AS i, y.idx AS j FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.ln = y.ln AND y.idx BETWEEN x.idx AND x.idx + LEAST - 1
+  WHERE y.total - x.total + x.n >= LEAST
+), u AS (
+  SELECT doc_id, ln, i, min(j) AS j FROM near GROUP BY doc_id, ln, i UNION SELECT doc_id, ln, max(i), j FROM near GROUP BY doc_id, ln, j
+), unit AS (
+  SELECT u.doc_id, u.ln, i, j, string_agg(form, ' ' ORDER BY idx) AS form FROM u JOIN t ON u.doc_id = t.doc_id AND u.ln = t.ln AND idx BETWEEN i AND j
+  GROUP BY u.doc_id, u.ln, i, j
+), place AS (
+  SELECT *, min(doc_id) OVER (PARTITION BY form) AS keeper, first_value(ln) OVER o AS ln0, first_value(j) OVER o AS j0 FROM unit
+  WINDOW o AS (PARTITION BY doc_id, form ORDER BY ln, i)
+), gone AS (
+  SELECT t.doc_id, t.ln, t.idx, any_value(first) AS first, any_value(after) AS after, any_value(n) AS n, min(keeper) AS keeper
+  FROM place p JOIN t ON p.doc_id = t.doc_id AND p.ln = t.ln AND idx BETWEEN i AND j
+  WHERE keeper < p.doc_id OR p.ln > ln0 OR i > j0 GROUP BY t.doc_id, t.ln, t.idx
+), run AS (
+  SELECT *, idx - row_number() OVER (PARTITION BY doc_id, ln ORDER BY idx) AS run FROM gone
+), span AS (
+  SELECT doc_id, min(first)::BIGINT AS span_start, max(after)::BIGINT AS span_end, sum(n)::BIGINT AS n_words, min(keeper) AS keep_id FROM run GROUP BY doc_id, ln, run
+)
+SELECT span.*, sha256(substring(text, span_start + 1, span_end - span_start)) AS passage_sha256 FROM span JOIN documents USING (doc_id)
+""".replace("DENSE", passage_dedup.DENSE).replace("LEAST", str(passage_dedup.LEAST_WORDS))
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -159,4 +202,4 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_join": op10_ngram_join,
 }
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op9_exact_dedup": OP9_SQL, "op10_ngram_join": OP10_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op3_passage_dedup": OP3_SQL, "op9_exact_dedup": OP9_SQL, "op10_ngram_join": OP10_SQL}

@@ -180,67 +180,104 @@ def test_line_dedup(spark):
 # -- passages ------------------------------------------------------------------------------
 
 
+WHITE = " \t\n\x0b\f\r"
+
+
+def plain_passages(rows, least=20):
+    """Spans that go, from the definition alone: every stretch of sentences is tried, none is hashed."""
+    places = defaultdict(list)  # unit -> (doc_id, line, first, last) in order
+    cut = {}
+    for i, text in sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], r[1] or "")):
+        at = 0
+        for number, line in enumerate((text or "").split("\n")):
+            found, begin = [], 0
+            ends = [k + 1 for k, c in enumerate(line) if c in ".!?" and line[k + 1 : k + 2] and line[k + 1] in WHITE or c in "。！？" and line[k + 1 : k + 2] not in tuple("。！？")]
+            for end in [*ends, len(line)]:
+                body = line[begin:end].strip(WHITE)
+                if body:
+                    first = at + line.index(body, begin)
+                    form = " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.split(f"[{WHITE}]+", body))
+                    n = len(re.findall(f"[{passage_dedup.DENSE}]|[^ {passage_dedup.DENSE}]+", form))
+                    found.append((first, first + len(body), form, n))
+                begin = end
+            cut[i, text, number] = found
+            at += len(line) + 1
+            total = lambda a, b: sum(s[3] for s in found[a : b + 1])  # noqa: B023, E731
+            for a in range(len(found)):
+                for b in range(a, len(found)):
+                    if total(a, b) >= least and (b == a or total(a, b - 1) < least or total(a + 1, b) < least):
+                        places[" ".join(s[2] for s in found[a : b + 1])].append((i, text, number, a, b))
+    gone = defaultdict(dict)
+    for own in places.values():
+        for i, text, number, a, b in own:
+            same = [p for p in own if p[:2] == (i, text)][0]
+            if own[0][0] < i or number > same[2] or number == same[2] and a > same[4]:
+                for k in range(a, b + 1):
+                    gone[i, text, number][k] = min(own[0][0], gone[i, text, number].get(k, i))
+    out = set()
+    for (i, text, number), lost in gone.items():
+        for k in sorted(lost):
+            if k - 1 not in lost:
+                last = k
+                while last + 1 in lost:
+                    last += 1
+                s = cut[i, text, number]
+                out.add((i, text[s[k][0] : s[last][1]], s[k][0], sum(x[3] for x in s[k : last + 1]), min(lost[x] for x in range(k, last + 1))))
+    return out
+
+
+def passages(spark, rows, **how):
+    found = passage_dedup.repeated_passages(frame(spark, rows).withColumns({c: F.lit(1) for c in ("digest", "keeper", "lost")}).repartition(4), **how).collect()
+    assert all(r.span_end - r.span_start == len(r.passage) for r in found)
+    got = [(r.doc_id, r.passage, r.span_start, r.n_words, r.keep_id) for r in found]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
 def test_passages(spark):
+    rng = random.Random(8)
     rows = corpus()
-    found = passage_dedup.repeated_passages(frame(spark, rows).repartition(4)).collect()
-    text = dict(rows)
-    holders = defaultdict(set)
-    for i, t in rows:
-        for u in passage_dedup.units(t or "", passage_dedup.UNIT_WORDS):
-            if u.digest:
-                holders[u.digest].add(i)
-    want = set()
-    for i, t in set(rows):
-        elsewhere = {d: min(own) for d, own in holders.items() if len(own) > 1 and min(own) != i}
-        want |= {(i, *span) for span in passage_dedup.runs(t or "", elsewhere, passage_dedup.LEAST_WORDS, passage_dedup.UNIT_WORDS)}
-    assert {(r.doc_id, r.span_start, r.span_end, r.n_words, r.keep_id) for r in found} == want and want
-    assert all(r.passage == text[r.doc_id][r.span_start : r.span_end] for r in found)
-    assert passage_dedup.repeated_passages(frame(spark, [])).collect() == []
-
-
-def test_runs_cross_short_units_and_end_with_long_ones():
-    text = "Own words here are many. Shared words are these ones. Yes. And these here are shared too. No. My own end is here."
-    units = passage_dedup.units(text, 4)
-    assert [text[u.start : u.end] for u in units][2] == "Yes."
-    elsewhere = {units[1].digest: 7, units[3].digest: 3}
-    assert passage_dedup.runs(text, elsewhere, 10, 4) == [(units[1].start, units[3].end, 12, 3)]
-    assert passage_dedup.runs(text, elsewhere, 13, 4) == []
-
-
-def spans_of(spark, rows):
-    found = passage_dedup.repeated_passages(frame(spark, rows)).collect()
-    text = dict(rows)
-    return {(r.doc_id, text[r.doc_id][r.span_start : r.span_end], r.n_words, r.keep_id) for r in found}
-
-
-def test_lines_of_short_sentences_and_without_spaces_are_units(spark):
+    text = lambda n: " ".join(rng.choice(["a", "b", "C", "d.", "e!", "f?!", "é.", "。"]) for _ in range(n))
+    many = [text(60) for _ in range(12)]
+    rows += [(3000 + k, f"{rng.choice(many)}\n{text(9)} {rng.choice(many)}\t{text(4)}\n\n{rng.choice(many)}") for k in range(40)]
+    rows += [(None, many[0]), (3000, many[1]), (4000, "x. " * 90), (4001, many[2] * 40)]
+    want = plain_passages(rows)
+    assert passages(spark, rows) == want and len(want) > 60
+    assert passages(spark, rows[:80], least_words=3) == plain_passages(rows[:80], 3)
+    assert passages(spark, []) == set() == passages(spark, [(None, many[0]), (None, many[0]), (1, None), (2, ""), (3, None)])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 9), max_size=12), st.integers(1, 15))
+def test_paragraphs(words, least):
+    n = len(words)
+    enough = [(a, b) for a in range(n) for b in range(a, n) if sum(words[a : b + 1]) >= least]
+    want = {(a, min(y for x, y in enough if x == a)) for a, _ in enough} | {(max(x for x, y in enough if y == b), b) for _, b in enough}
+    assert passage_dedup.paragraphs(words, least) == sorted(want)
+
+
+def test_passages_inside_lines_go_whole(spark):
+    """A passage of whole sentences within other text, which no hash of whole lines finds; short lines stay."""
+    rng = random.Random(12)
+    say = lambda *sizes: " ".join(words(rng, n, 10_000).capitalize() + "." for n in sizes)
+    shared, line = say(3, 14, 2, 30, 9, 1), "All rights reserved"
+    rows = [(k, f"{say(12, 3)} {shared} {say(30)}\n{line}\n{say(25)}") for k in (5, 3, 9)]
+    assert {(r[0], r[1], r[3], r[4]) for r in passages(spark, rows)} == {(5, shared, 59, 3), (9, shared, 59, 3)}
+
+
+def test_passages_without_spaces_and_of_short_sentences(spark):
     short = " ".join(f"W{i}!!" for i in range(25))
     dense = "人人生而自由在尊严和权利上一律平等。他们赋有理性和良心并应以兄弟关系的精神相对待。"
     rows = [(1, f"Own a.\n{short}\n{dense}"), (2, f"Other b.\n{short}\nMine c."), (3, f"{dense}另有一句话在这里。\nEnd d.")]
-    assert spans_of(spark, rows) == {(2, short, 25, 1), (3, dense, len(dense), 1)}
-
-
-def test_whole_lines_go_whatever_their_length(spark):
-    rows = [(1, "First own one.\nAll rights reserved\nEnd"), (2, "Some other own.\n  all Rights  reserved\nMore of it here. End"), (3, "No all rights reserved in a line")]
-    assert spans_of(spark, rows) == {(2, "all Rights  reserved", 3, 1)}
+    assert {(r[0], r[1], r[3], r[4]) for r in passages(spark, rows)} == {(2, short, 25, 1), (3, dense, len(dense), 1)}
 
 
-def test_repeats_inside_a_document_go_but_the_first(spark):
+def test_passages_of_a_document_that_repeats_itself(spark):
     line = " ".join(f"v{i}" for i in range(30))
-    rows = [(1, f"{line}\nown one\n{line}"), (2, f"{line}\nyours two"), (3, f"Alone\nx y\n{line} z\nx y"), (None, "q r\nq r")]
-    assert spans_of(spark, rows[:2]) == {(1, line, 30, 1), (2, line, 30, 1)}
-    assert passage_dedup.repeated_passages(frame(spark, rows[3:])).collect() == []
-    found = passage_dedup.repeated_passages(frame(spark, rows[2:3])).collect()
-    assert [(r.span_start, r.passage, r.keep_id) for r in found] == [(len(rows[2][1]) - 3, "x y", 3)]
-
-
-def test_passages_inside_sentences_go_whole(spark):
-    rng = random.Random(12)
-    shared = [words(rng, n, 10_000) for n in (20, 60, 35, 19)]
-    shared[1] = shared[1].replace(" ", ". ", 9).replace(". ", " ", 8)  # one sentence end inside
-    rows = [(i, " ".join([words(rng, 30, 10_000), *(f"{words(rng, 12, 10_000)} {s}" for s in shared), words(rng, 30, 10_000)])) for i in (1, 2)]
-    rows.append((3, f"é {words(rng, 15, 10_000)} {shared[2].upper()} {words(rng, 15, 10_000)}"))
-    assert spans_of(spark, rows) == {(2, s, len(s.split()), 1) for s in shared[:3]} | {(3, shared[2].upper(), 35, 1)}
+    rows = [(1, f"{line}\nown one\n{line}"), (2, f"{line}\nyours two"), (3, f"Alone\n{line} z\n{line} Z")]
+    assert {(r[0], r[2], r[4]) for r in passages(spark, rows)} == {(1, len(line) + 9, 1), (2, 0, 1), (3, len(line) + 9, 3)}
+    long = " ".join(f"u{i}" for i in range(200_000))
+    assert {(r[0], r[3]) for r in passages(spark, [(1, long), (2, long), (3, f"x. {long}")])} == {(2, 200_000), (3, 200_000)}
 
 
 # -- near duplicates -----------------------------------------------------------------------
