@@ -1,18 +1,26 @@
 """Main text of web pages by text density.
 
 The standard library's streaming parser emits events; every block boundary begins a new
-line, whose text-to-tag ratio is its characters over one plus its tags. Ratios are smoothed
-by a Gaussian along the page and split by a threshold between their two clusters. Lines are
-weighed by region, the sectioning element they stand in: a region with a line in the upper
-cluster is content, and then all its lines are kept, headings and short paragraphs too.
-Elements that are never article text (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments) are told by tag, role or class and take no part. If
-the page marks an article or main element that has a line in the upper cluster of the whole
-page, regions outside of such elements take no part either; otherwise the marks decide nothing.
+line, whose text-to-tag ratio is its characters over one plus its tags, those of an article or
+main element counting ``MARKED`` times. Ratios are smoothed by a Gaussian along the page and
+split by a threshold between their two clusters. Regions are the sectioning and grouping
+elements, nested ones too; a line belongs to the innermost. What is content:
+
+* a region with a line in the upper cluster, with all of its own lines, headings and short paragraphs too,
+  and the article or main element that it stands in;
+* a region inside of a content region (other than the body itself), unless it is in doubt: its class or
+  id has a word that may name boilerplate, or more than half of its text is links;
+* if no region has such a line, the region of the longest line.
+
+Elements that are never article text (menus, page headers, footers, sidebars, adverts, forms,
+scripts, styles, reader comments) are told by tag, role or class and take no part; words that may
+name boilerplate rule an element out where it is not inside of an article or main element.
 
 Defined results: null, empty and text-free pages give the empty string; markup that is not
-closed ends with its parent or the page; a page of one short line keeps it; repeated rows
-are extracted each for itself; other columns are carried or not read.
+closed ends with its parent or the page; a page of one short line keeps it; equal ratios are one
+cluster, the upper one; of longest lines that tie the first decides; repeated rows are extracted
+each for itself; a null page_id or url is carried as null; other columns are not read. Pages of any
+length are read whole.
 """
 
 from __future__ import annotations
@@ -20,6 +28,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +37,8 @@ from pyspark.sql import DataFrame
 from gneiss.llm.common import map_arrow, strings
 
 SIGMA = 2.0
+#: What a line inside of an article or main element counts, beside others.
+MARKED = 2.0
 
 # Names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,75 +47,104 @@ BLOCKS = frozenset(
     "figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol optgroup option p pre section "
     "summary table tbody td tfoot th thead title tr ul".split()
 )
-REGIONS = frozenset("article body div main section td".split())
+REGIONS = frozenset("article body div dl figure header main ol section table td ul".split())
 NEVER = frozenset(
-    "aside button canvas datalist dialog embed footer form head header iframe input math menu nav noscript object "
+    "aside button canvas datalist dialog embed footer form head iframe input math menu nav noscript object "
     "option script select style svg template textarea title".split()
 )
 NEVER_ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split()
 )
+# Words of classes and ids that name boilerplate, and words that may.
 _NEVER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|consent|cookies?|disqus|"
-    r"footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo|promoted|related|"
-    r"replies|reply|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|breadcrumbs?|comments?|consent|cookies?|disqus|"
+    r"footer|gdpr|masthead|modal|nav|navbar|navigation|newsletter|popup|replies|reply|respond|sidebar|sponsor|sponsored|"
+    r"subscribe|toolbar)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+_DOUBTED_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:banner|header|menu|notices?|promo|promoted|related|share|sharing|social|widget)(?:$|[\s_-])", re.IGNORECASE
+)
 #: What an open paragraph is closed by.
 _CLOSES_P = frozenset(
     "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr main menu nav ol p pre section table ul".split()
 )
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_ARTICLE_HEADER = 2
+
+
+class Region(NamedTuple):
+    parent: int  # itself for the page
+    spreads: bool  # whether regions inside of it are content if it is
+    doubted: bool
+    article: int | None  # the innermost article or main element that it is or is in
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int  # characters in links
+    region: int
+    marked: bool  # inside of an article or main element
+
+    def ratio(self) -> float:
+        return len(self.text) / (1 + self.tags) * (MARKED if self.marked else 1)
+
+
+class _Open(NamedTuple):
+    tag: str
+    never: bool
+    region: int
+    marked: bool
+    link: bool
 
 
 class _Events(HTMLParser):
-    """Lines of the page: text pieces, tags, region and whether in an article."""
+    """Lines and regions of the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, int, bool]] = []  # tag, never, region, in article
-        self.regions = 0
-        self.lines: list[tuple[list[str], int, int, bool]] = []
+        self.now = _Open("", False, 0, False, False)
+        self.stack: list[_Open] = []
+        self.regions = [Region(0, False, False, None)]
+        self.lines: list[Line] = []
         self.text: list[str] = []
-        self.tags = 0
-        self.now = ("", 0, 0, False)
+        self.tags = self.linked = 0
 
-    def _break(self) -> None:
+    def end_line(self) -> None:
+        text = " ".join("".join(self.text).split())
+        if text:
+            self.lines.append(Line(text, self.tags, self.linked, self.now.region, self.now.marked))
         if self.text:
-            self.lines.append((self.text, self.tags, self.now[2], self.now[3]))
             self.text = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def handle_starttag(self, tag, attrs):
         if tag in _CLOSES_P:
             self._close_p()
         if tag in BLOCKS:
-            self._break()
+            self.end_line()
         self.tags += 1
         if tag in VOID:
             return
-        _, never, region, inside = self.now
-        if never == _ARTICLE_HEADER and tag in _HEADINGS:
-            never = 0  # the heading of an article is its text, the rest of its header is not
-        elif not never:
-            if tag in NEVER:
-                never = _ARTICLE_HEADER if tag == "header" and inside else 1
+        _, never, region, marked, link = self.now
+        if not never:
+            doubted = False
+            never = tag in NEVER or tag == "header" and not marked
             for name, value in attrs:
                 if name in ("class", "id"):
-                    if value and tag not in ("html", "body") and _NEVER_NAMES.search(value):
-                        never = 1
+                    if value and tag not in ("html", "body"):
+                        never = never or _NEVER_NAMES.search(value) is not None
+                        doubted = doubted or _DOUBTED_NAMES.search(value) is not None
                 elif name == "role":
-                    if (value or "").lower() in NEVER_ROLES:
-                        never = 1
+                    never = never or (value or "").lower() in NEVER_ROLES
                 elif name == "hidden" or name == "aria-hidden" and value == "true":
-                    never = 1
-            if tag == "article" or not inside and (never or tag in REGIONS):
-                self.regions += 1
-                region = self.regions
-        inside = inside or tag in ("article", "main")
-        self.now = tag, never, region, inside
+                    never = True
+            never = never or doubted and not marked
+            if not never and (tag in REGIONS or doubted and tag in BLOCKS):
+                article = len(self.regions) if tag in ("article", "main") else self.regions[region].article
+                self.regions.append(Region(region, tag != "body", doubted, article))
+                region = len(self.regions) - 1
+        self.now = _Open(tag, never, region, marked or tag in ("article", "main"), link or tag == "a")
         self.stack.append(self.now)
 
     def handle_startendtag(self, tag, attrs):
@@ -117,31 +157,33 @@ class _Events(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
-            self._break()
+            self.end_line()
         self.tags += 1
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
+            if self.stack[i].tag == tag:
                 self._cut(i)
                 return
-            if self.stack[i][0] in REGIONS and tag not in REGIONS and tag not in NEVER:
+            if self.stack[i].tag in REGIONS and tag not in REGIONS and tag not in NEVER:
                 return  # a stray end tag closes nothing outside of its region
 
     def _close_p(self) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == "p":
-                self._break()
+            if self.stack[i].tag == "p":
+                self.end_line()
                 self._cut(i)
                 return
-            if self.stack[i][0] in BLOCKS:
+            if self.stack[i].tag in BLOCKS:
                 return
 
     def _cut(self, i: int) -> None:
         del self.stack[i:]
-        self.now = self.stack[-1] if self.stack else ("", 0, 0, False)
+        self.now = self.stack[-1] if self.stack else _Open("", False, 0, False, False)
 
     def handle_data(self, data):
-        if not self.now[1]:
+        if not self.now.never:
             self.text.append(data)
+            if self.now.link:
+                self.linked += len(data)
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -167,16 +209,25 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def _dense(lines: list[tuple[str, int, int, bool]], sigma: float) -> set[int]:
+def dense_regions(lines: list[Line], sigma: float) -> set[int]:
     """The regions with a line in the upper cluster."""
-    values = smoothed(np.array([len(text) / (1 + tags) for text, tags, _, _ in lines]), sigma)
+    values = smoothed(np.array([line.ratio() for line in lines]), sigma)
     cut = threshold(values)
     # A line lifted by its neighbours alone does not make its region content.
-    return {
-        region
-        for (text, tags, region, _), value in zip(lines, values, strict=True)
-        if value >= cut and len(text) / (1 + tags) >= cut / 2
-    }
+    return {line.region for line, value in zip(lines, values, strict=True) if value >= cut and line.ratio() >= cut / 2}
+
+
+def content_regions(lines: list[Line], regions: list[Region], sigma: float) -> set[int]:
+    content = dense_regions(lines, sigma) or {max(lines, key=lambda line: len(line.text)).region}
+    content |= {a for r in content if not regions[r].doubted and (a := regions[r].article) is not None}
+    size, linked = np.zeros(len(regions)), np.zeros(len(regions))
+    for line in lines:
+        size[line.region] += len(line.text)
+        linked[line.region] += line.linked
+    for number, (parent, _, doubted, _) in enumerate(regions):  # parents come before their children
+        if parent in content and regions[parent].spreads and not doubted and 2 * linked[number] <= size[number]:
+            content.add(number)
+    return content
 
 
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
@@ -185,21 +236,11 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     events = _Events()
     events.feed(html)
     events.close()
-    events._break()
-    lines = []
-    for pieces, tags, region, inside in events.lines:
-        text = " ".join("".join(pieces).split())
-        if text:
-            lines.append((text, tags, region, inside))
-    if not lines:
+    events.end_line()
+    if not events.lines:
         return ""
-    content = _dense(lines, sigma)
-    if any(inside and region in content for *_, region, inside in lines):
-        lines = [line for line in lines if line[3]]
-        content = _dense(lines, sigma)
-    if not content:
-        content = {max(lines, key=lambda line: len(line[0]))[2]}
-    return " ".join(text for text, _, region, _ in lines if region in content)
+    content = content_regions(events.lines, events.regions, sigma)
+    return " ".join(line.text for line in events.lines if line.region in content)
 
 
 def extract_pages(

@@ -1,10 +1,12 @@
 """Tokens, packing, secrets, FLAC, HTML and language identification against plain forms of the same contracts."""
 
 import hashlib
+import html
+import math
 import re
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gneiss.llm import flac, html_text, language_id, packing, secret_scan
+from gneiss.llm import flac, html_text, language_id, packing, queries, secret_scan
 from gneiss.llm.sentencepiece_codec import CharacterMap, Codec, decode_documents, encode_documents
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -242,7 +244,7 @@ PAGE = """<html><head><title>t</title><style>p{}</style><script>var a="</p>";</s
 
 
 def test_the_article_is_kept_whole_and_nothing_else():
-    assert html_text.main_text(PAGE) == "Head&line First para bolder text. next Short. Last é one."
+    assert html_text.main_text(PAGE) == "Head&line by someone First para bolder text. next Short. Last é one."
 
 
 def test_regions_are_found_by_density_without_an_article():
@@ -258,6 +260,65 @@ def test_a_small_article_beside_the_text_decides_nothing():
     assert text.startswith("long text of") and " Hi. more" in text and text.endswith("text of it")
 
 
+LONG, MORE = "long text of the page here " * 15, "more long text of it " * 15
+
+
+def test_density_decides_between_unmarked_regions(monkeypatch):
+    """Nothing on this page names its parts; without the clusters every one of them would be kept."""
+    page = f"<div><span>Tel 1</span> <b>2</b></div><div><h2>Title</h2><p>{LONG}<p>Hi.<p>{MORE}</div><div><i>Buy</i> <b>now</b> <i>or later</i></div>"
+    assert html_text.main_text(page) == f"Title {LONG}Hi. {MORE}".strip()
+    monkeypatch.setattr(html_text, "dense_regions", lambda lines, sigma: {line.region for line in lines})
+    assert html_text.main_text(page) == f"Tel 1 2 Title {LONG}Hi. {MORE}Buy now or later"
+
+
+def test_density_decides_inside_of_an_article(monkeypatch):
+    """Blocks whose class may name boilerplate go where they are sparse and stay where they are dense; lists of links go."""
+    page = f"""<article><h1>Title</h1><p>{LONG}</p><div class="share"><b>Tell</b> <i>a</i> <u>friend</u></div><div class="related">{MORE}</div>
+    <ul><li>Plain item</li><li>Another</li></ul><ul><li><a>One</a></li><li><a>Two</a></li></ul><div><p>Hi.</p></div></article>"""
+    assert html_text.main_text(page) == f"Title {LONG}{MORE}Plain item Another Hi."
+    monkeypatch.setattr(html_text, "dense_regions", lambda lines, sigma: {line.region for line in lines})
+    assert "Tell a friend" in html_text.main_text(page)
+
+
+def test_notices_outside_of_the_article_go_however_dense():
+    page = f"<div class='legal notice'><p>{LONG}{MORE}</p></div><main><h1>A title</h1><div><p>Short text of the page.</p></div></main><div id=menu>{LONG}</div>"
+    assert html_text.main_text(page) == "A title Short text of the page."
+
+
+def test_smoothing_and_threshold_against_plain_sums():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 40):
+        ratios = rng.uniform(0, 90, n)
+        weight = lambda a, b: math.exp(-0.5 * ((a - b) / 2.0) ** 2) if abs(a - b) <= 6 else 0.0
+        plain = [sum(weight(i, j) * ratios[j] for j in range(n)) / sum(weight(i, j) for j in range(n)) for i in range(n)]
+        assert np.allclose(html_text.smoothed(ratios, 2.0), plain)
+    assert html_text.threshold(np.array([1, 2, 3, 50, 52.0])) == (2 + 51) / 2 and html_text.threshold(np.array([4.0, 4.0])) == 4
+
+
+def plain_article(page):
+    inside = re.search(r"<article>(.*)</article>", page, re.DOTALL)[1]
+    parts = (html.unescape(re.sub(r"<[^>]*>", "", x)).split() for x in re.split(r"</?(?:p|h1|br)[^>]*>", inside))
+    return " ".join(" ".join(x) for x in parts if x)
+
+
+def test_all_pages_of_the_tables_and_what_density_finds_alone(spark, monkeypatch):
+    """The tables' pages against cutting the article out of them; then without any exclusion by name or mark,
+    where the clusters alone must still find nearly all text and leave most of the rest out."""
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    found = {r.page_id: r for r in queries.op8_html_text(spark, "/root/testdata/sf0.01").collect()}
+    assert {i: r.text for i, r in found.items()} == {i: plain_article(p) for i, p in pages.items()}
+    assert all(r.n_chars == len(r.text) for r in found.values())
+    never = frozenset("head noscript script style template title".split())
+    for name, value in (("NEVER", never), ("_NEVER_NAMES", re.compile("(?!)")), ("_DOUBTED_NAMES", re.compile("(?!)")), ("MARKED", 1.0)):
+        monkeypatch.setattr(html_text, name, value)
+    whole = right = kept = everything = 0
+    for page in pages.values():
+        want, got = Counter(plain_article(page).split()), Counter(html_text.main_text(page).split())
+        whole, right, kept = whole + want.total(), right + (want & got).total(), kept + got.total()
+        everything += len(re.sub(r"<[^>]*>", " ", re.sub(r"<head>.*</head>", "", page, flags=re.DOTALL)).split())
+    assert right >= 0.99 * whole and right >= 0.96 * kept and kept < everything
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<p>", "<script>x</script>", "<!-- only -->", "<nav>menu</nav>", "\x00<", "<a <b <c"])
 def test_pages_without_text(page):
     assert html_text.main_text(page) in ("", "<", "\x00<", "�<", "<a <b <c")
@@ -272,6 +333,9 @@ def test_extract_pages(spark):
     rows = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, "v", "")], "page_id long, url string, html string")
     found = html_text.extract_pages(rows).collect()
     assert sorted(len(r.text) for r in found)[:2] == [0, 0] and len(found) == 3
+    long = f"<body><nav>x</nav><article>{'<p>Some words of a very long page.' * 100_000}</article>"
+    odd = spark.createDataFrame([(None, None, long, 1), (1, "u", "<b>x" * 5000, 2)], "page_id long, url string, html string, text int")
+    assert sorted(len(r.text) for r in html_text.extract_pages(odd).collect()) == [5000, 32 * 100_000 - 1]
     assert html_text.extract_pages(rows.limit(0)).collect() == []
 
 
