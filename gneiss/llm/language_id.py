@@ -17,14 +17,18 @@ a hash of the id, whose n-gram counts (``BUCKETS`` numbers a language) are summe
 lie. Prediction sees the text alone.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and not
-ambiguous; with nothing to learn from, every text is ``und``. Repeated rows are predicted
-each for itself. Null languages are not learned. Other columns are not read.
+ambiguous; with nothing to learn from, every text is ``und``, and an empty table gives an empty
+result. Of languages that tie the first by name is predicted, and the text is ambiguous. Repeated
+rows are predicted each for itself, texts of any length whole. A null doc_id is carried as null. Null
+languages are not learned. ``predict`` reads no other columns; ``keep_identified`` carries them all,
+whatever their names, and keeps all texts with a letter where there was nothing to learn from.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -33,7 +37,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.functions.sizes import broadcast_if_small
 from gneiss.llm.common import arrow, durable, map_arrow, strings
 
 BUCKET_BITS = 16
@@ -146,65 +149,81 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def _sample(df: DataFrame, per_language: int) -> DataFrame:
     """About ``per_language`` rows of each language, by a hash of the id."""
-    sizes = df.groupBy("lang").count()
+    sizes = durable(df.groupBy("lang").count())  # a row for each language
     share = F.xxhash64("doc_id", F.lit(4)) % 1_000_003
-    rows = df.join(broadcast_if_small(sizes), "lang")
+    rows = df.join(sizes, "lang")
     return rows.where(F.abs(share) * F.col("count") < F.lit(per_language) * 1_000_003).drop("count")
 
 
 def fit(
     df: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> Model:
-    """Learn from the non-null languages of ``df``, which holds training rows only."""
+    """Learn from the non-null languages of ``df``, which holds training rows only.
+
+    Counting and measuring are one job each; what comes to the driver is a table of counts for
+    each language and half, summed by the executors, and a number for each row of the sample.
+    """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = durable(_sample(rows.where("lang is not null and text is not null"), per_language))
+    rows = _sample(rows.where("lang is not null and text is not null"), per_language)
+    # Dealt by row, so that a few long texts or one language do not make one task.
+    rows = durable(rows.repartition(rows.sparkSession.sparkContext.defaultParallelism))
+
+    def packed(sums: dict[tuple[str, int], np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([lang for lang, _ in sums], pa.string()), pa.array([half for _, half in sums], pa.int32()),
+                pa.array([zlib.compress(total.astype("<i8").tobytes(), 1) for total in sums.values()], pa.binary()),
+            ],
+            ["lang", "half", "counts"],
+        )
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Even and odd ids apart: weights come from one part, the bits' reliability from the other.
+        # Two halves of the ids apart: weights come from one, the bits' reliability from the other.
         sums: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
             for doc_id, text, lang in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang")), strict=True):
-                if not has_letter(text):
-                    continue
-                key = lang, _half(doc_id)
-                at = np.bincount(ngrams(fold(text)), minlength=BUCKETS)
-                sums[key] = sums.get(key, 0) + at
-        for (lang, half), total in sums.items():
-            yield pa.RecordBatch.from_pydict({
-                "lang": [lang], "half": pa.array([half], pa.int32()),
-                "counts": pa.array([total.astype("<i8").tobytes()], pa.binary()),
-            })
-
-    halves: dict[tuple[str, int], np.ndarray] = {}
-    counted = arrow(rows, count, "lang string, half int, counts binary")
-    for row in counted.toLocalIterator():  # a row for each task and language
-        key = row["lang"], row["half"]
-        halves[key] = halves.get(key, 0) + np.frombuffer(row["counts"], "<i8")
+                if has_letter(text):
+                    key = lang, _half(doc_id)
+                    sums[key] = sums.get(key, 0) + np.bincount(ngrams(fold(text)), minlength=BUCKETS)
+        yield packed(sums)
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            for lang, half, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[lang, half] = sums.get((lang, half), 0) + np.frombuffer(zlib.decompress(data), "<i8")
+        yield packed(sums)
+
+    schema = "lang string, half int, counts binary"
+    counted = arrow(arrow(rows, count, schema).repartition("lang", "half"), add, schema)
+    halves = {(r["lang"], r["half"]): np.frombuffer(zlib.decompress(bytes(r["counts"])), "<i8") for r in counted.collect()}
     languages = sorted({lang for lang, _ in halves})
     none = np.zeros(BUCKETS, np.int64)
     totals = [[halves.get((lang, h), none) for lang in languages] for h in (0, 1)]
     model = learn(languages, np.array(totals, np.float64))
+    if not languages:
+        return model
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # BUCKETS x bits of the code
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for doc_id, text, lang in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang")), strict=True):
                 if _half(doc_id) == 1 and has_letter(text):
-                    found.append((lang, float(model.means(fold(text))[0][-1])))
+                    found.append((lang, float(shared.value.means(fold(text))[0][-1])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "fit"]
             )
 
     fits: dict[str, list[float]] = {lang: [] for lang in languages}
-    if languages:
-        for row in arrow(rows, measure, "lang string, fit double").toLocalIterator():  # a number for each sampled row
-            fits[row["lang"]].append(row["fit"])
+    for row in arrow(rows, measure, "lang string, fit double").collect():
+        fits[row["lang"]].append(row["fit"])
     model.usual = usual_fit(model.mixture, [np.array(fits[lang]) for lang in languages], np.array(totals, np.float64)[1:].sum(0))
     return model
 
 
-def _half(doc_id: int | None) -> int:
-    return (doc_id or 0) // 7 % 2
+def _half(doc_id) -> int:
+    return zlib.crc32(str(doc_id).encode()) >> 5 & 1
 
 
 def usual_fit(mixture: np.ndarray, fits: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
@@ -297,22 +316,19 @@ def _predicted(model: Model, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
     )
 
 
-def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.4, least: int = 400) -> DataFrame:
+def keep_identified(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows whose language is identified, with their columns.
 
-    A row goes if it has no letter, if its fit is below the bound for its language and length, or if
-    ``least`` or more letters give no language a score of ``least_score``: short texts may be unclear
-    for want of evidence, and a text of two languages is ambiguous but not without one.
+    A row goes if its text is null or has no letter, or if its fit is below the bound for its language
+    and number of n-grams. A short text may be unclear for want of evidence, and one of two languages is
+    ambiguous, but neither is without a language; both stay.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, score, _, letters, fits = labels(shared.value, strings(batch, text_col))
-            keep = [
-                n != "und" and bool(f) and (s >= least_score or k < least)
-                for n, s, k, f in zip(names, score, letters, fits, strict=True)
-            ]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            texts = strings(batch, text_col)
+            fits = labels(shared.value, texts)[-1]
+            yield batch.filter(pa.array([has_letter(t) and bool(f) for t, f in zip(texts, fits, strict=True)], pa.bool_()))
 
     return arrow(df, run, df.schema)

@@ -366,9 +366,65 @@ def test_language_is_learned_and_predicted(spark):
     assert kept == {i for i, *_ in rows} | {1003}
     empty = language_id.fit(docs.limit(0))
     assert {r.lang_pred for r in language_id.predict(docs, empty).collect()} == {"und"}
+    assert {r.doc_id for r in language_id.keep_identified(docs, empty).collect()} == {i for i, *_ in rows} | {1003}
+    odd = spark.createDataFrame([(None, "the ship " * 200_000, "x", 1), (None, "der mit", None, 2)], "doc_id long, text string, lang string, score int")
+    assert [r.lang_pred for r in language_id.predict(odd, model).orderBy("lang_pred").collect()] == ["de", "en"]
+    assert language_id.keep_identified(odd, model).columns == ["doc_id", "text", "lang", "score"]
     assert language_id.predict(docs.limit(0), model).collect() == []
 
 
+def plain_model(rows):
+    """Codes, weights and reliability of ``rows`` by the definition, with dictionaries in place of arrays; a function from a text to its odds."""
+    def grams(text):
+        data = b" " + b" ".join(re.split(rb"[^a-z\x80-\xff]+", text.lower().encode())).strip() + b" "
+        for size, factor in ((3, 0x9E3779B1), (4, 0x85EBCA77)):
+            for k in range(len(data) - size + 1):
+                yield (int.from_bytes(data[k : k + size], "little") * factor & 0xFFFFFFFF) >> 16
+
+    langs = sorted({lang for _, _, lang in rows})
+    counts = {(lang, h): Counter() for lang in langs for h in (0, 1)}
+    for i, text, lang in rows:
+        counts[lang, zlib.crc32(str(i).encode()) // 32 % 2].update(grams(text))
+    code = language_id.codewords(len(langs))
+
+    def weight(of, bit, g):
+        sides = {1: [], -1: []}
+        for lang, word in zip(langs, code, strict=True):
+            sides[int(word[bit])].append((of[lang][g] + 0.5) / (of[lang].total() + 32768))
+        return math.log(sum(sides[1]) / len(sides[1])) - math.log(sum(sides[-1]) / len(sides[-1]))
+
+    halves = [{lang: counts[lang, h] for lang in langs} for h in (0, 1)]
+    both = {lang: counts[lang, 0] + counts[lang, 1] for lang in langs}
+    bits = range(code.shape[1])
+    mean = lambda of, c, b: sum(n * weight(of, b, g) for g, n in c.items()) / c.total()
+    trust = [max(0, min(mean(halves[0], halves[1][lang], b) * code[k, b] for k, lang in enumerate(langs))) for b in bits]
+    trust = [t * len(trust) / sum(trust) for t in trust]
+    scale = 4 / np.mean([[mean(both, both[lang], b) * code[k, b] for b in bits] for k, lang in enumerate(langs)])
+
+    def odds(text):
+        values = [mean(both, Counter(grams(text)), b) for b in bits]
+        loss = [sum(t * math.log1p(math.exp(-scale * v * word[b])) for b, t, v in zip(bits, trust, values, strict=True)) for word in code]
+        total = sum(math.exp(-x) for x in loss)
+        return {lang: math.exp(-x) / total for lang, x in zip(langs, loss, strict=True)}
+
+    return odds
+
+
+def test_language_against_a_plain_model(spark):
+    rng = np.random.default_rng(3)
+    words = {"en": "the thing and other".split(), "de": "der das und mit".split(), "fr": "le la et avec été".split()}
+    rows = [(i, " ".join(rng.choice(words[lang], 3)) + (" 12!" if i % 2 else ""), lang) for i, lang in enumerate(list(words) * 12)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    plain = plain_model(rows)
+    texts = ["the mit", "Der, und LA", "avec été; thing other", "et et et", "q", "thin", *(t for _, t, _ in rows[:6])]
+    found = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in found:
+        odds = plain(texts[r.doc_id])
+        assert r.lang_pred == max(odds, key=odds.get) and abs(r.score - max(odds.values())) < 1e-3
+        first, second = sorted(odds.values())[:-3:-1]
+        assert r.ambiguous == (first - second < 0.2 * first)
+
+
 def test_held_out_is_the_crc_of_the_id(spark):
     rows = spark.range(200).withColumn("out", language_id.held_out("id")).collect()
     assert all(r.out == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in rows)
