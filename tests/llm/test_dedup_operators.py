@@ -331,6 +331,50 @@ def test_product_links(sets):
     assert dict(zip(u.tolist(), v.tolist(), strict=True)) == dict(zip(x.tolist(), y.tolist(), strict=True))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 13), min_size=2, max_size=14, unique=True), max_size=30))
+def test_overlaps(columns):
+    pairs = [(r, c) for c, rows in enumerate(columns) for r in rows]
+    got = ngram_join.overlaps(np.array([r for r, _ in pairs], np.int64), np.array([c for _, c in pairs], np.int64), 14)
+    want = [[sum(a in rows and b in rows for rows in columns) for b in range(14)] for a in range(14)]
+    assert all(got[a][b] == want[a][b] for a in range(14) for b in range(14) if a != b)
+
+
+def test_sizes_within_the_bound_are_of_neighbouring_levels(spark):
+    n = np.arange(1, 20_000)
+    level = ngram_join._level(n)
+    assert (level[ngram_join.need(n) - 1] >= level - 1).all() and level[-1] > 30
+    column = spark.range(1, 20_000, 7).select(ngram_join._level(F.col("id")).alias("level")).collect()
+    assert [r.level for r in column] == level[::7].tolist()
+
+
+def test_names_that_sets_share_are_given_to_none(spark):
+    rows = corpus()
+    nodes = frame(spark, rows)
+    taken = frozenset(r.node for r in ngram_join._linked(nodes, 75, 100, 128, "doc_id", "text")[1].collect() if r.node % 2)
+    docs, again, linked, after = ngram_join._linked(nodes, 75, 100, 128, "doc_id", "text", taken)
+    assert after == taken and not taken & {r.node for r in again.collect()}
+    root = {r.node: r.root for r in linked.collect()}
+    groups = defaultdict(set)
+    for r in docs.where("node is not null").collect():
+        groups[root.get(r.node, r.node)].add(r.doc_id)
+    plain = defaultdict(set)
+    for i, n, c in plain_near(rows):
+        if n:
+            plain[c].add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, plain.values()))
+
+
+def test_a_cluster_of_many_sizes_and_strangers(spark):
+    """Rows chained by shared passages, most of them not linked, in blocks of few rows."""
+    rng = random.Random(14)
+    shared = [words(rng, 60, 10_000) for _ in range(3)]
+    rows = [(i, f"{shared[i % 3]} {words(rng, 2 + i, 10_000)} {shared[(i + 1) % 3] if i % 2 else ''}") for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " z" * (i % 3)) for i in range(0, 60, 2)]
+    found = ngram_join.near_duplicates(frame(spark, rows).repartition(5), rows_a_block=4)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == plain_near(rows)
+
+
 def test_representatives_stay(spark):
     rows = [r for r in corpus() if r[1] is not None]
     kept = ngram_join.keep_representatives(frame(spark, rows).withColumns({c: F.lit(1) for c in ("gone", "node", "component_id")})).drop("gone", "node", "component_id")
