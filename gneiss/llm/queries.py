@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -23,14 +24,15 @@ def op1_sentencepiece(spark, sf_dir):
                 pa.array([len(r.ids) for r in rows], pa.int64()),
                 pa.array([sha(",".join([digits[i] for i in r.ids])) for r in rows]),
                 pa.array([sha(t) for t in codec.decode([r.ids for r in rows])]),
-                pa.array([int(r.ends[-1]) if len(r.ends) else 0 for r in rows], pa.int64()),
+                # Start and end of each piece in the source, as unsigned little-endian 32-bit numbers.
+                pa.array([hashlib.sha256(np.stack((r.starts, r.ends), 1).astype("<u4").tobytes()).hexdigest() for r in rows]),
             ],
-            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "source_bytes"],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"],
         )
 
     return sentencepiece_codec.encoded(
         table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model"),
-        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, source_bytes long", digests,
+        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string", digests,
     )
 
 

@@ -6,10 +6,16 @@ came from. Piece lengths then run over the normalised bytes and are projected
 through that record, so each piece carries the byte span it covers in the source.
 Segmentation itself is the sentencepiece library's.
 
-Defined results: null and empty texts give no ids and decode to the empty string;
-a null id stays null; repeated rows give repeated results; other columns of the
-input are not read. Spans of byte pieces are single bytes. The added prefix has an
-empty span at the start of the text.
+Bytes that no rule changes stand for themselves in the record, those of a replacement all for
+the first byte of what they replace. Spans of byte pieces are therefore single bytes of a
+character that is as it was, and empty but for the last in one that was replaced. White space that
+the model drops is in no span at the head and tail of a text, elsewhere in that of the piece before.
+
+Defined results: null and empty texts give no ids and decode to the empty string, as do ids that
+are null; a null doc_id stays null; repeated rows give repeated results; texts of any length are
+encoded whole; an empty table gives an empty result; other columns of the input are not read,
+whatever their names. The added prefix has an empty span at the start of the text. Should pieces
+not cover the normalised bytes of a text, its spans are the library's own.
 """
 
 from __future__ import annotations
@@ -64,15 +70,16 @@ class CharacterMap:
         end = self.replacements.index(b"\0", found[1])
         return found[0], self.replacements[found[1] : end]
 
+    def begins(self, byte: int) -> bool:
+        """Whether a known prefix begins with this byte."""
+        node = self._offset(self.units[0]) ^ byte if self.units else 0
+        return bool(self.units) and node < len(self.units) and self.units[node] & 0x800000FF == byte
+
     @staticmethod
     def _offset(unit: int) -> int:
         return unit >> 10 << ((unit & 0x200) >> 6)
 
 
-def _character_bytes(first: int) -> int:
-    return 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
-
-
 class Encoded(NamedTuple):
     ids: list[int]
     starts: np.ndarray
@@ -84,14 +91,13 @@ class Codec:
 
     _loaded: dict[str, Codec] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, data: bytes):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
-        self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.processor = sentencepiece.SentencePieceProcessor(model_proto=data)
         model = model_pb2.ModelProto()
-        with open(path, "rb") as file:
-            model.ParseFromString(file.read())
+        model.ParseFromString(data)
         rules = model.normalizer_spec
         self.map = CharacterMap(rules.precompiled_charsmap)
         self.prefix, self.squeeze = rules.add_dummy_prefix, rules.remove_extra_whitespaces
@@ -101,73 +107,76 @@ class Codec:
             (p.piece.encode() for p in model.pieces if p.type == USER_DEFINED), key=len, reverse=True
         )
         self.unknown = {i for i, p in enumerate(model.pieces) if p.type == UNKNOWN}
-        #: Bytes of each piece in the normalised text, and in a source without literal space marks.
+        #: Bytes of each piece in the normalised text.
         self.length = np.array(
             [1 if p.type == BYTE else len(p.piece.encode()) for p in model.pieces], np.int64
         )
-        self.plain = np.array(
-            [
-                1 if p.type == BYTE else len(p.piece.encode().replace(SPACE_PIECE, b" "))
-                for p in model.pieces
-            ],
-            np.int64,
-        )
-        self.direct = not self.map.units and not self.squeeze and not self.symbols and not self.as_suffix
+        self.begins = np.zeros(256, bool)  # bytes that a rule or symbol may begin with
+        for byte in range(256):
+            self.begins[byte] = self.map.begins(byte) or any(s[0] == byte for s in self.symbols)
         self.digits = [str(i) for i in range(len(model.pieces))]
 
     @classmethod
     def load(cls, path: str) -> Codec:
         if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
+            with open(path, "rb") as file:
+                cls._loaded[path] = cls(file.read())
         return cls._loaded[path]
 
+    def _matches(self, source: bytes, bytes_: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        """(at, width, replacement) of every symbol and every prefix that a rule replaces, in order."""
+        done = 0
+        for at in np.flatnonzero(self.begins[bytes_]).tolist():
+            if at < done or source[at] & 0xC0 == 0x80:  # inside of what was read already
+                continue
+            symbol = next((s for s in self.symbols if source.startswith(s, at)), None)
+            found = (len(symbol), symbol) if symbol else self.map.longest(source, at)
+            if found:
+                done = at + found[0]
+                yield at, *found
+
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them and the end the source byte it stands at."""
         source = text.encode()
-        out, origin = bytearray(), []
-
-        def put(piece: bytes, at: int) -> None:
-            out.extend(piece)
-            origin.extend([at] * len(piece))
-
-        def put_matched(piece: bytes, at: int, width: int) -> None:
-            out.extend(piece)
-            if len(piece) == width:
-                origin.extend(range(at, at + width))
-            else:
-                origin.extend([at] * len(piece))
-
-        at, last_space = 0, self.squeeze
-        if self.prefix and source and not self.as_suffix:
-            put(self.space, 0)
-        while at < len(source):
-            symbol = next((s for s in self.symbols if source.startswith(s, at)), None)
-            if symbol:
-                width, piece = len(symbol), symbol
-            elif found := self.map.longest(source, at):
-                width, piece = found
-            else:
-                width = _character_bytes(source[at])
-                piece = source[at : at + width]
-            if self.squeeze and last_space:
-                piece = piece.lstrip(b" ")
-            if piece:
-                last_space = piece.endswith(b" ") and not symbol
-                if piece == source[at : at + width] and b" " not in piece:
-                    put_matched(piece, at, width)
-                else:
-                    for part in piece.replace(b" ", b"\0").split(b"\0")[:1]:
-                        put(part, at)
-                    for part in piece.split(b" ")[1:]:
-                        put(self.space, at)
-                        put(part, at)
-            at += width
+        raw = np.frombuffer(source, np.uint8)
+        origin = np.arange(len(raw))
+        # Where the piece that a byte stands in begins: a character, or all that replaces a prefix.
+        piece = origin
+        if self.begins.any() and (found := list(self._matches(source, raw))):
+            parts, at = [], 0
+            for start, width, new in found:
+                parts.append((raw[at:start], np.arange(at, start), np.arange(at, start)))
+                same = new == source[start : start + width]
+                parts.append((
+                    np.frombuffer(new, np.uint8), np.arange(start, start + width) if same else np.full(len(new), start), np.full(len(new), start)
+                ))
+                at = start + width
+            parts.append((raw[at:], np.arange(at, len(raw)), np.arange(at, len(raw))))
+            raw, origin, piece = (np.concatenate(c) for c in zip(*parts, strict=True))
+        if self.squeeze and len(raw):
+            space = raw == 32
+            first = np.searchsorted(piece, piece)  # place of the piece's first byte
+            after_space = (first == 0) | space[first - 1]
+            others = np.concatenate(([0], np.cumsum(~space)))
+            leading = space & (others[np.arange(len(raw))] == others[first])
+            raw, origin = raw[~(leading & after_space)], origin[~(leading & after_space)]
+        end = len(source)
+        if not len(raw):
+            return b"", np.array([end], np.int64)
+        mark = len(self.space)
+        out = raw.tobytes().replace(b" ", self.space)
+        origin = np.repeat(origin, np.where(raw == 32, mark, 1))
+        if self.prefix and not self.as_suffix:
+            out, origin = self.space + out, np.concatenate((np.full(mark, origin[0] if self.squeeze else 0), origin))
         if self.squeeze:
-            while out.endswith(self.space) and len(out) > 0:
-                del out[-len(self.space) :], origin[-len(self.space) :]
-        if self.prefix and source and self.as_suffix:
-            put(self.space, len(source))
-        return bytes(out), np.array([*origin, len(source)], np.int64)
+            size = len(out)
+            while out.endswith(self.space, 0, size):  # a literal mark at the end is a space too
+                size -= mark
+                end = int(origin[size])
+            out, origin = out[:size], origin[:size]
+        if self.prefix and self.as_suffix:
+            out, origin = out + self.space, np.concatenate((origin, np.full(mark, end)))
+        return out, np.append(origin, end)
 
     def encode(self, texts: list[str]) -> list[Encoded]:
         return [
@@ -179,23 +188,22 @@ class Codec:
         if not ids:
             none = np.zeros(0, np.int64)
             return Encoded(ids, none, none)
-        index = np.array(ids, np.int64)
-        if self.direct and "▁" not in text:
-            # No rule of the map can match, so source and normalised text differ only in the
-            # space marks and the prefix, and the record of alignment is the piece's own length.
-            ends = np.cumsum(self.plain[index]) - (1 if self.prefix else 0)
-            if ends[-1] == len(text.encode()) and not self.unknown.intersection(ids):
-                return Encoded(ids, np.concatenate(([0], ends[:-1])), ends)
         normal, origin = self.normalise(text)
-        lengths = self.length[index]
+        lengths = self.length[np.array(ids, np.int64)]
         if self.unknown.intersection(ids):  # an unknown piece has no length of its own
-            proto = self.processor.encode(text, return_type="proto")
-            lengths = np.array([len(p.piece.encode()) for p in proto.pieces], np.int64)
+            lengths = np.array([len(p.piece.encode()) for p in self.processor.encode(text, return_type="proto").pieces], np.int64)
         stops = np.cumsum(lengths)
         if stops[-1] != len(normal):
-            raise ValueError(f"pieces cover {stops[-1]} of {len(normal)} normalised bytes")
-        ends = origin[stops]
-        return Encoded(ids, np.concatenate(([0], ends[:-1])), ends)
+            return Encoded(ids, *self.library_spans(text))
+        return Encoded(ids, origin[stops - lengths], origin[stops])
+
+    def library_spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The library's own byte spans; those of byte pieces but the last of a character are empty."""
+        from sentencepiece import sentencepiece_pb2
+
+        proto = sentencepiece_pb2.SentencePieceText()
+        proto.ParseFromString(self.processor.encode(text, return_type="serialized_proto"))
+        return np.array([p.begin for p in proto.pieces], np.int64), np.array([p.end for p in proto.pieces], np.int64)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.processor.decode(ids) if ids else []

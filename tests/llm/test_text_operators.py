@@ -51,15 +51,86 @@ def test_ids_are_the_librarys_and_spans_cover_the_source():
             )
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(max_size=60))
-def test_both_ways_to_project_agree(text):
-    codec = Codec.load(PIECES)
+def codec_with(rule=None, symbols=(), **how):
+    """The given model with another normaliser: a map that the library has compiled in, flags, user-defined symbols."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(PIECES, "rb") as file:
+        model.ParseFromString(file.read())
+    model.trainer_spec.treat_whitespace_as_suffix = how.pop("suffix", False)
+    for name, value in how.items():
+        setattr(model.normalizer_spec, name, value)
+    if rule:
+        rules = pb.ModelProto()
+        rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+        model.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    for piece, symbol in zip(model.pieces[1000:], symbols, strict=False):
+        piece.piece, piece.type = symbol, 4
+    return Codec(model.SerializeToString())
+
+
+CODECS = [
+    codec_with(), codec_with("nmt_nfkc"), codec_with("nfkc_cf", remove_extra_whitespaces=True), codec_with("nmt_nfkc_cf", add_dummy_prefix=False),
+    codec_with("nfkc", remove_extra_whitespaces=True, suffix=True), codec_with(None, remove_extra_whitespaces=True),
+    codec_with("nmt_nfkc", ["<sym>", "a b", "<s y"], remove_extra_whitespaces=True), codec_with(None, ["<sym>", "  x", "éé"]),
+]
+MIXED = st.text(st.sampled_from(list("ab <>symxﬁⅣ①éｶﾞＡ\u0301\u3000\t\u200b½ǅİßΣς한각日🙂\u00a0…▁")), max_size=40)
+
+
+def library_spans(codec, text):
+    """Spans by the library; its empty spans of byte pieces spread over the bytes of a character that is as it was."""
+    starts, ends = (x.tolist() for x in codec.library_spans(text))
+    normal = codec.processor.encode(text, out_type=str)
+    at = 0
+    while at < len(normal):
+        run = at
+        while re.fullmatch("<0x..>", normal[run]) and starts[run] == ends[run]:
+            run += 1
+        own = bytes(int(x[3:5], 16) for x in normal[at : run + 1]) if run > at else b""
+        if own and own == text.encode()[starts[run] : ends[run]]:
+            starts[at : run + 1] = range(starts[run], ends[run])
+            ends[at : run + 1] = [x + 1 for x in starts[at : run + 1]]
+        at = run + 1
+    return starts, ends
+
+
+@pytest.mark.parametrize("number", range(len(CODECS)))
+@settings(max_examples=150, deadline=None)
+@given(MIXED)
+def test_spans_are_the_librarys_with_every_kind_of_normaliser(number, text):
+    codec = CODECS[number]
     (found,) = codec.encode([text])
     normal, origin = codec.normalise(text)
+    assert len(origin) == len(normal) + 1 and (np.diff(origin) >= 0).all()
+    assert normal.decode() == codec.processor.normalize(text)
     if found.ids:
-        stops = np.cumsum(codec.length[np.array(found.ids)])
-        assert stops[-1] == len(normal) and (origin[stops] == found.ends).all()
+        assert codec.length[np.array(found.ids)].sum() == len(normal)  # so the spans are those of the record
+        assert (found.starts.tolist(), found.ends.tolist()) == library_spans(codec, text)
+
+
+def test_a_text_whose_pieces_do_not_add_up_has_the_librarys_spans(monkeypatch):
+    codec = codec_with()
+    monkeypatch.setattr(codec, "length", codec.length + 1)
+    (found,) = codec.encode(["two words é🙂"])
+    assert (found.starts.tolist(), found.ends.tolist()) == tuple(x.tolist() for x in codec.library_spans("two words é🙂"))
+
+
+def test_query_of_encoding(spark):
+    """Ids, decoded texts and spans of whole tables by the library alone."""
+    import sentencepiece
+
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=PIECES), codec_with()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    found = queries.op1_sentencepiece(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in found) == sorted(texts)
+    for r in found:
+        ids = library.encode(texts[r.doc_id])
+        pairs = b"".join(struct.pack("<II", a, b) for a, b in zip(*library_spans(codec, texts[r.doc_id]), strict=True))
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), sha(",".join(map(str, ids)).encode()))
+        assert (r.decoded_sha256, r.spans_sha256) == (sha(library.decode(ids).encode()), sha(pairs))
 
 
 def test_character_map_takes_the_longest_prefix():
@@ -77,13 +148,11 @@ def test_character_map_takes_the_longest_prefix():
     assert found.longest(b"abc", 0) == (2, b"yz")
     assert found.longest(b"ac", 0) == (1, b"x")
     assert found.longest(b"c", 0) is None
-    codec = Codec.load(PIECES)
-    old, codec.map = codec.map, found
-    try:
-        normal, origin = codec.normalise("cab a")
-        assert normal.decode() == "▁cyz▁x" and origin.tolist() == [0, 0, 0, 0, 1, 1, 3, 3, 3, 4, 5]
-    finally:
-        codec.map = old
+    assert found.begins(ord("a")) and not found.begins(ord("b"))
+    codec = codec_with()
+    codec.map, codec.begins[ord("a")] = found, True
+    normal, origin = codec.normalise("cab a")
+    assert normal.decode() == "▁cyz▁x" and origin.tolist() == [0, 0, 0, 0, 1, 1, 3, 3, 3, 4, 5]
 
 
 def test_encode_and_decode_frames(spark):
@@ -91,6 +160,10 @@ def test_encode_and_decode_frames(spark):
     back = {r.doc_id: r.text for r in decode_documents(rows, PIECES).collect()}
     assert back[0] == "" and back[1] == "" and back[4] == "  two  spaces "
     assert encode_documents(frame(spark, []), PIECES).collect() == []
+    odd = spark.createDataFrame([(None, [5, 6], "x"), (3, None, "y"), (3, [], None), (4, list(range(300, 900)) * 500, "z")], "doc_id long, ids array<int>, text string")
+    assert sorted(len(r.text) for r in decode_documents(odd, PIECES).collect())[:3] == [0, 0, 2]
+    (row,) = encode_documents(spark.createDataFrame([(None, "two é " * 200_000)], "doc_id long, text string"), PIECES).collect()
+    assert row.doc_id is None and row.ends[-1] == 7 * 200_000 and row.starts[1:] == row.ends[:-1]
 
 
 # -- packing -------------------------------------------------------------------------------
