@@ -6,6 +6,8 @@ the twice-filter too. If a hash is in two tasks, all its bits are in both, so th
 twice-filter misses no repeat; it may name a row that has none, which only costs that
 row a shuffle. The merged twice-filter alone is sent out. Its size follows the table's
 but never passes ``MOST_BITS`` (32 MB); beyond that more rows are suspected, up to all.
+
+Defined results: an empty table, or one without hashes, has an empty filter, which contains nothing.
 """
 
 from __future__ import annotations
@@ -61,6 +63,17 @@ def contains(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return hit
 
 
+def id_hashes(column: pa.Array) -> np.ndarray:
+    """Hashes of whole numbers; null has that of 0."""
+    return column.cast(pa.int64()).fill_null(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def id_filter(df: DataFrame, id_col: str):
+    """A filter over the ids of ``df``, sent to the executors; at most MOST_BITS."""
+    whole = repeated_filter(df, [id_col], lambda b: id_hashes(b.column(0)), filter_bits(df.count()), least=1)
+    return df.sparkSession.sparkContext.broadcast(whole)
+
+
 def repeated_filter(
     df: DataFrame, columns: list[str], hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int, least: int = 2
 ) -> np.ndarray:
@@ -106,7 +119,7 @@ def repeated_filter(
     parts = arrow(df.select(*columns), fill, schema)
     merged = arrow(parts.repartition(min(bits // 8 // width, 64), "segment"), merge, schema)
     whole = np.zeros(bits // 8, np.uint8)
-    for row in merged.select("segment", "once").toLocalIterator():  # MOST_BITS bounds their sum
+    for row in merged.select("segment", "once").collect():  # MOST_BITS bounds their sum
         bitmap = np.frombuffer(zlib.decompress(bytes(row["once"])), np.uint8)
         whole[row["segment"] * width :][: len(bitmap)] = bitmap
     return whole

@@ -3,26 +3,33 @@
 Nothing here knows about any one operator: reading tables, moving Arrow batches
 through a Python function, sizing a filter from table metadata and writing an
 intermediate table to the folder that every executor can see.
+
+Ids are whole numbers in every operator (any integer type, null allowed); an operator is
+refused a column of another type before it begins.
 """
 
 from __future__ import annotations
 
 import atexit
 import ctypes
+import functools
 import sys
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: The white space of the text contracts: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\f\r"
 WHITE_CLASS = r"[\x20\x09-\x0D]"
 
 _SCRATCH: dict[str, str] = {}
+_LOCAL = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +81,13 @@ def map_arrow(
     return arrow(df.select(*columns), function, schema)
 
 
+def with_ids(df: DataFrame, id_col: str) -> DataFrame:
+    """``df``, whose ids are whole numbers."""
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"column {id_col} must hold whole numbers, not {df.schema[id_col].dataType.simpleString()}")
+    return df
+
+
 def free(df: DataFrame, name: str) -> str:
     """``name``, or one like it that no column of ``df`` has."""
     while name in df.columns:
@@ -93,10 +107,12 @@ def table_bytes(df: DataFrame) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir; where that is unset and all runs on this machine, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
         _SCRATCH[app] = tempfile.mkdtemp(prefix="gneiss-")
@@ -106,16 +122,52 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    This cuts the lineage in one pass (an eager ``checkpoint()`` computes its rows
-    twice) and survives the loss of executors. The files go when the application ends.
+    This cuts the lineage in one pass (an eager ``checkpoint()`` computes its rows twice) and survives
+    the loss of executors. The files go when a ``tidy`` function that wrote them no longer needs them, at
+    the latest when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gneiss-{uuid.uuid4().hex}"
+    name = f"gneiss-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    _written()[name] = functools.partial(_remove, spark, path)
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(function: Callable) -> Callable:
+    """A function that removes the ``durable`` tables it wrote, but those that the frames it returns read."""
+
+    @functools.wraps(function)
+    def run(*args, **kwargs):
+        before, used = set(_written()), set()
+        try:
+            result = function(*args, **kwargs)
+            for frame in result if isinstance(result, tuple) else (result,):
+                if isinstance(frame, DataFrame):
+                    used |= _read_by(frame)
+            return result
+        finally:
+            for name in [n for n in _written() if n not in before and n not in used]:
+                _written().pop(name)()
+
+    return run
+
+
+def _written() -> dict[str, Callable[[], None]]:
+    """Names of this thread's tables, and what removes each."""
+    if not hasattr(_LOCAL, "tables"):
+        _LOCAL.tables = {}
+    return _LOCAL.tables
+
+
+def _read_by(df: DataFrame) -> set[str]:
+    """Names of the ``durable`` tables that the plan of ``df`` reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    plan = " ".join(leaf.relation().location().rootPaths().mkString(" ") for leaf in map(leaves.apply, range(leaves.size())) if leaf.nodeName().startswith("LogicalRelation"))
+    return {name for name in _written() if name in plan}
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -12,7 +12,8 @@ one group while a text of white space alone is a single space. Of equal texts th
 doc_id stays; rows without doc_id rank last, and if a group has no doc_id its keep_id is
 null; duplicate_groups keeps all of its rows, keep_first one. Rows that repeat a doc_id with
 the same text all bear the same decision; ``keep_first`` keeps one of them. An empty table
-gives an empty result; other columns may have any names.
+gives an empty result; other columns may have any names; texts of any length are hashed whole. Ids may be of any
+type that orders.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm import bloom
-from gneiss.llm.common import arrow, durable, free, spaced, table_bytes
+from gneiss.llm.common import arrow, durable, free, spaced, table_bytes, tidy
 
 #: Stored bytes that one document takes at least, on average; sizes the filter, never the result.
 BYTES_A_ROW = 200
@@ -61,6 +62,7 @@ def _digest(text_col: str):
     return F.unhex(F.sha2(spaced(F.col(text_col)), 256))
 
 
+@tidy
 def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, digest (SHA-256 of the normalised text), keep_id, group_size, kept."""
     rows = durable(df.select(F.col(id_col).alias("doc_id"), _digest(text_col).alias("digest")))
@@ -76,6 +78,7 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
+@tidy
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with its columns.
 

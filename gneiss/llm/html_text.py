@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gneiss.llm.common import map_arrow, strings
+from gneiss.llm.common import map_arrow, strings, with_ids
 
 SIGMA = 2.0
 #: What a line inside of an article or main element counts, beside others.
@@ -256,4 +256,4 @@ def extract_pages(
                 ["page_id", "url", "text"],
             )
 
-    return map_arrow(df, [id_col, url_col, html_col], run, "page_id long, url string, text string")
+    return map_arrow(with_ids(df, id_col), [id_col, url_col, html_col], run, "page_id long, url string, text string")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import arrow, durable, map_arrow, strings
+from gneiss.llm.common import arrow, durable, map_arrow, strings, tidy, with_ids
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -155,6 +155,7 @@ def _sample(df: DataFrame, per_language: int) -> DataFrame:
     return rows.where(F.abs(share) * F.col("count") < F.lit(per_language) * 1_000_003).drop("count")
 
 
+@tidy
 def fit(
     df: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> Model:
@@ -286,7 +287,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield _predicted(shared.value, batch.column(id_col).cast(pa.int64()), strings(batch, text_col))
 
     return map_arrow(
-        df, [id_col, text_col], run,
+        with_ids(df, id_col), [id_col, text_col], run,
         "doc_id long, lang_pred string, score double, ambiguous boolean, n_letters long",
     )
 

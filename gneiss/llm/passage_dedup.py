@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm import bloom
-from gneiss.llm.common import WHITE, WHITE_CLASS, arrow, durable, map_arrow, strings
+from gneiss.llm.common import WHITE, WHITE_CLASS, arrow, durable, map_arrow, strings, tidy, with_ids
 
 LEAST_WORDS = 20
 _END = re.compile(rf"[.!?]+(?={WHITE_CLASS})|[。！？]+")
@@ -149,19 +149,10 @@ def _first_eight(digests: Iterable[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(d[:8] for d in digests), "<u8")
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-
-def _id_filter(df: DataFrame):
-    """A filter over the doc_ids of ``df``, sent to the executors; at most bloom.MOST_BITS."""
-    bits = bloom.filter_bits(df.count())
-    return df.sparkSession.sparkContext.broadcast(bloom.repeated_filter(df, ["doc_id"], lambda b: _ids(b.column(0)), bits, least=1))
-
-
+@tidy
 def repeated_passages(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each removed passage: doc_id, span_start, span_end, n_words, keep_id, passage."""
-    context = df.sparkSession.sparkContext
+    context = with_ids(df, id_col).sparkSession.sparkContext
 
     def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +188,7 @@ def repeated_passages(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str
     exact = rows.select("doc_id", F.explode("digests").alias("digest")).join(repeated.hint("merge"), "digest")
     lost = exact.where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "keeper")).alias("lost"))
     lost = durable(lost)
-    losing, again = _id_filter(lost.select("doc_id")), _id_filter(rows.where("again").select("doc_id"))
+    losing, again = bloom.id_filter(lost, "doc_id"), bloom.id_filter(rows.where("again"), "doc_id")
 
     def cut(ids: list, texts: list[str], keepers: Iterable[dict[bytes, int]]) -> pa.RecordBatch:
         out = []
@@ -210,7 +201,7 @@ def repeated_passages(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str
 
     def alone(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = _ids(batch.column(id_col))
+            ids = bloom.id_hashes(batch.column(id_col))
             here = pc.and_(pc.is_valid(batch.column(id_col)), pa.array(bloom.contains(again.value, ids) & ~bloom.contains(losing.value, ids)))
             batch = batch.filter(here)
             texts = strings(batch, text_col)
@@ -218,7 +209,7 @@ def repeated_passages(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str
 
     def may_lose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            here = pc.and_(pc.is_valid(batch.column(id_col)), pa.array(bloom.contains(losing.value, _ids(batch.column(id_col)))))
+            here = pc.and_(pc.is_valid(batch.column(id_col)), pa.array(bloom.contains(losing.value, bloom.id_hashes(batch.column(id_col)))))
             batch = batch.filter(here)
             yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), batch.column(text_col)], ["doc_id", "text"])
 

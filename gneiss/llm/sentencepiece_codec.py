@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gneiss.llm.common import map_arrow, strings
+from gneiss.llm.common import map_arrow, strings, with_ids
 
 SPACE_PIECE = "▁".encode()
 UNKNOWN, CONTROL, USER_DEFINED, BYTE = 2, 3, 4, 6  # piece types of the model format
@@ -234,7 +234,7 @@ def encoded(df: DataFrame, id_col: str, text_col: str, model: str, schema: str,
             for a, b in _slices(texts):
                 yield finish(codec, batch.slice(a, b - a), texts[a:b], codec.encode(texts[a:b]))
 
-    return map_arrow(df, [id_col, text_col], run, schema)
+    return map_arrow(with_ids(df, id_col), [id_col, text_col], run, schema)
 
 
 def encode_documents(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,4 +269,4 @@ def decode_documents(df: DataFrame, model: str, id_col: str = "doc_id", ids_col:
                 ["doc_id", "text"],
             )
 
-    return map_arrow(df, [id_col, ids_col], run, "doc_id long, text string")
+    return map_arrow(with_ids(df, id_col), [id_col, ids_col], run, "doc_id long, text string")
