@@ -6,17 +6,22 @@ to short: a window opens with the longest fragment of its tier, the gap is fille
 the longest fitting fragments of the same or shorter tiers, and when none fits, a
 shorter fragment is cut to the gap. Every window of a tier is thus full, and as tiers
 are powers of two none is padded; only the last few tokens of a task are left as one
-short sequence. Sequences of a tier are dealt into step groups of equal tokens.
+short sequence.
 
 Packing is local to a task: it moves no rows, and a lost task makes the same sequences
-again. Sequence ids hold the partition in their upper bits.
+again. Sequence ids hold the partition in their upper bits. Step groups are balanced over all
+tasks: once the pieces are written, the sequences of a tier are numbered through, from the counts of
+the tasks alone, and every group of a tier but its last has ``step_tokens`` tokens (where the tier's
+sequences are whole).
 
 Defined results: a null or empty text has the end id alone; a null doc_id is carried
-as null; repeated rows are packed each for itself; other columns are not read.
+as null; repeated rows are packed each for itself; texts of any length are cut into as many windows as
+they take; an empty table gives an empty result; other columns may have any names and are not read.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain, repeat
@@ -25,17 +30,33 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from gneiss.llm.common import map_arrow
+from gneiss.llm.common import durable, map_arrow, tidy
+from gneiss.llm.common import with_ids as check_ids
 
 TIERS = (2048, 1024, 512, 256, 128, 64)
 STEP_TOKENS = 65_536
 
 
+# The settings of a tokenizer file whose words may be tokenized one by one.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: How the tokenizer splits a normalised text, and words in which that is plain: printable ASCII and Latin letters.
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_SPLIT = regex.compile(_PATTERN)
 _PLAIN = regex.compile(r"[!-~\u00a1-\u00ac\u00ae-\u024f]+")
+_WHITE = regex.compile(r"\s")
 _COMBINING = 0xCC  # first byte of U+0300 in UTF-8; below it, normalisation form C changes nothing
 
 
@@ -58,9 +79,9 @@ def _is_letters(word: bytes) -> bool:
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer whose pieces never cross ASCII white space.
+    """Ids of whole texts by a tokenizer, whose pieces never cross ASCII white space if its file has the settings above.
 
-    Texts are split at ASCII white space, each distinct word is tokenized once, and its ids are
+    A file with other settings goes through the library text by text. Else texts are split at ASCII white space, each distinct word is tokenized once, and its ids are
     kept. The tokenizer's normaliser and splitter drop white space and look at no neighbour
     across it, so the ids are those of the whole text. Words of printable ASCII and Latin letters
     are lower-cased and split here, which the library's model takes as it would its own; any other
@@ -75,8 +96,16 @@ class WordTokenizer:
 
         self.tokenizer, self.most_words = Tokenizer.from_file(path), most_words
         self.model = self.tokenizer.model
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.marks = {m: self._part(chr(m)) for m in _MARKS}
+        with open(path, encoding="utf-8") as file:
+            settings = json.load(file)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.by_word = (
+            settings["normalizer"] == _NORMALIZER and settings["pre_tokenizer"] == _SPLITTER and settings["model"]["type"] == "BPE"
+            and not settings["model"]["dropout"] and not settings["truncation"]
+            and all(t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word) and t.content.islower() and not _WHITE.search(t.content) for t in added)
+        )
+        self.special = [t.content for t in added]
+        self.marks = {m: self._part(chr(m)) for m in _MARKS} if self.by_word else {}
         self.clear()
 
     @classmethod
@@ -132,6 +161,8 @@ class WordTokenizer:
         self.known.update(zip(words, range(n, top), strict=True))
 
     def encode(self, text: str) -> np.ndarray:
+        if not self.by_word:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         data = text.encode()
         if data and np.frombuffer(data, np.uint8).max() < _COMBINING:
             # Words that differ in case alone are one word; the tokenizer lower-cases them anyway.
@@ -229,6 +260,7 @@ PIECES = (
 )
 
 
+@tidy
 def pack_documents(
     df: DataFrame,
     tokenizer: str,
@@ -242,7 +274,7 @@ def pack_documents(
     """One row per piece of a document in a sequence; ``with_ids`` adds the piece's ids.
 
     ``tier`` is the context size of the window (a sequence is padded to the longest tier
-    only where its length is no power of two), ``step_group`` its group of equal tokens.
+    only where its length is no power of two), ``step_group`` its group of equal tokens, tiers apart.
     """
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(tiers, reverse=True):
         raise ValueError("tiers are powers of two, longest first")
@@ -257,13 +289,13 @@ def pack_documents(
             nonlocal sequences
             for size, window in windows:
                 tier = next(t for t in reversed(tiers) if t >= size)
-                group = (tiers.index(tier) << 30) + of_tier[tier] * tier // step_tokens
+                number = of_tier[tier]
                 of_tier[tier] += 1
                 offset = 0
                 for document, start, length in window:
                     doc_id, ids = held[document]
                     piece = ids[start : start + length]
-                    rows.append((doc_id, start, length, zlib.crc32(piece), len(ids), part + sequences, offset, tier, part + group, *([piece] if with_ids else [])))
+                    rows.append((doc_id, start, length, zlib.crc32(piece), len(ids), part + sequences, offset, tier, number, *([piece] if with_ids else [])))
                     offset += length
                 sequences += 1
 
@@ -295,5 +327,16 @@ def pack_documents(
         if rows:
             yield out()
 
-    schema = PIECES + (", ids array<int>" if with_ids else "")
-    return map_arrow(df, [id_col, text_col], run, schema)
+    schema = PIECES.replace("step_group", "number") + (", ids array<int>" if with_ids else "")
+    pieces = durable(map_arrow(check_ids(df, id_col), [id_col, text_col], run, schema))
+    part = F.shiftright("sequence_id", 36).alias("part")
+    counts = durable(pieces.where("offset = 0").groupBy(part, "tier").agg(F.count(F.lit(1)).alias("sequences")))
+    earlier = Window.partitionBy("tier").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(F.col("part").alias("base_part"), F.col("tier").alias("base_tier"), F.coalesce(F.sum("sequences").over(earlier), F.lit(0)).alias("base"))
+    of_task = (F.shiftright("sequence_id", 36) == F.col("base_part")) & (F.col("tier") == F.col("base_tier"))
+    index = F.array_position(F.array(*map(F.lit, tiers)), F.col("tier")) - 1
+    sequences = F.greatest(F.lit(step_tokens) / F.col("tier"), F.lit(1)).cast("long")
+    group = F.shiftleft(index.cast("long"), 58) + F.floor((F.col("base") + F.col("number")) / sequences)
+    return pieces.join(durable(base), of_task).select(
+        *(group.cast("long").alias("step_group") if n == "number" else n for n in pieces.columns)
+    )

@@ -198,12 +198,40 @@ def test_windows_hold_each_token_once_and_are_full(lengths, step):
     assert sum(size & (size - 1) != 0 for size, _ in windows) <= 1
 
 
+def test_a_tokenizer_of_other_rules_takes_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, words = Tokenizer.from_file(path), packing.WordTokenizer(path, 50)
+    assert not words.by_word and packing.WordTokenizer(WORDS, 50).by_word
+    for text in TEXTS:
+        assert words.encode(text or "").tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_step_groups_are_balanced_over_tasks(spark):
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice(["a", "bb", "c,"], rng.integers(0, 700))) for _ in range(150)]
+    rows = packing.pack_documents(frame(spark, texts).repartition(7), WORDS, step_tokens=4096).collect()
+    tokens, tiers, sequences = Counter(), {}, defaultdict(set)
+    for r in rows:
+        tokens[r.step_group] += r.length
+        sequences[r.tier].add(r.sequence_id)
+        assert tiers.setdefault(r.step_group, r.tier) == r.tier
+    for tier in packing.TIERS:
+        groups = sorted(g for g in tiers if tiers[g] == tier)
+        ragged = [g for g in groups if tokens[g] != 4096]
+        assert len(groups) == -(-len(sequences[tier]) * tier // 4096)
+        assert len(ragged) <= 1 if tier > 64 else True  # the shortest tier has the tasks' last few tokens too
+
+
 def test_packed_pieces(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(WORDS)
     rows = packing.pack_documents(frame(spark, TEXTS), WORDS, with_ids=True).collect()
     assert packing.pack_documents(frame(spark, []), WORDS).collect() == []
+    odd = spark.createDataFrame([(None, "a b " * 300_000, 1, 2), (None, None, 1, 2)], "doc_id long, text string, tier int, part int")
+    assert sum(r.length for r in packing.pack_documents(odd, WORDS).collect()) == 600_002
     sequences = defaultdict(list)
     for r in rows:
         whole = library.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids + [1]
