@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from gneiss.config import DEFAULTS, Settings
 
-# A cell that is a figure, and cells that only align.
+# A cell that is a figure, cells that only align, and what tells a table of contents.
 NUMERIC_CELL = r"(?U)^\(?\$?\s*-?\d[\d,]*(\.\d+)?\s*\)?%?$"
 FILLER_CELLS = ("$", "(", ")", "%", "*", "—", "-", "|")
+CONTENTS_WORDS, PAGE_HEADING, CONTENTS_ROW = "table of contents", "page", r"(?i)^(item|part)\b"
 
 
 def without_fillers(rows: Column) -> Column:
@@ -24,9 +25,9 @@ def numeric_cells(rows: Column) -> Column:
 
 def is_contents(rows: Column) -> Column:
     """A table of contents: says so, has a 'page' column, or is mostly Item and Part rows."""
-    said = F.lower(F.array_join(F.flatten(rows), " ")).contains("table of contents")
-    page = F.exists(rows, lambda r: F.lower(F.element_at(r, 1)) == "page")
-    items = F.size(F.filter(rows, lambda r: F.element_at(r, 1).rlike(r"(?i)^(item|part)\b")))
+    said = F.lower(F.array_join(F.flatten(rows), " ")).contains(CONTENTS_WORDS)
+    page = F.exists(rows, lambda r: F.lower(F.element_at(r, 1)) == PAGE_HEADING)
+    items = F.size(F.filter(rows, lambda r: F.element_at(r, 1).rlike(CONTENTS_ROW)))
     return said | page | (items >= F.greatest(F.lit(3), F.floor(F.size(rows) / 2)))
 
 

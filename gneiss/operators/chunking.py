@@ -11,8 +11,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from gneiss.config import DEFAULTS, Settings
-from gneiss.functions import html_tree
-from gneiss.functions import tables
+from gneiss.functions import html_flow, tables
+from gneiss.functions.columns import free
 from gneiss.functions import text as T
 from gneiss.schemas import CHUNK_COLUMNS
 
@@ -28,21 +28,30 @@ def html_events(df: DataFrame, key: str, html_col: str = "html", settings: Setti
         for batch in batches:
             keys, htmls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(keys), 64):  # a few documents' events at a time
-                rows = [{key: k} | e for k, h in zip(keys[at : at + 64], htmls[at : at + 64], strict=True) for e in html_tree.events(h or "", settings)]
+                rows = [{key: k} | e for k, h in zip(keys[at : at + 64], htmls[at : at + 64], strict=True) for e in html_flow.events(h or "", settings)]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return df.select(key, html_col).mapInArrow(run, schema)
 
 
+def dropped_contents(events: DataFrame, key: str) -> DataFrame:
+    """(key, n_dropped): how many tables of contents each document lost; documents that lost none have no row."""
+    return events.where("kind = 'contents'").groupBy(key).agg(F.count(F.lit(1)).alias("n_dropped"))
+
+
 def with_sections(events: DataFrame, key: str, heading) -> DataFrame:
-    """Events inside a section: its heading, and ``run``, which changes at headings and tables."""
+    """Events inside a section: its heading, and ``run``, which changes at headings and tables.
+
+    Columns ``section`` and ``run`` that the events may have give way to these.
+    """
     order = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     is_head = (F.col("kind") == "block") & heading
-    rows = events.withColumn("_head", F.coalesce(is_head, F.lit(False)))
-    rows = rows.withColumn("section", F.last(F.when(F.col("_head"), F.col("text")), ignorenulls=True).over(order))
+    own = free(events, "head")
+    rows = events.where("kind <> 'contents'").withColumn(own, F.coalesce(is_head, F.lit(False)))
+    rows = rows.withColumn("section", F.last(F.when(F.col(own), F.col("text")), ignorenulls=True).over(order))
     rows = rows.where("section is not null")
-    breaks = F.sum((F.col("_head") | (F.col("kind") == "table")).cast("int")).over(order)
-    return rows.withColumn("run", breaks).where(~F.col("_head")).drop("_head")
+    breaks = F.sum((F.col(own) | (F.col("kind") == "table")).cast("int")).over(order)
+    return rows.withColumn("run", breaks).where(~F.col(own)).drop(own)
 
 
 def section_blocks(events: DataFrame, key: str, heading, settings: Settings = DEFAULTS) -> DataFrame:
@@ -67,7 +76,7 @@ def document_blocks(df: DataFrame, key: str, html_col: str = "html", settings: S
     ).select(key, "section", "chunk_type", "table_title", "body", F.struct(F.lit(0).alias("seq"), "part").alias("block_seq"), F.lit(2).alias("way"))
     every = item.unionByName(caps).unionByName(whole)
     best = F.min("way").over(Window.partitionBy(key))
-    return every.withColumn("_best", best).where("way = _best").drop("_best", "way")
+    return every.withColumn("best", best).where("way = best").drop("best", "way")
 
 
 def chunk_filings(filings: DataFrame, key: str = "source_url", html_col: str = "html", slug_index: bool = False, settings: Settings = DEFAULTS) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
+from gneiss.functions.columns import free
 from gneiss.operators.chunking import chunk_filings
 from gneiss.schemas import SAVED_FILING, SUBMISSIONS, TICKER_MAP
 
@@ -46,8 +47,9 @@ def resolve(known: DataFrame, ticker: str) -> tuple[str, str, str]:
 
 def first_of_each(rows: DataFrame, group: list[str | Column], order: list[str | Column], limit: int) -> DataFrame:
     """The first ``limit`` rows of each group."""
+    own = free(rows, "n")
     n = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return rows.withColumn("_n", n).where(F.col("_n") <= limit).drop("_n")
+    return rows.withColumn(own, n).where(F.col(own) <= limit).drop(own)
 
 
 def recent_filings(submissions: DataFrame, forms=DEFAULT_FORMS, limit_per_form: int = 5, json_col: str = "value") -> DataFrame:
