@@ -43,10 +43,9 @@ def clean(c: Column) -> Column:
 def terms(c: Column) -> Column:
     """Every meaningful term of a text, in order and with repeats: lower case, one plural s off."""
     raw = F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit("[a-z0-9]+"), F.lit(0))
+    means = lambda t: (F.length(t) > 2) & ~t.isin(*STOP_WORDS)
     stem = lambda t: F.when(t.endswith("s") & ~t.endswith("ss"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    kept = F.filter(raw, lambda t: (F.length(stem(t)) > 2) & ~F.array_contains(stop, t) & ~F.array_contains(stop, stem(t)))
-    return F.transform(kept, stem)
+    return F.filter(F.transform(F.filter(raw, means), stem), means)
 
 
 def term_set(c: Column) -> Column:

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import json
 import logging
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.config import DEFAULTS, Settings
 from gneiss.functions import text as T
-from gneiss.functions.sizes import broadcast_if_small
 from gneiss.schemas import EVIDENCE, USAGE
 
 Generator = Callable[[str, list[dict]], dict]
+# Fixed value: how a prompt ends.
+ONLY_EVIDENCE = "Answer only from the evidence above, or set supported = false."
 
 
 def reference(section: Column, form: Column, date: Column, url: Column) -> Column:
@@ -75,25 +75,24 @@ def write_answers(questions: DataFrame, evidence: DataFrame, chunks: DataFrame,
     """What ``generator(question, evidence)`` returned or how it failed, for questions with evidence only.
 
     The generator answers {supported, answer, citations: [{chunk_id, quote}], reason, usage}. It is
-    called once a question, after retrieval; write the result before it is used twice.
+    called on the driver, once a question and one after the other, when this function is called: a
+    call may be paid for and paced, so no task that Spark repeats may make it. What comes to the driver
+    is a batch of questions and at most ``Settings.evidence`` chunks of each, a partition at a time.
     """
     rows = questions.select("qid", "question").join(gathered(evidence, chunks), "qid")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for qid, question, found in frame[["qid", "question", "found"]].itertuples(index=False):
-                try:
-                    said = generator(question, [c.asDict() if hasattr(c, "asDict") else dict(c) for c in found])
-                except Exception as error:  # any failure of a service falls back to the excerpt
-                    logging.getLogger(__name__).warning("generation failed: %s", error)
-                    out.append((qid, False, str(error), None, None, None, None, None))
-                else:
-                    cited = [{"chunk_id": c.get("chunk_id"), "quote": c.get("quote")} for c in said.get("citations") or []]
-                    out.append((qid, True, None, bool(said.get("supported")), said.get("answer") or "", cited, said.get("reason") or "", said.get("usage") or None))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in ("qid", "wrote", "failed", "w_supported", "w_answer", "w_citations", "w_reason", "w_usage")])
-
-    return rows.select("qid", "question", "found").mapInPandas(run, WRITTEN)
+    out = []
+    for row in rows.select("qid", "question", "found").toLocalIterator():
+        try:
+            said = generator(row.question, [c.asDict() for c in row.found])
+        except Exception as error:  # any failure of a service falls back to the excerpt
+            logging.getLogger(__name__).warning("generation failed: %s", error)
+            out.append((row.qid, False, str(error), None, None, None, None, None))
+        else:
+            cited = [(c.get("chunk_id"), c.get("quote")) for c in said.get("citations") or []]
+            usage = tuple((said.get("usage") or {}).get(name) for name in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "model"))
+            used = usage if any(u is not None for u in usage) else None
+            out.append((row.qid, True, None, bool(said.get("supported")), said.get("answer") or "", cited, said.get("reason") or "", used))
+    return questions.sparkSession.createDataFrame(out, WRITTEN)
 
 
 def generated(questions: DataFrame, evidence: DataFrame, chunks: DataFrame, written: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -140,10 +139,17 @@ def format_evidence(chunk_id: Column, form: Column, section: Column, period: Col
     )
 
 
+def prompt_of(question: str, evidence: list[dict]) -> str:
+    """The prompt of one question in plain Python, as ``prompts`` makes it."""
+    block = '<evidence id="{chunk_id}" form="{form}" section="{section}" period="{period_of_report}">\n{text}\n</evidence>'
+    shown = "\n\n".join(block.format(**{k: c.get(k) or "" for k in ("chunk_id", "form", "section", "period_of_report", "text")}) for c in evidence)
+    return f"{shown}\n\nQuestion: {question}\n\n{ONLY_EVIDENCE}"
+
+
 def prompts(questions: DataFrame, evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     """(qid, prompt) for questions with evidence."""
     blocks = F.transform("found", lambda c: format_evidence(c["chunk_id"], c["form"], c["section"], c["period_of_report"], c["text"]))
-    tail = F.concat(F.lit("\n\nQuestion: "), F.col("question"), F.lit("\n\nAnswer only from the evidence above, or set supported = false."))
+    tail = F.concat(F.lit("\n\nQuestion: "), F.col("question"), F.lit(f"\n\n{ONLY_EVIDENCE}"))
     rows = questions.select("qid", "question").join(gathered(evidence, chunks), "qid")
     return rows.select("qid", F.concat(F.array_join(blocks, "\n\n"), tail).alias("prompt"))
 
@@ -159,7 +165,7 @@ def format_cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
     longest prefix it begins with.
     """
     rows = usage.withColumn("_row", F.monotonically_increasing_id())
-    priced = rows.join(broadcast_if_small(rates), F.col("model").startswith(F.col("prefix")), "left")
+    priced = rows.join(rates, F.col("model").startswith(F.col("prefix")), "left")
     best = priced.groupBy("_row").agg(F.max_by(F.struct(*priced.columns), F.coalesce(F.length("prefix"), F.lit(0))).alias("r")).select("r.*")
     dollars = cost(F.col("input_tokens"), F.col("output_tokens"), F.col("input_rate"), F.col("output_rate"))
     tokens = F.concat(F.format_number("input_tokens", 0), F.lit(" in / "), F.format_number("output_tokens", 0), F.lit(" out tokens on "), F.col("model"))

@@ -1,7 +1,8 @@
 """Around an answer-writing service: pacing, bounded retries, choice of a backend, its contract.
 
 A backend is any object with ``name``, ``available()`` and ``generate(question, evidence)`` that returns
-a reply in the shape of ``answer.parse_answer``. Calls that cost money are made on one place and once.
+a reply in the shape of ``answer.parse_answer``. Calls that cost money are made on the driver, one after
+the other and once each (see ``answer.write_answers``), so one pace holds for a whole run.
 """
 
 from __future__ import annotations
@@ -9,16 +10,19 @@ from __future__ import annotations
 import re
 import threading
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
 from gneiss.operators.answer import Generator
 
-# What a service says when a call may be tried again.
+# What a service says when a call may be tried again, when it is busy, when its day is used up, and
+# when it wants to be asked again; words that switch writing off.
 TRANSIENT = ("429", "RESOURCE_EXHAUSTED", "503", "UNAVAILABLE", "overloaded", "504", "DEADLINE_EXCEEDED")
+BUSY = ("503", "UNAVAILABLE")
+DAILY = re.compile(r"PerDay|per day", re.IGNORECASE)
+HINT = re.compile(r"retry in ([0-9.]+)s", re.IGNORECASE)
 OFF = ("none", "off", "extractive")
-_HINT = re.compile(r"retry in ([0-9.]+)s", re.IGNORECASE)
 
 
 class Backend(Protocol):
@@ -29,78 +33,102 @@ class Backend(Protocol):
     def generate(self, question: str, evidence: list[dict]) -> dict: ...
 
 
-def exhausted_for_today(error: Exception) -> bool:
-    """A daily quota does not come back during a run."""
-    return "PerDay" in str(error) or "per day" in str(error).lower()
-
-
-def retryable(error: Exception) -> bool:
-    return not exhausted_for_today(error) and any(mark in str(error) for mark in TRANSIENT)
+@dataclass(frozen=True)
+class Policy:
+    """What follows from failures, as numbers: nothing here waits or calls.
 
+    A service that names a time is given that and a second more, at most ``longest``; one that is
+    busy or limited without naming a time, a time of our own. Each wait is that times the number of
+    failures so far. ``retries`` more tries are made, and none that would begin after ``budget`` seconds.
+    """
 
-def wait_asked(error: Exception, busy: float = 8.0, otherwise: float = 30.0, most: float = 120.0) -> float:
-    """Seconds that the service asked for and one more, or a default."""
-    if hint := _HINT.search(str(error)):
-        return min(float(hint[1]) + 1, most)
-    return busy if "503" in str(error) or "UNAVAILABLE" in str(error) else otherwise
+    retries: int = 4
+    budget: float = 90.0
+    busy: float = 8.0
+    limited: float = 30.0
+    longest: float = 120.0
+
+    def rest(self, said: str) -> float | None:
+        """Seconds of rest that a failure calls for the first time; None if it is final."""
+        if DAILY.search(said) or not any(mark in said for mark in TRANSIENT):
+            return None
+        if named := HINT.search(said):
+            return min(float(named[1]) + 1, self.longest)
+        return self.busy if any(mark in said for mark in BUSY) else self.limited
+
+    def wait(self, failures: Sequence[str], spent: float) -> float | None:
+        """Seconds until the next try after these failures and so many seconds; None to give up."""
+        rest = self.rest(failures[-1])
+        if rest is None or len(failures) > self.retries:
+            return None
+        wait = rest * len(failures)
+        return wait if spent + wait <= self.budget else None
 
 
 @dataclass
 class Pace:
-    """Calls at least ``interval`` seconds apart; up to ``retries`` more tries within ``budget`` seconds.
+    """Carries a policy out, with the beginnings of calls at least ``interval`` seconds apart.
 
-    A wait is the one asked for times the number of the try; one that would pass the budget is not begun.
+    Every call books the next free time and waits for it on its own, so that callers of several
+    threads come one after the other.
     """
 
     interval: float = 13.0
-    retries: int = 4
-    budget: float = 90.0
+    policy: Policy = Policy()
     clock: Callable[[], float] = time.monotonic
     sleep: Callable[[float], None] = time.sleep
-    _last: float | None = None
+    _free: float = float("-inf")
     _lock: threading.Lock = field(default_factory=threading.Lock)
 
-    def _turn(self) -> None:
+    def _await_turn(self) -> None:
         with self._lock:
-            if self._last is not None and (gap := self.interval - (self.clock() - self._last)) > 0:
-                self.sleep(gap)
-            self._last = self.clock()
+            now = self.clock()
+            turn = max(now, self._free)
+            self._free = turn + self.interval
+        if turn > now:
+            self.sleep(turn - now)
 
     def call(self, request: Callable[[], dict]) -> dict:
-        end = self.clock() + self.budget
-        attempt = 1
+        failures: list[Exception] = []
+        begun = self.clock()
         while True:
-            self._turn()
+            self._await_turn()
             try:
                 return request()
-            except Exception as error:
-                wait = wait_asked(error) * attempt
-                if not retryable(error) or attempt > self.retries or self.clock() + wait > end:
-                    raise
-                self.sleep(wait)
-                attempt += 1
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_lock", "_last")}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state, _lock=threading.Lock(), _last=None)
+            except Exception as failure:  # noqa: BLE001 - the policy tells which are final
+                failures.append(failure)
+            wait = self.policy.wait([str(f) for f in failures], self.clock() - begun)
+            if wait is None:
+                raise failures[-1]
+            self.sleep(wait)
 
 
 def choose(backends: Sequence[Backend], wanted: str | None = None) -> Backend | None:
     """The first backend that is available, the one of a name, or none where it is switched off."""
-    if wanted and wanted.lower() in OFF:
+    name = (wanted or "").strip().lower()
+    if name in OFF:
         return None
-    ready = [b for b in backends if (not wanted or b.name == wanted.lower()) and b.available()]
-    return ready[0] if ready else None
+    return next((b for b in backends if name in ("", b.name) and b.available()), None)
+
+
+def available(backends: Sequence[Backend]) -> list[str]:
+    return [b.name for b in backends if b.available()]
+
+
+def from_environment(environment: Mapping[str, str], backends: Sequence[Backend] | None = None) -> Backend | None:
+    """The backend that ``GNEISS_BACKEND`` names, or the first that has what it needs."""
+    if backends is None:
+        from gneiss.operators.backends import known
+
+        backends = known(environment)
+    return choose(backends, environment.get("GNEISS_BACKEND"))
 
 
 def as_generator(backend: Backend | None, pace: Pace | None = None) -> Generator | None:
-    """What ``api.answer`` takes: paced, or as it is where the service has no limit."""
-    if backend is None:
-        return None
-    if pace is None:
-        return backend.generate
+    """What ``api.answer`` takes: at the backend's own pace, or another, or as it is where it has none."""
+    pace = pace or getattr(backend, "pace", None)
+    if backend is None or pace is None:
+        return backend and backend.generate
     return lambda question, evidence: pace.call(lambda: backend.generate(question, evidence))
 
 

@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from gneiss.config import DEFAULTS, Settings
 from gneiss.functions import text as T
-from gneiss.functions.sizes import broadcast_if_small
+from gneiss.functions.sizes import if_small
 from gneiss.operators import index as I
 from gneiss.operators import lexical
 from gneiss.operators.index import Index
 
 
+def keyed(chunks: DataFrame) -> DataFrame:
+    """Chunks whose chunk_id is their key, where they have the columns for one."""
+    have = {"source_url", "section", "chunk_index"} <= set(chunks.columns)
+    return chunks.withColumn("chunk_id", chunk_key()) if have else chunks
+
+
 def chunk_key() -> Column:
     """A chunk's id, or where it has none its url, section and index."""
     return F.coalesce(F.nullif(F.col("chunk_id"), F.lit("")), F.concat_ws("|", "source_url", "section", F.col("chunk_index").cast("string")))
@@ -27,9 +33,11 @@ def lexical_veto(gated: DataFrame, hits: DataFrame, questions: DataFrame, chunks
     searched = hits.select("qid").distinct().withColumn("searched", F.lit(True))
     distance = hits.select("qid", "chunk_id", "distance")
     named = chunks.select("chunk_id", "section", "form")
-    asked = questions.select("qid", T.term_set(F.col("question")).alias("asked"))
+    terms = questions.select("qid", T.term_set(F.col("question")).alias("asked"))
+    small = if_small(terms)
+    asked = terms if small is None else small
     rows = (
-        gated.join(broadcast_if_small(asked), "qid")
+        gated.join(asked, "qid")
         .join(named, "chunk_id")
         .join(searched, "qid", "left")
         .join(distance, ["qid", "chunk_id"], "left")
@@ -74,14 +82,15 @@ def _ranked(rows: DataFrame, *order) -> DataFrame:
 def retrieve(questions: DataFrame, index: Index, hits: DataFrame | None = None, limit: int = DEFAULTS.evidence, settings: Settings = DEFAULTS) -> DataFrame:
     """(qid, rank, chunk_id, rrf): the evidence of each question; none means it is declined.
 
-    ``hits`` are (qid, chunk_id, distance, vec_rank). Ranks are positions in the filtered lists.
+    ``hits`` are (qid, chunk_id, distance, vec_rank). Ranks are positions in the filtered lists: the
+    gate and the veto come before any order, so only what passed them is sorted.
     """
-    gated = lexical.score(questions, index, settings).where(lexical.passes_gate(settings))
+    gated = lexical.relevances(questions, index, settings).where(lexical.passes_gate(settings))
     if hits is None:
         hits = questions.sparkSession.createDataFrame([], "qid string, chunk_id string, distance double, vec_rank int")
     kept = lexical_veto(gated, hits, questions, index.chunks, settings)
     near = hits.where(F.col("distance") <= settings.max_distance)
-    fused = fuse(_ranked(kept, "lex_rank"), _ranked(near, "vec_rank"), settings)
+    fused = fuse(_ranked(kept, F.desc("relevance"), "corpus_pos"), _ranked(near, "vec_rank"), settings)
     ordered = _ranked(fused, F.desc("rrf"), F.asc_nulls_last("lex_rank"), F.asc_nulls_last("vec_rank"))
     named = ordered.join(index.chunks.select("chunk_id", "form", "section"), "chunk_id")
     return diversify(named, limit, settings).select("qid", "rank", "chunk_id", "rrf")

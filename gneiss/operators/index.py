@@ -1,6 +1,7 @@
 """The lexical index: postings and corpus statistics as tables, one corpus for each scope.
 
-``chunks`` has chunk_id, ticker, section, form, text and corpus_pos. A scope is a company, or
+``chunks`` has chunk_id, ticker, section, form, text and corpus_pos, and may have ``terms``, the terms
+of its text as a store keeps them; only where it has none are texts read. A scope is a company, or
 the whole store where ``scope`` is None; statistics are always those of the scope.
 """
 
@@ -18,20 +19,26 @@ def scope_column(scope: str | None) -> Column:
     return F.coalesce(F.col(scope), F.lit("")) if scope else F.lit("")
 
 
+def terms_of(chunks: DataFrame) -> Column:
+    """The terms of a chunk's text: those that were stored, else those of the text."""
+    told = T.terms(F.col("text"))
+    return F.coalesce("terms", told) if "terms" in chunks.columns else told
+
+
 def tokenized(chunks: DataFrame) -> DataFrame:
     """(chunk_id, ticker, terms)."""
-    return chunks.select("chunk_id", "ticker", T.terms(F.col("text")).alias("terms"))
+    return chunks.select("chunk_id", "ticker", terms_of(chunks).alias("terms"))
 
 
 def postings(chunks: DataFrame, scope: str | None = "ticker") -> DataFrame:
     """(scope, chunk_id, term, tf)."""
-    rows = chunks.select(scope_column(scope).alias("scope"), "chunk_id", F.explode(T.terms(F.col("text"))).alias("term"))
+    rows = chunks.select(scope_column(scope).alias("scope"), "chunk_id", F.explode(terms_of(chunks)).alias("term"))
     return rows.groupBy("scope", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def chunk_lengths(chunks: DataFrame, scope: str | None = "ticker") -> DataFrame:
     """(scope, chunk_id, len): terms of each chunk, 0 for chunks without any. No shuffle."""
-    return chunks.select(scope_column(scope).alias("scope"), "chunk_id", F.size(T.terms(F.col("text"))).cast("long").alias("len"))
+    return chunks.select(scope_column(scope).alias("scope"), "chunk_id", F.size(terms_of(chunks)).cast("long").alias("len"))
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:
@@ -47,11 +54,6 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     )
 
 
-def section_terms(chunks: DataFrame, scope: str | None = "ticker") -> DataFrame:
-    """(scope, chunk_id, term): terms of the section heading."""
-    return chunks.select(scope_column(scope).alias("scope"), "chunk_id", F.explode(T.term_set(F.col("section"))).alias("term"))
-
-
 def identifiers(section: Column, form: Column) -> Column:
     """Terms that name a part of the filing: those of the section heading and the form."""
     return F.array_union(T.term_set(section), T.term_set(form))
@@ -59,21 +61,29 @@ def identifiers(section: Column, form: Column) -> Column:
 
 @dataclass
 class Index:
-    """What scoring reads. ``postings`` carry each term's df and each chunk's length, so that a
-    batch of questions touches the matching postings and nothing else."""
+    """What scoring reads: every chunk once, as (scope, chunk_id, name, corpus_pos, terms, heads)."""
 
     chunks: DataFrame
-    postings: DataFrame
-    section_terms: DataFrame
-    stats: DataFrame
+    tokens: DataFrame
+
+    def matches(self, wanted: DataFrame) -> DataFrame:
+        """(scope, chunk_id, name, corpus_pos, len, found, heads) of each chunk in the scopes of ``wanted`` (scope, term).
+
+        ``found`` has (term, tf) of the wanted terms of its text, ``heads`` those of its section heading.
+        One pass over the chunks, with nothing exploded: terms that nobody asked for leave it as a length.
+        """
+        asked = wanted.groupBy("scope").agg(F.collect_set("term").alias("wanted"))  # the terms of a batch of questions
+        tf = lambda t: F.size(F.filter("terms", lambda x: x == t)).cast("long")
+        found = F.transform(F.array_intersect("terms", "wanted"), lambda t: F.struct(t.alias("term"), tf(t).alias("tf")))
+        return self.tokens.join(asked, "scope").select(
+            "scope", "chunk_id", "name", "corpus_pos", F.size("terms").cast("long").alias("len"), found.alias("found"),
+            F.array_intersect("heads", "wanted").alias("heads"),
+        )
 
 
 def build(chunks: DataFrame, scope: str | None = "ticker") -> Index:
-    lengths = chunk_lengths(chunks, scope)
-    # Per chunk: its term counts and length together, one pass over the text.
-    rows = chunks.select(scope_column(scope).alias("scope"), "chunk_id", T.terms(F.col("text")).alias("terms"))
-    rows = rows.select("scope", "chunk_id", F.size("terms").cast("long").alias("len"), F.explode("terms").alias("term"))
-    posted = rows.groupBy("scope", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"))
-    return Index(
-        chunks.withColumn("scope", scope_column(scope)), posted, section_terms(chunks, scope), corpus_stats(lengths)
-    )
+    tokens = chunks.select(
+        scope_column(scope).alias("scope"), "chunk_id", F.lower("ticker").alias("name"), "corpus_pos",
+        terms_of(chunks).alias("terms"), T.term_set(F.col("section")).alias("heads"),
+    )
+    return Index(chunks.withColumn("scope", scope_column(scope)), tokens)

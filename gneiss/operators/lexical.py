@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gneiss.config import DEFAULTS, Settings
 from gneiss.functions import text as T
-from gneiss.functions.sizes import broadcast_if_small
+from gneiss.functions.sizes import if_small
 from gneiss.operators.index import Index
 
 
@@ -28,40 +28,48 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return rows.select("qid", "scope", "terms", F.explode("terms").alias("term"))
 
 
-def score(questions: DataFrame, index: Index, settings: Settings = DEFAULTS) -> DataFrame:
-    """(qid, chunk_id, relevance, gate, coverage, lex_rank), ranked by relevance, then corpus position.
+def totals(matches: DataFrame) -> DataFrame:
+    """(scope, term, df, n_docs, avg_len) of the wanted terms that some chunk has: document frequencies and corpus
+    statistics out of the same rows, pre-aggregated to one for each scope and term."""
+    every = F.concat(F.array(F.lit(None).cast("string")), F.transform("found", lambda f: f["term"]))
+    sums = matches.select("scope", "len", F.explode(every).alias("term")).groupBy("scope", "term").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("average"))
+    whole = sums.where("term is null").select("scope", F.col("n").alias("n_docs"), F.when(F.col("average") == 0, 1.0).otherwise(F.col("average")).alias("avg_len"))
+    return sums.where("term is not null").select("scope", "term", F.col("n").alias("df")).join(whole, "scope")
+
+
+def relevances(questions: DataFrame, index: Index, settings: Settings = DEFAULTS) -> DataFrame:
+    """(qid, chunk_id, corpus_pos, relevance, gate, coverage) of every chunk that shares a term with its question.
 
     A company's own name is no evidence: its ticker is left out of the question for its chunks.
-    Relevance is rounded to nine places, so that the order of a sum cannot change a rank.
+    Relevance is rounded to nine places, so that the order of a sum cannot change a rank. The terms of
+    a batch of usual size, and the totals of each, are sent to the executors; of a larger batch Spark
+    chooses the joins.
     """
-    wanted = broadcast_if_small(query_terms(questions))
-    of_chunk = index.chunks.select("scope", "chunk_id", F.lower("ticker").alias("name"), "corpus_pos")
-    matched = index.postings.join(wanted, ["scope", "term"])
-    # Document frequency is wanted for the questions' terms only: a chunk counts once for each.
-    frequent = broadcast_if_small(query_terms(questions).select("scope", "term").distinct())
-    df = index.postings.join(frequent, ["scope", "term"], "left_semi").groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
-    in_text = (
-        matched.join(df, ["scope", "term"])
-        .join(index.stats, "scope")
-        .select(
-            "scope", "qid", "chunk_id", "term", "terms", F.lit(1).alias("in_text"), F.lit(0).alias("in_section"),
-            bm25(F.col("tf"), F.col("df"), F.col("len"), F.col("n_docs"), F.col("avg_len"), settings).alias("part"),
-        )
-    )
-    in_section = index.section_terms.join(wanted, ["scope", "term"]).select(
-        "scope", "qid", "chunk_id", "term", "terms", F.lit(0).alias("in_text"), F.lit(1).alias("in_section"),
-        F.lit(settings.section_weight).alias("part"),
-    )
-    hits = in_text.unionByName(in_section).join(of_chunk, ["scope", "chunk_id"])
-    hits = hits.where(F.col("term") != F.col("name"))
+    terms = query_terms(questions)
+    small = if_small(terms)
+    wanted, send = (terms, lambda df: df) if small is None else (small, F.broadcast)
+    matches = index.matches(wanted.select("scope", "term").distinct())
+    told = F.concat(
+        F.transform("found", lambda f: F.struct(f["term"].alias("term"), f["tf"].alias("tf"))),
+        F.transform("heads", lambda t: F.struct(t.alias("term"), F.lit(None).cast("long").alias("tf"))),
+    )
+    rows = matches.select("scope", "chunk_id", "name", "corpus_pos", "len", F.inline(told)).where("term <> name")
+    hits = rows.join(wanted, ["scope", "term"]).join(send(totals(matches)), ["scope", "term"], "left")
+    weight = bm25(F.col("tf"), F.col("df"), F.col("len"), F.col("n_docs"), F.col("avg_len"), settings)
+    in_text = F.col("tf").isNotNull()
     content = F.size(F.array_except("terms", F.array("name")))
-    scored = hits.groupBy("qid", "chunk_id", "corpus_pos").agg(
-        F.round(F.sum("part"), 9).alias("relevance"),
-        (F.sum("in_text") + 2 * F.sum("in_section")).cast("int").alias("gate"),
+    return hits.groupBy("qid", "chunk_id", "corpus_pos").agg(
+        F.round(F.sum(F.when(in_text, weight).otherwise(settings.section_weight)), 9).alias("relevance"),
+        F.sum(F.when(in_text, 1).otherwise(2)).cast("int").alias("gate"),
         (F.count_distinct("term") / F.max(content)).alias("coverage"),
     )
+
+
+def score(questions: DataFrame, index: Index, settings: Settings = DEFAULTS) -> DataFrame:
+    """``relevances`` with lex_rank, by relevance, then corpus position. Spark takes a filter on lex_rank right after
+    this into the tasks before the shuffle, so no task sorts all that shares a term with a question."""
     order = Window.partitionBy("qid").orderBy(F.desc("relevance"), "corpus_pos")
-    return scored.withColumn("lex_rank", F.row_number().over(order))
+    return relevances(questions, index, settings).withColumn("lex_rank", F.row_number().over(order))
 
 
 def passes_gate(settings: Settings = DEFAULTS) -> Column:

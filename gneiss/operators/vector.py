@@ -1,12 +1,13 @@
 """Exact nearest neighbours by cosine distance, and the embedders that can feed them.
 
 A stated query set is compared with all rows: each Arrow batch of vectors is one matrix
-product with the block of queries, only the best few of a batch leave it, and the final
+product with each block of queries, only the best few of a task leave it, and the final
 rank is taken over those.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 from typing import Protocol
@@ -17,9 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.config import DEFAULTS, Settings
+from gneiss.functions.optional import require
 
-#: Queries sent to the executors at a time; more go in further blocks.
-QUERY_BLOCK = 2048
+#: Queries of one matrix product, and bytes of query vectors sent out at a time.
+QUERY_BLOCK, QUERY_BYTES = 1024, 64 << 20
 
 
 class Embedder(Protocol):
@@ -42,6 +44,21 @@ class HashedTerms:
         return out
 
 
+class SentenceModel:
+    """Vectors of a sentence-embedding model, loaded once in each process that embeds."""
+
+    _loaded: dict[str, object] = {}
+
+    def __init__(self, model: str):
+        self.model = model
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        if self.model not in self._loaded:
+            library = require("sentence_transformers", "embedding texts with a model")
+            self._loaded[self.model] = library.SentenceTransformer(self.model)
+        return np.asarray(self._loaded[self.model].encode(texts), np.float32)
+
+
 def embed(df: DataFrame, embedder: Embedder, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
     """``df`` with its texts' vectors; ``embedder`` is sent to the executors."""
 
@@ -65,56 +82,78 @@ def nearest(queries: DataFrame, vectors: DataFrame, limit: int = DEFAULTS.candid
 
     ``queries`` has qid and embedding, ``vectors`` chunk_id, corpus_pos and embedding; with
     ``scoped`` both have scope, and only rows of one scope are compared. Rows without a vector
-    are never near. Ties go to the earlier corpus position. The query side is brought to the
-    driver in blocks of QUERY_BLOCK; the other side may be of any size.
+    are never near. Ties go to the earlier corpus position. The stated queries are brought to the
+    driver and sent out, QUERY_BYTES at a time; the other side may be of any size and is
+    read once for each such part. A task hands on its best ``limit`` rows of each query only.
     """
     columns = ["qid", "embedding", *(["scope"] if scoped else [])]
-    parts, block = [], []
-    for row in queries.select(*columns).where("embedding is not null").toLocalIterator():
-        block.append((row["qid"], row["scope"] if scoped else "", list(row["embedding"])))
-        if len(block) == QUERY_BLOCK:
-            parts.append(_block_candidates(block, vectors, limit, scoped))
-            block = []
-    if block or not parts:
-        parts.append(_block_candidates(block, vectors, limit, scoped))
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
+    table = queries.select(*columns).where("embedding is not null").toArrow()
+    qids = table.column("qid").to_pylist()
+    scopes = np.array(table.column("scope").to_pylist() if scoped else [""] * len(qids), object)
+    matrix = unit_rows(table.column("embedding").combine_chunks()) if qids else np.zeros((0, 1))
+    step = max(QUERY_BYTES // max(matrix.shape[1] * 8, 1), 1)
+    parts = [_candidates(qids[at : at + step], scopes[at : at + step], matrix[at : at + step], vectors, limit, scoped) for at in range(0, max(len(qids), 1), step)]
+    found = functools.reduce(DataFrame.unionByName, parts)
     order = Window.partitionBy("qid").orderBy("distance", "corpus_pos")
     return found.withColumn("vec_rank", F.row_number().over(order)).where(F.col("vec_rank") <= limit).drop("corpus_pos")
 
 
-def _block_candidates(block: list[tuple], vectors: DataFrame, limit: int, scoped: bool) -> DataFrame:
-    qids = [b[0] for b in block]
-    scopes = np.array([b[1] for b in block], object)
-    matrix = np.array([b[2] for b in block], np.float64)
-    if len(block):
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+def unit_rows(lists: pa.ListArray) -> np.ndarray:
+    """The vectors of a list column as rows of length one."""
+    rows = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
+def best_of(distance: np.ndarray, position: np.ndarray, limit: int) -> np.ndarray:
+    """Columns of the ``limit`` least distances of each row, ties to the lesser position, in no order."""
+    n = distance.shape[1]
+    if n <= limit:
+        return np.broadcast_to(np.arange(n), distance.shape)
+    edge = np.partition(distance, limit - 1, axis=1)[:, limit - 1 : limit]
+    # Below the edge all are in; of those on it, the first by position.
+    rank = np.where(distance < edge, -np.inf, np.where(distance == edge, position.astype(np.float64), np.inf))
+    return np.argpartition(rank, limit - 1, axis=1)[:, :limit]
+
+
+def _candidates(qids: list[str], scopes: np.ndarray, matrix: np.ndarray, vectors: DataFrame, limit: int, scoped: bool) -> DataFrame:
+    sent = vectors.sparkSession.sparkContext.broadcast((qids, scopes, matrix))  # QUERY_BYTES and the names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, scopes, matrix = sent.value
+        held = [(np.zeros((0,)), np.zeros((0,), np.int64), np.zeros((0,), object), np.zeros((0,), np.int64))] * -(-len(qids) // QUERY_BLOCK)
         for batch in batches:
             if not batch.num_rows or not qids:
                 continue
-            lists = batch.column("embedding")
-            rows = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+            rows = unit_rows(batch.column("embedding"))
             position = batch.column("corpus_pos").to_numpy(zero_copy_only=False)
-            distance = np.round(1.0 - matrix @ rows.T, 12)
-            if scoped:
-                own = np.array(batch.column("scope").to_pylist(), object)
-                distance = np.where(scopes[:, None] == own[None], distance, np.inf)
-            best = np.lexsort((np.broadcast_to(position, distance.shape), distance), axis=1)[:, :limit]
-            q, r = np.repeat(np.arange(len(qids)), best.shape[1]), best.ravel()
-            near = np.isfinite(distance[q, r])
-            q, r = q[near], r[near]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([qids[i] for i in q], pa.string()), batch.column("chunk_id").take(pa.array(r)), pa.array(position[r], pa.int64()), pa.array(distance[q, r])],
-                ["qid", "chunk_id", "corpus_pos", "distance"],
-            )
+            names = np.array(batch.column("chunk_id").to_pylist(), object)
+            own = np.array(batch.column("scope").to_pylist(), object) if scoped else None
+            for block, at in enumerate(range(0, len(qids), QUERY_BLOCK)):
+                distance = np.round(1.0 - matrix[at : at + QUERY_BLOCK] @ rows.T, 12) + 0.0  # no negative zero
+                if scoped:
+                    distance = np.where(scopes[at : at + QUERY_BLOCK, None] == own[None], distance, np.inf)
+                best = best_of(distance, position, limit)
+                near = np.take_along_axis(distance, best, 1)
+                q, k = np.nonzero(np.isfinite(near))
+                held[block] = _merged(held[block], (near[q, k], position[best[q, k]], names[best[q, k]], at + q), limit)
+        for distance, position, names, q in held:
+            if len(q):
+                columns = [pa.array([qids[i] for i in q], pa.string()), pa.array(names, pa.string()), pa.array(position, pa.int64()), pa.array(distance)]
+                yield pa.RecordBatch.from_arrays(columns, ["qid", "chunk_id", "corpus_pos", "distance"])
 
     columns = ["chunk_id", F.col("corpus_pos").cast("long").alias("corpus_pos"), "embedding", *(["scope"] if scoped else [])]
     return vectors.where("embedding is not null").select(*columns).mapInArrow(run, "qid string, chunk_id string, corpus_pos long, distance double")
 
 
+def _merged(old: tuple, new: tuple, limit: int) -> tuple:
+    """The best ``limit`` of each query out of two lists of (distance, position, name, query)."""
+    distance, position, names, q = (np.concatenate(pair) for pair in zip(old, new, strict=True))
+    order = np.lexsort((position, distance, q))
+    q = q[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    keep = order[rank < limit]
+    return distance[keep], position[keep], names[keep], q[rank < limit]
+
+
 def within_floor(hits: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return hits.where(F.col("distance") <= settings.max_distance)

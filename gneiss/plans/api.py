@@ -30,15 +30,31 @@ def answer(
     generator: A.Generator | None = None,
     scoped: bool = True,
     settings: Settings = DEFAULTS,
+    embedder: vector.Embedder | None = None,
 ) -> DataFrame:
     """One answer for each question (qid, question, ticker) from chunks with ``corpus_pos``.
 
-    Without vector hits retrieval is lexical alone. A generator only ever sees approved evidence,
+    With an embedder, and chunks that have vectors of it, retrieval is hybrid; vector hits may also be
+    given. Without either it is lexical alone. A generator only ever sees approved evidence,
     is called once a question, and can narrow what is answered, never widen it.
     """
-    batch = asked(questions, scoped)
-    evidence = hybrid.retrieve(batch, index.build(chunks, "ticker" if scoped else None), hits, settings.evidence, settings)
+    batch, chunks = asked(questions, scoped), hybrid.keyed(chunks)
+    evidence = retrieve(questions, chunks, hits, scoped, settings, embedder)
     if generator is None:
         return A.extractive(batch, evidence, chunks, settings)
-    written = A.write_answers(batch, evidence, chunks, generator).persist()  # a paid call is not repeated
-    return A.generated(batch, evidence, chunks, written, settings)
+    return A.generated(batch, evidence, chunks, A.write_answers(batch, evidence, chunks, generator), settings)
+
+
+def retrieve(
+    questions: DataFrame,
+    chunks: DataFrame,
+    hits: DataFrame | None = None,
+    scoped: bool = True,
+    settings: Settings = DEFAULTS,
+    embedder: vector.Embedder | None = None,
+) -> DataFrame:
+    """(qid, rank, chunk_id, rrf): the evidence that ``answer`` answers from."""
+    chunks = hybrid.keyed(chunks)
+    if hits is None and embedder is not None:
+        hits = search(questions, chunks, embedder, scoped, settings)
+    return hybrid.retrieve(asked(questions, scoped), index.build(chunks, "ticker" if scoped else None), hits, settings.evidence, settings)

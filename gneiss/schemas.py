@@ -12,6 +12,8 @@ CHUNK = (
     "filing_date string, period_of_report string, accession_number string, section string, text string, "
     "source_url string, document_name string"
 )
+#: What a store adds to a chunk: its terms, its vector (null without an embedder) and its place in the corpus.
+STORED = CHUNK + ", terms array<string>, embedding array<float>, corpus_pos long"
 CHUNK_COLUMNS = [c.split()[0] for c in CHUNK.split(", ")]
 METADATA_COLUMNS = [c for c in CHUNK_COLUMNS if c not in ("chunk_id", "text")]
 TICKER_MAP = "map<string, struct<cik_str: bigint, ticker: string, title: string>>"

@@ -142,28 +142,46 @@ class Client:
         return folder / name
 
 
-def ingest(spark: SparkSession, client: Client, ticker: str, data_dir: str, store=None, forms=DEFAULT_FORMS, limit: int = 2, progress: Callable[[str, int], None] = lambda message, percent: None) -> dict:
-    """Download, chunk and store a company's filings; a file that fails is left out and counted."""
+def ingest(
+    spark: SparkSession, client: Client, ticker: str, data_dir: str, store=None, forms=DEFAULT_FORMS, limit: int = 2,
+    progress: Callable[[str, int], None] = lambda message, percent: None, again: bool = True,
+) -> dict:
+    """Download, chunk and store a company's filings; a file that fails is left out and counted.
+
+    Chunk ids are stable, so doing it again replaces. With ``again`` off a company in the store is left as it is.
+    """
     if limit < 1:
         raise ValueError("limit is 1 or more")
+    if store is not None and not again and store.is_indexed((ticker or "").strip()):
+        progress("In the store already", 100)
+        have = store.scan(ticker.strip())
+        return {"ticker": ticker.strip().upper(), "filings": 0, "failed": [], "chunks": have.count(), "tables": _tables(have)}
     progress("Looking up the company", 5)
     found = client.filings(spark, ticker, forms, limit)
     progress("Found filings", 12)
     saved, failed = [], []
     for i, filing in enumerate(found):
+        progress(f"Downloading {filing.form} of {filing.filing_date}", 15 + 55 * i // len(found))
         try:
             saved.append(asdict(filing) | {"local_path": str(client.download(filing, Path(data_dir, "raw")))})
         except OSError as error:
             failed.append((filing.accession_number, str(error)))
-        progress(f"Read {filing.form}", 15 + int(55 * (i + 1) / len(found)))
+            progress(f"Left out {filing.form} of {filing.filing_date}: {error}", 15 + 55 * i // len(found))
     if not saved:
         raise ValueError(f"no filings of {ticker} could be read")
+    progress(f"Have {len(saved)} filings", 70)
     symbol = saved[0]["ticker"]
     Path(data_dir, f"{symbol}_filings.json").write_text(json.dumps(saved, indent=2))
     progress("Reading sections and tables", 72)
-    chunks = load_corpus(spark, data_dir, symbol)
-    progress("Indexing", 82)
+    chunks = load_corpus(spark, data_dir, symbol).persist()
+    told = {"ticker": symbol, "filings": len(saved), "failed": failed, "chunks": chunks.count(), "tables": _tables(chunks)}
+    progress(f"Indexing {told['chunks']} chunks ({told['tables']} tables)", 82)
     if store is not None:
-        store.upsert(chunks.drop("block_seq").withColumn("seq", F.monotonically_increasing_id()))
+        store.upsert(chunks.withColumn("seq", F.struct("source_url", "block_seq")).drop("block_seq"))
+    chunks.unpersist()
     progress("Done", 100)
-    return {"ticker": symbol, "filings": len(saved), "failed": failed, "chunks": chunks.count()}
+    return told
+
+
+def _tables(chunks: DataFrame) -> int:
+    return chunks.where("chunk_type = 'table'").count()

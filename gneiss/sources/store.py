@@ -8,16 +8,33 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gneiss.functions.sizes import broadcast_if_small
+from gneiss.functions import text as T
+from gneiss.functions.columns import free
 from gneiss.functions.text import metadata_value
-from gneiss.schemas import CHUNK, CHUNK_COLUMNS
+from gneiss.operators.vector import Embedder, embed
+from gneiss.schemas import CHUNK_COLUMNS, STORED
 
 
 def last_wins(batch: DataFrame, key: str = "chunk_id", order: str = "seq") -> DataFrame:
     """One row for each key, the one latest by ``order``; rows without key or text are left out."""
+    own = free(batch, "n")
     latest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
     usable = batch.where((F.coalesce(F.col(key), F.lit("")) != "") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
-    return usable.withColumn("_n", latest).where("_n = 1").drop("_n")
+    return usable.withColumn(own, latest).where(F.col(own) == 1).drop(own)
+
+
+def numbered(rows: DataFrame, first: int) -> DataFrame:
+    """``rows``, which come from files written in order, with corpus_pos counted on from ``first``.
+
+    ``_at`` is their place in a written partition, as monotonically_increasing_id tells it; only the
+    counts of the partitions meet, so no task counts through a whole company.
+    """
+    part = F.shiftright("_at", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    place = F.lit(first) + F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(base, part == F.col("_part")).withColumn("corpus_pos", place.cast("long")).drop("_at", "_part", "_base")
 
 
 def companies(chunks: DataFrame) -> DataFrame:
@@ -32,6 +49,12 @@ def companies(chunks: DataFrame) -> DataFrame:
     )
 
 
+def table_counts(chunks: DataFrame) -> DataFrame:
+    """One row: how many chunks are tables, and how many prose."""
+    is_table = F.coalesce(F.col("chunk_type") == "table", F.lit(False))
+    return chunks.agg(F.count_if(is_table).alias("tables"), F.count_if(~is_table).alias("prose"))
+
+
 def stats(chunks: DataFrame) -> DataFrame:
     """One row over the whole store; zeros and empty lists when it is empty."""
     return chunks.agg(
@@ -43,10 +66,14 @@ def stats(chunks: DataFrame) -> DataFrame:
 
 
 class Store:
-    """A folder of chunks; ``corpus_pos`` keeps the order in which chunks first came."""
+    """A folder of chunks; ``corpus_pos`` keeps the order in which chunks first came.
+
+    Terms are stored with their chunks, and vectors too where the store has an embedder, so that
+    questions read neither texts nor models.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, reset: bool = False):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, reset: bool = False, embedder: Embedder | None = None):
+        self.spark, self.path, self.embedder = spark, path, embedder
         self._folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         self._files = self._folder.getFileSystem(spark._jsc.hadoopConfiguration())
         if reset:
@@ -58,8 +85,8 @@ class Store:
     def scan(self, ticker: str | None = None) -> DataFrame:
         """All chunks, or those of one company: only its partition is read."""
         if not self.exists():
-            return self.spark.createDataFrame([], CHUNK + ", corpus_pos long")
-        rows = self.spark.read.schema(CHUNK + ", corpus_pos long").parquet(self.path)
+            return self.spark.createDataFrame([], STORED)
+        rows = self.spark.read.schema(STORED).parquet(self.path)
         return rows.where(F.col("ticker") == ticker.upper()) if ticker else rows
 
     def is_indexed(self, ticker: str) -> bool:
@@ -70,26 +97,32 @@ class Store:
 
         ``batch`` has the chunk columns and ``seq``, its order. Only the partitions of its tickers
         are rewritten: they are staged beside the store first, so a failure leaves the old ones whole.
-        ``replace_filings`` also drops chunks of the batch's filings that it no longer has.
+        ``replace_filings`` also drops chunks of the batch's filings that it no longer has; filings
+        without an accession number cannot be told apart and lose none.
         """
         rows = last_wins(batch.select(*(c if c == "chunk_index" else metadata_value(F.col(c)).alias(c) for c in CHUNK_COLUMNS), "seq"))
+        rows = rows.withColumn("terms", T.terms(F.col("text")))
+        vector = embed(rows, self.embedder) if self.embedder else rows.withColumn("embedding", F.lit(None).cast("array<float>"))
         staging = f"{self.path.rstrip('/')}-staging-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{staging}/batch")
+        # In order over all partitions, each of a bounded size, whatever share of the batch one company has.
+        ordered = vector.repartitionByRange("ticker", "seq").sortWithinPartitions("ticker", "seq")
+        ordered.withColumn("_at", F.monotonically_increasing_id()).drop("seq").write.parquet(f"{staging}/batch")
         rows = self.spark.read.parquet(f"{staging}/batch")
-        old = self.scan()
-        touched = rows.select("ticker").distinct()
-        kept = old.join(broadcast_if_small(touched), "ticker", "left_semi")
+        kept = self.scan().join(rows.select("ticker").distinct(), "ticker", "left_semi")
         first = kept.agg(F.coalesce(F.max("corpus_pos"), F.lit(-1))).first()[0] + 1
         position = kept.select("chunk_id", F.col("corpus_pos").alias("_old"))
-        fresh = F.row_number().over(Window.partitionBy("ticker").orderBy("seq")) - 1 + first
-        new = rows.join(position, "chunk_id", "left").withColumn("corpus_pos", F.coalesce("_old", fresh.cast("long"))).drop("_old", "seq")
+        new = numbered(rows, first).join(position, "chunk_id", "left").withColumn("corpus_pos", F.coalesce("_old", "corpus_pos")).drop("_old")
         rest = kept.join(rows.select("chunk_id"), "chunk_id", "left_anti")
         if replace_filings:
-            rest = rest.join(rows.select("accession_number").distinct(), "accession_number", "left_anti")
-        merged = rest.select(*CHUNK_COLUMNS, "corpus_pos").unionByName(new.select(*CHUNK_COLUMNS, "corpus_pos"))
+            named = rows.where("accession_number <> ''").select("accession_number").distinct()
+            rest = rest.join(named, "accession_number", "left_anti")
+        names = [c.split()[0] for c in STORED.split(", ")]
+        merged = rest.select(*names).unionByName(new.select(*names))
         merged.write.partitionBy("ticker").parquet(f"{staging}/merged")
-        staged = self.spark.read.schema(CHUNK + ", corpus_pos long").parquet(f"{staging}/merged")
-        staged.repartition("ticker").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(self.path)
+        staged = self.spark.read.schema(STORED).parquet(f"{staging}/merged")
+        # One company to few files; the rows of a large one are split over several tasks.
+        staged = staged.hint("rebalance", "ticker")
+        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(self.path)
         self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(staging), True)
         return self.scan().count()
 

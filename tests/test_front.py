@@ -2,23 +2,29 @@
 
 import json
 import threading
+import time
 import urllib.error
 import urllib.request
 
+import numpy as np
 import pytest
 
 from gneiss.__main__ import main
+from gneiss.functions.optional import require
+from gneiss.operators import backends
 from gneiss.operators import generation as g
-from gneiss.plans import serve
-from gneiss.sources import golden
+from gneiss.plans import api, serve
+from gneiss.sources import filings, golden
 from gneiss.sources.store import Store
 from tests.test_sources import filing, rows_of
 
 
-def test_what_may_be_tried_again():
-    assert g.retryable(RuntimeError("503 UNAVAILABLE")) and not g.retryable(RuntimeError("429 PerDay")) and not g.retryable(RuntimeError("401"))
-    assert g.wait_asked(RuntimeError("429 please retry in 5.5s")) == 6.5 and g.wait_asked(RuntimeError("retry in 900s")) == 120
-    assert g.wait_asked(RuntimeError("503")) == 8 and g.wait_asked(RuntimeError("429")) == 30
+def test_what_follows_from_failures():
+    policy = g.Policy()
+    assert policy.rest("503 UNAVAILABLE") == 8 and policy.rest("429") == 30 and policy.rest("504 DEADLINE_EXCEEDED") == 30
+    assert policy.rest("429 please retry in 5.5s") == 6.5 and policy.rest("429 Retry in 900s") == 120
+    assert policy.rest("429 PerDay") is None and policy.rest("429 quota PER DAY") is None and policy.rest("401") is None
+    assert policy.wait(["503"] * 3, 10) == 24 and policy.wait(["503"] * 5, 0) is None and policy.wait(["429"] * 2, 31) is None
 
 
 class Clock:
@@ -69,13 +75,80 @@ class Fake:
     def generate(self, question, evidence):
         return {"supported": False, "reason": self.name}
 
+    def models(self):
+        return ["m1", "m2"]
 
-def test_choice_of_backend():
+
+def test_choice_of_backend(monkeypatch):
     a, b = Fake("a", False), Fake("b", True)
-    assert g.choose([a, b]) is b and g.choose([a, b], "a") is None and g.choose([a, b], "off") is None
+    assert g.choose([a, b]) is b and g.choose([a, b], "a") is None and g.choose([a, b], "off") is None and g.available([a, b]) == ["b"]
+    assert g.from_environment({"GNEISS_BACKEND": " B "}, [a, b]) is b and g.from_environment({"GNEISS_BACKEND": "none"}, [a, b]) is None
     assert g.as_generator(None) is None and g.as_generator(b)("q", [])["reason"] == "b"
     assert g.as_generator(b, g.Pace(interval=0))("q", [])["reason"] == "b"
     assert "b" in g.describe(b) and "off" in g.describe(None)
+    said = []
+    monkeypatch.setattr(g, "from_environment", lambda _: b)
+    assert main(["models"], None, said.append, {}) == 0 and said == ["m1\nm2"]
+
+
+ANSWER = {"supported": True, "answer": "It is 5.", "citations": [{"chunk_id": "c", "quote": "five"}], "reason_if_unsupported": ""}
+EVIDENCE = [{"chunk_id": "c", "form": "10-K", "section": "S", "period_of_report": None, "text": "five"}]
+
+
+def test_services_ask_and_read_replies():
+    seen = []
+
+    def messages(url, headers, body=None):
+        seen.append((url, headers, body))
+        if body is None:
+            return {"data": [{"id": "two"}, {"id": "one"}]}
+        if "decline" in body["messages"][0]["content"]:
+            return {"stop_reason": "refusal", "usage": {"input_tokens": 3}}
+        given = {} if "nothing" in body["messages"][0]["content"] else ANSWER
+        return {"content": [{"type": "text"}, {"type": "tool_use", "input": given}], "usage": {"input_tokens": 7, "cache_read_input_tokens": 4}}
+
+    a = backends.MessagesService("key", "m", exchange=messages)
+    reply = a.generate("q?", EVIDENCE)
+    assert reply["supported"] and reply["citations"] == ANSWER["citations"] and reply["usage"] == {"input_tokens": 7, "output_tokens": 0, "cache_read_tokens": 4, "cache_write_tokens": 0, "model": "m"}
+    assert seen[0][1]["x-api-key"] == "key" and seen[0][2]["messages"][0]["content"].startswith('<evidence id="c" form="10-K" section="S" period="">\nfive\n</evidence>')
+    assert a.generate("decline", EVIDENCE)["reason"] == backends.DECLINED and a.generate("nothing", EVIDENCE)["reason"] == backends.UNUSABLE
+    assert a.models() == ["one", "two"]
+
+    def contents(url, headers, body=None):
+        if body is None:
+            return {"models": [{"name": "models/z"}, {"name": "models/e", "supportedGenerationMethods": ["embed"]}]}
+        assert body["generationConfig"]["temperature"] == 0 and url.endswith("/models/m:generateContent")
+        early = "long" in body["contents"][0]["parts"][0]["text"]
+        return {"candidates": [{"finishReason": "MAX_TOKENS" if early else "STOP", "content": {"parts": [{"text": json.dumps(ANSWER)}]}}], "usageMetadata": {"promptTokenCount": 2}}
+
+    b = backends.ContentService("key", "m", None, exchange=contents)
+    assert b.generate("q", EVIDENCE)["supported"] and "MAX_TOKENS" in b.generate("long", EVIDENCE)["reason"] and b.models() == ["z"]
+    with_key = backends.known({"GOOGLE_API_KEY": "k", "GNEISS_CONTENT_MODEL": "m"})
+    assert g.available(with_key) == ["gemini"] and g.available(backends.known({"ANTHROPIC_API_KEY": "k"})) == []
+
+
+def test_a_missing_library_says_what_it_is_for():
+    with pytest.raises(ImportError, match="embedding texts.*nowhere_to_be_found"):
+        require("nowhere_to_be_found.part", "embedding texts")
+    assert require("json", "x") is json
+
+
+def test_a_generator_is_called_once_a_question_and_on_the_driver(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.upsert(rows_of(spark, ("a", "AAAA", "10-K", "x", "Interest rate and currency risks affect the market.")))
+    asked = spark.createDataFrame([("1", "currency rate market", "AAAA"), ("2", "nothing known zebra", "AAAA")], "qid string, question string, ticker string")
+    calls = []
+
+    def generator(question, evidence):
+        calls.append((question, [e["chunk_id"] for e in evidence]))
+        return {"supported": True, "answer": "Yes.", "citations": [{"chunk_id": "a", "quote": "interest RATE"}, {"chunk_id": "a", "quote": "made up"}], "usage": {"input_tokens": 5, "model": "m"}}
+
+    answers = api.answer(asked, store.scan(), generator=generator)
+    for _ in range(2):
+        rows = {r.qid: r for r in answers.collect()}
+    assert calls == [("currency rate market", ["a"])]
+    assert rows["1"].answer == "Yes." and rows["1"].generated and [c.quote for c in rows["1"].rejected_citations] == ["made up"] and rows["1"].usage.input_tokens == 5
+    assert not rows["2"].supported and not rows["2"].generated
 
 
 CASES = {
@@ -103,8 +176,15 @@ def test_golden_cases_and_command_line(spark, tmp_path):
     assert "same" in said[1] and json.loads(base.read_text())["stats"]["correct"] == 2 and base.read_text().endswith("}\n")
     with pytest.raises(ValueError):
         main(["--data", str(tmp_path), "evaluate", str(path), "--baseline", str(base), "--save-baseline", "--ticker", "BBBB"], spark, said.append)
-    main(["--data", str(tmp_path), "ask", "currency rate market", "--ticker", "AAAA"], spark, said.append)
-    assert any("Based on" in str(s) for s in said)
+    main(["--data", str(tmp_path), "ask", "currency rate market"], spark, said.append)
+    assert any("retrieved: 1 chunk(s)" in s for s in said) and any("answer (excerpted)" in s for s in said) and any("Based on" in s for s in said)
+    main(["--data", str(tmp_path), "ask", "favourite colour of penguins", "--ticker", "aaaa"], spark, said.append)
+    assert any("nothing passed the gates" in s for s in said) and "\nno answer" in said
+    for ticker, why in (("ZZ", "ZZ is not in the store; there are AAAA"),):
+        with pytest.raises(SystemExit, match=why):
+            main(["--data", str(tmp_path), "ask", "x", "--ticker", ticker], spark, said.append)
+    with pytest.raises(SystemExit, match="empty"):
+        main(["--data", str(tmp_path / "none"), "ask", "x"], spark, said.append)
 
 
 def test_build_from_saved_filings(spark, tmp_path):
@@ -114,8 +194,10 @@ def test_build_from_saved_filings(spark, tmp_path):
     row = {k: page[k] for k in ("ticker", "form", "filing_date", "accession_number", "source_url")}
     (tmp_path / "EXMP_filings.json").write_text(json.dumps([row | {"local_path": "raw/f.htm"}, row | {"local_path": "raw/missing.htm"}]))
     said = []
-    main(["--data", str(tmp_path), "build", "--reset"], spark, said.append)
-    assert said[0]["chunks"] == 1 and said[0]["tickers"] == ["EXMP"]
+    main(["--data", str(tmp_path), "build", "--reset", "--probe", "things"], spark, said.append)
+    assert said[0]["chunks"] == 1 and said[0]["tickers"] == ["EXMP"] and (said[0]["tables"], said[0]["prose"]) == (0, 1) and "no vectors" in said[1]
+    main(["--data", str(tmp_path), "--vectors", "hashed", "build", "--reset", "--probe", "we make things."], spark, said.append)
+    assert said[-1].startswith("  [0.000] 10-K") and "We make things." in said[-1]
 
 
 def call(port, path, body=None):
@@ -138,13 +220,15 @@ def test_http(spark, tmp_path):
         if ticker == "BAD":
             raise ValueError("no such company")
 
-    loader = serve.Loader(load)
-    with serve.server(spark, store, loader, port=0) as running:
+    app = serve.App(spark, store, serve.Loader(load))
+    with serve.server(app, port=0) as running:
         port = running.server_address[1]
         threading.Thread(target=running.serve_forever, daemon=True).start()
-        assert call(port, "/")[0] == 200 and call(port, "/nope")[0] == 404
-        assert json.loads(call(port, "/api/companies")[1])["companies"][0]["ticker"] == "AAAA"
+        assert call(port, "/")[0] == 200 and call(port, "/nope")[0] == 404 and call(port, "/api/nope", {})[0] == 404
+        known = json.loads(call(port, "/api/companies")[1])
+        assert known["companies"][0]["ticker"] == "AAAA" and "off" in known["mode"] and known["can_load"]
         assert call(port, "/api/answer", {"ticker": "AAAA"})[0] == 400 and call(port, "/api/answer", {"ticker": "ZZ", "question": "x"})[0] == 400
+        assert call(port, "/api/answer", [1])[0] == 400 and app.reply("POST", "/api/answer", b"{").status == 400
         status, body = call(port, "/api/answer", {"ticker": "aaaa", "question": "currency rate market"})
         assert status == 200 and json.loads(body)["supported"] is True
         assert call(port, "/api/company", {"ticker": ""})[0] == 400
@@ -154,5 +238,34 @@ def test_http(spark, tmp_path):
             state = json.loads(call(port, "/api/company/status")[1])
             if state["done"]:
                 break
-        assert state["error"] == "no such company"
+            time.sleep(0.05)
+        assert state["error"] == "no such company" and state["ticker"] == "BAD"
         running.shutdown()
+    assert serve.App(spark, store).reply("POST", "/api/company", b'{"ticker": "x"}').status == 400
+
+
+class Axes:
+    """Texts that speak of the market lie along one axis, all others along the other; so does a question that says 'far'."""
+
+    def embed(self, texts):
+        return np.array([[1.0, 0.0] if "market" in t.lower() and "far" not in t else [0.0, 1.0] for t in texts], np.float32)
+
+
+def test_the_veto_changes_an_answer_over_http(spark, tmp_path):
+    rows = [("a:risk:0", "AAAA", "10-K", "x", "Interest rate and currency risks affect the market."), ("a:other:0", "AAAA", "10-K", "y", "Nothing of the kind.")]
+    plain, hybrid = Store(spark, str(tmp_path / "p")), Store(spark, str(tmp_path / "h"), embedder=Axes())
+    for store in (plain, hybrid):
+        store.upsert(rows_of(spark, *rows))
+    assert [list(r.embedding) for r in hybrid.scan().orderBy("corpus_pos").collect()] == [[1, 0], [0, 1]]
+    ask = lambda store, question: json.loads(serve.App(spark, store).reply("POST", "/api/answer", json.dumps({"ticker": "AAAA", "question": question}).encode()).encoded())
+    near, far = "currency rate market", "currency rate market far"
+    assert ask(plain, near)["supported"] and ask(plain, far)["supported"] and ask(hybrid, near)["supported"]
+    answer = ask(hybrid, far)
+    assert "Nothing of the kind" in answer["answer"]  # the keyword match is vetoed, what is near by its vector remains
+
+
+def test_ingest_leaves_a_known_company_alone(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.upsert(rows_of(spark, ("a", "AAAA", "10-K", "x", "Some text of it.")))
+    told = filings.ingest(spark, None, " aaaa ", str(tmp_path), store, again=False)
+    assert told == {"ticker": "AAAA", "filings": 0, "failed": [], "chunks": 1, "tables": 0}
