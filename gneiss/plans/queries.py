@@ -6,7 +6,7 @@ scoped to. Vectors join documents by id. Every query reads its whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.config import Settings
@@ -14,6 +14,7 @@ from gneiss.functions import tables as G
 from gneiss.functions import text as T
 from gneiss.operators import answer, chunking, evaluate, hybrid, index, lexical, vector, verify
 from gneiss.sources import filings, store
+from gneiss.sources.tables import read_table as read
 
 #: (qid, question, scope, vector that stands for the question's embedding)
 QUESTIONS = (
@@ -30,10 +31,6 @@ QUESTIONS = (
 SETTINGS = Settings(max_distance=0.85, veto_distance=0.97)
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def chunks(spark, sf_dir) -> DataFrame:
     filled = lambda c: F.coalesce(F.col(c), F.lit(""))
     return read(spark, sf_dir, "documents").select(
