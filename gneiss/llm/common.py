@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from gneiss.sources.tables import read_table
+
 #: The white space of the text contracts: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\f\r"
 WHITE_CLASS = r"[\x20\x09-\x0D]"
@@ -33,7 +35,7 @@ _LOCAL = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
