@@ -186,6 +186,34 @@ _JOINED = f"(CASE WHEN a.open = '' THEN x.open WHEN {_W} THEN a.open || ' ' || x
 _DONE = f"(CASE WHEN a.open <> '' AND NOT ({_W}) THEN list_append(a.done, a.open) ELSE a.done END)"
 _CUTS = f"greatest(CAST(ceil(length({_JOINED}) / 3000.0) AS INT) - 1, 0)"
 
+# What the filings of made_filings say, written down without their markup. seq, kind, tag, text, title, grid of each event.
+_MADE = """
+WITH f AS (SELECT s_suppkey AS k, 'https://x/' || s_suppkey AS source_url, s_name AS n, n_name AS c, format('{:,}', CAST(floor(abs(s_acctbal)) AS BIGINT)) AS d,
+  CASE WHEN s_suppkey % 2 = 0 THEN '2026-01-31' ELSE '2025-12-31' END AS period_of_report, s_suppkey || '.htm' AS document_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+g AS (SELECT *, 'BALANCE SHEET of ' || n || repeat(', figures in thousands', 9) AS sheet, '2025 | 2024' || chr(10) || 'Cash | ' || d || chr(10) || 'Debt | (12.5) | 3%' AS grid FROM f)
+"""
+_SAID = _MADE + """,
+e AS (
+  SELECT k, source_url, unnest([
+    ['contents', 'table', '', '', ''], ['block', 'p', 'Front matter of ' || n, '', ''], ['block', 'h1', 'Item 1. Business', '', ''],
+    ['block', 'p', n || ' sells parts from ' || c || ' & elsewhere.', '', ''], ['block', 'div', 'Its customers are many.', '', ''], ['block', 'h2', 'item 7A. Market Risk', '', ''],
+    ['block', 'p', 'Balances of ' || d || ' move.', '', ''], ['block', 'h2', 'Item 8. Statements', '', ''], ['block', 'p', sheet, '', ''], ['table', 'table', '', trim(right(sheet, 250)), grid],
+    ['block', 'p', 'After the table.', '', ''], ['block', 'p', 'No.', '', '']]) AS x, unnest(range(12)) AS seq FROM g WHERE k % 3 = 0
+  UNION ALL SELECT k, source_url, unnest([['block', 'p', 'Cover', '', ''], ['block', 'p', 'MARKET RISK OF ' || upper(c), '', ''], ['block', 'p', n || ' bears risk.', '', ''],
+    ['block', 'li', 'One', '', ''], ['block', 'li', 'Two.', '', ''], ['block', 'p', '1 2 3', '', '']]), unnest(range(6)) FROM g WHERE k % 3 = 1
+)
+"""
+_CHUNKED = _MADE + """,
+c AS (
+  SELECT k, period_of_report, document_name, unnest([
+    ['0', 'text', '', 'Item 1. Business', n || ' sells parts from ' || c || ' & elsewhere. Its customers are many.'], ['0', 'text', '', 'item 7A. Market Risk', 'Balances of ' || d || ' move.'],
+    ['0', 'text', '', 'Item 8. Statements', sheet], ['1', 'table', trim(right(sheet, 250)), 'Item 8. Statements', trim(right(sheet, 250)) || chr(10) || grid],
+    ['2', 'text', '', 'Item 8. Statements', 'After the table. No.']]) AS x FROM g WHERE k % 3 = 0
+  UNION ALL SELECT k, period_of_report, document_name, ['0', 'text', '', 'MARKET RISK OF ' || upper(c), n || ' bears risk. One Two. 1 2 3'] FROM g WHERE k % 3 = 1
+  UNION ALL SELECT k, period_of_report, document_name, ['0', 'text', '', 'Document', 'Text of ' || n || ' &amp; its nation ' || c || '.'] FROM g WHERE k % 3 = 2
+)
+"""
+
 ORACLE_SQL = {
     "tokenize": "WITH" + CHUNKS.rstrip().rstrip(",") + " SELECT chunk_id, len(terms) AS n_terms, len(list_distinct(terms)) AS n_distinct, md5(array_to_string(terms, ' ')) AS terms_md5 FROM tokens",
     "postings": "WITH" + CHUNKS.rstrip().rstrip(",") + " SELECT scope, chunk_id, term, tf FROM post",
@@ -269,6 +297,29 @@ SELECT l_orderkey, len(rows) >= 3 AND n >= 3 AND list_max(list_transform(rows, l
   md5(array_to_string(list_transform(rows, lambda r: array_to_string(r, ' | ')), chr(10))) AS body_md5
 FROM (SELECT *, len(list_filter(flat, lambda c: regexp_matches(c, '^\(?\$?\s*-?\d[\d,]*(\.\d+)?\s*\)?%?$'))) AS n FROM judged)""",
     "toc_filter": _grids("CASE WHEN l_returnflag = 'A' THEN 'Item 1' WHEN l_linenumber = 7 THEN 'Page' ELSE 'Total' END") + " SELECT l_orderkey, is_contents FROM judged",
+    "filing_events": _SAID + "SELECT source_url, seq, x[1] AS kind, x[2] AS tag, x[3] AS text, x[4] AS title, x[5] AS grid FROM e",
+    "contents_dropped": _SAID + "SELECT source_url, count(*) AS n_dropped FROM e WHERE x[1] = 'contents' GROUP BY source_url",
+    "filing_chunks": _CHUNKED + """SELECT k || ':' || trim(regexp_replace(lower(x[4]), '[^a-z0-9]+', '-', 'g'), '-') || ':' || x[1] AS chunk_id, CAST(x[1] AS BIGINT) AS chunk_index, x[2] AS chunk_type,
+  x[3] AS table_title, x[4] AS section, x[5] AS text, period_of_report, document_name FROM c""",
+    "filing_tables": _CHUNKED + "SELECT count(*) FILTER (x[2] = 'table') AS tables, count(*) FILTER (x[2] <> 'table') AS prose FROM c",
+    "recent_filings": """
+WITH r AS (
+  SELECT c_nationkey AS n, o_orderkey AS k, substring(o_orderpriority, 3) AS form, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders JOIN customer ON o_custkey = c_custkey
+), t AS (SELECT * FROM r WHERE form IN ('URGENT', 'LOW') QUALIFY row_number() OVER (PARTITION BY n, form ORDER BY k) <= 4)
+SELECT 'T' || n AS ticker, form, day AS filing_date, printf('%010d', k) || '-' || substring(day, 3, 2) || '-1' AS accession_number,
+  'https://www.sec.gov/Archives/edgar/data/' || (n + 1) || '/' || printf('%010d', k) || substring(day, 3, 2) || '1/' || printf('%010d', k) || '.htm' AS source_url,
+  day AS period_of_report, row_number() OVER (PARTITION BY n ORDER BY k) AS filing_seq FROM t""",
+    "ticker_map": """SELECT upper(n_name) AS ticker, lpad(CAST(CAST(n_nationkey AS BIGINT) * 999999937 % 10000000000 AS VARCHAR), 10, '0') AS cik,
+  CASE WHEN n_nationkey % 2 = 0 THEN upper(n_name) ELSE n_name END AS name FROM nation""",
+    "ticker_syntax": r"""SELECT doc_id, upper(trim(t)) AS ticker, regexp_full_match(upper(trim(t)), '[A-Z0-9][A-Z0-9.-]{0,9}') AS is_ticker
+FROM (SELECT doc_id, ' ' || coalesce(lang, '') || CASE doc_id % 3 WHEN 0 THEN '-b' WHEN 1 THEN ' b' ELSE CAST(doc_id AS VARCHAR) END AS t FROM documents)""",
+    "whitespace_clean": r"""SELECT doc_id, md5(trim(regexp_replace(replace(replace(coalesce(text, ''), 'the', 'the '), ' la ', ' la '), '[\s\x0B\x1C-\x1F\x85\xA0]+', ' ', 'g'))) AS clean_md5 FROM documents""",
+    "metadata_coercion": "SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, coalesce(event_type, '') AS event_type, coalesce(props, '') AS props FROM events",
+    "token_totals": "SELECT CAST(coalesce(sum(CASE WHEN role = 'user' THEN length(text) END), 0) AS BIGINT) AS input_tokens, CAST(sum(turn) AS BIGINT) AS output_tokens FROM conversations",
+    "failure_reasons": f"""SELECT array_to_string(list_sort(list(DISTINCT CASE WHEN toxic = 1 THEN {_text(_FAIL['rate'])} WHEN quality = 0 THEN {_text(_FAIL['down'])} ELSE {_text(_FAIL['other'])} END)), '; ') AS reasons FROM labels""",
+    "golden_filters": "SELECT doc_id, false AS at_home FROM documents WHERE lang = 'en' AND doc_id % 4 = 0",
+    "upsert_anti_join": """WITH o AS (SELECT concat_ws(':', source, CAST(doc_id % 7 AS VARCHAR)) AS chunk_id, text, doc_id AS seq FROM documents WHERE trim(coalesce(text, '')) <> '')
+SELECT chunk_id, max(seq) AS seq FROM o WHERE chunk_id NOT IN (SELECT chunk_id FROM o WHERE seq % 2 = 0) GROUP BY chunk_id""",
     "scorecard": _CASES + _card(),
     "fact_check": _CASES + "SELECT doc_id, coalesce(CAST(fact_hit AS VARCHAR), 'unchecked') AS fact_hit FROM rows",
     "section_hit": _CASES + "SELECT doc_id, coalesce(CAST(section_hit AS VARCHAR), 'unchecked') AS section_hit FROM rows",

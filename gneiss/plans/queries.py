@@ -13,7 +13,7 @@ from gneiss.config import Settings
 from gneiss.functions import tables as G
 from gneiss.functions import text as T
 from gneiss.operators import answer, chunking, evaluate, hybrid, index, lexical, vector, verify
-from gneiss.sources import filings, store
+from gneiss.sources import filings, golden, store
 from gneiss.sources.tables import read_table as read
 
 #: (qid, question, scope, vector that stands for the question's embedding)
@@ -323,6 +323,115 @@ def chunk_filings(spark, sf_dir):
     return chunking.chunk_filings(rows).select("chunk_id", "chunk_index", "chunk_type", "section", F.length("text").alias("n_chars"))
 
 
+# -- filings made of the tables ------------------------------------------------------------
+
+
+def made_filings(spark, sf_dir) -> DataFrame:
+    """A filing of each supplier: by its key with Item headings, a table of contents, a captioned data table and a
+    nested layout table; with headings in capitals; or without headings. Written as a filer's tool would."""
+    rows = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    name, nation = F.col("s_name"), F.col("n_name")
+    dollars = F.format_number(F.floor(F.abs("s_acctbal")).cast("long"), 0)
+    cat = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    contents = "<table><tr><td>Item 1.</td><td>Business</td><td>3</td></tr><tr><td>Item 7A.</td><td>Risk</td><td>9</td></tr><tr><td>ITEM 8.</td><td>Statements</td><td>12</td></tr></table>"
+    items = cat(
+        "<html><head><style>p {margin: 0}</style></head><body><div>", contents, "</div><p>Front matter of ", name, "</p><h1>Item 1. Business</h1><p>", name,
+        " sells parts<br>from <b>", nation, "</b> &amp; elsewhere.</p><!-- note --><div><div>Its customers\u00a0are  many.</div></div>",
+        "<h2>item 7A. Market Risk</h2><table><tr><td><p>Balances of ", dollars, " move.</p></td></tr></table><h2>Item 8. Statements</h2><p>BALANCE SHEET of ", name,
+        F.repeat(F.lit(", figures in thousands"), 9), "</p><table><tr><td>&nbsp;</td><td>2025</td><td>2024</td></tr><tr><td>Cash</td><td>$</td><td>", dollars,
+        "</td><td>—</td></tr><tr><td>Debt</td><td>(</td><td>(12.5)</td><td>3%</td></tr></table><p>After the table.</p><p>No.</p></body></html>",
+    )
+    capitals = cat("<body><p>Cover</p><p>MARKET RISK OF ", F.upper(nation), "</p><p>", name, " bears risk.</p><ul><li>One</li><li>Two.</li></ul><p>1 2 3</p></body>")
+    plain = cat("<script>var x = '<p>';</script><body>Text of ", name, " &amp; its\n<i>nation</i> ", nation, ".</body>")
+    html = F.when(F.col("s_suppkey") % 3 == 0, items).when(F.col("s_suppkey") % 3 == 1, capitals).otherwise(plain)
+    key = F.col("s_suppkey").cast("string")
+    return rows.select(
+        F.lit("EXMP").alias("ticker"), F.lit("10-K").alias("form"), F.lit("2026-01-31").alias("filing_date"), F.when(F.col("s_suppkey") % 2 == 0, "").otherwise("2025-12-31").alias("period_of_report"),
+        key.alias("accession_number"), F.concat(F.lit("https://x/"), key).alias("source_url"), F.concat(key, F.lit(".htm")).alias("document_name"), html.alias("html"),
+    )
+
+
+def filing_events(spark, sf_dir):
+    rows = chunking.html_events(made_filings(spark, sf_dir), "source_url")
+    grid = F.coalesce(G.render(F.col("rows")), F.lit(""))
+    return rows.select("source_url", F.col("seq").cast("long").alias("seq"), "kind", "tag", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("title", F.lit("")).alias("title"), grid.alias("grid"))
+
+
+def contents_dropped(spark, sf_dir):
+    return chunking.dropped_contents(chunking.html_events(made_filings(spark, sf_dir), "source_url"), "source_url")
+
+
+def filing_chunks(spark, sf_dir):
+    rows = chunking.chunk_filings(made_filings(spark, sf_dir))
+    return rows.select("chunk_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_type", "table_title", "section", "text", "period_of_report", "document_name")
+
+
+def filing_tables(spark, sf_dir):
+    return store.table_counts(chunking.chunk_filings(made_filings(spark, sf_dir)))
+
+
+def recent_filings(spark, sf_dir):
+    """The registry's JSON of each nation's orders, as it publishes a company's filings."""
+    rows = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    names = ("form", "accessionNumber", "primaryDocument", "filingDate", "reportDate")
+    key, date = F.format_string("%010d", "o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    number = F.concat(key, F.lit("-"), F.substring(date, 3, 2), F.lit("-1"))
+    values = (F.substring("o_orderpriority", 3, 99), number, F.concat(key, F.lit(".htm")), date, F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(date))
+    listed = rows.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", *(v.alias(n) for n, v in zip(names, values, strict=True))))).alias("f"))
+    recent = F.struct(F.struct(*(F.col("f")[n].alias(n) for n in names)).alias("recent"))
+    cik = F.format_string("%010d", F.col("c_nationkey") + 1)
+    body = listed.select(F.concat(F.lit("T"), F.col("c_nationkey")).alias("ticker"), cik.alias("cik"), F.to_json(F.struct(recent.alias("filings"))).alias("value"))
+    found = filings.recent_filings(body, ("URGENT", "LOW"), 4)
+    return found.select("ticker", "form", "filing_date", "accession_number", "source_url", "period_of_report", F.col("filing_seq").cast("long").alias("filing_seq"))
+
+
+def ticker_map(spark, sf_dir):
+    """The registry's map of tickers, made of the nations."""
+    entry = F.struct((F.col("n_nationkey").cast("long") * 999_999_937 % 10_000_000_000).alias("cik_str"), F.lower("n_name").alias("ticker"), F.when(F.col("n_nationkey") % 2 == 0, "").otherwise(F.col("n_name")).alias("title"))
+    rows = read(spark, sf_dir, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), entry)))).alias("value"))
+    return filings.tickers(rows)
+
+
+def ticker_syntax(spark, sf_dir):
+    raw = F.concat(F.lit(" "), F.coalesce("lang", F.lit("")), F.when(F.col("doc_id") % 3 == 0, "-b").when(F.col("doc_id") % 3 == 1, " b").otherwise(F.col("doc_id").cast("string")))
+    return read(spark, sf_dir, "documents").select("doc_id", T.normalize_ticker(raw).alias("ticker"), T.is_ticker(raw).alias("is_ticker"))
+
+
+def whitespace_clean(spark, sf_dir):
+    odd = F.replace(F.replace("text", F.lit("the"), F.lit("the\u200b")), F.lit(" la "), F.lit("\u00a0la\t\n"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean(odd)).alias("clean_md5"))
+
+
+def metadata_coercion(spark, sf_dir):
+    rows = read(spark, sf_dir, "events")
+    return rows.select(*(T.metadata_value(F.col(c)).alias(c) for c, kind in rows.dtypes if kind in ("bigint", "int", "string")))
+
+
+def token_totals(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select(F.when(F.col("role") == "user", F.length("text")).alias("input_tokens"), F.col("turn").alias("output_tokens"))
+    return evaluate.token_totals(rows)
+
+
+def failure_reasons(spark, sf_dir):
+    rows = read(spark, sf_dir, "labels").select(T.describe_failure(F.when(F.col("toxic") == 1, "429").when(F.col("quality") == 0, "503")).alias("generation_error"))
+    return evaluate.failure_reasons(rows).select(F.array_join("reasons", "; ").alias("reasons"))
+
+
+def golden_filters(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select(
+        F.col("doc_id"), (F.col("lang") == "en").alias("portable"), F.when(F.col("doc_id") % 4 == 0, F.array("source")).when(F.col("doc_id") % 4 == 1, F.array().cast("array<string>")).alias("expect_answer_contains")
+    )
+    chosen, home = golden.select_cases(rows, "AAAA", "bbbb", only_checkable=True)
+    return chosen.select("doc_id", F.lit(home).alias("at_home"))
+
+
+def upsert_anti_join(spark, sf_dir):
+    """Chunks of a store that a batch of newer ones does not replace."""
+    old = read(spark, sf_dir, "documents").select(F.concat_ws(":", "source", F.pmod("doc_id", F.lit(7)).cast("string")).alias("chunk_id"), "text", F.col("doc_id").alias("seq"))
+    new = store.last_wins(old.where("seq % 2 = 0"))
+    return store.last_wins(old.join(new.select("chunk_id"), "chunk_id", "left_anti")).select("chunk_id", "seq")
+
+
 # -- evaluation ----------------------------------------------------------------------------
 
 
@@ -375,5 +484,7 @@ QUERIES = {f.__name__: f for f in (
     lexical_veto, identifier_exemption, rrf_fusion, diversify, retrieve_hybrid, answer_extractive, abstain, why_it_matters, quote_normalize,
     quote_verify, error_describe, prompt, cost, first_k_per_form, period_fallback, indexed_companies, store_stats, upsert_last_wins, chunk_id,
     html_strip_fallback, sentence_windows, html_leaf_blocks, sections, caps_headings, item_headings, data_tables, toc_filter, chunk_filings,
+    filing_events, contents_dropped, filing_chunks, filing_tables, recent_filings, ticker_map, ticker_syntax, whitespace_clean, metadata_coercion,
+    token_totals, failure_reasons, golden_filters, upsert_anti_join,
     scorecard, fact_check, section_hit, baseline_delta, contrast, percent,
 )}
