@@ -8,15 +8,19 @@ Rice codes, linear prediction, checksums) goes in step over all frames of a chun
 The writer chooses per frame among constant, verbatim, fixed predictors of order 0 to 4 and a
 linear predictor of order LPC_ORDER. The reader takes those with any partition order, verifies each
 header's CRC-8, each frame's CRC-16 and the stream's MD5, and seeks by the seek table, which
-has a point for every frame.
+has a point for every frame; where another encoder wrote fewer, frames are found by their headers and
+checksums. Streams of other widths or of several channels, wasted bits and unencoded partitions are not read.
 
 Defined results: a null or empty payload is taken as no samples and gives a stream without
-frames; equal payloads give equal streams; a damaged stream raises ValueError.
+frames; equal payloads give equal streams; payloads of any length go in frames; a damaged stream, or a
+stream that is null, raises ValueError. Columns that are made replace others of the same names; an
+empty table gives an empty result; other columns are carried, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
@@ -34,6 +38,7 @@ LPC_ORDER, LPC_PRECISION = 4, 9
 RATE = 8000
 _CHUNK = 1 << 20  # samples coded side by side
 _MOST_K = 14
+_PLACEHOLDER = (1 << 64) - 1  # the first sample of a point that stands for none
 
 
 def _crc_table(polynomial: int, width: int) -> np.ndarray:
@@ -175,8 +180,8 @@ def _encode_chunk(blocks: list[np.ndarray], numbers: list[int]) -> list[bytes]:
         if width - order <= 1:
             break
         diff = np.diff(diff, axis=1)
-    coefficients, shift = _linear(x, n)
     if width > LPC_ORDER:
+        coefficients, shift = _linear(x, n)
         predicted = np.zeros((f, width - LPC_ORDER), np.int32)
         for j in range(LPC_ORDER):
             predicted += coefficients[:, j : j + 1] * x[:, LPC_ORDER - 1 - j : width - 1 - j]
@@ -295,7 +300,7 @@ class Stream(NamedTuple):
 
 def parse(stream: bytes) -> Stream:
     """Metadata of a stream; points hold every frame."""
-    if stream[:4] != b"fLaC":
+    if stream is None or stream[:4] != b"fLaC":
         raise ValueError("not a FLAC stream")
     at, last, samples, md5, points = 4, False, 0, b"", []
     while not last:
@@ -309,7 +314,25 @@ def parse(stream: bytes) -> Stream:
             samples, md5 = packed & ((1 << 36) - 1), block[18:34]
         elif kind == 3:
             points = list(struct.iter_unpack(">QQH", block))
-    return Stream(samples, md5, [(first, at + offset, count) for first, offset, count in points])
+    found = [(first, at + offset, count) for first, offset, count in points if first != _PLACEHOLDER]
+    if sum(count for *_, count in found) != samples:
+        found = _search(stream, at)
+    return Stream(samples, md5, found)
+
+
+def _search(stream: bytes, at: int) -> list[tuple[int, int, int]]:
+    """Frames of a stream without a whole seek table: each ends where its CRC-16 holds and another begins, or the stream ends."""
+    heads = [m.start() for m in re.finditer(rb"\xff[\xf8\xf9]", stream) if m.start() >= at]
+    points, first = [], 0
+    while at < len(stream):
+        size = _body(stream[at : at + 32])[1]
+        ends = (end for end in (*heads, len(stream)) if end > at + 8 and int.from_bytes(stream[end - 2 : end], "big") == crc16([stream[at : end - 2]])[0])
+        end = next(ends, None)
+        if end is None:
+            raise ValueError("a frame without an end")
+        points.append((first, at, size))
+        first, at = first + size, end
+    return points
 
 
 def _body(frame: bytes) -> tuple[int, int]:
@@ -517,7 +540,7 @@ def _groups(items: list[bytes], most: int = 4 << 20) -> Iterator[tuple[int, int]
 
 def encode_column(df: DataFrame, payload_col: str, flac_col: str = "flac") -> DataFrame:
     """``df`` with ``payload_col`` replaced by the stream of its bytes; a null payload has no samples."""
-    names = [n for n in df.columns if n != payload_col]
+    names = [n for n in df.columns if n not in (payload_col, flac_col)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -532,8 +555,8 @@ def encode_column(df: DataFrame, payload_col: str, flac_col: str = "flac") -> Da
 
 def decoded_column(df: DataFrame, flac_col: str, columns: str, describe: Callable[[bytes, bytes], tuple]) -> DataFrame:
     """``df`` with ``flac_col`` replaced by ``columns``, what ``describe`` tells of (stream, payload read back)."""
-    names = [n for n in df.columns if n != flac_col]
     own = StructType.fromDDL(columns)
+    names = [n for n in df.columns if n not in (flac_col, *own.names)]
     kinds = to_arrow_schema(own)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -548,7 +571,12 @@ def decoded_column(df: DataFrame, flac_col: str, columns: str, describe: Callabl
 
 
 def pcm_blocks(df: DataFrame, flac_col: str, id_col: str, block: int = BLOCK) -> DataFrame:
-    """(id, block, sample_offset, n_samples, pcm): decoded samples in blocks that can be sought."""
+    """(id, block, sample_offset, n_samples, pcm): decoded samples in blocks that can be sought.
+
+    The id's column may not have the name of another of these.
+    """
+    if id_col in ("block", "sample_offset", "n_samples", "pcm"):
+        raise ValueError(f"the ids cannot be in a column {id_col}")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -334,6 +334,176 @@ def test_flac_columns(spark):
     assert len(flac.padded(None)) == 64 and len(flac.padded("x" * 64)) == 64 and len(flac.padded("x" * 65)) == 128
 
 
+def plain_crc(data, polynomial, width):
+    value = 0
+    for byte in data:
+        for bit in range(7, -1, -1):
+            top = value >> (width - 1) & 1 ^ byte >> bit & 1
+            value = value << 1 & ((1 << width) - 1) ^ (polynomial if top else 0)
+    return value
+
+
+class Bits:
+    """Bits of bytes one after the other, to read or to write."""
+
+    def __init__(self, data=b""):
+        self.all, self.at = "".join(f"{b:08b}" for b in data), 0
+
+    def take(self, n):
+        self.at += n
+        return int(self.all[self.at - n : self.at] or "0", 2)
+
+    def signed(self, n):
+        value = self.take(n)
+        return value - (1 << n) if n and value >> (n - 1) else value
+
+    def put(self, value, n):
+        self.all += f"{value & ((1 << n) - 1):0{n}b}" if n else ""
+
+    def bytes(self):
+        self.all += "0" * (-len(self.all) % 8)
+        return bytes(int(self.all[k : k + 8], 2) for k in range(0, len(self.all), 8))
+
+
+FIXED = ([], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1])
+
+
+def plain_decode(stream):
+    """Samples of an 8-bit mono stream by the format's description, bit by bit."""
+    at, last, total = 4, 0, None
+    while not last:
+        last, kind, size = stream[at] >> 7, stream[at] & 127, int.from_bytes(stream[at + 1 : at + 4], "big")
+        if kind == 0:
+            total, md5 = int.from_bytes(stream[at + 14 : at + 22], "big") & ((1 << 36) - 1), stream[at + 22 : at + 38]
+        at += 4 + size
+    out = []
+    while at < len(stream):
+        bits = Bits(stream[at:])
+        assert bits.take(15) == 0x7FFC and bits.take(1) == 0
+        code, rate, channels, width = bits.take(4), bits.take(4), bits.take(4), bits.take(3)
+        assert channels == 0 and width in (0, 1) and bits.take(1) == 0
+        lead = bits.take(8)
+        bits.take(8 * max(0, 7 - (lead ^ 255).bit_length() - (lead >= 128)) if lead >= 192 else 0)
+        size = bits.take(8) + 1 if code == 6 else bits.take(16) + 1 if code == 7 else 192 if code == 1 else 576 << (code - 2) if code < 6 else 256 << (code - 8)
+        assert plain_crc(stream[at : at + bits.at // 8], 7, 8) == bits.take(8)
+        assert bits.take(1) == 0
+        kind = bits.take(6)
+        assert bits.take(1) == 0
+        if kind == 0:
+            x = [bits.signed(8)] * size
+        elif kind == 1:
+            x = [bits.signed(8) for _ in range(size)]
+        else:
+            order = kind - 8 if kind < 32 else kind - 31
+            x, weights, shift = [bits.signed(8) for _ in range(order)], FIXED[order] if kind < 32 else None, 0
+            if weights is None:
+                precision = bits.take(4) + 1
+                shift = bits.signed(5)
+                weights = [bits.signed(precision) for _ in range(order)]
+            field, parts = 4 + bits.take(2), 1 << bits.take(4)
+            for part in range(parts):
+                k = bits.take(field)
+                for _ in range(size // parts - (0 if part else order)):
+                    zeros = bits.all.index("1", bits.at) - bits.at
+                    bits.at += zeros + 1
+                    u = zeros << k | bits.take(k)
+                    x.append((u >> 1 ^ -(u & 1)) + (sum(w * x[-j] for j, w in enumerate(weights, 1)) >> shift))
+        out += x
+        bits.at += -bits.at % 8
+        assert plain_crc(stream[at : at + bits.at // 8], 0x8005, 16) == bits.take(16)
+        at += bits.at // 8
+    assert len(out) == total and hashlib.md5(bytes(v & 255 for v in out)).digest() == md5
+    return out
+
+
+def plain_encode(samples, frames, seek=False):
+    """A stream of ``samples`` in frames of (size, predictor, method, partition order, linear weights and shift)."""
+    body, first, points = b"", 0, []
+    for number, (size, predictor, method, split, linear) in enumerate(frames):
+        x, bits = samples[first : first + size], Bits()
+        bits.put(0x7FFC << 1, 16), bits.put(6 if size <= 256 else 7, 4), bits.put(0, 4), bits.put(0, 4), bits.put(1, 3), bits.put(0, 1)
+        bits.put(number, 8), bits.put(size - 1, 8 if size <= 256 else 16)
+        bits.put(plain_crc(bits.bytes(), 7, 8), 8)
+        order = len(linear[0]) if linear else predictor
+        bits.put(0, 1), bits.put(31 + order if linear else 8 + order, 6), bits.put(0, 1)
+        for v in x[:order]:
+            bits.put(v, 8)
+        weights, shift = linear or (FIXED[order], 0)
+        if linear:
+            bits.put(14, 4), bits.put(shift, 5)
+            for w in weights:
+                bits.put(w, 15)
+        rest = [x[i] - (sum(w * x[i - j] for j, w in enumerate(weights, 1)) >> shift) for i in range(order, size)]
+        bits.put(method, 2), bits.put(split, 4)
+        for part in range(1 << split):
+            n = size >> split
+            own = rest[max(0, part * n - order) : (part + 1) * n - order]
+            k = (part * 3 + number) % 9
+            bits.put(k, 4 + method)
+            for e in own:
+                u = 2 * e if e >= 0 else -2 * e - 1
+                bits.all += "0" * (u >> k) + "1"
+                bits.put(u, k)
+        frame = bits.bytes()
+        points.append(struct.pack(">QQH", first, len(body), size))
+        body += frame + struct.pack(">H", plain_crc(frame, 0x8005, 16))
+        first += size
+    md5 = hashlib.md5(bytes(v & 255 for v in samples)).digest()
+    info = struct.pack(">HH", 16, 65535) + bytes(6) + (44100 << 44 | 7 << 36 | len(samples)).to_bytes(8, "big") + md5
+    table = b"".join(points if seek else points[:1]) + struct.pack(">QQH", 2**64 - 1, 0, 0)
+    return b"fLaC" + bytes([0]) + len(info).to_bytes(3, "big") + info + bytes([0x83]) + len(table).to_bytes(3, "big") + table + body
+
+
+def test_streams_are_read_by_a_plain_decoder():
+    rng = np.random.default_rng(5)
+    payloads = [t.encode()[:9000] for t in TEXTS if t] + [b"", b"a", bytes(64), rng.integers(0, 256, 5000).astype(np.uint8).tobytes(), bytes(range(256)) * 20]
+    payloads += [bytes(int(128 + 90 * math.sin(i / 9)) for i in range(4500))]
+    for payload, stream in zip(payloads, flac.encode(payloads), strict=True):
+        assert bytes(v + 128 for v in plain_decode(stream)) == payload
+
+
+@pytest.mark.parametrize("seek", [True, False])
+def test_streams_of_another_encoder_are_read(seek):
+    """Other frame sizes, predictors, partitions, parameters of five bits, long linear filters; with and without a seek table."""
+    rng = np.random.default_rng(6)
+    frames = [
+        (200, 0, 0, 0, None), (256, 1, 0, 3, None), (1000, 2, 1, 2, None), (64, 3, 0, 1, None), (4096, 4, 1, 5, None), (16, 4, 0, 1, None),
+        (333, 0, 0, 0, ([900, -300, 77, -12, 5, -3, 2, 1], 9)), (512, 0, 1, 4, ([2047], 11)),
+    ]
+    total = sum(f[0] for f in frames)
+    samples = [int(v) for v in np.clip(100 * np.sin(np.arange(total) / 7) + rng.normal(0, 9, total), -128, 127)]
+    stream = plain_encode(samples, frames, seek)
+    assert plain_decode(stream) == samples
+    assert flac.decode([stream, stream]) == [bytes(v + 128 for v in samples)] * 2
+    assert flac.read_samples(stream, 250, 900) == bytes(v + 128 for v in samples[250:1150])
+    for at in (len(stream) - 3, len(stream) // 2):
+        with pytest.raises(ValueError):
+            flac.decode([stream[:at] + bytes([stream[at] ^ 4]) + stream[at + 1 :]])
+
+
+def test_media_columns_of_any_names_and_no_rows(spark):
+    rows = spark.createDataFrame([(1, b"abc", "x", 5), (None, None, None, None), (2, b"y" * 20_000, "z", 6)], "id long, payload binary, flac string, size int")
+    coded = flac.encode_column(rows, "payload")
+    assert coded.columns == ["id", "size", "flac"]
+    read = flac.decoded_column(coded, "flac", "size long, back binary", lambda stream, payload: (len(stream), payload))
+    assert read.columns == ["id", "size", "back"] and [bytes(r.back) for r in read.orderBy("id").collect()] == [b"", b"abc", b"y" * 20_000]
+    for empty in (flac.encode_column(rows.limit(0), "payload"), flac.decoded_column(coded.limit(0), "flac", "n long", lambda s, p: (1,)), flac.pcm_blocks(coded.limit(0), "flac", "id")):
+        assert empty.collect() == []
+    with pytest.raises(ValueError):
+        flac.pcm_blocks(coded.withColumnRenamed("id", "block"), "flac", "block")
+
+
+def test_query_of_media(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    found = queries.op7_flac(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in found) == sorted(texts)
+    for r in found:
+        data = (texts[r.doc_id] or "").encode()
+        padded = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(padded), hashlib.sha256(padded).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(padded[-64:]) and 0 < r.media_bytes and len(r.media_sha256) == 64
+
+
 # -- HTML ----------------------------------------------------------------------------------
 
 
