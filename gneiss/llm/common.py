@@ -131,9 +131,9 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     name = f"gneiss-{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
-    _written()[name] = functools.partial(_remove, spark, path)
+    _written()[name] = remove = functools.partial(_remove, spark, path)
+    atexit.register(remove)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -151,7 +151,9 @@ def tidy(function: Callable) -> Callable:
             return result
         finally:
             for name in [n for n in _written() if n not in before and n not in used]:
-                _written().pop(name)()
+                remove = _written().pop(name)
+                atexit.unregister(remove)
+                remove()
 
     return run
 

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gneiss.llm import bloom, exact_dedup, language_id, line_dedup, ngram_join, passage_dedup, secret_scan
+from gneiss.llm import bloom, common, exact_dedup, language_id, line_dedup, ngram_join, passage_dedup, secret_scan
 from gneiss.llm.components import components, forest
 from gneiss.llm.packing import WordTokenizer
 from gneiss.llm.shingles import shingle_sets
@@ -413,3 +413,121 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         pieces[r.doc_id] += r.length
     assert dict(pieces) == want
+
+
+# -- odd tables ----------------------------------------------------------------------------
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, digest int, node int, gone int, lost int, keeper int, tier int"
+
+
+def odd(spark, rows):
+    return spark.createDataFrame([(i, t, None, None, None, 1, 2, 3, 4, 5, 6) for i, t in rows], ODD)
+
+
+def odd_rows():
+    long = " ".join(f"v{i % 5000}" for i in range(150_000))
+    return [(None, None), (None, "the ship and the thing"), (1, None), (1, ""), (2, "  \n\n "), (2, "12 34"), (3, long), (3, long), (4, long + " x"), (5, "the ship and the thing")]
+
+
+def test_operators_on_odd_tables(spark):
+    """Nulls, empty and very long texts, ties, repeated rows and ids, clashing columns; each against its plain form."""
+    rows = odd_rows()
+    df = odd(spark, rows).repartition(3)
+    found = sorted((r.doc_id or 0, r.keep_id or 0, r.group_size) for r in exact_dedup.duplicate_groups(df).collect())
+    assert found == [(0, 1, 3), (0, 5, 2), (1, 1, 3), (1, 1, 3), (2, 2, 1), (2, 2, 1), (3, 3, 2), (3, 3, 2), (4, 4, 1), (5, 5, 2)]
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join.near_duplicates(df).collect()) == [
+        (0, 0, 0), (0, 1, 5), (1, 0, 1), (1, 0, 1), (2, 0, 2), (2, 1, 2), (3, 5000, 3), (3, 5000, 3), (4, 5001, 3), (5, 1, 5),
+    ]
+    lines = line_dedup.drop_repeated_lines(df, least_docs=2).collect()
+    long = rows[6][1]
+    # The line that 3 and 4 would share differs by a word; that of 3 is held by one document alone.
+    assert sorted((r.doc_id or 0, r.n_lines, r.n_dropped, len(r.text)) for r in lines) == sorted((i or 0, (t or "").count("\n") + 1, 0, len(t or "")) for i, t in rows)
+    same = line_dedup.drop_repeated_lines(odd(spark, [(3, long), (3, long), (4, long), (None, long)]), least_docs=2).collect()
+    assert sorted((r.doc_id or 0, r.n_dropped) for r in same) == [(0, 0), (3, 1), (3, 1), (4, 0)]
+    assert {(r[0], r[2], r[3], r[4]) for r in passages(spark, [*rows, (6, long)])} == {(6, 0, 150_000, 3)}
+    assert secret_scan.redact_documents(df).columns == df.columns and secret_scan.redact_documents(df).count() == len(rows)
+    spans = secret_scan.scan_documents(odd(spark, [(None, long + " token=abcdefghijkl"), (1, None)])).collect()
+    assert sorted((r.doc_id or 0, len(r.spans)) for r in spans) == [(0, 1), (1, 0)]
+    for name, kept in (("exact", exact_dedup.keep_first(df)), ("near", ngram_join.keep_representatives(df))):
+        assert kept.columns == df.columns
+        texts = sorted((r.doc_id or 0, len(r.text or "")) for r in kept.collect())
+        if name == "exact":  # of null and empty texts that of document 1 stays, once
+            assert texts == sorted([(1, 0), (2, 5), (2, 5), (3, len(long)), (4, len(long) + 2), (5, 22)])
+        else:  # texts without words are near nothing
+            assert texts == sorted([(0, 0), (1, 0), (1, 0), (2, 5), (2, 5), (3, len(long)), (5, 22)])
+
+
+def test_operators_on_empty_tables(spark):
+    none = odd(spark, [])
+    for made in (
+        exact_dedup.duplicate_groups(none), exact_dedup.keep_first(none), line_dedup.drop_repeated_lines(none), passage_dedup.repeated_passages(none),
+        ngram_join.near_duplicates(none), ngram_join.keep_representatives(none), secret_scan.scan_documents(none), secret_scan.redact_documents(none),
+        language_id.keep_identified(none, language_id.fit(none)), language_id.predict(none, language_id.fit(none)),
+    ):
+        assert made.collect() == []
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    df = spark.createDataFrame([("a", "x y")], "doc_id string, text string")
+    for operator in (line_dedup.drop_repeated_lines, passage_dedup.repeated_passages, ngram_join.near_duplicates, lambda d: language_id.predict(d, language_id.learn([], np.zeros((2, 0, 1))))):
+        with pytest.raises(TypeError, match="doc_id"):
+            operator(df)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    odd(spark, odd_rows()).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path / "a")).collect()
+    tokens = defaultdict(int)
+    for r in pieces:
+        tokens[r.doc_id] += r.length
+    # Without a language to learn all texts with a letter stay; 5 and its copy without id are one, 3 and 4 are near.
+    assert set(tokens) == {3, 5} and tokens[5] == 6
+    odd(spark, []).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).collect() == []
+
+
+# -- intermediate tables -------------------------------------------------------------------
+
+
+def test_tables_go_when_nothing_reads_them(spark):
+    @common.tidy
+    def work(df):
+        first = common.durable(df)
+        second = common.durable(first.where("id > 2"))
+        return second.join(common.durable(first.selectExpr("id + 1 AS id")), "id")
+
+    before = set(common._written())
+    found = work(spark.range(10))
+    kept = set(common._written()) - before
+    assert len(kept) == 2 and sorted(r.id for r in found.collect()) == list(range(3, 10))
+
+    @common.tidy
+    def fails(df):
+        common.durable(df)
+        raise ValueError
+
+    with pytest.raises(ValueError):
+        fails(spark.range(3))
+    assert set(common._written()) - before == kept
+
+    @common.tidy
+    def outer(df):
+        return common.durable(work(df).select("id")).collect()
+
+    assert len(outer(spark.range(10))) == 7 and set(common._written()) - before == kept
+
+
+class Session:
+    """As much of a session as tells of its folders."""
+
+    def __init__(self, master, **conf):
+        self.sparkContext, self.conf = self, self
+        self.master, self.applicationId, self.get = master, "app", lambda key, default: conf.get(key.replace(".", "_"), default)
+
+
+def test_a_shared_folder_is_wanted_off_one_machine():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_folder(Session("spark://host:7077"))
+    assert common.shared_folder(Session("spark://host:7077", spark_checkpoint_dir="hdfs://x/y")) == "hdfs://x/y"
+    assert common.shared_folder(Session("local[3]")).startswith("file:///")
