@@ -46,6 +46,8 @@ PER_LANGUAGE = 2000
 CLEAR = 0.2
 #: Standard deviations below the usual fit that a text may lie, and texts it takes to know the usual fit.
 DEVIATIONS, CALIBRATING = 6.0, 100
+#: Standard deviations among n-grams below their mean that an n-gram counts at most.
+STRANGE = 3.0
 #: A byte is in three 3-grams and four 4-grams, which therefore count as one observation.
 _TOGETHER = 7
 _LETTER = re.compile(r"[^\W\d_]")
@@ -274,6 +276,10 @@ def learn(languages: list[str], totals: np.ndarray) -> Model:
     reliability = reliability / reliability.mean() if reliability.sum() else np.ones(code.shape[1])
     own = ((totals.sum(0) / np.maximum(totals.sum((0, 2)), 1)[:, None]) @ whole * code).mean()
     mixture = np.log(shares(totals[0]).mean(0))
+    share = (totals[0] / np.maximum(totals[0].sum(1, keepdims=True), 1)).mean(0)
+    middle = share @ mixture
+    # What no language has counts as STRANGE standard deviations at most, so that a name or a key in a short text does not decide.
+    mixture = np.maximum(mixture, middle - STRANGE * np.sqrt(max(share @ mixture**2 - middle**2, 0)))
     unknown = np.full((len(languages), 3), np.nan)
     return Model(languages, code, whole.astype(np.float32), reliability, float(4 / own) if own > 0 else 1.0, mixture, unknown)
 
