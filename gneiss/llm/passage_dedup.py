@@ -215,7 +215,11 @@ def repeated_passages(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str
 
     def to_others(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            named = [{x["digest"]: x["keeper"] for x in row or ()} for row in batch.column("lost").to_pylist()]
+            # Flat columns: a list of structs would come as a dictionary for each digest.
+            lost = batch.column("lost")
+            digests, keepers = (c.to_pylist() for c in lost.flatten().flatten())
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lost), 0).to_numpy()).tolist()
+            named = (dict(zip(digests[a:b], keepers[a:b], strict=True)) for a, b in zip([0, *ends], ends, strict=False))
             yield cut(batch.column("doc_id").to_pylist(), strings(batch, "text"), named)
 
     schema = "doc_id long, span_start long, span_end long, n_words long, keep_id long, passage string"
