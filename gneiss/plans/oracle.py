@@ -332,4 +332,15 @@ c AS (SELECT qid, qid <> 'q3' AS expected, qid IN (SELECT qid FROM gated WHERE l
 SELECT *, keyword = expected AS keyword_correct, hybrid = expected AS hybrid_correct, keyword <> hybrid AS disagree FROM c""",
     "percent": """SELECT source, CASE WHEN w = 0 THEN '   n/a' ELSE lpad(printf('%.0f', p / CAST(w AS DOUBLE) * 100), 5, ' ') || '%' END AS share
 FROM (SELECT source, sum(toxic) AS p, sum(quality) AS w FROM labels JOIN documents USING (doc_id) GROUP BY source)""",
+    "score_cases": """
+WITH c AS (SELECT CAST(l.doc_id AS VARCHAR) AS qid, quality = 1 AS expected, toxic = 0 AS answered, d.* FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE toxic = 0 OR l.doc_id % 2 = 0)
+SELECT qid, expected, answered, answered = expected AS correct, coalesce(lang = 'es', false) AS known_gap, CASE WHEN lang = 'es' THEN 'stated elsewhere' ELSE '' END AS gap_class,
+  coalesce(n_chars > 500, false) AS cited, CASE WHEN lang <> 'fr' AND answered THEN CAST(coalesce(contains(source, 'src1'), false) AS VARCHAR) ELSE 'unchecked' END AS section_hit,
+  CASE WHEN lang <> 'de' AND answered THEN CAST(contains(lower(coalesce(text, '')), 'tionor') OR contains(lower(coalesce(text, '')), 'elle') AS VARCHAR) ELSE 'unchecked' END AS fact_hit,
+  false AS section_known_gap FROM c""",
+    "partial_run": """
+WITH s AS (SELECT source, count(*) FILTER (lang = 'en') AS reached, count(*) AS cases, count(*) FILTER (toxic = 1) AS errors FROM labels JOIN documents USING (doc_id) GROUP BY source)
+SELECT source, (reached > 0 OR errors > 0) AND reached < cases AS partial FROM s""",
+    "chunk_key": """
+SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN CAST(doc_id AS VARCHAR) ELSE coalesce(lang, '') || '|' || coalesce(source, '') || '|' || doc_id END AS chunk_id FROM documents""",
 }

@@ -353,8 +353,11 @@ def made_filings(spark, sf_dir) -> DataFrame:
 
 def filing_events(spark, sf_dir):
     rows = chunking.html_events(made_filings(spark, sf_dir), "source_url")
-    grid = F.coalesce(G.render(F.col("rows")), F.lit(""))
-    return rows.select("source_url", F.col("seq").cast("long").alias("seq"), "kind", "tag", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("title", F.lit("")).alias("title"), grid.alias("grid"))
+    filled = lambda c: F.coalesce(c, F.lit(""))
+    return rows.select(
+        "source_url", F.col("seq").cast("long").alias("seq"), "kind", "tag", filled(F.col("text")).alias("text"), filled(F.col("title")).alias("title"),
+        filled(G.render(F.col("rows"))).alias("grid"),
+    )
 
 
 def contents_dropped(spark, sf_dir):
@@ -387,8 +390,11 @@ def recent_filings(spark, sf_dir):
 
 def ticker_map(spark, sf_dir):
     """The registry's map of tickers, made of the nations."""
-    entry = F.struct((F.col("n_nationkey").cast("long") * 999_999_937 % 10_000_000_000).alias("cik_str"), F.lower("n_name").alias("ticker"), F.when(F.col("n_nationkey") % 2 == 0, "").otherwise(F.col("n_name")).alias("title"))
-    rows = read(spark, sf_dir, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), entry)))).alias("value"))
+    number = F.col("n_nationkey").cast("long") * 999_999_937 % 10_000_000_000
+    title = F.when(F.col("n_nationkey") % 2 == 0, "").otherwise(F.col("n_name"))
+    entry = F.struct(number.alias("cik_str"), F.lower("n_name").alias("ticker"), title.alias("title"))
+    entries = F.collect_list(F.struct(F.col("n_nationkey").cast("string"), entry))
+    rows = read(spark, sf_dir, "nation").agg(F.to_json(F.map_from_entries(entries)).alias("value"))
     return filings.tickers(rows)
 
 
@@ -418,9 +424,8 @@ def failure_reasons(spark, sf_dir):
 
 
 def golden_filters(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select(
-        F.col("doc_id"), (F.col("lang") == "en").alias("portable"), F.when(F.col("doc_id") % 4 == 0, F.array("source")).when(F.col("doc_id") % 4 == 1, F.array().cast("array<string>")).alias("expect_answer_contains")
-    )
+    facts = F.when(F.col("doc_id") % 4 == 0, F.array("source")).when(F.col("doc_id") % 4 == 1, F.array().cast("array<string>"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", (F.col("lang") == "en").alias("portable"), facts.alias("expect_answer_contains"))
     chosen, home = golden.select_cases(rows, "AAAA", "bbbb", only_checkable=True)
     return chosen.select("doc_id", F.lit(home).alias("at_home"))
 
@@ -473,6 +478,41 @@ def contrast(spark, sf_dir):
     return evaluate.contrast(expected, alone, evidence(spark, sf_dir))
 
 
+def score_cases(spark, sf_dir):
+    """Reviewed cases and their answers, one for each labelled document, scored side by side."""
+    rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents"), "doc_id").withColumn("qid", F.col("doc_id").cast("string"))
+    none = F.lit(None).cast("string")
+    cases = rows.select(
+        "qid", F.col("source").alias("question"), F.when(F.col("quality") == 1, "supported").otherwise("abstain").alias("expect"),
+        F.when(F.col("lang") == "es", True).alias("known_gap"), F.when(F.col("lang") == "es", "stated elsewhere").alias("gap_class"),
+        F.when(F.col("lang") != "fr", "src1").alias("expect_section_contains"), F.lit(None).cast("boolean").alias("section_known_gap"),
+        F.when(F.col("lang") != "de", F.array(F.lit("TIONOR"), F.lit("elle"))).alias("expect_answer_contains"),
+    )
+    shown = F.struct(F.col("source").alias("section"), none.alias("form"), none.alias("filing_date"), none.alias("excerpt"), none.alias("source_url"))
+    said = rows.where("toxic = 0 or doc_id % 2 = 0").select(
+        "qid", F.col("source").alias("question"), F.col("text").alias("answer"), (F.col("toxic") == 0).alias("supported"),
+        F.when(F.col("n_chars") > 500, F.array("lang")).otherwise(F.array().cast("array<string>")).alias("citations"),
+        F.array(shown).alias("evidence"), (F.col("lang") == "en").alias("generated"), F.lit("").alias("generation_error"),
+    )
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unchecked")).alias(c)
+    scored = evaluate.score_cases(cases, said)
+    return scored.select("qid", "expected", "answered", "correct", "known_gap", "gap_class", "cited", told("section_hit"), told("fact_hit"), "section_known_gap")
+
+
+def partial_run(spark, sf_dir):
+    rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
+    sums = rows.groupBy("source").agg(F.count_if(F.col("lang") == "en").alias("reached"), F.count(F.lit(1)).alias("cases"), F.count_if(F.col("toxic") == 1).alias("errors"))
+    return sums.select("source", evaluate.is_partial_run(F.col("reached"), F.col("cases"), F.col("errors")).alias("partial"))
+
+
+def chunk_key(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.col("doc_id").cast("string")).alias("chunk_id"),
+        F.coalesce("lang", F.lit("")).alias("source_url"), F.coalesce("source", F.lit("")).alias("section"), F.col("doc_id").cast("int").alias("chunk_index"),
+    )
+    return hybrid.keyed(rows).select("doc_id", "chunk_id")
+
+
 def percent(spark, sf_dir):
     rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     rows = rows.groupBy("source").agg(F.sum("toxic").alias("part"), F.sum("quality").alias("whole"))
@@ -486,5 +526,5 @@ QUERIES = {f.__name__: f for f in (
     html_strip_fallback, sentence_windows, html_leaf_blocks, sections, caps_headings, item_headings, data_tables, toc_filter, chunk_filings,
     filing_events, contents_dropped, filing_chunks, filing_tables, recent_filings, ticker_map, ticker_syntax, whitespace_clean, metadata_coercion,
     token_totals, failure_reasons, golden_filters, upsert_anti_join,
-    scorecard, fact_check, section_hit, baseline_delta, contrast, percent,
+    scorecard, fact_check, section_hit, baseline_delta, contrast, percent, score_cases, partial_run, chunk_key,
 )}
