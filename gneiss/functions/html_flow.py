@@ -147,19 +147,34 @@ class _Document:
         kept = ([cell for cell in row if cell and cell not in FILLER_CELLS] for row in rows)
         return [row for row in kept if row]
 
-    def caption(self, table: Span, data: list[Span], settings: Settings) -> str:
-        """Text before the table, nearest first until the budget is used up, that of data tables left out."""
-        found, room = [], settings.title_budget
-        k = bisect_left(self.places, table.begin)
-        while k and room >= 0:
-            k -= 1
-            if self.is_gone(self.places[k]) or any(t.begin < self.places[k] < t.end for t in data):
-                continue
-            text = clean(self.strings[k])
-            if text and text not in FILLER_CELLS:
-                found.append(text)
-                room -= len(text)
-        return " ".join(reversed(found))[-settings.title_chars :].strip()
+    def loose(self, walls: list[Span]) -> tuple[list[int], list[str]]:
+        """Places and cleaned values of all strings that say something and stand outside of ``walls``."""
+        places, texts = [], []
+        for place, string in zip(self.places, self.strings, strict=True):
+            wall = bisect_left(walls, (place,)) - 1
+            if (wall < 0 or place >= walls[wall].end) and (text := clean(string)) and text not in FILLER_CELLS:
+                places.append(place)
+                texts.append(text)
+        return places, texts
+
+
+def caption(places: list[int], texts: list[str], begin: int, settings: Settings) -> str:
+    """Loose text before a place, nearest first until the budget is used up."""
+    first = last = bisect_left(places, begin)
+    room = settings.title_budget
+    while first and room >= 0:
+        first -= 1
+        room -= len(texts[first])
+    return " ".join(texts[first:last])[-settings.title_chars :].strip()
+
+
+def outermost(spans: list[Span]) -> list[Span]:
+    """The spans that stand in no other, in order."""
+    out: list[Span] = []
+    for span in sorted(spans):
+        if not out or span.begin >= out[-1].end:
+            out.append(span)
+    return out
 
 
 def events(html: str, settings: Settings = DEFAULTS) -> list[dict]:
@@ -175,13 +190,14 @@ def events(html: str, settings: Settings = DEFAULTS) -> list[dict]:
     grids = {t: rows for t in tables if not document.is_gone(t.begin) and kind_of(rows := document.grid(t), settings) == "data"}
     items = [s for s in document.spans if s in grids or s.tag in BLOCK_TAGS and not document.is_gone(s.begin)]
     out = [(t.begin, "contents", "table", None, None, None) for t in document.gone]
-    data, told = list(grids), 0
+    places, texts = document.loose(outermost([*grids, *document.gone])) if grids else ([], [])
+    told = 0
     for item, after in zip(items, [*items[1:], None], strict=False):
         if item.begin < told:
             continue  # in a table that has been told
         if item in grids:
             told = item.end
-            out.append((item.begin, "table", "table", None, document.caption(item, data, settings), grids[item]))
+            out.append((item.begin, "table", "table", None, caption(places, texts, item.begin, settings), grids[item]))
         elif (after is None or after.begin >= item.end) and (text := document.text(item)):
             out.append((item.begin, "block", item.tag, text, None, None))
     names = ("kind", "tag", "text", "title", "rows")
