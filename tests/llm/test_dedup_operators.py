@@ -240,7 +240,7 @@ def test_passages(spark):
     text = lambda n: " ".join(rng.choice(["a", "b", "C", "d.", "e!", "f?!", "é.", "。"]) for _ in range(n))
     many = [text(60) for _ in range(12)]
     rows += [(3000 + k, f"{rng.choice(many)}\n{text(9)} {rng.choice(many)}\t{text(4)}\n\n{rng.choice(many)}") for k in range(40)]
-    rows += [(None, many[0]), (3000, many[1]), (4000, "x. " * 90), (4001, many[2] * 40)]
+    rows += [(None, many[0]), (3000, many[1]), (4000, "x. " * 90), (4001, many[2] * 8)]
     want = plain_passages(rows)
     assert passages(spark, rows) == want and len(want) > 60
     assert passages(spark, rows[:80], least_words=3) == plain_passages(rows[:80], 3)
