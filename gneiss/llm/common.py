@@ -102,6 +102,18 @@ def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x if x is not None else "" for x in batch.column(name).to_pylist()]
 
 
+def slices(texts: list[str], most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of bounded length together, so what is made of one slice fits in memory."""
+    begin = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > most:
+            yield begin, i
+            begin, size = i, 0
+        size += len(text)
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def table_bytes(df: DataFrame) -> int:
     """Bytes of the scanned files as the optimizer's statistics give them; no job runs."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()

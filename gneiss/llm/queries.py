@@ -10,7 +10,10 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gneiss.llm import exact_dedup, flac, html_text, language_id, line_dedup, ngram_join, packing, passage_dedup, secret_scan, sentencepiece_codec
+from gneiss.llm import (
+    exact_dedup, filter_audit, flac, html_text, language_id, line_dedup, ngram_join, packing, passage_dedup, secret_scan, sentencepiece_codec,
+    token_counts, whitening,
+)
 from gneiss.llm.common import table
 
 
@@ -106,6 +109,18 @@ def op10_ngram_join(spark, sf_dir):
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
+
+
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 OP2_SQL = r"""
 WITH l AS (
   SELECT doc_id, i, line, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
@@ -192,6 +207,38 @@ r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_i
 SELECT doc_id, len(any_value(shingles)) AS n_shingles, min(reached) AS component_id FROM s JOIN r USING (doc_id) GROUP BY doc_id
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), m AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), d AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+         + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+         + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS fails
+  FROM w LEFT JOIN m USING (doc_id)
+), g AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM d GROUP BY part, fails
+), o(filter_order, step, done, bit) AS (
+  SELECT '', 0, 0, 0 UNION ALL
+  SELECT filter_order || chr(65 + i), step + 1, done + bit, 1 << i FROM o, (SELECT range::INT AS i FROM range(5)) WHERE step < 5 AND ((done + bit) >> i) & 1 = 0
+), p AS (
+  SELECT a.filter_order, b.step, b.done, b.bit FROM o a JOIN o b ON a.step = 5 AND b.step > 0 AND starts_with(a.filter_order, b.filter_order)
+), r AS (
+  SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (WHERE fails & done = 0 AND fails & bit = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (WHERE fails & done = 0 AND fails & bit > 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE fails & done > 0 AND fails & bit > 0), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (WHERE fails = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE fails & done = 0 AND fails & bit > 0), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE fails & done = 0 AND fails & bit > 0), 0)::BIGINT AS toxic_lost
+  FROM g, p GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+"""
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_line_dedup": op2_line_dedup,
@@ -203,5 +250,8 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_join": op10_ngram_join,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_token_counts": op12_token_counts,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op3_passage_dedup": OP3_SQL, "op9_exact_dedup": OP9_SQL, "op10_ngram_join": OP10_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op3_passage_dedup": OP3_SQL, "op9_exact_dedup": OP9_SQL, "op10_ngram_join": OP10_SQL, "op11_filter_audit": OP11_SQL}

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gneiss.llm.common import map_arrow, strings, with_ids
+from gneiss.llm.common import map_arrow, slices, strings, with_ids
 
 SPACE_PIECE = "▁".encode()
 UNKNOWN, CONTROL, USER_DEFINED, BYTE = 2, 3, 4, 6  # piece types of the model format
@@ -212,18 +212,6 @@ class Codec:
 Finish = Callable[[Codec, pa.RecordBatch, list[str], list[Encoded]], pa.RecordBatch]
 
 
-def _slices(texts: list[str], most: int = 8_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of bounded length together, so ids of one slice fit in memory."""
-    begin = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > most:
-            yield begin, i
-            begin, size = i, 0
-        size += len(text)
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def encoded(df: DataFrame, id_col: str, text_col: str, model: str, schema: str, finish: Finish) -> DataFrame:
     """Encode every text and let ``finish`` make the output rows of each slice."""
 
@@ -231,7 +219,7 @@ def encoded(df: DataFrame, id_col: str, text_col: str, model: str, schema: str,
         codec = Codec.load(model)
         for batch in batches:
             texts = strings(batch, text_col)
-            for a, b in _slices(texts):
+            for a, b in slices(texts):
                 yield finish(codec, batch.slice(a, b - a), texts[a:b], codec.encode(texts[a:b]))
 
     return map_arrow(with_ids(df, id_col), [id_col, text_col], run, schema)
