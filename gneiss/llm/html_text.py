@@ -1,23 +1,26 @@
 """Main text of web pages by text density.
 
-The standard library's streaming parser emits events; every block boundary begins a new
-line, whose text-to-tag ratio is its characters over one plus its tags, those of an article or
-main element counting ``MARKED`` times. Ratios are smoothed by a Gaussian along the page and
-split by a threshold between their two clusters. Regions are the sectioning and grouping
-elements, nested ones too; a line belongs to the innermost. What is content:
-
-* a region with a line in the upper cluster, with all of its own lines, headings and short paragraphs too,
-  and the article or main element that it stands in;
-* a region inside of a content region (other than the body itself), unless it is in doubt: its class or
-  id has a word that may name boilerplate, or more than half of its text is links;
+The standard library's streaming parser emits events; every block boundary begins a new line. The score of a
+line is the logarithm of its text-to-tag ratio (its characters over one plus its tags) times a weight of its region.
+Scores are smoothed by a Gaussian along the page and split by a threshold between their two clusters. Regions are
+the sectioning and grouping elements and those with a weight of their own, nested ones too; a line belongs to the
+innermost. What is content:
+
+* a region with a line in the upper cluster, with all of its own lines, headings and short paragraphs too, and the
+  article or main element that it stands in, if no weight but that of the mark is between them;
+* a region inside of a content region (other than the body itself) whose weight is not less, outside of article and main
+  elements only if at most half of its text is links;
+* if one article or main element is content, the others with no less than the usual weight, links being at most half of their text;
 * if no region has such a line, the region of the longest line.
 
-Elements that are never article text (menus, page headers, footers, sidebars, adverts, forms,
-scripts, styles, reader comments) are told by tag, role or class and take no part; words that may
-name boilerplate rule an element out where it is not inside of an article or main element.
+Weights say what is likely, density decides: article and main elements count ``MARKED`` times; menus, page headers,
+footers, sidebars, dialogs, and blocks whose class names boilerplate count ``UNLIKELY``; forms ``FORM``; blocks of an article
+whose class has a word that may name boilerplate ``DOUBTED``. Ids count like classes outside of articles. Headings and
+paragraphs inside of an article, and ids of headings and paragraphs anywhere, are not looked at: an anchor may have any
+name. Only what is no text of the page takes no part: scripts, styles, templates, form controls, embedded objects, and hidden elements.
 
-Defined results: null, empty and text-free pages give the empty string; markup that is not
-closed ends with its parent or the page; a page of one short line keeps it; equal ratios are one
+Defined results: null, empty and text-free pages give the empty string, as do pages of which every line is unlikely;
+markup that is not closed ends with its parent or the page; a page of one short line keeps it; equal scores are one
 cluster, the upper one; of longest lines that tie the first decides; repeated rows are extracted
 each for itself; a null page_id or url is carried as null; other columns are not read. Pages of any
 length are read whole.
@@ -25,6 +28,7 @@ length are read whole.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
@@ -37,8 +41,8 @@ from pyspark.sql import DataFrame
 from gneiss.llm.common import map_arrow, strings, with_ids
 
 SIGMA = 2.0
-#: What a line inside of an article or main element counts, beside others.
-MARKED = 2.0
+#: What a line's score is multiplied by: inside of an article or main element, and where a name or element makes it less likely.
+MARKED, DOUBTED, FORM, UNLIKELY = 2.0, 0.75, 0.25, 0.0625
 
 # Names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,14 +53,16 @@ BLOCKS = frozenset(
 )
 REGIONS = frozenset("article body div dl figure header main ol section table td ul".split())
 NEVER = frozenset(
-    "aside button canvas datalist dialog embed footer form head iframe input math menu nav noscript object "
-    "option script select style svg template textarea title".split()
+    "audio button canvas datalist embed head iframe input noscript object optgroup option script select style svg template textarea "
+    "title video".split()
 )
-NEVER_ROLES = frozenset(
-    "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split()
+UNLIKELY_TAGS = frozenset("aside dialog footer menu nav".split())
+UNLIKELY_ROLES = frozenset(
+    "alert alertdialog banner complementary contentinfo dialog menu menubar navigation search status toolbar".split()
 )
+PLAIN = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 # Words of classes and ids that name boilerplate, and words that may.
-_NEVER_NAMES = re.compile(
+_UNLIKELY_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|breadcrumbs?|comments?|consent|cookies?|disqus|"
     r"footer|gdpr|masthead|modal|nav|navbar|navigation|newsletter|popup|replies|reply|respond|sidebar|sponsor|sponsored|"
     r"subscribe|toolbar)(?:$|[\s_-])",
@@ -75,7 +81,7 @@ _CLOSES_P = frozenset(
 class Region(NamedTuple):
     parent: int  # itself for the page
     spreads: bool  # whether regions inside of it are content if it is
-    doubted: bool
+    weight: float
     article: int | None  # the innermost article or main element that it is or is in
 
 
@@ -84,17 +90,16 @@ class Line(NamedTuple):
     tags: int
     linked: int  # characters in links
     region: int
-    marked: bool  # inside of an article or main element
+    weight: float
 
-    def ratio(self) -> float:
-        return len(self.text) / (1 + self.tags) * (MARKED if self.marked else 1)
+    def score(self) -> float:
+        return math.log1p(len(self.text) / (1 + self.tags)) * self.weight
 
 
 class _Open(NamedTuple):
     tag: str
     never: bool
     region: int
-    marked: bool
     link: bool
 
 
@@ -103,9 +108,9 @@ class _Events(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.now = _Open("", False, 0, False, False)
+        self.now = _Open("", False, 0, False)
         self.stack: list[_Open] = []
-        self.regions = [Region(0, False, False, None)]
+        self.regions = [Region(0, False, 1.0, None)]
         self.lines: list[Line] = []
         self.text: list[str] = []
         self.tags = self.linked = 0
@@ -113,7 +118,8 @@ class _Events(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.linked, self.now.region, self.now.marked))
+            region = self.regions[self.now.region]
+            self.lines.append(Line(text, self.tags, self.linked, self.now.region, region.weight * (1.0 if region.article is None else MARKED)))
         if self.text:
             self.text = []
         self.tags = self.linked = 0
@@ -126,25 +132,17 @@ class _Events(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        _, never, region, marked, link = self.now
+        _, never, region, link = self.now
         if not never:
-            doubted = False
-            never = tag in NEVER or tag == "header" and not marked
-            for name, value in attrs:
-                if name in ("class", "id"):
-                    if value and tag not in ("html", "body"):
-                        never = never or _NEVER_NAMES.search(value) is not None
-                        doubted = doubted or _DOUBTED_NAMES.search(value) is not None
-                elif name == "role":
-                    never = never or (value or "").lower() in NEVER_ROLES
-                elif name == "hidden" or name == "aria-hidden" and value == "true":
-                    never = True
-            never = never or doubted and not marked
-            if not never and (tag in REGIONS or doubted and tag in BLOCKS):
-                article = len(self.regions) if tag in ("article", "main") else self.regions[region].article
-                self.regions.append(Region(region, tag != "body", doubted, article))
+            never = tag in NEVER or any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs)
+        if not never:
+            outer = self.regions[region]
+            weight = min(outer.weight, _weight(tag, attrs, outer.article is not None))
+            if tag in REGIONS or weight < outer.weight and tag in BLOCKS:
+                article = len(self.regions) if tag in ("article", "main") else outer.article
+                self.regions.append(Region(region, tag != "body", weight, article))
                 region = len(self.regions) - 1
-        self.now = _Open(tag, never, region, marked or tag in ("article", "main"), link or tag == "a")
+        self.now = _Open(tag, never, region, link or tag == "a")
         self.stack.append(self.now)
 
     def handle_startendtag(self, tag, attrs):
@@ -177,7 +175,7 @@ class _Events(HTMLParser):
 
     def _cut(self, i: int) -> None:
         del self.stack[i:]
-        self.now = self.stack[-1] if self.stack else _Open("", False, 0, False, False)
+        self.now = self.stack[-1] if self.stack else _Open("", False, 0, False)
 
     def handle_data(self, data):
         if not self.now.never:
@@ -186,6 +184,22 @@ class _Events(HTMLParser):
                 self.linked += len(data)
 
 
+def _weight(tag: str, attrs: list[tuple[str, str | None]], marked: bool) -> float:
+    """How likely an element makes its text by its tag, role, class and id; the least that one of them says."""
+    if tag in ("html", "body") or marked and tag in PLAIN:
+        return 1.0
+    weight = UNLIKELY if tag in UNLIKELY_TAGS or tag == "header" and not marked else FORM if tag == "form" else 1.0
+    for name, value in attrs:
+        if name == "role" and (value or "").lower() in UNLIKELY_ROLES:
+            weight = UNLIKELY
+        elif value and (name == "class" or name == "id" and not marked and tag not in PLAIN):
+            if _UNLIKELY_NAMES.search(value):
+                weight = min(weight, DOUBTED if tag in ("article", "main") else UNLIKELY)
+            elif _DOUBTED_NAMES.search(value):
+                weight = min(weight, DOUBTED if marked or tag in ("article", "main") else UNLIKELY)
+    return weight
+
+
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing; weights outside of the page are left out of the mean."""
     reach = int(3 * sigma + 0.5)
@@ -211,21 +225,25 @@ def threshold(values: np.ndarray) -> float:
 
 def dense_regions(lines: list[Line], sigma: float) -> set[int]:
     """The regions with a line in the upper cluster."""
-    values = smoothed(np.array([line.ratio() for line in lines]), sigma)
+    values = smoothed(np.array([line.score() for line in lines]), sigma)
     cut = threshold(values)
     # A line lifted by its neighbours alone does not make its region content.
-    return {line.region for line, value in zip(lines, values, strict=True) if value >= cut and line.ratio() >= cut / 2}
+    return {line.region for line, value in zip(lines, values, strict=True) if value >= cut and line.score() >= cut / 2}
 
 
 def content_regions(lines: list[Line], regions: list[Region], sigma: float) -> set[int]:
     content = dense_regions(lines, sigma) or {max(lines, key=lambda line: len(line.text)).region}
-    content |= {a for r in content if not regions[r].doubted and (a := regions[r].article) is not None}
+    content |= {a for r in content if (a := regions[r].article) is not None and regions[a].weight <= regions[r].weight}
     size, linked = np.zeros(len(regions)), np.zeros(len(regions))
     for line in lines:
         size[line.region] += len(line.text)
         linked[line.region] += line.linked
-    for number, (parent, _, doubted, _) in enumerate(regions):  # parents come before their children
-        if parent in content and regions[parent].spreads and not doubted and 2 * linked[number] <= size[number]:
+    marked = any(regions[r].article is not None for r in content)
+    for number, (parent, _, weight, article) in enumerate(regions):  # parents come before their children
+        prose = 2 * linked[number] <= size[number]
+        if parent in content and regions[parent].spreads and weight >= regions[parent].weight and (prose or article is not None):
+            content.add(number)
+        elif marked and article == number and weight >= 1 and prose and size[number]:
             content.add(number)
     return content
 
@@ -237,7 +255,7 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     events.feed(html)
     events.close()
     events.end_line()
-    if not events.lines:
+    if all(events.regions[line.region].weight <= UNLIKELY for line in events.lines):
         return ""
     content = content_regions(events.lines, events.regions, sigma)
     return " ".join(line.text for line in events.lines if line.region in content)
