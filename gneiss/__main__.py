@@ -18,7 +18,7 @@ from gneiss.operators import generation
 from gneiss.operators.vector import Embedder, HashedTerms, SentenceModel
 from gneiss.plans import api, serve
 from gneiss.sources import filings, golden
-from gneiss.sources.store import Store, companies, stats, table_counts
+from gneiss.sources.store import Store
 
 WIDTH = 96
 
@@ -60,7 +60,7 @@ def embedder_of(name: str) -> Embedder | None:
 
 def company_of(store: Store, wanted: str) -> str:
     """The company that is asked about: the one wanted, or the only one there is."""
-    have = [row.ticker for row in companies(store.scan()).orderBy("ticker").collect()]
+    have = [row.ticker for row in store.companies().orderBy("ticker").collect()]
     if wanted.upper() in have:
         return wanted.upper()
     if not wanted and len(have) == 1:
@@ -119,7 +119,7 @@ def _build(args, spark, store, backend, writer, out) -> int:
     total = store.upsert(chunks.withColumn("seq", F.struct("source_url", "block_seq")).drop("block_seq"))
     if not total:
         raise SystemExit(f"no saved filings in {args.data}: ingest a company first")
-    out({"chunks": total} | stats(store.scan()).first().asDict() | table_counts(store.scan()).first().asDict())
+    out({"chunks": total} | store.stats().first().asDict() | store.table_counts().first().asDict())
     if args.probe and store.embedder is None:
         out("there are no vectors to probe: build with --vectors")
     elif args.probe:
@@ -134,8 +134,8 @@ def _ask(args, spark, store, backend, writer, out) -> int:
     ticker = company_of(store, args.ticker)
     asked = spark.createDataFrame([("q", args.question, ticker)], "qid string, question string, ticker string")
     chunks = store.scan(ticker)
-    retrieved = api.retrieve(asked, chunks, embedder=store.embedder).join(chunks, "chunk_id")
-    row = api.answer(asked, chunks, generator=writer, embedder=store.embedder).first()
+    retrieved = api.retrieve(asked, chunks, embedder=store.embedder, stored=store.index()).join(chunks, "chunk_id")
+    row = api.answer(asked, chunks, generator=writer, embedder=store.embedder, stored=store.index()).first()
     for line in traced(args.question, retrieved, row):
         out(line)
     return 0
@@ -146,7 +146,7 @@ def _evaluate(args, spark, store, backend, writer, out) -> int:
     rows, at_home = golden.select_cases(cases, home, args.ticker, args.only_checkable)
     ticker = (args.ticker or home).upper()
     asked = rows.select("qid", "question", F.lit(ticker).alias("ticker"))
-    answers = api.answer(asked, store.scan(ticker), generator=writer, embedder=store.embedder)
+    answers = api.answer(asked, store.scan(ticker), generator=writer, embedder=store.embedder, stored=store.index())
     scored = E.score_cases(rows, answers, at_home).persist()
     complete = at_home and not args.only_checkable
     old = golden.read_baseline(spark, args.baseline) if args.baseline and complete else None

@@ -79,13 +79,13 @@ def _ranked(rows: DataFrame, *order) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
 
 
-def retrieve(questions: DataFrame, index: Index, hits: DataFrame | None = None, limit: int = DEFAULTS.evidence, settings: Settings = DEFAULTS) -> DataFrame:
+def retrieve(questions: DataFrame, index: Index | lexical.Stored, hits: DataFrame | None = None, limit: int = DEFAULTS.evidence, settings: Settings = DEFAULTS) -> DataFrame:
     """(qid, rank, chunk_id, rrf): the evidence of each question; none means it is declined.
 
     ``hits`` are (qid, chunk_id, distance, vec_rank). Ranks are positions in the filtered lists: the
     gate and the veto come before any order, so only what passed them is sorted.
     """
-    gated = lexical.relevances(questions, index, settings).where(lexical.passes_gate(settings))
+    gated = lexical.relevances(questions, index, settings, gate=True)
     if hits is None:
         hits = questions.sparkSession.createDataFrame([], "qid string, chunk_id string, distance double, vec_rank int")
     kept = lexical_veto(gated, hits, questions, index.chunks, settings)

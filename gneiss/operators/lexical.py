@@ -6,6 +6,8 @@ scored; others could not pass the gate.
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,14 +39,38 @@ def totals(matches: DataFrame) -> DataFrame:
     return sums.where("term is not null").select("scope", "term", F.col("n").alias("df")).join(whole, "scope")
 
 
-def relevances(questions: DataFrame, index: Index, settings: Settings = DEFAULTS) -> DataFrame:
-    """(qid, chunk_id, corpus_pos, relevance, gate, coverage) of every chunk that shares a term with its question.
+class Stored(Protocol):
+    """An index that a store keeps (``gneiss.operators.postings``); ``Index`` is made of the chunks that a question is put to."""
+
+    chunks: DataFrame
+
+    def relevances(self, questions: DataFrame, settings: Settings) -> DataFrame:
+        """As the function ``relevances`` gives them, without chunk_id."""
+
+    def top(self, questions: DataFrame, limit: int, settings: Settings) -> DataFrame:
+        """The best of these with lex_rank."""
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the chunk_id of their corpus_pos."""
+
+
+def relevances(questions: DataFrame, index: Index | Stored, settings: Settings = DEFAULTS, gate: bool = False) -> DataFrame:
+    """(qid, chunk_id, corpus_pos, relevance, gate, coverage) of every chunk that shares a term with its question, or with
+    ``gate`` of those that pass it.
 
     A company's own name is no evidence: its ticker is left out of the question for its chunks.
     Relevance is rounded to nine places, so that the order of a sum cannot change a rank. The terms of
     a batch of usual size, and the totals of each, are sent to the executors; of a larger batch Spark
-    chooses the joins.
+    chooses the joins. A stored index is asked for the postings of the terms alone.
     """
+    if not isinstance(index, Index):
+        rows = index.relevances(questions, settings)
+        return index.named(rows.where(passes_gate(settings)) if gate else rows)
+    rows = _of_chunks(questions, index, settings)
+    return rows.where(passes_gate(settings)) if gate else rows
+
+
+def _of_chunks(questions: DataFrame, index: Index, settings: Settings) -> DataFrame:
     terms = query_terms(questions)
     small = if_small(terms)
     wanted, send = (terms, lambda df: df) if small is None else (small, F.broadcast)
@@ -65,7 +91,7 @@ def relevances(questions: DataFrame, index: Index, settings: Settings = DEFAULTS
     )
 
 
-def score(questions: DataFrame, index: Index, settings: Settings = DEFAULTS) -> DataFrame:
+def score(questions: DataFrame, index: Index | Stored, settings: Settings = DEFAULTS) -> DataFrame:
     """``relevances`` with lex_rank, by relevance, then corpus position. Spark takes a filter on lex_rank right after
     this into the tasks before the shuffle, so no task sorts all that shares a term with a question."""
     order = Window.partitionBy("qid").orderBy(F.desc("relevance"), "corpus_pos")
@@ -76,6 +102,8 @@ def passes_gate(settings: Settings = DEFAULTS) -> Column:
     return (F.col("gate") >= settings.min_gate) & (F.col("coverage") >= settings.min_coverage)
 
 
-def retrieve(questions: DataFrame, index: Index, limit: int = DEFAULTS.evidence, settings: Settings = DEFAULTS) -> DataFrame:
+def retrieve(questions: DataFrame, index: Index | Stored, limit: int = DEFAULTS.evidence, settings: Settings = DEFAULTS) -> DataFrame:
     """The lexical path alone: the best ``limit`` chunks, and of these the ones that pass the gate."""
+    if not isinstance(index, Index):
+        return index.named(index.top(questions, limit, settings).where(passes_gate(settings)))
     return score(questions, index, settings).where(F.col("lex_rank") <= limit).where(passes_gate(settings))

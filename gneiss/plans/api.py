@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.config import DEFAULTS, Settings
+from gneiss.functions.sizes import if_small
 from gneiss.operators import answer as A
-from gneiss.operators import hybrid, index, vector
+from gneiss.operators import hybrid, index, lexical, vector
 
 
 def asked(questions: DataFrame, scoped: bool) -> DataFrame:
@@ -31,15 +32,21 @@ def answer(
     scoped: bool = True,
     settings: Settings = DEFAULTS,
     embedder: vector.Embedder | None = None,
+    stored: lexical.Stored | None = None,
 ) -> DataFrame:
     """One answer for each question (qid, question, ticker) from chunks with ``corpus_pos``.
 
     With an embedder, and chunks that have vectors of it, retrieval is hybrid; vector hits may also be
     given. Without either it is lexical alone. A generator only ever sees approved evidence,
-    is called once a question, and can narrow what is answered, never widen it.
+    is called once a question, and can narrow what is answered, never widen it. With a store's index (of the same
+    scopes) the chunks are read only for what the answers show.
     """
     batch, chunks = asked(questions, scoped), hybrid.keyed(chunks)
-    evidence = retrieve(questions, chunks, hits, scoped, settings, embedder)
+    evidence = retrieve(questions, chunks, hits, scoped, settings, embedder, stored)
+    if stored is not None:
+        small = if_small(evidence, 1000)
+        if small is not None:  # as a filter it reaches the files
+            evidence, chunks = small, chunks.where(F.col("chunk_id").isin([r.chunk_id for r in small.collect()]))
     if generator is None:
         return A.extractive(batch, evidence, chunks, settings)
     return A.generated(batch, evidence, chunks, A.write_answers(batch, evidence, chunks, generator), settings)
@@ -52,9 +59,11 @@ def retrieve(
     scoped: bool = True,
     settings: Settings = DEFAULTS,
     embedder: vector.Embedder | None = None,
+    stored: lexical.Stored | None = None,
 ) -> DataFrame:
     """(qid, rank, chunk_id, rrf): the evidence that ``answer`` answers from."""
     chunks = hybrid.keyed(chunks)
     if hits is None and embedder is not None:
         hits = search(questions, chunks, embedder, scoped, settings)
-    return hybrid.retrieve(asked(questions, scoped), index.build(chunks, "ticker" if scoped else None), hits, settings.evidence, settings)
+    found = stored if stored is not None else index.build(chunks, "ticker" if scoped else None)
+    return hybrid.retrieve(asked(questions, scoped), found, hits, settings.evidence, settings)

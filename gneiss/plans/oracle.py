@@ -266,7 +266,7 @@ SELECT model, i AS input_tokens, o AS output_tokens, round(c, 6) AS cost,
   array_to_string(list_sort(list(DISTINCT nullif(source, '')) FILTER (nullif(source, '') IS NOT NULL)), ',') AS forms FROM {_STORE} WHERE coalesce(lang, '') <> '' GROUP BY lang""",
     "store_stats": f"""SELECT count(*) AS chunks, array_to_string(list_sort(list(DISTINCT lang) FILTER (nullif(lang, '') IS NOT NULL)), ',') AS tickers,
   array_to_string(list_sort(list(DISTINCT source) FILTER (nullif(source, '') IS NOT NULL)), ',') AS forms, count(DISTINCT nullif(acc, '')) AS filings FROM {_STORE}""",
-    "upsert_last_wins": """SELECT concat_ws(':', source, lang) AS chunk_id, doc_id AS seq, length(text) AS n_chars FROM documents
+    "upsert_last_wins": """SELECT concat_ws(':', source, lang) AS chunk_id, doc_id AS seq, min(doc_id) OVER (PARTITION BY concat_ws(':', source, lang)) AS place, length(text) AS n_chars FROM documents
 WHERE concat_ws(':', source, lang) <> '' AND trim(coalesce(text, '')) <> '' QUALIFY row_number() OVER (PARTITION BY concat_ws(':', source, lang) ORDER BY doc_id DESC) = 1""",
     "chunk_id": f"SELECT doc_id, CASE WHEN coalesce(lang, '') IN ('', 'en') THEN 'no-accession' ELSE lang END || ':' || {_SLUG} || ':' || doc_id AS chunk_id FROM (SELECT *, ' ' || upper(source) || '. (Risk) ' || lang AS s FROM documents)",
     "html_strip_fallback": r"""
@@ -344,3 +344,21 @@ SELECT source, (reached > 0 OR errors > 0) AND reached < cases AS partial FROM s
     "chunk_key": """
 SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN CAST(doc_id AS VARCHAR) ELSE coalesce(lang, '') || '|' || coalesce(source, '') || '|' || doc_id END AS chunk_id FROM documents""",
 }
+# Rows of a store are those of its documents that have a text.
+_TEXTS = " WHERE trim(coalesce(text, '')) <> ''"
+
+
+def _of_store(sql: str) -> str:
+    return sql.replace("AS text FROM documents\n)", f"AS text FROM documents{_TEXTS}\n)").replace(_STORE, _STORE[:-1] + _TEXTS + ")")
+
+
+ORACLE_SQL |= {
+    "indexed_rank": _of_store(ORACLE_SQL["bm25_rank"]),
+    "indexed_retrieve": _of_store(ORACLE_SQL["retrieve_lexical"]),
+    "indexed_answers": _of_store(ORACLE_SQL["answer_extractive"]),
+    "stored_frequency": _of_store(ORACLE_SQL["document_frequency"]),
+    "stored_totals": _of_store(ORACLE_SQL["corpus_stats"]),
+    "stored_companies": _of_store(ORACLE_SQL["indexed_companies"]),
+    "stored_stats": f"SELECT *, (SELECT count(*) FROM documents{_TEXTS} AND doc_id % 10 = 3) AS tables FROM ({_of_store(ORACLE_SQL['store_stats'])})",
+    "stored_order": f"SELECT CAST(doc_id AS VARCHAR) AS chunk_id, row_number() OVER (ORDER BY doc_id) - 1 AS corpus_pos, length(text) AS n_chars FROM documents{_TEXTS}",
+}

@@ -247,7 +247,7 @@ def store_stats(spark, sf_dir):
 
 def upsert_last_wins(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select(F.concat_ws(":", "source", "lang").alias("chunk_id"), "text", F.col("doc_id").alias("seq"))
-    return store.last_wins(rows).select("chunk_id", "seq", F.length("text").cast("long").alias("n_chars"))
+    return store.last_wins(rows, first="place").select("chunk_id", "seq", "place", F.length("text").cast("long").alias("n_chars"))
 
 
 def chunk_id(spark, sf_dir):
@@ -434,7 +434,7 @@ def upsert_anti_join(spark, sf_dir):
     """Chunks of a store that a batch of newer ones does not replace."""
     old = read(spark, sf_dir, "documents").select(F.concat_ws(":", "source", F.pmod("doc_id", F.lit(7)).cast("string")).alias("chunk_id"), "text", F.col("doc_id").alias("seq"))
     new = store.last_wins(old.where("seq % 2 = 0"))
-    return store.last_wins(old.join(new.select("chunk_id"), "chunk_id", "left_anti")).select("chunk_id", "seq")
+    return store.last_wins(store.not_replaced(old, new)).select("chunk_id", "seq")
 
 
 # -- evaluation ----------------------------------------------------------------------------

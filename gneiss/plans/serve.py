@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 from gneiss.operators.answer import Generator
 from gneiss.operators.generation import describe
 from gneiss.plans import api
-from gneiss.sources.store import Store, companies
+from gneiss.sources.store import Store
 
 PAGE = """<!doctype html><meta charset="utf-8"><title>Filings</title><form><input id="t" placeholder="ticker"><input id="q" size="60"
 placeholder="question"><button>Ask</button></form><pre id="a"></pre><script>document.forms[0].onsubmit=async e=>{e.preventDefault();
@@ -95,7 +95,7 @@ class App:
         return Reply(200, PAGE, "text/html; charset=utf-8")
 
     def companies(self, _: dict) -> Reply:
-        found = [row.asDict() for row in companies(self.store.scan()).orderBy("ticker").collect()]
+        found = [row.asDict() for row in self.store.companies().orderBy("ticker").collect()]
         return Reply(200, {"companies": found, "mode": self.mode or describe(None), "can_load": self.loader is not None})
 
     def progress(self, _: dict) -> Reply:
@@ -113,7 +113,7 @@ class App:
         if chunks.isEmpty():
             raise Refused(f"nothing of {ticker} is in the store")
         batch = self.spark.createDataFrame([("q", question, ticker)], "qid string, question string, ticker string")
-        found = api.answer(batch, chunks, generator=self.generator, embedder=self.store.embedder)
+        found = api.answer(batch, chunks, generator=self.generator, embedder=self.store.embedder, stored=self.store.index())
         return Reply(200, found.first().asDict(recursive=True))
 
     def reply(self, method: str, path: str, body: bytes) -> Reply:

@@ -6,10 +6,11 @@ from html import unescape
 
 import pytest
 
+from gneiss.plans import queries, store_queries
 from gneiss.plans.oracle import ORACLE_SQL
-from gneiss.plans.queries import QUERIES
 from tests.compare import FOLDER, assert_same
 
+QUERIES = queries.QUERIES | store_queries.QUERIES
 #: Tested by their rows elsewhere: real pages are parsed, and no SQL parses HTML.
 WITHOUT_SQL = {"html_leaf_blocks", "chunk_filings"}
 
