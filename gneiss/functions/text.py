@@ -79,28 +79,33 @@ def strip_html(c: Column) -> Column:
 def sentence_windows(c: Column, limit: int = DEFAULTS.max_chunk_chars) -> Column:
     """Windows of at most ``limit`` characters that end with sentences where they can.
 
-    A fold over the sentences: a sentence joins the open window if both fit, or closes it. A
-    window longer than the limit is cut; its last cut stays open.
+    A sentence joins the open window if both fit, or begins the next; one longer than the limit is cut, each cut
+    but the last being a window and the last one open. What is carried along the sentences is the length of the open window and
+    where windows begin; texts are put together once, from slices.
     """
     text = text_or_empty(c)
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(state, sentence):
-        fits = F.length(state["open"]) + F.length(sentence) + 1 <= limit
-        opened = state["open"] != ""
-        joined = F.when(~opened, sentence).when(fits, F.concat_ws(" ", state["open"], sentence)).otherwise(sentence)
-        done = F.when(opened & ~fits, F.array_append(state["done"], state["open"])).otherwise(state["done"])
-        cuts = F.greatest(F.ceil(F.length(joined) / limit).cast("int") - 1, F.lit(0))
-        pieces = F.when(
-            cuts > 0,
-            F.transform(F.sequence(F.lit(0), F.greatest(cuts - 1, F.lit(0))), lambda i: F.substring(joined, i * limit + 1, F.lit(limit))),
-        ).otherwise(F.array().cast("array<string>"))
-        rest = F.substring(joined, cuts * limit + 1, F.length(joined))
-        return F.struct(F.concat(done, pieces).alias("done"), rest.alias("open"))
-
-    finish = lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], s["open"]))
-    folded = F.aggregate(F.split(text, r"(?<=[.!?])(?U)\s+"), empty, step, finish)
-    return F.when(F.length(text) <= limit, F.array(text)).otherwise(folded)
+    pieces = lambda s: F.when(F.length(s) <= limit, F.array(s)).otherwise(F.regexp_extract_all(s, F.lit(f"(?s).{{1,{limit}}}"), F.lit(0)))
+    marked = lambda p: F.transform(p, lambda x, i: F.struct(x.alias("text"), F.length(x).alias("n"), (i < F.size(p) - 1).alias("whole")))
+    units = F.flatten(F.transform(F.split(text, r"(?<=[.!?])(?U)\s+"), lambda s: marked(pieces(s))))
+    # A length past the limit makes the next unit begin a window.
+    empty = F.struct(F.array().cast("array<int>").alias("begins"), F.lit(0).alias("i"), F.lit(limit).alias("n"))
+
+    def step(state, unit):
+        begins = state["n"] + unit["n"] + 1 > limit
+        length = F.when(begins, unit["n"]).otherwise(state["n"] + unit["n"] + 1)
+        return F.struct(
+            F.when(begins, F.array_append(state["begins"], state["i"])).otherwise(state["begins"]).alias("begins"),
+            (state["i"] + 1).alias("i"), F.when(unit["whole"], limit).otherwise(length).alias("n"),
+        )
+
+    def windows(units):
+        begins = F.aggregate(units, empty, step, lambda s: F.arrays_zip(s["begins"].alias("a"), F.array_append(F.slice(s["begins"], 2, F.size(s["begins"])), s["i"]).alias("b")))
+        return F.transform(begins, lambda s: F.array_join(F.transform(F.slice(units, s["a"] + 1, s["b"] - s["a"]), lambda u: u["text"]), " "))
+
+    # Bound by a lambda: what stands in a lambda otherwise is worked out anew for each window.
+    found = F.transform(F.array(units), windows)[0]
+    # Of white space at the end the text of the last sentence is empty; it is no window of its own.
+    return F.when(F.length(text) <= limit, F.array(text)).otherwise(F.filter(found, lambda w: w != ""))
 
 
 def is_item_heading(c: Column) -> Column:

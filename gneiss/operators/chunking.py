@@ -54,29 +54,49 @@ def with_sections(events: DataFrame, key: str, heading) -> DataFrame:
     return rows.withColumn("run", breaks).where(~F.col(own)).drop(own)
 
 
-def section_blocks(events: DataFrame, key: str, heading, settings: Settings = DEFAULTS) -> DataFrame:
-    """(key, section, chunk_type, table_title, body, block_seq) in document order."""
-    rows = with_sections(events, key, heading)
-    prose = rows.where("kind = 'block'").groupBy(key, "section", "run").agg(F.min("seq").alias("seq"), F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("parts"))
-    body = F.array_join(F.transform("parts", lambda p: p["text"]), " ")
-    prose = prose.select(key, "section", F.lit("text").alias("chunk_type"), F.lit("").alias("table_title"), "seq", F.posexplode(T.sentence_windows(body, settings.max_chunk_chars)).alias("part", "body"))
-    grids = rows.where("kind = 'table'").select(key, "section", F.lit("table").alias("chunk_type"), F.col("title").alias("table_title"), "seq", F.lit(0).alias("part"), tables.render(F.col("rows")).alias("body"))
-    return prose.unionByName(grids).select(key, "section", "chunk_type", "table_title", "body", F.struct("seq", "part").alias("block_seq"))
+def chosen_sections(events: DataFrame, key: str, settings: Settings = DEFAULTS) -> DataFrame:
+    """Events inside a section, with ``section``, ``run`` and ``way``: by Item headings (0), or, in documents where nothing stands
+    under such a heading, by headings in capitals (1). Both are followed in one pass over each document."""
+    order = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(key)
+    is_block, is_table = F.col("kind") == "block", F.col("kind") == "table"
+    heads = (T.is_item_heading(F.col("text")), T.is_caps_heading(F.col("text"), F.col("tag"), settings))
+    rows = events.where("kind <> 'contents'").withColumns({f"_head{i}": F.coalesce(is_block & h, F.lit(False)) for i, h in enumerate(heads)})
+    rows = rows.withColumns({f"_section{i}": F.last(F.when(F.col(f"_head{i}"), F.col("text")), ignorenulls=True).over(order) for i in (0, 1)})
+    inside = [F.col(f"_section{i}").isNotNull() & ~F.col(f"_head{i}") for i in (0, 1)]
+    breaks = [F.sum((F.col(f"_section{i}").isNotNull() & (F.col(f"_head{i}") | is_table)).cast("int")).over(order) for i in (0, 1)]
+    rows = rows.withColumns({f"_any{i}": F.max(inside[i]).over(whole) for i in (0, 1)} | {f"_run{i}": breaks[i] for i in (0, 1)})
+    by_item = F.col("_any0")
+    rows = rows.where(F.when(by_item, inside[0]).otherwise(inside[1]))
+    pick = lambda name: F.when(by_item, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
+    return rows.select(key, "seq", "kind", "text", "title", "rows", pick("_section").alias("section"), pick("_run").alias("run"), F.when(by_item, 0).otherwise(1).alias("way"))
+
+
+def section_blocks(rows: DataFrame, key: str, settings: Settings = DEFAULTS) -> DataFrame:
+    """(key, section, chunk_type, table_title, body, block_seq, way) in document order, of rows with section and run: a run of blocks is
+    prose, and a table, which begins a run of its own, is rendered."""
+    is_table = F.col("kind") == "table"
+    runs = rows.groupBy(key, "section", "run", "kind", "way").agg(
+        F.min("seq").alias("seq"), F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("parts"), F.first("title").alias("title"), F.first("rows").alias("rows")
+    )
+    prose = F.array_join(F.transform("parts", lambda p: p["text"]), " ")
+    bodies = F.when(is_table, F.array(tables.render(F.col("rows")))).otherwise(T.sentence_windows(prose, settings.max_chunk_chars))
+    return runs.select(
+        key, "section", F.when(is_table, "table").otherwise("text").alias("chunk_type"), F.when(is_table, F.col("title")).otherwise("").alias("table_title"),
+        "seq", "way", F.posexplode(bodies).alias("part", "body"),
+    ).select(key, "section", "chunk_type", "table_title", "body", F.struct("seq", "part").alias("block_seq"), "way")
 
 
 def document_blocks(df: DataFrame, key: str, html_col: str = "html", settings: Settings = DEFAULTS) -> DataFrame:
-    """Blocks by Item headings; where a document has none, by headings in capitals; else its whole text."""
-    events = html_events(df, key, html_col, settings)
-    item = section_blocks(events, key, T.is_item_heading(F.col("text")), settings).withColumn("way", F.lit(0))
-    caps = section_blocks(events, key, T.is_caps_heading(F.col("text"), F.col("tag"), settings), settings).withColumn("way", F.lit(1))
+    """Blocks by Item headings; where a document has none, by headings in capitals; else its whole text. Markup is parsed once."""
+    found = section_blocks(chosen_sections(html_events(df, key, html_col, settings), key, settings), key, settings)
     windows = T.sentence_windows(T.strip_html(F.col(html_col)), settings.max_chunk_chars)
     whole = df.select(
         key, F.lit("Document").alias("section"), F.lit("text").alias("chunk_type"), F.lit("").alias("table_title"),
         F.posexplode(windows).alias("part", "body"),
     ).select(key, "section", "chunk_type", "table_title", "body", F.struct(F.lit(0).alias("seq"), "part").alias("block_seq"), F.lit(2).alias("way"))
-    every = item.unionByName(caps).unionByName(whole)
     best = F.min("way").over(Window.partitionBy(key))
-    return every.withColumn("best", best).where("way = best").drop("best", "way")
+    return found.unionByName(whole).withColumn("best", best).where("way = best").drop("best", "way")
 
 
 def chunk_filings(filings: DataFrame, key: str = "source_url", html_col: str = "html", slug_index: bool = False, settings: Settings = DEFAULTS) -> DataFrame:

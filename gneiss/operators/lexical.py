@@ -50,8 +50,8 @@ class Stored(Protocol):
     def top(self, questions: DataFrame, limit: int, settings: Settings) -> DataFrame:
         """The best of these with lex_rank."""
 
-    def named(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with the chunk_id of their corpus_pos."""
+    def named(self, rows: DataFrame, few: bool) -> DataFrame:
+        """``rows``, which may be ``few``, with the chunk_id of their corpus_pos."""
 
 
 def relevances(questions: DataFrame, index: Index | Stored, settings: Settings = DEFAULTS, gate: bool = False) -> DataFrame:
@@ -65,7 +65,7 @@ def relevances(questions: DataFrame, index: Index | Stored, settings: Settings =
     """
     if not isinstance(index, Index):
         rows = index.relevances(questions, settings)
-        return index.named(rows.where(passes_gate(settings)) if gate else rows)
+        return index.named(rows.where(passes_gate(settings)) if gate else rows, few=False)
     rows = _of_chunks(questions, index, settings)
     return rows.where(passes_gate(settings)) if gate else rows
 
@@ -105,5 +105,5 @@ def passes_gate(settings: Settings = DEFAULTS) -> Column:
 def retrieve(questions: DataFrame, index: Index | Stored, limit: int = DEFAULTS.evidence, settings: Settings = DEFAULTS) -> DataFrame:
     """The lexical path alone: the best ``limit`` chunks, and of these the ones that pass the gate."""
     if not isinstance(index, Index):
-        return index.named(index.top(questions, limit, settings).where(passes_gate(settings)))
+        return index.named(index.top(questions, limit, settings).where(passes_gate(settings)), few=True)
     return score(questions, index, settings).where(F.col("lex_rank") <= limit).where(passes_gate(settings))
