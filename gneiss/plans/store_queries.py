@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.operators import answer, hybrid, lexical
+from gneiss.operators import answer, coded, hybrid, lexical
 from gneiss.plans.queries import SETTINGS, chunks, hits, questions
 from gneiss.sources.scratch import shared_folder
 from gneiss.sources.store import Store
+from gneiss.sources.tables import read_table as read
 
 _MADE: dict[tuple[str, str], Store] = {}
+_CODED: dict[tuple[str, str], coded.CodedVectors] = {}
 
 
 def stored_chunks(spark, sf_dir) -> DataFrame:
@@ -100,6 +102,21 @@ def stored_order(spark, sf_dir):
     return rows.select("chunk_id", "corpus_pos", F.length("text").cast("long").alias("n_chars"))
 
 
+def _coded(spark, sf_dir):
+    """Queries (ids divisible by 100, strings) and the codes of all vectors."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("vec_id").alias("corpus_pos"), "embedding")
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CODED:
+        _CODED[key] = coded.CodedVectors.build(rows, f"{shared_folder(spark)}/gneiss-codes-{len(_CODED)}-{key[0]}")
+    return rows.where("corpus_pos % 100 = 0").select(F.col("chunk_id").alias("qid"), "embedding"), _CODED[key]
+
+
+def knn_coded(spark, sf_dir):
+    """knn_exact, of the tenth of the vectors at most that the codes find: most of its rows."""
+    queries, codes = _coded(spark, sf_dir)
+    return codes.nearest(queries, 10).select("qid", "chunk_id", F.round("distance", 6).alias("distance"), "vec_rank")
+
+
 QUERIES = {f.__name__: f for f in (
-    indexed_rank, indexed_retrieve, indexed_answers, stored_frequency, stored_totals, stored_companies, stored_stats, stored_order,
+    indexed_rank, indexed_retrieve, indexed_answers, stored_frequency, stored_totals, stored_companies, stored_stats, stored_order, knn_coded,
 )}
