@@ -14,7 +14,6 @@ import atexit
 import ctypes
 import functools
 import sys
-import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -24,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from gneiss.sources.scratch import shared_folder
 from gneiss.sources.tables import read_table
 
 #: The white space of the text contracts: space and U+0009 to U+000D.
@@ -120,17 +120,17 @@ def table_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset and all runs on this machine, one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+def _own_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one. It goes with the JVM, also where the session has been stopped before."""
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
-        _SCRATCH[app] = tempfile.mkdtemp(prefix="gneiss-")
-    return f"file://{_SCRATCH[app]}"
+        path = f"{shared_folder(spark)}/gneiss-{app}-{uuid.uuid4().hex[:8]}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _SCRATCH[app] = path
+    return _SCRATCH[app]
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     name = f"gneiss-{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark)}/{name}"
+    path = f"{_own_folder(spark)}/{name}"
     _written()[name] = remove = functools.partial(_remove, spark, path)
     atexit.register(remove)
     df.write.parquet(path)

@@ -44,8 +44,9 @@ BUCKETS = 1 << BUCKET_BITS
 PER_LANGUAGE = 2000
 #: Gap between the two best codewords, as a share of the best's probability, that counts as clear.
 CLEAR = 0.2
-#: Standard deviations below the usual fit that a text may lie, and texts it takes to know the usual fit.
-DEVIATIONS, CALIBRATING = 6.0, 100
+#: Standard deviations below the usual fit that a text may lie; texts that all languages together count as in what is usual of
+#: one, and by which the variance of what few texts tell is widened: by (m + FEW) / m of m texts.
+DEVIATIONS, FEW = 6.0, 20
 #: Standard deviations among n-grams below their mean that an n-gram counts at most.
 STRANGE = 3.0
 #: A byte is in three 3-grams and four 4-grams, which therefore count as one observation.
@@ -232,22 +233,28 @@ def _half(doc_id) -> int:
 def usual_fit(mixture: np.ndarray, fits: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
     """``Model.usual`` from the fits and the n-gram counts of the texts that the mixture was not learned from.
 
-    Median and lower spread, as texts with a wrong language in the sample would move a mean.
-    A language with fewer than CALIBRATING texts has the values of all languages together.
+    Median and lower spread, as texts with a wrong language in the sample would move a mean. What few texts tell is drawn
+    to the values of all languages together, and its variance widened, so that there is a bound at every size: the wider the fewer
+    they are. There is none only where no text calibrates.
     """
 
-    def values(own: np.ndarray, total: np.ndarray) -> list[float]:
-        if len(own) < CALIBRATING or not total.sum():
-            return [np.nan] * 3
+    def values(own: np.ndarray, total: np.ndarray) -> np.ndarray:
+        if not len(own) or not total.sum():
+            return np.full(3, np.nan)
         share = total / total.sum()
         middle = float(np.median(own))
         spread = 1.4826 * float(np.median(middle - own[own <= middle]))
-        return [middle, spread**2, float(share @ mixture**2 - (share @ mixture) ** 2)]
+        return np.array([middle, spread**2, float(share @ mixture**2 - (share @ mixture) ** 2)])
 
     if not fits:
         return np.full((0, 3), np.nan)
-    whole = values(np.concatenate(fits), counts.sum(0))
-    return np.array([whole if len(f) < CALIBRATING else values(f, c) for f, c in zip(fits, counts, strict=True)])
+    whole, m = values(np.concatenate(fits), counts.sum(0)), sum(map(len, fits))
+    out = []
+    for own, total in zip(fits, counts, strict=True):
+        n = len(own) if total.sum() else 0
+        told = (n * np.nan_to_num(values(own, total)) + FEW * whole) / (n + FEW)
+        out.append(told * [1, (m + FEW) / max(m, 1), (m + FEW) / max(m, 1)])
+    return np.array(out)
 
 
 def learn(languages: list[str], totals: np.ndarray) -> Model:

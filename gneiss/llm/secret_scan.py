@@ -10,7 +10,9 @@ only when it holds.
 
 Defined results: null and empty texts have no spans; offsets are code points, end
 exclusive; equal spans of different kinds are all reported, in the order of KINDS;
-repeated rows are scanned each for itself; other columns are not read.
+repeated rows are scanned each for itself; a null id stays null, ids are whole numbers; texts of any length are scanned
+whole; an empty table gives an empty result. ``scan_documents`` reads no other columns, whatever their names;
+``redact_documents`` carries all of them along, a null text staying null.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import arrow, map_arrow, strings
+from gneiss.llm.common import arrow, map_arrow, strings, with_ids
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "github", "npm")
@@ -118,7 +120,7 @@ def scan_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     return map_arrow(
-        df, [id_col, text_col], run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
+        with_ids(df, id_col), [id_col, text_col], run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
     )
 
 

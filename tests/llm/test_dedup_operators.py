@@ -470,7 +470,7 @@ def test_operators_on_empty_tables(spark):
 
 def test_ids_that_are_no_numbers_are_refused(spark):
     df = spark.createDataFrame([("a", "x y")], "doc_id string, text string")
-    for operator in (line_dedup.drop_repeated_lines, passage_dedup.repeated_passages, ngram_join.near_duplicates, lambda d: language_id.predict(d, language_id.learn([], np.zeros((2, 0, 1))))):
+    for operator in (line_dedup.drop_repeated_lines, passage_dedup.repeated_passages, ngram_join.near_duplicates, lambda d: language_id.predict(d, language_id.learn([], np.zeros((2, 0, 1)))), secret_scan.scan_documents):
         with pytest.raises(TypeError, match="doc_id"):
             operator(df)
 

@@ -666,6 +666,22 @@ def test_language_is_learned_and_predicted(spark):
     assert language_id.predict(docs.limit(0), model).collect() == []
 
 
+def test_few_texts_give_a_bound_and_a_wider_one_the_fewer_they_are(spark):
+    rng = np.random.default_rng(2)
+    words = {"en": "the thing and other ship with over water".split(), "de": "der das und schiff mit einer wasser kein".split()}
+    rows = [(i, " ".join(rng.choice(words[lang], 40)), lang) for i, lang in enumerate(list(words) * 15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    grams = np.array([200])
+    assert np.isfinite(model.least_fit(grams)).all()
+    strange = spark.createDataFrame([(900, "qxzj zqjx wvkq jjqz " * 30, None)], docs.schema)
+    assert {r.doc_id for r in language_id.keep_identified(docs.union(strange), model).collect()} == {i for i, *_ in rows}
+    fits, counts = [rng.normal(-5, 0.1, 400), rng.normal(-5, 0.1, 400)], np.ones((2, language_id.BUCKETS))
+    usual = lambda n: language_id.usual_fit(model.mixture, [f[:n] for f in fits], counts)
+    widths = [usual(n)[0, 2] for n in (3, 30, 400)]
+    assert widths[0] > widths[1] > widths[2] and np.isnan(usual(0)).all()
+
+
 def plain_model(rows):
     """Codes, weights and reliability of ``rows`` by the definition, with dictionaries in place of arrays; a function from a text to its odds."""
     def grams(text):
