@@ -355,6 +355,10 @@ def _of_store(sql: str) -> str:
 ORACLE_SQL |= {
     "indexed_rank": _of_store(ORACLE_SQL["bm25_rank"]),
     "indexed_retrieve": _of_store(ORACLE_SQL["retrieve_lexical"]),
+    "indexed_product": _of_store(ORACLE_SQL["bm25_rank"]).replace(
+        f"questions(qid, question, scope, vec_id) AS (VALUES {ASKED})",
+        "questions AS (SELECT concat_ws(':', conv_id, turn) AS qid, text AS question, 'en' AS scope, 0 AS vec_id FROM conversations)",
+    ) + " WHERE lex_rank <= 3",
     "indexed_answers": _of_store(ORACLE_SQL["answer_extractive"]),
     "stored_frequency": _of_store(ORACLE_SQL["document_frequency"]),
     "stored_totals": _of_store(ORACLE_SQL["corpus_stats"]),

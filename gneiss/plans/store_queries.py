@@ -60,6 +60,14 @@ def indexed_retrieve(spark, sf_dir):
     return _shown(lexical.retrieve(questions(spark), made_store(spark, sf_dir).index(), 3, SETTINGS))
 
 
+def indexed_product(spark, sf_dir):
+    """The best three chunks of a question for each turn of the conversations: a large batch, as a product in blocks."""
+    turns = read(spark, sf_dir, "conversations")
+    asked = turns.select(F.concat_ws(":", "conv_id", "turn").alias("qid"), F.col("text").alias("question"), F.lit("en").alias("scope"))
+    index = made_store(spark, sf_dir).index()
+    return _shown(index.named(index.product(asked, 3, SETTINGS)))
+
+
 def indexed_answers(spark, sf_dir):
     """answer_extractive from a store."""
     index = made_store(spark, sf_dir).index()
@@ -118,5 +126,5 @@ def knn_coded(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    indexed_rank, indexed_retrieve, indexed_answers, stored_frequency, stored_totals, stored_companies, stored_stats, stored_order, knn_coded,
+    indexed_rank, indexed_retrieve, indexed_product, indexed_answers, stored_frequency, stored_totals, stored_companies, stored_stats, stored_order, knn_coded,
 )}

@@ -11,11 +11,11 @@ from gneiss.plans.oracle import ORACLE_SQL
 from tests.compare import FOLDER, assert_same
 
 QUERIES = queries.QUERIES | store_queries.QUERIES
-#: Tested by their rows elsewhere: real pages are parsed, and no SQL parses HTML.
-WITHOUT_SQL = {"html_leaf_blocks", "chunk_filings"}
+#: Tested by their rows elsewhere: real pages are parsed, and no SQL parses HTML; approximate neighbours are held against exact ones.
+WITHOUT_SQL = {"html_leaf_blocks", "chunk_filings", "knn_coded"}
 
 
-def test_every_query_has_sql_but_those_that_parse_pages():
+def test_every_query_has_sql_but_those_that_none_can_tell():
     assert set(QUERIES) - set(ORACLE_SQL) == WITHOUT_SQL and set(ORACLE_SQL) <= set(QUERIES)
 
 
@@ -79,3 +79,10 @@ def test_chunks_of_real_pages_are_their_text(spark):
             assert sum(n for *_, n in own) + len(own) - 1 <= length + len(own) and sum(n for *_, n in own) >= length - len(own) + 1 and all(n <= 3000 for *_, n in own)
         else:
             assert all(section.upper() == section for _, section, _ in own)
+
+
+def test_coded_neighbours_are_nearly_the_exact_ones(spark):
+    exact = {(r.qid, r.chunk_id): r.distance for r in QUERIES["knn_exact"](spark, FOLDER).collect()}
+    found = {(r.qid, r.chunk_id): r.distance for r in QUERIES["knn_coded"](spark, FOLDER).collect()}
+    assert len(found) == len(exact) and len(found.keys() & exact.keys()) >= 0.9 * len(exact)
+    assert all(abs(found[k] - exact[k]) < 2e-6 for k in found.keys() & exact.keys())

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.operators import index, lexical, postings
+from gneiss.operators import coded, index, lexical, postings, vector
 from gneiss.plans import api
 from gneiss.schemas import CHUNK
 from gneiss.sources import store as S
@@ -82,8 +82,19 @@ def test_scores_are_those_of_a_scan(spark, grown, scoped):
     assert scores(lexical.score(batch, grown.index(scoped))) == scores(want) != []
     for limit in (1, 3, 10):
         assert scores(lexical.retrieve(batch, grown.index(scoped), limit)) == scores(lexical.retrieve(batch, scan, limit))
-    compacted = grown.index(scoped)
-    assert compacted.dead is not None
+    asked_in_blocks = grown.index(scoped).product(batch, 3)
+    assert scores(grown.index(scoped).named(asked_in_blocks)) == scores(grown.index(scoped).named(grown.index(scoped).top(batch, 3)))
+    assert grown.index(scoped).dead is not None
+
+
+def test_products_of_many_questions(spark, grown, monkeypatch):
+    for name, value in (("QUESTIONS", 7), ("DENSE", 4), ("STEP", 5)):
+        monkeypatch.setattr(postings, name, value)
+    rng = random.Random(9)
+    batch = asked(spark, True, *(" ".join(rng.choice(WORDS) for _ in range(rng.randrange(6))) for _ in range(60)))
+    found = grown.index()
+    assert scores(found.named(found.product(batch, 2))) == scores(lexical.score(batch, index.build(grown.scan())).where("lex_rank <= 2")) != []
+    assert found.product(batch.limit(0)).collect() == []
 
 
 def test_scores_in_small_windows_and_of_large_batches(spark, tmp_path, monkeypatch):
@@ -216,3 +227,39 @@ def test_filters_hold_all_their_ids_and_few_others():
     assert all(S.may_hold(bits, ids[i : i + 1]) for i in range(0, 5000, 7))
     assert sum(S.may_hold(bits, others[i : i + 1]) for i in range(1000)) < 40
     assert not S.may_hold(S.id_filter(ids[:0]), ids) and not S.may_hold(bits, ids[:0])
+
+
+# -- codes of vectors ----------------------------------------------------------------------
+
+
+def vectors_of(spark, rows):
+    return spark.createDataFrame([(str(i), i, None if v is None else [float(x) for x in v]) for i, v in enumerate(rows)], "chunk_id string, corpus_pos long, embedding array<float>")
+
+
+@pytest.mark.parametrize(("clusters", "probes"), [(0, None), (20, 8)])
+def test_codes_find_nine_of_ten_neighbours_and_read_few_vectors(spark, tmp_path, clusters, probes):
+    rng = np.random.default_rng(clusters)
+    rows = rng.normal(size=(3000, 24))
+    if clusters:  # of vectors in clusters few coarse cells need be read
+        rows = rng.normal(size=(clusters, 24))[rng.integers(0, clusters, 3000)] * 3 + rows * 0.3
+    base = vectors_of(spark, rows)
+    queries = base.where("corpus_pos % 100 = 0").selectExpr("chunk_id as qid", "embedding")
+    codes = coded.CodedVectors.build(base, str(tmp_path / "codes"))
+    want = {(r.qid, r.chunk_id): r.distance for r in vector.nearest(queries, base, 10).collect()}
+    got = {(r.qid, r.chunk_id): r.distance for r in codes.nearest(queries, 10, probes).collect()}
+    assert len(want.keys() & got.keys()) >= 0.9 * len(want)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want.keys() & got.keys())
+    compared = codes.found(queries, 100, probes).groupBy("qid").count().agg(F.max("count")).first()[0]
+    assert compared <= 3000 / 5
+    every = {(r.qid, r.chunk_id) for r in codes.nearest(queries, 10, candidates=3000).collect()}
+    assert every == want.keys()  # with all as candidates it is the exact way
+
+
+def test_codes_of_odd_tables(spark, tmp_path):
+    base = vectors_of(spark, [[1, 0], None, [0, 1], [1, 0], [-1, 0]])
+    codes = coded.CodedVectors.build(base, str(tmp_path / "a"))
+    queries = spark.createDataFrame([("q", [2.0, 0.0]), ("none", None)], "qid string, embedding array<float>")
+    found = codes.nearest(queries, 3).orderBy("vec_rank").collect()
+    assert [(r.qid, r.chunk_id, r.distance) for r in found] == [("q", "0", 0.0), ("q", "3", 0.0), ("q", "2", 1.0)]
+    assert codes.nearest(queries.limit(0), 3).collect() == []
+    assert coded.CodedVectors.build(base.where("embedding is null"), str(tmp_path / "b")) is None
