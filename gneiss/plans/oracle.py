@@ -304,13 +304,13 @@ FROM (SELECT *, len(list_filter(flat, lambda c: regexp_matches(c, '^\(?\$?\s*-?\
     "filing_tables": _CHUNKED + "SELECT count(*) FILTER (x[2] = 'table') AS tables, count(*) FILTER (x[2] <> 'table') AS prose FROM c",
     "recent_filings": """
 WITH r AS (
-  SELECT c_nationkey AS n, o_orderkey AS k, substring(o_orderpriority, 3) AS form, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders JOIN customer ON o_custkey = c_custkey
-), t AS (SELECT * FROM r WHERE form IN ('URGENT', 'LOW') QUALIFY row_number() OVER (PARTITION BY n, form ORDER BY k) <= 4)
+  SELECT o_custkey AS n, o_orderkey AS k, substring(o_orderpriority, 3) AS form, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders
+), t AS (SELECT * FROM r WHERE form IN ('URGENT', 'LOW') QUALIFY row_number() OVER (PARTITION BY n, form ORDER BY k) <= 2)
 SELECT 'T' || n AS ticker, form, day AS filing_date, printf('%010d', k) || '-' || substring(day, 3, 2) || '-1' AS accession_number,
   'https://www.sec.gov/Archives/edgar/data/' || (n + 1) || '/' || printf('%010d', k) || substring(day, 3, 2) || '1/' || printf('%010d', k) || '.htm' AS source_url,
   day AS period_of_report, row_number() OVER (PARTITION BY n ORDER BY k) AS filing_seq FROM t""",
-    "ticker_map": """SELECT upper(n_name) AS ticker, lpad(CAST(CAST(n_nationkey AS BIGINT) * 999999937 % 10000000000 AS VARCHAR), 10, '0') AS cik,
-  CASE WHEN n_nationkey % 2 = 0 THEN upper(n_name) ELSE n_name END AS name FROM nation""",
+    "ticker_map": """SELECT upper(c_name) AS ticker, lpad(CAST(CAST(c_custkey AS BIGINT) * 999999937 % 10000000000 AS VARCHAR), 10, '0') AS cik,
+  CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS name FROM customer""",
     "ticker_syntax": r"""SELECT doc_id, upper(trim(t)) AS ticker, regexp_full_match(upper(trim(t)), '[A-Z0-9][A-Z0-9.-]{0,9}') AS is_ticker
 FROM (SELECT doc_id, ' ' || coalesce(lang, '') || CASE doc_id % 3 WHEN 0 THEN '-b' WHEN 1 THEN ' b' ELSE CAST(doc_id AS VARCHAR) END AS t FROM documents)""",
     "whitespace_clean": r"""SELECT doc_id, md5(trim(regexp_replace(replace(replace(coalesce(text, ''), 'the', 'the '), ' la ', ' la '), '[\s\x0B\x1C-\x1F\x85\xA0]+', ' ', 'g'))) AS clean_md5 FROM documents""",

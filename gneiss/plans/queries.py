@@ -194,7 +194,7 @@ def quote_normalize(spark, sf_dir):
 
 def quote_verify(spark, sf_dir):
     docs, items = chunks(spark, sf_dir), read(spark, sf_dir, "benchmark")
-    n = items.count()
+    n = items.agg(F.count(F.lit(1))).scalar()
     offered = docs.select("chunk_id", F.explode(F.array(*(F.lit(i) for i in range(3)))).alias("pos"), "corpus_pos")
     offered = offered.withColumn("item_id", (F.col("corpus_pos") * 7 + F.col("pos")) % n)
     cited = offered.join(items.select("item_id", F.col("text").alias("quote")), "item_id")
@@ -374,27 +374,26 @@ def filing_tables(spark, sf_dir):
 
 
 def recent_filings(spark, sf_dir):
-    """The registry's JSON of each nation's orders, as it publishes a company's filings."""
-    rows = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    """The registry's JSON of each customer's orders, as it publishes a company's filings."""
+    rows = read(spark, sf_dir, "orders")
     names = ("form", "accessionNumber", "primaryDocument", "filingDate", "reportDate")
     key, date = F.format_string("%010d", "o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
     number = F.concat(key, F.lit("-"), F.substring(date, 3, 2), F.lit("-1"))
     values = (F.substring("o_orderpriority", 3, 99), number, F.concat(key, F.lit(".htm")), date, F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(date))
-    listed = rows.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", *(v.alias(n) for n, v in zip(names, values, strict=True))))).alias("f"))
+    listed = rows.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", *(v.alias(n) for n, v in zip(names, values, strict=True))))).alias("f"))
     recent = F.struct(F.struct(*(F.col("f")[n].alias(n) for n in names)).alias("recent"))
-    cik = F.format_string("%010d", F.col("c_nationkey") + 1)
-    body = listed.select(F.concat(F.lit("T"), F.col("c_nationkey")).alias("ticker"), cik.alias("cik"), F.to_json(F.struct(recent.alias("filings"))).alias("value"))
-    found = filings.recent_filings(body, ("URGENT", "LOW"), 4)
+    cik = F.format_string("%010d", F.col("o_custkey") + 1)
+    body = listed.select(F.concat(F.lit("T"), F.col("o_custkey")).alias("ticker"), cik.alias("cik"), F.to_json(F.struct(recent.alias("filings"))).alias("value"))
+    found = filings.recent_filings(body, ("URGENT", "LOW"), 2)
     return found.select("ticker", "form", "filing_date", "accession_number", "source_url", "period_of_report", F.col("filing_seq").cast("long").alias("filing_seq"))
 
 
 def ticker_map(spark, sf_dir):
-    """The registry's map of tickers, made of the nations."""
-    number = F.col("n_nationkey").cast("long") * 999_999_937 % 10_000_000_000
-    title = F.when(F.col("n_nationkey") % 2 == 0, "").otherwise(F.col("n_name"))
-    entry = F.struct(number.alias("cik_str"), F.lower("n_name").alias("ticker"), title.alias("title"))
-    entries = F.collect_list(F.struct(F.col("n_nationkey").cast("string"), entry))
-    rows = read(spark, sf_dir, "nation").agg(F.to_json(F.map_from_entries(entries)).alias("value"))
+    """The registry's map of tickers, one JSON document for each customer."""
+    number = F.col("c_custkey").cast("long") * 999_999_937 % 10_000_000_000
+    title = F.when(F.col("c_custkey") % 2 == 0, "").otherwise(F.col("c_name"))
+    entry = F.struct(number.alias("cik_str"), F.lower("c_name").alias("ticker"), title.alias("title"))
+    rows = read(spark, sf_dir, "customer").select(F.to_json(F.create_map(F.col("c_custkey").cast("string"), entry)).alias("value"))
     return filings.tickers(rows)
 
 

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.operators import chunking
+from gneiss.operators import chunking, index
 from gneiss.schemas import CHUNK
 from gneiss.sources import filings
 from gneiss.sources.store import Store, companies, last_wins, stats
@@ -149,6 +149,10 @@ def test_stream(spark, tmp_path):
     assert store.scan().count() == 1
     add("2.json", page, filing("<h1>Item 2. Sites</h1><p>We have two.</p>", url="https://x/2", accession_number="0002"))
     assert {r.section for r in store.scan("EXMP").collect()} == {"Item 1. Business", "Item 2. Sites"} and store.scan().count() == 2
+    # The first page came twice: what its first chunk added to the counts was taken off again.
+    df = store.index().differences.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+    assert {tuple(r) for r in df.collect()} == {tuple(r) for r in index.document_frequency(index.postings(store.scan())).select("term", "df").collect()}
+    assert store.index().totals.agg(F.sum("n_docs")).first()[0] == 2
 
 
 def test_embedded_columns(spark):
