@@ -45,8 +45,8 @@ PER_LANGUAGE = 2000
 #: Gap between the two best codewords, as a share of the best's probability, that counts as clear.
 CLEAR = 0.2
 #: Standard deviations below the usual fit that a text may lie; texts that all languages together count as in what is usual of
-#: one, and by which the variance of what few texts tell is widened: by (m + FEW) / m of m texts.
-DEVIATIONS, FEW = 6.0, 20
+#: one; and by what few texts tell is widened: variances of m texts count 1 + (WIDE / m)^2 times, as few texts do not show what else is usual.
+DEVIATIONS, FEW, WIDE = 6.0, 20, 200
 #: Standard deviations among n-grams below their mean that an n-gram counts at most.
 STRANGE = 3.0
 #: A byte is in three 3-grams and four 4-grams, which therefore count as one observation.
@@ -253,7 +253,8 @@ def usual_fit(mixture: np.ndarray, fits: list[np.ndarray], counts: np.ndarray) -
     for own, total in zip(fits, counts, strict=True):
         n = len(own) if total.sum() else 0
         told = (n * np.nan_to_num(values(own, total)) + FEW * whole) / (n + FEW)
-        out.append(told * [1, (m + FEW) / max(m, 1), (m + FEW) / max(m, 1)])
+        wider = 1 + (WIDE / max(m, 1)) ** 2
+        out.append(told * [1, wider, wider])
     return np.array(out)
 
 

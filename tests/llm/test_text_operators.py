@@ -669,8 +669,10 @@ def test_language_is_learned_and_predicted(spark):
 def test_few_texts_give_a_bound_and_a_wider_one_the_fewer_they_are(spark):
     rng = np.random.default_rng(2)
     words = {"en": "the thing and other ship with over water".split(), "de": "der das und schiff mit einer wasser kein".split()}
-    rows = [(i, " ".join(rng.choice(words[lang], 40)), lang) for i, lang in enumerate(list(words) * 15)]
+    rows = [(i, " ".join(rng.choice(words[lang], 40)), lang) for i, lang in enumerate(list(words) * 150)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = language_id.fit(docs.where("doc_id < 30"))
+    assert np.isfinite(few.least_fit(np.array([200]))).all()
     model = language_id.fit(docs)
     grams = np.array([200])
     assert np.isfinite(model.least_fit(grams)).all()
@@ -679,7 +681,7 @@ def test_few_texts_give_a_bound_and_a_wider_one_the_fewer_they_are(spark):
     fits, counts = [rng.normal(-5, 0.1, 400), rng.normal(-5, 0.1, 400)], np.ones((2, language_id.BUCKETS))
     usual = lambda n: language_id.usual_fit(model.mixture, [f[:n] for f in fits], counts)
     widths = [usual(n)[0, 2] for n in (3, 30, 400)]
-    assert widths[0] > widths[1] > widths[2] and np.isnan(usual(0)).all()
+    assert widths[0] > 9 * widths[1] > 90 * widths[2] and np.isnan(usual(0)).all()
 
 
 def plain_model(rows):
