@@ -1,10 +1,9 @@
 """Approximate nearest neighbours by codes, with exact distances for what they find.
 
-Unit vectors are cut into ``PARTS`` parts, and each part's space into ``CELLS`` cells by k-means; a vector's code is the number
-of its cell in each part, a byte each. Parts and cells are fitted on at most ``SAMPLE`` rows, those of the least hash of
-their id; every row is coded. Vectors lie also in coarse cells, k-means of whole vectors on the same sample, by which the table of
-codes is partitioned. A question is compared with the codes of all coarse cells, or of the ``probes`` nearest ones, which alone are read, by the
-sum of its parts' products with their cells; the best ``candidates`` of these are read as vectors and compared
+Unit vectors lie in coarse cells by k-means. What is left of a vector beside its cell's centre is cut into ``PARTS`` parts, and each
+part's space into ``CELLS`` cells; a vector's code is the number of its cell in each part, a byte each. Parts and cells are fitted on at most ``SAMPLE`` rows, those of the least hash of
+their id; every row is coded. The table of codes is partitioned by coarse cell. A question is compared with the codes of all coarse cells, or of the ``probes`` nearest ones, which alone are read, by the
+sum of its products with the coarse centre and the parts' cells; the best ``candidates`` of these are read as vectors and compared
 exactly, so distances and order are those of ``vector.nearest`` among what was found. That is the exact way beside this.
 
 Coarse cells save reading where vectors lie in clusters. On vectors without any, ten neighbours of one lie in most cells: then
@@ -50,7 +49,7 @@ def nearest_centre(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Codebook:
-    """What vectors are coded by: centres of each part's cells, and of the coarse cells."""
+    """What vectors are coded by: centres of the coarse cells, and of each part's cells of what is left to the vector beside its coarse centre."""
 
     parts: list[np.ndarray]
     coarse: np.ndarray
@@ -59,9 +58,11 @@ class Codebook:
     def cuts(self) -> list[int]:
         return np.cumsum([0, *(p.shape[1] for p in self.parts)]).tolist()
 
-    def codes(self, unit: np.ndarray) -> np.ndarray:
-        cuts = self.cuts
-        return np.stack([nearest_centre(unit[:, a:b], p) for a, b, p in zip(cuts, cuts[1:], self.parts, strict=False)], 1).astype(np.uint8)
+    def codes(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell numbers of each row, and its coarse cell."""
+        cuts, cell = self.cuts, nearest_centre(unit, self.coarse)[: len(unit)]
+        rest = unit - self.coarse[cell]
+        return np.stack([nearest_centre(rest[:, a:b], p) for a, b, p in zip(cuts, cuts[1:], self.parts, strict=False)], 1).astype(np.uint8), cell
 
     def products(self, unit: np.ndarray) -> list[np.ndarray]:
         """Of each part, the products of queries with all cells."""
@@ -76,7 +77,9 @@ def fit(vectors: DataFrame, id_col: str = "chunk_id") -> Codebook | None:
         return None
     unit = unit_rows(rows.column("embedding").combine_chunks())
     edges = np.linspace(0, unit.shape[1], min(PARTS, unit.shape[1]) + 1).astype(int)
-    return Codebook([k_means(unit[:, a:b], CELLS) for a, b in zip(edges, edges[1:], strict=False)], k_means(unit, COARSE))
+    coarse = k_means(unit, COARSE)
+    rest = unit - coarse[nearest_centre(unit, coarse)]
+    return Codebook([k_means(rest[:, a:b], CELLS) for a, b in zip(edges, edges[1:], strict=False)], coarse)
 
 
 def coded(vectors: DataFrame, book: Codebook) -> DataFrame:
@@ -86,8 +89,8 @@ def coded(vectors: DataFrame, book: Codebook) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unit = unit_rows(batch.column(2))
-            codes, cells = sent.value.codes(unit), nearest_centre(unit, sent.value.coarse)
-            columns = [batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(cells[: len(unit)], pa.int32())]
+            codes, cells = sent.value.codes(unit)
+            columns = [batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(cells, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["chunk_id", "corpus_pos", "code", "cell"])
 
     rows = vectors.where("embedding is not null").select("chunk_id", F.col("corpus_pos").cast("long").alias("corpus_pos"), "embedding")
@@ -119,17 +122,17 @@ class CodedVectors:
         np.put_along_axis(allowed, near, True, axis=1)
         rows = self.spark.read.schema(CODED).parquet(self.path)
         rows = rows.where(F.col("cell").isin(np.flatnonzero(allowed.any(axis=0)).tolist())) if probes is not None else rows
-        sent = self.spark.sparkContext.broadcast((qids, self.book.products(unit), allowed))
+        sent = self.spark.sparkContext.broadcast((qids, self.book.products(unit), unit @ self.book.coarse.T, allowed))
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qids, products, allowed = sent.value
+            qids, products, middle, allowed = sent.value
             for batch in batches:
                 if not batch.num_rows or not qids:
                     continue
                 code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
                 cell, position = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "corpus_pos"))
                 for at in range(0, len(qids), 256):
-                    far = 1.0 - sum(p[at : at + 256][:, code[:, k]] for k, p in enumerate(products))
+                    far = 1.0 - middle[at : at + 256][:, cell] - sum(p[at : at + 256][:, code[:, k]] for k, p in enumerate(products))
                     far = np.where(allowed[at : at + 256][:, cell], far, np.inf)
                     best = best_of(far, position, limit)
                     value = np.take_along_axis(far, best, 1)
