@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gneiss.config import DEFAULTS
-from gneiss.operators.vector import best_of, unit_rows
+from gneiss.operators.vector import Compare, compared, unit_rows
 
 PARTS, CELLS, COARSE, SAMPLE, ROUNDS = 16, 256, 64, 65_536, 15
 #: Vectors that are compared exactly for each neighbour asked for.
@@ -47,6 +47,11 @@ def nearest_centre(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([(size - 2 * rows[at : at + 8192] @ centres.T).argmin(axis=1) for at in range(0, max(len(rows), 1), 8192)])
 
 
+def _near_cells(unit: np.ndarray, book: Codebook, probes: int | None) -> np.ndarray:
+    """The ``probes`` coarse cells nearest to each vector; all of them if None."""
+    return np.argsort(-(unit @ book.coarse.T), axis=1)[:, :probes]
+
+
 @dataclass(frozen=True)
 class Codebook:
     """What vectors are coded by: centres of the coarse cells, and of each part's cells of what is left to the vector beside its coarse centre."""
@@ -114,35 +119,37 @@ class CodedVectors:
 
     def found(self, queries: DataFrame, limit: int, probes: int | None = None) -> DataFrame:
         """(qid, chunk_id): the ``limit`` best rows of each query by their codes, in the ``probes`` coarse cells nearest to it."""
-        asked = queries.select("qid", "embedding").where("embedding is not null").toArrow()
-        qids = asked.column("qid").to_pylist()
-        unit = unit_rows(asked.column("embedding").combine_chunks()) if qids else np.zeros((0, self.book.cuts[-1]))
-        near = np.argsort(-(unit @ self.book.coarse.T), axis=1)[:, :probes]
-        allowed = np.zeros((len(qids), len(self.book.coarse)), bool)
-        np.put_along_axis(allowed, near, True, axis=1)
+        asked, dimensions = queries.where("embedding is not null").select("qid", "embedding"), self.book.cuts[-1]
         rows = self.spark.read.schema(CODED).parquet(self.path)
-        rows = rows.where(F.col("cell").isin(np.flatnonzero(allowed.any(axis=0)).tolist())) if probes is not None else rows
-        sent = self.spark.sparkContext.broadcast((qids, self.book.products(unit), unit @ self.book.coarse.T, allowed))
+        sent = self.spark.sparkContext.broadcast(self.book)
 
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qids, products, middle, allowed = sent.value
+        def cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows or not qids:
-                    continue
+                near = _near_cells(unit_rows(batch.column("embedding")).reshape(-1, dimensions), sent.value, probes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(near), pa.int32())], ["cell"])
+
+        if probes is not None:
+            probed = asked.select("embedding").mapInArrow(cells, "cell int").distinct().collect()  # COARSE at most
+            rows = rows.where(F.col("cell").isin([r["cell"] for r in probed]))
+
+        def ready(asked: pa.Table) -> Compare:
+            book, unit = sent.value, unit_rows(asked.column("embedding").combine_chunks()).reshape(-1, dimensions)
+            near = _near_cells(unit, book, probes)
+            allowed = np.zeros((len(unit), len(book.coarse)), bool)
+            np.put_along_axis(allowed, near, True, axis=1)
+
+            def compare(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
                 code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                cell, position = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "corpus_pos"))
-                for at in range(0, len(qids), 256):
-                    far = 1.0 - middle[at : at + 256][:, cell] - sum(p[at : at + 256][:, code[:, k]] for k, p in enumerate(products))
-                    far = np.where(allowed[at : at + 256][:, cell], far, np.inf)
-                    best = best_of(far, position, limit)
-                    value = np.take_along_axis(far, best, 1)
-                    q, k = np.nonzero(np.isfinite(value))
-                    names = batch.column("chunk_id").take(pa.array(best[q, k]))
-                    columns = [pa.array([qids[at + i] for i in q], pa.string()), names, pa.array(position[best[q, k]], pa.int64()), pa.array(value[q, k])]
-                    yield pa.RecordBatch.from_arrays(columns, ["qid", "chunk_id", "corpus_pos", "far"])
-
-        best = Window.partitionBy("qid").orderBy("far", "corpus_pos")
-        near = rows.mapInArrow(run, "qid string, chunk_id string, corpus_pos long, far double")
+                cell = batch.column("cell").to_numpy(zero_copy_only=False).astype(np.int64)
+                for at in range(0, len(unit), 256):
+                    block = unit[at : at + 256]
+                    far = 1.0 - (block @ book.coarse.T)[:, cell] - sum(p[:, code[:, k]] for k, p in enumerate(book.products(block)))
+                    yield at, np.where(allowed[at : at + 256][:, cell], far, np.inf)
+
+            return compare
+
+        best = Window.partitionBy("qid").orderBy("distance", "corpus_pos")
+        near = compared(asked, rows, ready, limit)
         return near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= limit).select("qid", "chunk_id")
 
     def nearest(self, queries: DataFrame, limit: int = DEFAULTS.candidates, probes: int | None = None, candidates: int | None = None) -> DataFrame:

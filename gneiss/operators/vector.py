@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -20,8 +20,12 @@ from pyspark.sql import functions as F
 from gneiss.config import DEFAULTS, Settings
 from gneiss.functions.optional import require
 
-#: Queries of one matrix product, and bytes of query vectors sent out at a time.
-QUERY_BLOCK, QUERY_BYTES = 1024, 64 << 20
+#: Queries of one matrix product; rows and bytes of queries that one task holds.
+QUERY_BLOCK, QUERY_ROWS, QUERY_BYTES = 1024, 16_384, 64 << 20
+FOUND = "qid string, chunk_id string, corpus_pos long, distance double"
+#: Of a batch of rows the distances to blocks of queries, with the number of each block's first query; infinite where not to be compared.
+Compare = Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]
+Ready = Callable[[pa.Table], Compare]
 
 
 class Embedder(Protocol):
@@ -82,22 +86,30 @@ def nearest(queries: DataFrame, vectors: DataFrame, limit: int = DEFAULTS.candid
 
     ``queries`` has qid and embedding, ``vectors`` chunk_id, corpus_pos and embedding; with
     ``scoped`` both have scope, and only rows of one scope are compared. Rows without a vector
-    are never near. Ties go to the earlier corpus position. The stated queries are brought to the
-    driver and sent out, QUERY_BYTES at a time; the other side may be of any size and is
-    read once for each such part. A task hands on its best ``limit`` rows of each query only.
+    are never near. Ties go to the earlier corpus position.
     """
-    columns = ["qid", "embedding", *(["scope"] if scoped else [])]
-    table = queries.select(*columns).where("embedding is not null").toArrow()
-    qids = table.column("qid").to_pylist()
-    scopes = np.array(table.column("scope").to_pylist() if scoped else [""] * len(qids), object)
-    matrix = unit_rows(table.column("embedding").combine_chunks()) if qids else np.zeros((0, 1))
-    step = max(QUERY_BYTES // max(matrix.shape[1] * 8, 1), 1)
-    parts = [_candidates(qids[at : at + step], scopes[at : at + step], matrix[at : at + step], vectors, limit, scoped) for at in range(0, max(len(qids), 1), step)]
-    found = functools.reduce(DataFrame.unionByName, parts)
+    scope = ["scope"] if scoped else []
+    asked = queries.where("embedding is not null").select("qid", "embedding", *scope)
+    rows = vectors.where("embedding is not null").select("chunk_id", F.col("corpus_pos").cast("long").alias("corpus_pos"), "embedding", *scope)
+    found = compared(asked, rows, functools.partial(_cosine, scoped), limit)
     order = Window.partitionBy("qid").orderBy("distance", "corpus_pos")
     return found.withColumn("vec_rank", F.row_number().over(order)).where(F.col("vec_rank") <= limit).drop("corpus_pos")
 
 
+def _cosine(scoped: bool, asked: pa.Table) -> Compare:
+    matrix = unit_rows(asked.column("embedding").combine_chunks())
+    scopes = np.array(asked.column("scope").to_pylist(), object) if scoped else None
+
+    def compare(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        rows = unit_rows(batch.column("embedding"))
+        own = np.array(batch.column("scope").to_pylist(), object) if scoped else None
+        for at in range(0, len(matrix), QUERY_BLOCK):
+            distance = np.round(1.0 - matrix[at : at + QUERY_BLOCK] @ rows.T, 12) + 0.0  # no negative zero
+            yield at, np.where(scopes[at : at + QUERY_BLOCK, None] == own[None], distance, np.inf) if scoped else distance
+
+    return compare
+
+
 def unit_rows(lists: pa.ListArray) -> np.ndarray:
     """The vectors of a list column as rows of length one."""
     rows = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
@@ -115,34 +127,71 @@ def best_of(distance: np.ndarray, position: np.ndarray, limit: int) -> np.ndarra
     return np.argpartition(rank, limit - 1, axis=1)[:, :limit]
 
 
-def _candidates(qids: list[str], scopes: np.ndarray, matrix: np.ndarray, vectors: DataFrame, limit: int, scoped: bool) -> DataFrame:
-    sent = vectors.sparkSession.sparkContext.broadcast((qids, scopes, matrix))  # QUERY_BYTES and the names
+class _Best:
+    """The best few rows of each query of a table, as batches of rows come by."""
+
+    def __init__(self, asked: pa.Table, ready: Ready, limit: int):
+        self.qids, self.compare, self.limit = asked.column("qid").to_pylist(), ready(asked), limit
+        self.held: dict[int, tuple] = {}
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, scopes, matrix = sent.value
-        held = [(np.zeros((0,)), np.zeros((0,), np.int64), np.zeros((0,), object), np.zeros((0,), np.int64))] * -(-len(qids) // QUERY_BLOCK)
+    def add(self, batch: pa.RecordBatch) -> None:
+        position = batch.column("corpus_pos").to_numpy(zero_copy_only=False)
+        names = np.array(batch.column("chunk_id").to_pylist(), object)
+        for at, distance in self.compare(batch):
+            best = best_of(distance, position, self.limit)
+            near = np.take_along_axis(distance, best, 1)
+            q, k = np.nonzero(np.isfinite(near))
+            new = near[q, k], position[best[q, k]], names[best[q, k]], at + q
+            self.held[at] = _merged(self.held.get(at, tuple(c[:0] for c in new)), new, self.limit)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for distance, position, names, q in self.held.values():
+            columns = [pa.array([self.qids[i] for i in q], pa.string()), pa.array(names, pa.string()), pa.array(position, pa.int64()), pa.array(distance, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["qid", "chunk_id", "corpus_pos", "distance"])
+
+
+def compared(queries: DataFrame, rows: DataFrame, ready: Ready, limit: int, most_rows: int = QUERY_ROWS, most_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(qid, chunk_id, corpus_pos, distance): of each query the best ``limit`` rows that each task met, by what ``ready`` makes of a table of queries.
+
+    Queries of at most ``most_rows`` rows and ``most_bytes``, checked on the rows themselves, are sent out, and ``rows`` are read where they lie. More queries
+    never come to the driver: they are cut into groups of that size and the rows into as many shares as a shuffle has partitions, both by a hash of their id; a task
+    gets one group and one share, the group first, and the share streams by it. No key but the ids decides, so none is hot.
+    """
+    small = queries.limit(most_rows + 1).toArrow()
+    if small.num_rows <= most_rows and small.nbytes <= most_bytes:
+        sent = rows.sparkSession.sparkContext.broadcast(small)  # most_bytes
+
+        def beside(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if sent.value.num_rows:
+                best = _Best(sent.value, ready, limit)
+                for batch in batches:
+                    if batch.num_rows:
+                        best.add(batch)
+                yield from best.rows()
+
+        return rows.mapInArrow(beside, FOUND)
+    shares = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a_group = min(most_rows, max(most_bytes * small.num_rows // small.nbytes, 1))
+    groups = -(-queries.count() // a_group)
+    own, every = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)), lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("*", own("qid", groups).alias("group"), every(shares).alias("share"), F.lit(0).alias("side"))
+    right = rows.select("*", every(groups).alias("group"), own("chunk_id", shares).alias("share"), F.lit(1).alias("side"))
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("cell", (F.col("group") * shares + F.col("share")).cast("int"))
+    met = both.drop("group", "share").repartitionById(groups * shares, "cell").sortWithinPartitions("side")
+
+    def pass_by(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, best = [], None
         for batch in batches:
-            if not batch.num_rows or not qids:
-                continue
-            rows = unit_rows(batch.column("embedding"))
-            position = batch.column("corpus_pos").to_numpy(zero_copy_only=False)
-            names = np.array(batch.column("chunk_id").to_pylist(), object)
-            own = np.array(batch.column("scope").to_pylist(), object) if scoped else None
-            for block, at in enumerate(range(0, len(qids), QUERY_BLOCK)):
-                distance = np.round(1.0 - matrix[at : at + QUERY_BLOCK] @ rows.T, 12) + 0.0  # no negative zero
-                if scoped:
-                    distance = np.where(scopes[at : at + QUERY_BLOCK, None] == own[None], distance, np.inf)
-                best = best_of(distance, position, limit)
-                near = np.take_along_axis(distance, best, 1)
-                q, k = np.nonzero(np.isfinite(near))
-                held[block] = _merged(held[block], (near[q, k], position[best[q, k]], names[best[q, k]], at + q), limit)
-        for distance, position, names, q in held:
-            if len(q):
-                columns = [pa.array([qids[i] for i in q], pa.string()), pa.array(names, pa.string()), pa.array(position, pa.int64()), pa.array(distance)]
-                yield pa.RecordBatch.from_arrays(columns, ["qid", "chunk_id", "corpus_pos", "distance"])
-
-    columns = ["chunk_id", F.col("corpus_pos").cast("long").alias("corpus_pos"), "embedding", *(["scope"] if scoped else [])]
-    return vectors.where("embedding is not null").select(*columns).mapInArrow(run, "qid string, chunk_id string, corpus_pos long, distance double")
+            first = int(np.searchsorted(batch.column("side").to_numpy(), 1))  # queries come first
+            if first:
+                asked.append(batch.slice(0, first))
+            if first < batch.num_rows and asked:
+                best = best or _Best(pa.Table.from_batches(asked), ready, limit)
+                best.add(batch.slice(first))
+        if best:
+            yield from best.rows()
+
+    return met.mapInArrow(pass_by, FOUND)
 
 
 def _merged(old: tuple, new: tuple, limit: int) -> tuple:
