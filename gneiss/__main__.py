@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gneiss.operators import evaluate as E
 from gneiss.operators import generation
+from gneiss.operators.latent import LatentTerms, fit
 from gneiss.operators.vector import Embedder, HashedTerms, SentenceModel
 from gneiss.plans import api, serve
 from gneiss.sources import filings, golden
@@ -26,7 +27,7 @@ WIDTH = 96
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="gneiss", description=__doc__)
     out.add_argument("--data", default="data", help="folder of saved filings and the store")
-    out.add_argument("--vectors", default="none", help="none, hashed (terms, no model) or the name of a sentence model; the same for building and asking")
+    out.add_argument("--vectors", default="none", help="none, hashed (terms, no model), latent (fitted on the first build or a reset) or the name of a sentence model; the same for building and asking")
     commands = out.add_subparsers(dest="command", required=True)
     load = commands.add_parser("ingest", help="download, chunk and store a company's filings")
     load.add_argument("ticker")
@@ -54,8 +55,20 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
-def embedder_of(name: str) -> Embedder | None:
-    return {"none": None, "hashed": HashedTerms()}.get(name) if name in ("none", "hashed") else SentenceModel(name)
+def embedder_of(args: argparse.Namespace, spark: SparkSession) -> Embedder | None:
+    if args.vectors == "latent":
+        return latent_of(args, spark)
+    return {"none": None, "hashed": HashedTerms()}.get(args.vectors) if args.vectors in ("none", "hashed") else SentenceModel(args.vectors)
+
+
+def latent_of(args: argparse.Namespace, spark: SparkSession) -> LatentTerms:
+    """What was fitted on the saved filings; a build fits where nothing was yet, or the store is begun anew."""
+    kept = Path(args.data, "latent")
+    if args.command == "build" and (args.reset or not kept.exists()):
+        fit(filings.load_corpus(spark, args.data)).save(spark, str(kept))
+    elif not kept.exists():
+        raise SystemExit("nothing is fitted: build with --vectors latent first")
+    return LatentTerms.load(spark, str(kept))
 
 
 def company_of(store: Store, wanted: str) -> str:
@@ -101,7 +114,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None,
         out("\n".join(backend.models()) if backend else generation.describe(None))
         return 0
     spark = spark or SparkSession.builder.appName("gneiss").getOrCreate()
-    store = Store(spark, str(Path(args.data, "store")), getattr(args, "reset", False), embedder_of(args.vectors))
+    store = Store(spark, str(Path(args.data, "store")), getattr(args, "reset", False), embedder_of(args, spark))
     writer = generation.as_generator(backend)
     return COMMANDS[args.command](args, spark, store, backend, writer, out)
 

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions.text import STOP_WORDS
@@ -28,6 +28,7 @@ from gneiss.functions.text import STOP_WORDS
 BUCKETS, SAMPLE, DIMENSIONS, SPARE, ROUNDS = 1 << 16, 1 << 18, 64, 16, 3
 #: Buckets of one block of sums, rows of one product, and rows of the sample in a task.
 _BLOCK, _ROWS, _TASK_ROWS = 1024, 128, 8192
+SAVED = "bucket long, rarity float, direction array<float>, strength array<double>"
 _WORD = re.compile(r"[a-z0-9]{3,}")
 
 
@@ -94,6 +95,24 @@ class LatentTerms:
     def embed(self, texts: list[str]) -> np.ndarray:
         return weighted(term_counts(texts), self.rarity).times(self.basis).astype(np.float32)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Written as Parquet, a row for each bucket that occurred; ``strength`` stands in all of them."""
+        own = np.flatnonzero(self.basis.any(axis=1))
+        direction = pa.array(list(self.basis[own]), pa.list_(pa.float32()))
+        strength = pa.array([self.strength.tolist()] * len(own), pa.list_(pa.float64()))
+        rows = pa.table([pa.array(own), pa.array(self.rarity[own]), direction, strength], ["bucket", "rarity", "direction", "strength"])
+        spark.createDataFrame(rows, SAVED).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LatentTerms:
+        """As saved; a bucket that never occurred has no direction, so what it weighs changes no angle."""
+        rows = spark.read.schema(SAVED).parquet(path).toArrow()  # BUCKETS rows at most
+        at = rows.column("bucket").to_numpy()
+        strength = np.array(rows.column("strength")[0].as_py() if len(at) else np.zeros(DIMENSIONS))
+        rarity, basis = np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, len(strength)), np.float32)
+        rarity[at], basis[at] = rows.column("rarity").to_numpy(), np.array(rows.column("direction").to_pylist(), np.float32).reshape(len(at), len(strength))
+        return cls(rarity, basis, strength)
+
 
 def _summed(rows: DataFrame, width: int, add: Callable[[pa.RecordBatch, np.ndarray], None]) -> np.ndarray:
     """The sum over all rows of what ``add`` adds of a batch to a matrix of BUCKETS by ``width``."""
@@ -119,7 +138,8 @@ def _summed(rows: DataFrame, width: int, add: Callable[[pa.RecordBatch, np.ndarr
 
     schema = "at int, data binary"
     whole = np.zeros((BUCKETS, width))
-    for row in rows.mapInArrow(own, schema).repartition(BUCKETS // _BLOCK, "at").mapInArrow(meet, schema).collect():  # one matrix
+    tasks = min(BUCKETS // _BLOCK, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    for row in rows.mapInArrow(own, schema).repartition(tasks, "at").mapInArrow(meet, schema).collect():  # one matrix
         whole[row["at"] : row["at"] + _BLOCK] = np.frombuffer(bytes(row["data"])).reshape(_BLOCK, width)
     return whole
 

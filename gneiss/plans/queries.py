@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gneiss.config import Settings
 from gneiss.functions import tables as G
 from gneiss.functions import text as T
-from gneiss.operators import answer, chunking, evaluate, hybrid, index, lexical, vector, verify
+from gneiss.operators import answer, chunking, evaluate, hybrid, index, latent, lexical, vector, verify
 from gneiss.sources import filings, golden, store
 from gneiss.sources.tables import read_table as read
 
@@ -126,6 +126,14 @@ def vector_floor(spark, sf_dir):
     return _near(vector.within_floor(_all_vectors(spark, sf_dir, False), SETTINGS))
 
 
+def latent_neighbours(spark, sf_dir):
+    """The ten documents nearest to each whose id is divisible by 100, by vectors of latent terms that all documents are fitted for."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    rows = vector.embed(docs, latent.fit(docs)).select("chunk_id", F.col("doc_id").alias("corpus_pos"), "embedding")
+    asked = rows.where("corpus_pos % 100 = 0").select(F.col("chunk_id").alias("qid"), "embedding")
+    return vector.nearest(asked, rows, 10).select("qid", "chunk_id", F.round("distance", 4).alias("distance"), "vec_rank")
+
+
 def lexical_veto(spark, sf_dir):
     gated = scored(spark, sf_dir).where(lexical.passes_gate(SETTINGS))
     return _shown(hybrid.lexical_veto(gated, hits(spark, sf_dir), questions(spark), chunks(spark, sf_dir), SETTINGS))
@@ -519,7 +527,7 @@ def percent(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    tokenize, postings, document_frequency, corpus_stats, bm25_rank, lexical_gate, retrieve_lexical, knn_exact, knn_scoped, vector_floor,
+    tokenize, postings, document_frequency, corpus_stats, bm25_rank, lexical_gate, retrieve_lexical, knn_exact, knn_scoped, vector_floor, latent_neighbours,
     lexical_veto, identifier_exemption, rrf_fusion, diversify, retrieve_hybrid, answer_extractive, abstain, why_it_matters, quote_normalize,
     quote_verify, error_describe, prompt, cost, first_k_per_form, period_fallback, indexed_companies, store_stats, upsert_last_wins, chunk_id,
     html_strip_fallback, sentence_windows, html_leaf_blocks, sections, caps_headings, item_headings, data_tables, toc_filter, chunk_filings,

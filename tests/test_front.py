@@ -196,6 +196,10 @@ def test_build_from_saved_filings(spark, tmp_path):
     said = []
     main(["--data", str(tmp_path), "build", "--reset", "--probe", "things"], spark, said.append)
     assert said[0]["chunks"] == 1 and said[0]["tickers"] == ["EXMP"] and (said[0]["tables"], said[0]["prose"]) == (0, 1) and "no vectors" in said[1]
+    with pytest.raises(SystemExit, match="nothing is fitted"):
+        main(["--data", str(tmp_path), "--vectors", "latent", "ask", "what?"], spark, said.append)
+    main(["--data", str(tmp_path), "--vectors", "latent", "build", "--reset"], spark, said.append)
+    assert said[-1]["chunks"] == 1 and (tmp_path / "latent").exists()
     main(["--data", str(tmp_path), "--vectors", "hashed", "build", "--reset", "--probe", "we make things."], spark, said.append)
     assert said[-1].startswith("  [0.000] 10-K") and "We make things." in said[-1]
 

@@ -11,8 +11,8 @@ from gneiss.plans.oracle import ORACLE_SQL
 from tests.compare import FOLDER, assert_same
 
 QUERIES = queries.QUERIES | store_queries.QUERIES
-#: Tested by their rows elsewhere: real pages are parsed, and no SQL parses HTML; approximate neighbours are held against exact ones.
-WITHOUT_SQL = {"html_leaf_blocks", "chunk_filings", "knn_coded"}
+#: Tested by their rows elsewhere: real pages are parsed, and no SQL parses HTML; approximate neighbours are held against exact ones, latent ones against a plain decomposition.
+WITHOUT_SQL = {"html_leaf_blocks", "chunk_filings", "knn_coded", "latent_neighbours"}
 
 
 def test_every_query_has_sql_but_those_that_none_can_tell():
