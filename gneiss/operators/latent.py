@@ -27,7 +27,7 @@ from gneiss.functions.text import STOP_WORDS
 
 BUCKETS, SAMPLE, DIMENSIONS, SPARE, ROUNDS = 1 << 16, 1 << 18, 64, 16, 3
 #: Buckets of one block of sums, rows of one product, and rows of the sample in a task.
-_BLOCK, _ROWS, _TASK_ROWS = 1024, 128, 8192
+_BLOCK, _ROWS, _TASK_ROWS = 1024, 128, 32_768
 SAVED = "bucket long, rarity float, direction array<float>, strength array<double>"
 _WORD = re.compile(r"[a-z0-9]{3,}")
 
@@ -114,33 +114,35 @@ class LatentTerms:
         return cls(rarity, basis, strength)
 
 
-def _summed(rows: DataFrame, width: int, add: Callable[[pa.RecordBatch, np.ndarray], None]) -> np.ndarray:
-    """The sum over all rows of what ``add`` adds of a batch to a matrix of BUCKETS by ``width``."""
+def _summed(rows: DataFrame, width: int, kind: type, add: Callable[[pa.RecordBatch, np.ndarray], None]) -> np.ndarray:
+    """The sum over all rows of what ``add`` adds of a batch to a matrix of BUCKETS by ``width``; a task hands on its sums as ``kind``, of the buckets that it met."""
 
     def own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((BUCKETS, width))
         for batch in batches:
             add(batch, out)
         for at in range(0, BUCKETS, _BLOCK):
-            if out[at : at + _BLOCK].any():
-                yield block(at, out[at : at + _BLOCK])
+            yield from block(at, out[at : at + _BLOCK])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[at] = sums.get(at, 0) + np.frombuffer(data).reshape(_BLOCK, width)
+            for at, met, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums.setdefault(at, np.zeros((_BLOCK, width)))[np.frombuffer(met, np.int16)] += np.frombuffer(data, kind).reshape(-1, width)
         for at, data in sums.items():
-            yield block(at, data)
+            yield from block(at, data)
 
-    def block(at: int, data: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([data.tobytes()], pa.binary())], ["at", "data"])
+    def block(at: int, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+        met = np.flatnonzero(data.any(axis=1)).astype(np.int16)
+        if len(met):
+            parts = [pa.array([x.tobytes()], pa.binary()) for x in (met, data[met].astype(kind))]
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *parts], ["at", "met", "data"])
 
-    schema = "at int, data binary"
+    schema = "at int, met binary, data binary"
     whole = np.zeros((BUCKETS, width))
     tasks = min(BUCKETS // _BLOCK, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     for row in rows.mapInArrow(own, schema).repartition(tasks, "at").mapInArrow(meet, schema).collect():  # one matrix
-        whole[row["at"] : row["at"] + _BLOCK] = np.frombuffer(bytes(row["data"])).reshape(_BLOCK, width)
+        whole[row["at"] + np.frombuffer(bytes(row["met"]), np.int16).astype(np.int64)] = np.frombuffer(bytes(row["data"]), kind).reshape(-1, width)
     return whole
 
 
@@ -150,23 +152,22 @@ def _add_frequency(batch: pa.RecordBatch, out: np.ndarray) -> None:
 
 def fit(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", dimensions: int = DIMENSIONS, sample: int = SAMPLE, seed: int = 0) -> LatentTerms:
     """The embedder of a corpus; reads it twice, once for frequencies and once for the sample."""
-    spark = df.sparkSession
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = df.count()
-    rarity = np.log((1 + rows) / (1 + _summed(texts.select("text"), 1, _add_frequency)[:, 0]))
+    rarity = np.log((1 + rows) / (1 + _summed(texts.select("text"), 1, np.float64, _add_frequency)[:, 0]))
     share = min(sample / max(rows, 1), 1.0)
     chosen = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    chosen = chosen.select("text").repartition(max(-(-min(rows, sample) // _TASK_ROWS), min(spark.sparkContext.defaultParallelism, rows, 8), 1))
+    chosen = chosen.select("text").repartition(max(-(-min(rows, sample) // _TASK_ROWS), 1))
 
     def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = weighted(term_counts(batch.column(0).to_pylist()), rarity)
             cuts = pa.array(found.begin, pa.int32())
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(c)) for c in (found.column, found.value)]
+            lists = [pa.ListArray.from_arrays(cuts, c) for c in (pa.array(found.column, pa.int32()), pa.array(found.value, pa.float32()))]
             yield pa.RecordBatch.from_arrays(lists, ["column", "value"])
 
     # A lost executor's part of the sample is made again from the texts.
-    matrix = chosen.mapInArrow(weigh, "column array<long>, value array<double>").persist(StorageLevel.MEMORY_AND_DISK)
+    matrix = chosen.mapInArrow(weigh, "column array<int>, value array<float>").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         basis = np.random.default_rng(seed).standard_normal((BUCKETS, dimensions + SPARE))
         for _ in range(ROUNDS):
@@ -182,7 +183,7 @@ def fit(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", dimensi
 
 
 def _gram_times(matrix: DataFrame, basis: np.ndarray) -> np.ndarray:
-    sent = matrix.sparkSession.sparkContext.broadcast(basis)  # BUCKETS by dimensions
+    sent = matrix.sparkSession.sparkContext.broadcast(basis.astype(np.float32))  # BUCKETS by dimensions
 
     def add(batch: pa.RecordBatch, out: np.ndarray) -> None:
         columns, values = batch.column(0), batch.column(1)
@@ -191,6 +192,6 @@ def _gram_times(matrix: DataFrame, basis: np.ndarray) -> np.ndarray:
         own.add_transposed(own.times(sent.value), out)
 
     try:
-        return _summed(matrix, basis.shape[1], add)
+        return _summed(matrix, basis.shape[1], np.float32, add)
     finally:
-        sent.unpersist()
+        sent.destroy()
