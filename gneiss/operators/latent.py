@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from gneiss.functions.text import STOP_WORDS
 
-BUCKETS, SAMPLE, DIMENSIONS, SPARE, ROUNDS = 1 << 16, 1 << 18, 64, 16, 3
-#: Buckets of one block of sums, rows of one product, and rows of the sample in a task.
+BUCKETS, SAMPLE, DIMENSIONS, SPARE, ROUNDS = 1 << 16, 1 << 16, 64, 16, 3
+#: Buckets of one block of sums, rows of one product, and rows of the sample in a task; texts are taken as many at a time as a product has rows.
 _BLOCK, _ROWS, _TASK_ROWS = 1024, 128, 32_768
 SAVED = "bucket long, rarity float, direction array<float>, strength array<double>"
 _WORD = re.compile(r"[a-z0-9]{3,}")
@@ -64,16 +64,21 @@ class Sparse:
 
 def term_counts(texts: Iterable[str | None]) -> Sparse:
     """How often each text has terms of each bucket."""
-    begin, columns, counts = [0], [], []
+    columns, counts = [], []
     for text in texts:
-        found = Counter(w for w in _WORD.findall((text or "").lower()) if w not in STOP_WORDS)
         own: Counter[int] = Counter()
-        for word, n in found.items():
-            own[zlib.crc32(word.removesuffix("s").encode()) % BUCKETS] += n
-        columns += own.keys()
-        counts += own.values()
-        begin.append(len(columns))
-    return Sparse(np.array(begin, np.int64), np.array(columns, np.int64), np.array(counts, np.float64))
+        for word, n in Counter(_WORD.findall((text or "").lower())).items():
+            if word not in STOP_WORDS:
+                own[zlib.crc32(word.removesuffix("s").encode()) % BUCKETS] += n
+        columns.append(np.fromiter(own.keys(), np.int32, len(own)))
+        counts.append(np.fromiter(own.values(), np.float32, len(own)))
+    begin = np.cumsum([0, *(len(c) for c in columns)])
+    return Sparse(begin, np.concatenate([np.zeros(0, np.int32), *columns]), np.concatenate([np.zeros(0, np.float32), *counts]))
+
+
+def _some(column: pa.Array) -> Iterator[list[str | None]]:
+    for at in range(0, len(column), _ROWS):
+        yield column.slice(at, _ROWS).to_pylist()
 
 
 def weighted(counts: Sparse, rarity: np.ndarray) -> Sparse:
@@ -93,7 +98,8 @@ class LatentTerms:
     strength: np.ndarray  # singular values on the sample
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        return weighted(term_counts(texts), self.rarity).times(self.basis).astype(np.float32)
+        parts = [weighted(term_counts(texts[at : at + _ROWS]), self.rarity).times(self.basis) for at in range(0, len(texts), _ROWS)]
+        return np.concatenate([np.zeros((0, self.basis.shape[1])), *parts]).astype(np.float32)
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Written as Parquet, a row for each bucket that occurred; ``strength`` stands in all of them."""
@@ -147,7 +153,8 @@ def _summed(rows: DataFrame, width: int, kind: type, add: Callable[[pa.RecordBat
 
 
 def _add_frequency(batch: pa.RecordBatch, out: np.ndarray) -> None:
-    out[:, 0] += np.bincount(term_counts(batch.column("text").to_pylist()).column, minlength=BUCKETS)
+    for texts in _some(batch.column("text")):
+        np.add.at(out[:, 0], term_counts(texts).column, 1)
 
 
 def fit(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", dimensions: int = DIMENSIONS, sample: int = SAMPLE, seed: int = 0) -> LatentTerms:
@@ -157,17 +164,18 @@ def fit(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", dimensi
     rarity = np.log((1 + rows) / (1 + _summed(texts.select("text"), 1, np.float64, _add_frequency)[:, 0]))
     share = min(sample / max(rows, 1), 1.0)
     chosen = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    chosen = chosen.select("text").repartition(max(-(-min(rows, sample) // _TASK_ROWS), 1))
 
     def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = weighted(term_counts(batch.column(0).to_pylist()), rarity)
-            cuts = pa.array(found.begin, pa.int32())
-            lists = [pa.ListArray.from_arrays(cuts, c) for c in (pa.array(found.column, pa.int32()), pa.array(found.value, pa.float32()))]
-            yield pa.RecordBatch.from_arrays(lists, ["column", "value"])
+            for some in _some(batch.column("text")):
+                rows = weighted(term_counts(some), rarity)
+                parts = [x.tobytes() for x in (rows.begin.astype(np.int64), rows.column.astype(np.int32), rows.value.astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], ["begin", "column", "value"])
 
+    tasks = max(-(-min(rows, sample) // _TASK_ROWS), 1)
+    chosen = chosen.select("text").mapInArrow(weigh, "begin binary, column binary, value binary").repartition(tasks)
     # A lost executor's part of the sample is made again from the texts.
-    matrix = chosen.mapInArrow(weigh, "column array<int>, value array<float>").persist(StorageLevel.MEMORY_AND_DISK)
+    matrix = chosen.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         basis = np.random.default_rng(seed).standard_normal((BUCKETS, dimensions + SPARE))
         for _ in range(ROUNDS):
@@ -186,10 +194,9 @@ def _gram_times(matrix: DataFrame, basis: np.ndarray) -> np.ndarray:
     sent = matrix.sparkSession.sparkContext.broadcast(basis.astype(np.float32))  # BUCKETS by dimensions
 
     def add(batch: pa.RecordBatch, out: np.ndarray) -> None:
-        columns, values = batch.column(0), batch.column(1)
-        begin = np.concatenate(([0], np.cumsum(columns.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
-        own = Sparse(begin, columns.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False))
-        own.add_transposed(own.times(sent.value), out)
+        for begin, column, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = Sparse(np.frombuffer(begin, np.int64), np.frombuffer(column, np.int32), np.frombuffer(value, np.float32))
+            own.add_transposed(own.times(sent.value).astype(np.float32), out)
 
     try:
         return _summed(matrix, basis.shape[1], np.float32, add)
