@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from gneiss.config import DEFAULTS, Settings
 from gneiss.functions.optional import require
 
-#: Queries of one matrix product; rows and bytes of queries that one task holds.
-QUERY_BLOCK, QUERY_ROWS, QUERY_BYTES = 1024, 16_384, 64 << 20
+#: Queries and rows of one matrix product; rows and bytes of queries that one task holds.
+QUERY_BLOCK, ROW_BLOCK, QUERY_ROWS, QUERY_BYTES = 1024, 2048, 16_384, 64 << 20
 FOUND = "qid string, chunk_id string, corpus_pos long, distance double"
 #: Of a batch of rows the distances to blocks of queries, with the number of each block's first query; infinite where not to be compared.
 Compare = Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]
@@ -135,6 +135,10 @@ class _Best:
         self.held: dict[int, tuple] = {}
 
     def add(self, batch: pa.RecordBatch) -> None:
+        for at in range(0, batch.num_rows, ROW_BLOCK):
+            self._add(batch.slice(at, ROW_BLOCK))
+
+    def _add(self, batch: pa.RecordBatch) -> None:
         position = batch.column("corpus_pos").to_numpy(zero_copy_only=False)
         names = np.array(batch.column("chunk_id").to_pylist(), object)
         for at, distance in self.compare(batch):
