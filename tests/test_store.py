@@ -229,6 +229,43 @@ def test_filters_hold_all_their_ids_and_few_others():
     assert not S.may_hold(S.id_filter(ids[:0]), ids) and not S.may_hold(bits, ids[:0])
 
 
+def test_postings_are_made_where_the_chunks_lie(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "WINDOW", 8)
+    store = Store(spark, str(tmp_path / "s"), buckets=2)
+    store.upsert(rows_of(spark, *corpus(5, 90)))
+    made = postings.blocks(store.scan(), 2, 1)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    shuffled = postings.blocks(store.scan().repartition(5), 2, 1)  # a window in several tasks, and out of order
+    for rows in (made, shuffled):
+        found = {(r.term, r.ticker, p.corpus_pos): (p.tf, p.len, p.head) for r in rows.collect() for p in r.postings}
+        want = {}
+        for c in store.scan().collect():
+            heads = set(c.section.split())
+            for term in set(c.terms) | heads:
+                want[term, c.ticker, c.corpus_pos] = (c.terms.count(term), len(c.terms), term in heads)
+        assert found == want
+        for r in rows.collect():
+            assert {p.corpus_pos // 8 for p in r.postings} == {r.window} and r.n_text == sum(p.tf > 0 for p in r.postings)
+            assert (r.max_tf, r.min_len) == (max(p.tf for p in r.postings), min((p.len for p in r.postings if p.tf), default=0))
+
+
+def test_replaced_chunks_are_told_by_bits_sent_out_or_joined(spark, tmp_path, monkeypatch):
+    batches = [corpus(6, 50), corpus(7, 30, first=20)]
+    kept = []
+    for most in (S.MARKED_BYTES, 0):
+        monkeypatch.setattr(S, "MARKED_BYTES", most)
+        store = Store(spark, f"{tmp_path}/{most}", buckets=2)
+        for batch in batches:
+            store.upsert(rows_of(spark, *batch))
+        kept.append(sorted((r.chunk_id, r.corpus_pos, r.text) for r in store.scan().collect()))
+    ended = spark.createDataFrame([(p, 1) for p in (0, 7, 8, 32_767, 32_768, 70_001)], "corpus_pos long, version int")
+    rows = spark.range(70_100).withColumnRenamed("id", "corpus_pos")
+    found = rows.join(S.marks(ended, 70_100), F.col("_mark") == S.place_of_mark(), "left").where(S.is_marked())
+    assert sorted(r.corpus_pos for r in found.collect()) == [0, 7, 8, 32_767, 32_768, 70_001]
+    text = {c: x for batch in batches for c, *_, x in batch}
+    assert kept[0] == kept[1] and {c: x for c, _, x in kept[0]} == text and sorted(p for _, p, _ in kept[0]) == list(range(50))
+
+
 # -- codes of vectors ----------------------------------------------------------------------
 
 
