@@ -97,6 +97,24 @@ def test_products_of_many_questions(spark, grown, monkeypatch):
     assert found.product(batch.limit(0)).collect() == []
 
 
+def test_products_pack_questions_and_meet_them_in_groups(spark, tmp_path, monkeypatch):
+    """No row of a question or of a posting goes with a block and a window; the best of groups and shares are the best."""
+    for name, value in (("WINDOW", 16), ("QUESTIONS", 5), ("HELD", 3), ("LEAST_WINDOWS", 2)):
+        monkeypatch.setattr(postings, name, value)
+    store = Store(spark, str(tmp_path / "s"), buckets=2)
+    store.upsert(rows_of(spark, *corpus(11, 130)))
+    store.upsert(rows_of(spark, *corpus(12, 30, first=20)))
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice([*WORDS, "aaaa", "bbbb"]) for _ in range(rng.randrange(9))) for _ in range(60)]
+    for scoped in (True, False):
+        batch, found = asked(spark, scoped, *texts), store.index(scoped)
+        best = found.product(batch, 3)
+        plan = best._jdf.queryExecution().optimizedPlan().toString()
+        assert "CoGroup" not in plan and "data" in plan
+        want = lexical.score(batch, index.build(store.scan(), "ticker" if scoped else None)).where("lex_rank <= 3")
+        assert scores(found.named(best)) == scores(want) != []
+
+
 def test_scores_in_small_windows_and_of_large_batches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(postings, "WINDOW", 8)
     monkeypatch.setattr(postings, "PROBED", 1)
