@@ -92,6 +92,18 @@ def test_halves_of_a_text_find_each_other_more_often_than_by_hashed_terms(spark)
     assert fitted > 0.6 and fitted > 2 * hashed
 
 
+def test_texts_are_embedded_some_at_a_time(spark):
+    class Counts:
+        def embed(self, texts):
+            return np.array([[len(texts), len(t)] for t in texts], np.float32)
+
+    rows = spark.range(1500).selectExpr("id", "if(id % 7 = 0, null, repeat('x', int(id % 50))) AS text").coalesce(1)
+    found = {r.id: r.embedding for r in vector.embed(rows, Counts()).collect()}
+    assert len(found) == 1500 and max(n for n, _ in found.values()) <= vector.EMBED_ROWS
+    assert all(length == (0 if i % 7 == 0 else i % 50) for i, (_, length) in found.items())
+    assert vector.embed(rows.limit(0), Counts()).collect() == []
+
+
 def test_registered_neighbours_are_those_of_the_vectors(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").orderBy("doc_id").toPandas()
     fitted = latent.fit(spark.createDataFrame(docs), "doc_id")
