@@ -22,12 +22,15 @@ they take; an empty table gives an empty result; other columns may have any name
 from __future__ import annotations
 
 import json
+import os
+import sys
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -57,7 +60,9 @@ _SPLITTER = {
 _SPLIT = regex.compile(_PATTERN)
 _PLAIN = regex.compile(r"[!-~\u00a1-\u00ac\u00ae-\u024f]+")
 _WHITE = regex.compile(r"\s")
-_COMBINING = 0xCC  # first byte of U+0300 in UTF-8; below it, normalisation form C changes nothing
+_COMBINING = 0xCC  # first byte of U+0300 in UTF-8; before any lower one, normalisation form C leaves a letter as it is
+#: Words of one text for the model, texts of one call of the library, texts whose ids are put together at once, and bytes of texts cut at once.
+LINE, CALL, ROWS, SLICE = 500, 20, 200, 2_000_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -67,45 +72,111 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
-_MARKS = b".,"
+#: Code points of the byte-level alphabet by byte; separators stay what they are.
+_POINTS = np.array([_LETTERS[b] if b not in b" \n" else chr(b) for b in range(256)]).view(np.uint32)
+#: Words of letters below U+0250 alone, whose lower case is one letter each.
+_WORD = "^[" + "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1) + "]+$"
+_SUFFIX = "</w>"  # of a word's last piece
 
 
-def _is_letters(word: bytes) -> bool:
-    """Whether a word is of ASCII or Latin letters alone."""
-    if word.isascii():
-        return word.isalpha()
-    text = word.decode()
-    return text.isalpha() and _PLAIN.fullmatch(text) is not None
+def _starts() -> tuple[np.ndarray, np.ndarray]:
+    """Kinds of bytes, and by six times one byte's kind and the next one's: whether a word starts at the next one.
+
+    Words start behind white space, and where the pattern ends one piece and starts another whatever stands around: at a change among
+    ASCII letters, digits and marks and at each digit, but not behind an apostrophe, which may open a contraction.
+    """
+    white, letter, digit, mark, apostrophe, other = range(6)
+    kind = np.full(256, other, np.uint8)
+    kind[33:127] = mark
+    kind[list(b" \t\n\v\f\r")] = white
+    kind[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = letter
+    kind[list(b"0123456789")] = digit
+    kind[ord("'")] = apostrophe
+    starts = np.zeros((6, 6), bool)
+    starts[white, 1:] = True
+    starts[letter, [digit, mark, apostrophe]] = True
+    starts[digit, [letter, digit, mark, apostrophe]] = True
+    starts[mark, [letter, digit]] = starts[apostrophe, digit] = True
+    return kind, starts.ravel()
+
+
+_KIND, _STARTS = _starts()
+
+
+def _cut(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """All words of the texts (none null), and the number of words before each text's end, from 0.
+
+    Words that differ in the case of ASCII letters alone are one word, as the tokenizer lower-cases them anyway; but it does so
+    after composition, and not every letter that composes in lower case does so in upper case.
+    """
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    kind = _KIND[data]
+    starts = np.ones(len(data), bool)
+    starts[1:] = _STARTS[6 * kind[:-1] + kind[1:]]
+    starts[at[:-1][at[:-1] < len(data)]] = True
+    shown = kind != 0
+    starts &= shown
+    before = np.searchsorted(np.flatnonzero(starts), at)
+    upper = (data - np.uint8(65)) < 26
+    upper[:-1] &= data[1:] < _COMBINING
+    data = data + (upper.view(np.uint8) << np.uint8(5))
+    data, begins = data[shown], np.flatnonzero(starts[shown]).astype(np.int32)
+    begins = np.append(begins, np.int32(len(data)))
+    return pa.StringArray.from_buffers(len(begins) - 1, pa.py_buffer(begins), pa.py_buffer(data)), before
+
+
+def _put(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``array`` with ``more`` behind its first ``used`` entries, in a larger one if it is full."""
+    if used + len(more) > len(array):
+        array = np.concatenate((array[:used], np.zeros(used + 2 * len(more), array.dtype)))
+    array[used : used + len(more)] = more
+    return array
+
+
+def _encoded(tokenizer, texts: list[str], some: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, ``some`` of them at a time, and the number of each."""
+    found = [np.zeros(0, np.uint32)]
+    for at in range(0, len(texts), some):
+        found += [np.array(x.ids, np.uint32) for x in tokenizer.encode_batch_fast(texts[at : at + some], add_special_tokens=False)]
+    return np.concatenate(found), np.array([len(x) for x in found[1:]], np.int32)
 
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer, whose pieces never cross ASCII white space if its file has the settings above.
 
-    A file with other settings goes through the library text by text. Else texts are split at ASCII white space, each distinct word is tokenized once, and its ids are
-    kept. The tokenizer's normaliser and splitter drop white space and look at no neighbour
-    across it, so the ids are those of the whole text. Words of printable ASCII and Latin letters
-    are lower-cased and split here, which the library's model takes as it would its own; any other
-    word goes through the whole library. At most ``most_words`` are kept; then, and with each
-    task, the store starts anew.
+    A file with other settings goes through the library text by text. Else the texts of a batch are cut at ASCII white space and between
+    ASCII letters, digits and marks, each distinct word is tokenized once, and its ids are kept. The tokenizer's normaliser and splitter drop
+    white space and look at no neighbour across a cut, so the ids are those of the whole text. Words of printable ASCII and Latin letters
+    are lower-cased and split here, and many at a time go to the library's model, which takes them as it would its own; their ids part at the
+    suffix of last pieces. Any other word, and the words of a text with a special token, go through the whole library. At most ``most_words``
+    are kept, unless one batch has more; then, and with each task, the store starts anew.
     """
 
     _loaded: dict[tuple[str, int], WordTokenizer] = {}
 
     def __init__(self, path: str, most_words: int):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most_words = Tokenizer.from_file(path), most_words
-        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as file:
             settings = json.load(file)
-        added = self.tokenizer.get_added_tokens_decoder().values()
+        added, model = self.tokenizer.get_added_tokens_decoder().values(), settings["model"]
         self.by_word = (
-            settings["normalizer"] == _NORMALIZER and settings["pre_tokenizer"] == _SPLITTER and settings["model"]["type"] == "BPE"
-            and not settings["model"]["dropout"] and not settings["truncation"]
+            settings["normalizer"] == _NORMALIZER and settings["pre_tokenizer"] == _SPLITTER and model["type"] == "BPE"
+            and not model["dropout"] and not settings["truncation"] and not settings["padding"]
+            and model["end_of_word_suffix"] == _SUFFIX and not model["continuing_subword_prefix"]
+            and all(c + end in model["vocab"] for c in _LETTERS.values() for end in ("", _SUFFIX))
             and all(t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word) and t.content.islower() and not _WHITE.search(t.content) for t in added)
         )
         self.special = [t.content for t in added]
-        self.marks = {m: self._part(chr(m)) for m in _MARKS} if self.by_word else {}
+        if self.by_word:
+            self.parts = Tokenizer(self.tokenizer.model)
+            self.parts.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.last = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.last[[i for piece, i in model["vocab"].items() if piece.endswith(_SUFFIX)]] = True
         self.clear()
 
     @classmethod
@@ -116,75 +187,105 @@ class WordTokenizer:
         return cls._loaded[key]
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.known: dict[str, int] = {}
+        self.start, self.count = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.pool, self.used = np.zeros(4096, np.uint32), 0
 
-    def _ids(self, word: str) -> list[int]:
-        """Ids of one word by the library."""
-        if word.isascii() or _PLAIN.fullmatch(word):
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts by the whole library, and the number of each."""
+        return _encoded(self.tokenizer, texts, LINE)
+
+    def _model(self, lines: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces of the splitter, in lower case with spaces or line ends between, by the model, and the number of each."""
+        raw = np.frombuffer(lines.encode(), np.uint8)
+        letters = _POINTS[raw].tobytes().decode("utf-32-le" if sys.byteorder == "little" else "utf-32-be")
+        flat, _ = _encoded(self.parts, letters.split("\n"), CALL)
+        return flat, np.diff(np.flatnonzero(self.last[flat]), prepend=-1).astype(np.int32)
+
+    def _learn(self, words: pa.StringArray) -> None:
+        """Keep the ids of distinct new words."""
+        simple = pc.match_substring_regex(words, _WORD).to_numpy(zero_copy_only=False)
+        own = words.filter(pa.array(simple))
+        found, pieces, rest = [], {}, []
+        if len(own):
+            lines = pa.ListArray.from_arrays(pa.array([*range(0, len(own), LINE), len(own)], pa.int32()), own)
+            found.append(self._model("\n".join(pc.binary_join(lines, " ").to_pylist()).lower()))
+        for word in words.filter(pa.array(~simple)).to_pylist():
             low = word.lower()
-            if low.isalpha():
-                return self._part(low)
-            if low.isprintable() and not any(s in word for s in self.special):
-                return [i for part in _SPLIT.findall(low) for i in self._part(part)]
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
-    def _part(self, part: str) -> list[int]:
-        """Ids of one piece of the splitter."""
-        letters = part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
-        return [t.id for t in self.model.tokenize(letters)]
-
-    def _learn(self, words: list[bytes]) -> None:
-        # A word of letters and one mark is the word and the mark; many marked words are known without.
-        marked = {w: w[:-1] for w in words if w[-1:] in _MARKS and _is_letters(w[:-1])}
-        fresh = {w: self._ids(w.decode()) for w in {*words, *marked.values()} - marked.keys() if w not in self.known}
-        for word, bare in marked.items():
-            at = self.known.get(bare)
-            ids = fresh[bare] if at is None else self.pool[self.start[at] : self.start[at] + self.count[at]].tolist()
-            fresh[word] = ids + self.marks[word[-1]]
-        words, ids = list(fresh), list(fresh.values())
-        counts = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
-        n, top = len(self.known), len(self.known) + len(words)
-        if top > len(self.start):
-            grow = max(top, 2 * len(self.start)) - len(self.start)
-            self.start = np.concatenate((self.start, np.zeros(grow, np.int64)))
-            self.count = np.concatenate((self.count, np.zeros(grow, np.int64)))
-        if self.used + len(flat) > len(self.pool):
-            grow = max(self.used + len(flat), 2 * len(self.pool)) - len(self.pool)
-            self.pool = np.concatenate((self.pool, np.zeros(grow, np.uint32)))
-        self.count[n:top] = counts
-        self.start[n:top] = self.used + np.cumsum(counts) - counts
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.known.update(zip(words, range(n, top), strict=True))
+            if _PLAIN.fullmatch(word) and low.isprintable() and not any(s in word for s in self.special):
+                pieces[word] = _SPLIT.findall(low)
+            else:
+                rest.append(word)
+        if pieces:
+            ids, counts = self._model("\n".join(map(" ".join, pieces.values())))
+            first = np.cumsum([0, *map(len, pieces.values())])[:-1]
+            found.append((ids, np.add.reduceat(counts, first, dtype=np.int32)))
+        if rest:
+            found.append(self._library(rest))
+        ids, counts = map(np.concatenate, zip(*found, strict=True))
+        n = len(self.known)
+        self.known.update(zip(chain(own.to_numpy(zero_copy_only=False).tolist(), pieces, rest), range(n, n + len(words)), strict=True))
+        self.start = _put(self.start, n, self.used + np.cumsum(counts) - counts)
+        self.count = _put(self.count, n, counts)
+        self.pool = _put(self.pool, self.used, ids)
+        self.used += len(ids)
+
+    def _numbers(self, words: pa.StringArray) -> np.ndarray:
+        """Numbers of distinct words, those not yet kept being learnt."""
+        names = words.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.known.get, names, repeat(-1)), np.int32, len(names))
+        new = numbers < 0
+        if self.known and (len(self.known) + new.sum() > self.most_words or self.used > 50 * self.most_words):
+            self.clear()
+            new[:] = True
+        if new.any():
+            self._learn(words.filter(pa.array(new)))
+            at = np.flatnonzero(new)
+            numbers[at] = [self.known[names[i]] for i in at.tolist()]
+        return numbers
+
+    def _by_word(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
+        words, before = _cut(texts)
+        words = words.dictionary_encode()
+        place = self._numbers(words.dictionary)[words.indices.to_numpy()]
+        del words
+        for begin in range(0, len(texts), ROWS):
+            ends = before[begin : begin + ROWS + 1]
+            here = place[ends[0] : ends[-1]]
+            counts = self.count[here]
+            to = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts, dtype=np.int64)))
+            at = np.repeat(self.start[here] - to[:-1], counts)
+            at += np.arange(len(at))
+            yield from np.split(self.pool[at], to[ends[1:-1] - ends[0]])
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not self.by_word:
+            yield from (np.array(self.tokenizer.encode(t.as_py(), add_special_tokens=False).ids, np.uint32) for t in texts)
+            return
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+        begin = 0
+        while begin < len(texts):
+            end = int(np.searchsorted(ends, ends[begin] + SLICE, "right"))
+            yield from self._some(texts.slice(begin, end - begin))
+            begin = end
+
+    def _some(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
+        # Special tokens are of lower case, and the tokenizer looks for them before it lower-cases; so texts that hold one in any case go another way.
+        lower, special = pc.ascii_lower(texts), np.zeros(len(texts), bool)
+        for s in self.special:
+            special |= pc.match_substring(lower, s).to_numpy(zero_copy_only=False)
+        del lower
+        plain = pc.if_else(pa.array(special), "", texts) if special.any() else texts
+        for i, ids in enumerate(self._by_word(plain)):
+            if special[i]:
+                words = texts[i].as_py().encode().split()  # bytes.split() knows the six ASCII white space characters
+                ids = self._library([w.decode() for w in words])[0]
+            yield ids
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.by_word:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        data = text.encode()
-        if data and np.frombuffer(data, np.uint8).max() < _COMBINING:
-            # Words that differ in case alone are one word; the tokenizer lower-cases them anyway.
-            # Special tokens are of lower case, and are looked for before that.
-            if not any(s in text or s in text.lower() for s in self.special):
-                data = text.lower().encode()
-        words = data.split()  # bytes.split() knows the six ASCII white space characters
-        if not words:
-            return np.zeros(0, np.uint32)
-        index = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        gaps = np.flatnonzero(index < 0).tolist()
-        if gaps:
-            missing = list({words[i] for i in gaps})
-            if len(self.known) + len(missing) > self.most_words and self.known:
-                self.clear()
-                gaps, missing = range(len(words)), list(set(words))
-            self._learn(missing)
-            index[gaps] = [self.known[words[i]] for i in gaps]
-        counts = self.count[index]
-        ends = np.cumsum(counts)
-        at = np.repeat(self.start[index] - ends + counts, counts)
-        return self.pool[at + np.arange(len(at))]
+        return next(self.encode_all(pa.array([text], pa.string())))
 
 
 class _Fragments:
@@ -308,10 +409,8 @@ def pack_documents(
 
         for batch in batches:
             doc_ids = batch.column(id_col).to_pylist()
-            texts, step, size = batch.column(text_col), 0, 0
-            lengths: list[int] = []
-            for i, doc_id in enumerate(doc_ids):
-                ids = words.encode(texts[i].as_py() or "")
+            lengths, size = [], 0
+            for i, (doc_id, ids) in enumerate(zip(doc_ids, words.encode_all(batch.column(text_col)), strict=True)):
                 ids = np.concatenate((ids, np.array([end_id], np.uint32))).astype("<u4", copy=False)
                 held[seen + len(lengths)] = doc_id, ids
                 lengths.append(len(ids))

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -177,6 +178,35 @@ def test_word_by_word_ids_are_those_of_whole_texts():
         assert words.encode(text or "").tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
+BROKEN = st.text(st.sampled_from(list("abSZHhJjTw09'.,|<>=-$ \t\n\x00\x1céÉßŸİſǅΣςКK日²\u0301\u0331\u030c\u0308\u0338\xa0\u2009🙂")), max_size=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), BROKEN, st.lists(st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "</w>", "'LL", "x's.", " ", "1a"])).map("".join)), max_size=6))
+def test_ids_of_batches_are_those_of_whole_texts(texts):
+    words = packing.WordTokenizer.load(WORDS, 50)
+    library = words.tokenizer
+    found = [ids.tolist() for ids in words.encode_all(pa.array(texts, pa.string()))]
+    assert found == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_words_of_a_batch_are_tokenized_once_and_together():
+    words, calls = packing.WordTokenizer(WORDS, 100_000), []
+    parts = words.parts
+
+    class Counted:
+        def encode_batch_fast(self, lines, **how):
+            calls.append(lines)
+            return parts.encode_batch_fast(lines, **how)
+
+    words.parts = Counted()
+    texts = [f"{a}{b}, ({a.upper()}{b}) {a}{b}$$$ 20{a}{b}." for a in "abcdefghij" for b in ("ra", "née", "tion")]
+    first = [ids.tolist() for ids in words.encode_all(pa.array(texts * 3))]
+    assert len(calls) <= 2  # letters alone, and what is split here
+    assert {"ara", "btion", "$$$", ",", "(", ")", "2", "0", "."} <= set(words.known) and "ara," not in words.known and "ara$$$" not in words.known
+    assert [ids.tolist() for ids in words.encode_all(pa.array(texts))] == first[: len(texts)] and len(calls) <= 2
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 5000), max_size=40), st.integers(1, 7))
 def test_windows_hold_each_token_once_and_are_full(lengths, step):
