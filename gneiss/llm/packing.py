@@ -26,7 +26,6 @@ import os
 import sys
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import durable, map_arrow, tidy
+from gneiss.llm.common import durable, give_back, map_arrow, tidy
 from gneiss.llm.common import with_ids as check_ids
 
 TIERS = (2048, 1024, 512, 256, 128, 64)
@@ -180,17 +179,22 @@ class WordTokenizer:
         self.clear()
 
     @classmethod
-    def load(cls, path: str, most_words: int = 400_000) -> WordTokenizer:
+    def load(cls, path: str, most_words: int = 200_000) -> WordTokenizer:
         key = path, most_words
         if key not in cls._loaded:
             cls._loaded[key] = cls(path, most_words)
         return cls._loaded[key]
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.kept = pa.array([], pa.string())
         self.start, self.count = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.pool, self.used = np.zeros(4096, np.uint32), 0
 
+    @property
+    def known(self) -> list[str]:
+        """The words that are kept; a task holds them in Arrow alone, as a dict of strings takes ten times the memory."""
+        return self.kept.to_pylist()
+
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts by the whole library, and the number of each."""
         return _encoded(self.tokenizer, texts, LINE)
@@ -207,6 +211,7 @@ class WordTokenizer:
         simple = pc.match_substring_regex(words, _WORD).to_numpy(zero_copy_only=False)
         own = words.filter(pa.array(simple))
         found, pieces, rest = [], {}, []
+        n = len(self.kept)
         if len(own):
             lines = pa.ListArray.from_arrays(pa.array([*range(0, len(own), LINE), len(own)], pa.int32()), own)
             found.append(self._model("\n".join(pc.binary_join(lines, " ").to_pylist()).lower()))
@@ -223,25 +228,27 @@ class WordTokenizer:
         if rest:
             found.append(self._library(rest))
         ids, counts = map(np.concatenate, zip(*found, strict=True))
-        n = len(self.known)
-        self.known.update(zip(chain(own.to_numpy(zero_copy_only=False).tolist(), pieces, rest), range(n, n + len(words)), strict=True))
+        self.kept = pa.concat_arrays([self.kept, own, pa.array([*pieces, *rest], pa.string())])
         self.start = _put(self.start, n, self.used + np.cumsum(counts) - counts)
         self.count = _put(self.count, n, counts)
         self.pool = _put(self.pool, self.used, ids)
         self.used += len(ids)
 
+    def _places(self, words: pa.StringArray) -> np.ndarray:
+        """Numbers of the words that are kept; -1 for others."""
+        return pc.fill_null(pc.index_in(words, value_set=self.kept), -1).to_numpy(zero_copy_only=False).copy()
+
     def _numbers(self, words: pa.StringArray) -> np.ndarray:
         """Numbers of distinct words, those not yet kept being learnt."""
-        names = words.to_numpy(zero_copy_only=False).tolist()
-        numbers = np.fromiter(map(self.known.get, names, repeat(-1)), np.int32, len(names))
+        numbers = self._places(words)
         new = numbers < 0
-        if self.known and (len(self.known) + new.sum() > self.most_words or self.used > 50 * self.most_words):
+        if len(self.kept) and (len(self.kept) + new.sum() > self.most_words or self.used > 50 * self.most_words):
             self.clear()
             new[:] = True
         if new.any():
-            self._learn(words.filter(pa.array(new)))
-            at = np.flatnonzero(new)
-            numbers[at] = [self.known[names[i]] for i in at.tolist()]
+            some = words.filter(pa.array(new))
+            self._learn(some)
+            numbers[new] = self._places(some)
         return numbers
 
     def _by_word(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
@@ -420,6 +427,7 @@ def pack_documents(
                     seen, lengths, size = seen + len(lengths), [], 0
                     open_ = {d for x in pool.by_length.values() for d, _ in x}
                     held = {d: held[d] for d in open_}
+                    give_back()
                     yield out()
         place(pack([], tiers, pool, seen, last=True))
         words.clear()

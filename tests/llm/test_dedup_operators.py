@@ -375,6 +375,21 @@ def test_a_cluster_of_many_sizes_and_strangers(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == plain_near(rows)
 
 
+def test_links_are_written_before_they_are_put_together(spark, monkeypatch):
+    rng, plans = random.Random(5), []
+    base = words(rng, 300).split()
+    rows = [(i, " ".join([*base[: 200 + i % 80], f"x{i}"])) for i in range(60)]
+
+    def seen(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return components(edges)
+
+    monkeypatch.setattr(ngram_join, "components", seen)
+    ngram_join.near_duplicates(frame(spark, rows), rows_a_block=4).collect()
+    assert len(plans) == 3 and not any("MapInArrow" in p for p in plans)
+
+
+
 def test_representatives_stay(spark):
     rows = [r for r in corpus() if r[1] is not None]
     kept = ngram_join.keep_representatives(frame(spark, rows).withColumns({c: F.lit(1) for c in ("gone", "node", "component_id")})).drop("gone", "node", "component_id")

@@ -5,6 +5,7 @@ import html
 import math
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -207,6 +208,22 @@ def test_words_of_a_batch_are_tokenized_once_and_together():
     assert [ids.tolist() for ids in words.encode_all(pa.array(texts))] == first[: len(texts)] and len(calls) <= 2
 
 
+def test_kept_words_take_no_python_objects():
+    words = packing.WordTokenizer(WORDS, 100_000)
+    texts = [" ".join(f"ab{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{'xyz'[i % 3] * (1 + i // 676)}" for i in range(at, at + 500)) for at in range(0, 20_000, 500)]
+    tracemalloc.start()
+    try:
+        ids = list(words.encode_all(pa.array(texts)))
+        distinct, total = len(words.known), sum(map(len, ids))
+        arrays = words.start.nbytes + words.count.nbytes + words.pool.nbytes + 4 * total
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert distinct == len({w for t in texts for w in t.split()}) > 15_000
+    assert held - arrays < 40 * distinct  # a dict of strings took more than 150 bytes a word
+
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 5000), max_size=40), st.integers(1, 7))
 def test_windows_hold_each_token_once_and_are_full(lengths, step):
