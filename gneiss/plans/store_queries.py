@@ -1,12 +1,15 @@
 """Queries of a store over the driver's tables: documents upserted in three commits, most of them replaced on the way.
 
-The store lies in the shared folder and is made once for each application and folder of tables; each query reads what it
-is about of it: postings and their bounds, differences of counts, what is kept of the files. The first commit has most documents
+The store lies in a folder of its own in the shared one and is made once for each application and folder of tables, and again should it have
+been cleared away or its making have failed; each query reads what it is about of it: postings and their bounds, differences of counts, what is kept of the files. The first commit has most documents
 with other texts, the second and third have what they should be, so rows are those of a store that was never wrong.
 """
 
 from __future__ import annotations
 
+import threading
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,9 @@ from gneiss.sources.store import Store
 from gneiss.sources.tables import read_table as read
 
 _MADE: dict[tuple[str, str], Store] = {}
+_MAKING = threading.Lock()
+#: Commits of the store.
+COMMITS = 3
 _CODED: dict[tuple[str, str], coded.CodedVectors] = {}
 
 
@@ -33,17 +39,18 @@ def stored_chunks(spark, sf_dir) -> DataFrame:
 
 
 def made_store(spark, sf_dir) -> Store:
+    """The store of a folder of tables. Of queries that ask at once the first makes it; what one that was stopped has left is never built upon."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MADE:
-        name = f"gneiss-store-{len(_MADE)}-{key[0]}"
-        store, rows = Store(spark, f"{shared_folder(spark)}/{name}", reset=True), stored_chunks(spark, sf_dir)
-        wrong = F.col("seq") % 3 != 0
-        stale = F.when(wrong, F.concat(F.substring("text", 1, 200), F.lit(" superseded wording of it"))).otherwise(F.col("text"))
-        store.upsert(rows.withColumn("text", stale))
-        store.upsert(rows.where("seq % 2 = 0"))
-        store.upsert(rows.where(wrong & (F.col("seq") % 2 == 1)))
-        _MADE[key] = store
-    return _MADE[key]
+    with _MAKING:
+        if key not in _MADE or not _MADE[key].is_whole(COMMITS):
+            store, rows = Store(spark, f"{shared_folder(spark)}/gneiss-store-{uuid.uuid4().hex}-{key[0]}"), stored_chunks(spark, sf_dir)
+            wrong = F.col("seq") % 3 != 0
+            stale = F.when(wrong, F.concat(F.substring("text", 1, 200), F.lit(" superseded wording of it"))).otherwise(F.col("text"))
+            store.upsert(rows.withColumn("text", stale))
+            store.upsert(rows.where("seq % 2 = 0"))
+            store.upsert(rows.where(wrong & (F.col("seq") % 2 == 1)))
+            _MADE[key] = store
+        return _MADE[key]
 
 
 def _shown(rows):

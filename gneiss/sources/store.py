@@ -44,8 +44,8 @@ TRIES = 4
 
 
 def usable(batch: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Rows with a key and a text."""
-    return batch.where((F.coalesce(F.col(key), F.lit("")) != "") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    """Rows with a key and a text: one of more than spaces, also those of other widths (Unicode's Zs)."""
+    return batch.where((F.coalesce(F.col(key), F.lit("")) != "") & F.coalesce("text", F.lit("")).rlike(r"[^\p{Zs}]"))
 
 
 def last_wins(batch: DataFrame, key: str = "chunk_id", order: str = "seq", first: str | None = None) -> DataFrame:
@@ -162,6 +162,17 @@ class Store:
     def manifest(self, version: int | None = None) -> Manifest:
         return self.versions.read(version)
 
+    def is_whole(self, version: int) -> bool:
+        """Whether ``version`` is there with all files and folders that its manifest names; no row is read."""
+        if version not in self.versions.numbers():
+            return False
+        manifest = self.manifest(version)
+        named = {f"{table}/part={p.name}" for p in manifest.parts for table in ("postings", "terms", "totals")}
+        named |= {f"dead/part={p.name}" for p in manifest.parts if p.dead}
+        named |= {f"{table}/{f.path.split('/')[1]}" for f in manifest.files for table in ("filings", "filters")} | {f.path for f in manifest.files}
+        held = {below: set(self.versions.folders(below)) for below in {n.rpartition("/")[0] for n in named}}
+        return all(name in held[below] for below, _, name in (n.rpartition("/") for n in named))
+
     # -- reading ---------------------------------------------------------------------------
 
     def scan(self, ticker: str | None = None, version: int | None = None) -> DataFrame:
@@ -180,9 +191,8 @@ class Store:
         return rows.select(*STORED_COLUMNS, *([_below(F.col("_metadata.file_path")).alias(file_col)] if file_col else []))
 
     def _side(self, table: str, schema: str, parts: list[str]) -> DataFrame:
-        """A table that commits add to, of the parts that have it."""
-        have = set(self.versions.folders(table))
-        paths = [f"{self.path}/{table}/part={p}" for p in parts if f"part={p}" in have]
+        """A table that commits add to, of these parts, which all have it: one that was lost is an error and no empty part."""
+        paths = [f"{self.path}/{table}/part={p}" for p in parts]
         if not paths:
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(f"{schema}, part string").option("basePath", f"{self.path}/{table}").parquet(*paths)
@@ -300,7 +310,7 @@ class Store:
         if added is not None:
             self._index(added, gone if dead else None, part, manifest.buckets)
         kept = tuple(f for f in base.files if f.path not in touched)
-        manifest = replace(manifest, next_position=base.next_position + size, files=kept + tuple(files), parts=(*base.parts, part))
+        manifest = replace(manifest, next_position=base.next_position + size, files=kept + tuple(files), parts=(*base.parts, part) if files else base.parts)
         self.versions.commit(manifest)
         return manifest.rows
 

@@ -1,6 +1,8 @@
 """The store's versions, files and inverted index against plain scans of the same chunks."""
 
 import random
+import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 import numpy as np
@@ -8,11 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from gneiss.operators import coded, index, lexical, postings, vector
-from gneiss.plans import api
+from gneiss.plans import api, store_queries
 from gneiss.schemas import CHUNK
 from gneiss.sources import store as S
 from gneiss.sources.snapshots import Conflict
 from gneiss.sources.store import Store, companies, stats, table_counts
+from tests.compare import FOLDER
 
 
 def rows_of(spark, *rows):
@@ -185,6 +188,69 @@ def test_versions_stay_as_they_were(spark, tmp_path):
         store.scan(version=1)
 
 
+def test_a_commit_without_rows_has_no_part_and_a_lost_part_is_no_empty_one(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), buckets=2)
+    store.upsert(rows_of(spark, *corpus(1, 20)))
+    assert store.upsert(rows_of(spark, *corpus(1, 20)).where("false")) == 20 and len(store.manifest().parts) == 1
+    store.upsert(rows_of(spark, *corpus(2, 5, first=40)))
+    assert store.is_whole(3) and not store.is_whole(4)
+    assert store.index().totals.agg(F.sum("n_docs")).first()[0] == store.stats().first().chunks == 25
+    lost = store.manifest().parts[1].name
+    store.versions.delete(f"totals/part={lost}"), store.versions.delete(f"filings/part={lost}")
+    assert not store.is_whole(3)
+    for read in (lambda: store.index().totals.collect(), lambda: store.companies().collect()):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+            read()
+
+
+def test_only_spaces_of_any_width_are_no_text(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), buckets=2)
+    texts = [" ", "\u00a0", "\u3000 \u2003", "", "\t", "x", "\u00a0x"]  # as DuckDB's trim has them
+    assert store.upsert(rows_of(spark, *((f"c{i}", "AAAA", "8-K", "", "", x) for i, x in enumerate(texts)))) == 3
+
+
+def _slow_store(monkeypatch):
+    """Stores that write down their upserts; all are slow and the first is stopped in its second one."""
+    done = []
+
+    def upsert(self, rows):
+        time.sleep(0.2)
+        done.append(self.path)
+        if len(done) == 2:
+            raise KeyboardInterrupt
+        self.versions.commit(replace(self.manifest(), version=self.manifest().version + 1))
+
+    monkeypatch.setattr(Store, "upsert", upsert)
+    monkeypatch.setattr(store_queries, "stored_chunks", lambda spark, folder: spark.range(1).selectExpr("id as seq", "'x' as text"))
+    return done
+
+
+def test_the_registered_store_is_never_built_on_what_a_stopped_query_left(spark, monkeypatch):
+    done = _slow_store(monkeypatch)
+    with pytest.raises(KeyboardInterrupt):
+        store_queries.made_store(spark, "stopped")
+    store = store_queries.made_store(spark, "stopped")
+    assert done == [done[0]] * 2 + [store.path] * 3 and store.path != done[0] and store.is_whole(3)
+
+
+def test_queries_that_ask_at_once_make_one_store(spark, monkeypatch):
+    done = _slow_store(monkeypatch)
+    done += [""] * 2
+    with ThreadPoolExecutor(4) as threads:
+        made = list(threads.map(lambda _: store_queries.made_store(spark, "at once"), range(4)))
+    assert len({id(x) for x in made}) == 1 and done[2:] == [made[0].path] * 3
+
+
+def test_the_registered_store_is_made_again_when_its_folder_was_cleared(spark, tmp_path):
+    spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 40").write.parquet(str(tmp_path / "documents.parquet"))
+    asked = (store_queries.stored_companies, store_queries.stored_frequency, store_queries.stored_order, store_queries.stored_stats, store_queries.stored_totals)
+    rows = lambda: [sorted(map(str, query(spark, str(tmp_path)).collect())) for query in (*asked, store_queries.indexed_rank)]
+    before = rows()
+    assert all(before)
+    store_queries.made_store(spark, str(tmp_path)).versions.delete()
+    assert rows() == before
+
+
 def test_a_writer_that_fails_leaves_the_store_whole(spark, tmp_path, monkeypatch):
     store = Store(spark, str(tmp_path / "s"))
     store.upsert(rows_of(spark, ("a", "AAAA", "8-K", "x", "s", "one")))
