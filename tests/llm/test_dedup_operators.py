@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -375,6 +375,51 @@ def test_a_cluster_of_many_sizes_and_strangers(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == plain_near(rows)
 
 
+def test_block_pairs_go_in_rounds(spark, monkeypatch):
+    """However many pairs of blocks there are, a round sends no more shingles than the clusters have (here: about)."""
+    rng, sent = random.Random(14), []
+    shared = [words(rng, 60, 10_000) for _ in range(3)]
+    rows = [(i, f"{shared[i % 3]} {words(rng, 2 + i, 10_000)} {shared[(i + 1) % 3] if i % 2 else ''}") for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " z" * (i % 3)) for i in range(0, 60, 2)]
+    links = ngram_join._links
+
+    def seen(part, keys, *rest):
+        sent.append((keys[-1], part.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
+        return links(part, keys, *rest)
+
+    monkeypatch.setattr(ngram_join, "_links", seen)
+    monkeypatch.setattr(ngram_join, "LEAST_ROUND", 1)
+    found = ngram_join.near_duplicates(frame(spark, rows), rows_a_block=2)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == plain_near(rows)
+    rounds = [n for key, n in sent if key == "y"]
+    assert len(rounds) > 1 and max(rounds) < 2 * sum(rounds) / len(rounds)
+
+
+@pytest.mark.parametrize("passes", [1, 3])
+def test_own_shingles_are_counted_in_parts_of_their_range(spark, monkeypatch, passes):
+    df = frame(spark, corpus()).repartition(3)
+    monkeypatch.setattr(ngram_join, "PASSES", passes)
+    texts = {x for _, x in corpus() if x and x.split()}
+    sets = {x: ngram_join.shingle_sets([x])[0] for x in texts}
+    holders, nodes = defaultdict(set), {}
+    for hashes in sets.values():
+        node = nodes[len(nodes)] = ngram_join._node(ngram_join._digest(hashes), frozenset())
+        for h in hashes.tolist():
+            holders[h].add(node)
+    for k in range(passes):
+        low, high = ((24 << 58) * e // passes for e in (k, k + 1))
+        want = Counter(next(iter(own)) for h, own in holders.items() if len(own) == 1 and low <= h < high)
+        assert {r.node: r.alone for r in ngram_join._alone(df, "text", frozenset(), k, 3).collect()} == dict(want)
+
+
+def test_what_a_written_table_shuffled_is_gone_with_the_write(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    blocks = lambda: {x for x in disk.getAllBlocks().mkString(" ").split() if x.startswith("shuffle_")}
+    before, kept = blocks(), spark.conf.get(common._CLEANUP, None)
+    rows = common.durable(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count().join(spark.range(9).withColumnRenamed("id", "k").hint("merge"), "k"))
+    assert not blocks() - before and rows.count() == 7 and spark.conf.get(common._CLEANUP, None) == kept
+
+
 def test_links_are_written_before_they_are_put_together(spark, monkeypatch):
     rng, plans = random.Random(5), []
     base = words(rng, 300).split()
